@@ -7,16 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliary.llm import common as C
-from foliary.llm import decontam
+from foliary.llm import decontam, secrets, toxicity
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = C.documents(spark, sf_dir)
+    model = toxicity.train(docs, C.documents(spark, sf_dir, "labels"))
+    found = toxicity.score(docs, model, keep=["doc_id"])
+    return found.select("doc_id", C.held_out("doc_id", 3).alias("held_out"), "score", "predicted")
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(C.documents(spark, sf_dir), C.documents(spark, sf_dir, "benchmark"), keep=["doc_id"]).drop("spans")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(C.documents(spark, sf_dir), keep=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
+        "op3_secret_scan": op3_secret_scan,
     }
 
 
