@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from foliary.llm import common as C
-from foliary.llm import decontam, secrets, toxicity
+from foliary.llm import bpe, decontam, secrets, toxicity
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,11 +31,16 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(C.documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(C.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), keep=["doc_id"], ids=False, digests=True)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_secret_scan": op3_secret_scan,
+        "op5_byte_bpe": op5_byte_bpe,
     }
 
 
