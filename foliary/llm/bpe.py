@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 from foliary.llm import common as C
 
 NONE = np.iinfo(np.int64).max
-MEMORY = 400_000
 LOCKSTEP_CELLS = 1 << 22
 
 
@@ -35,7 +34,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-class Coder:
+class Coder(C.PieceMemory):
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.size = max(ranks.values()) + 1
@@ -54,11 +53,7 @@ class Coder:
         self.token_len = np.array([len(t) for t in tokens], np.int64)
         self.token_start = np.cumsum(self.token_len) - self.token_len
         self.token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.start, self.length, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        super().__init__()
 
     # pairs of ids -> id of the merged token, by open addressing
     def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
@@ -153,8 +148,7 @@ class Coder:
         keep = ids >= 0
         return ids[keep].astype(np.uint32), keep.sum(axis=1)
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encodes new pieces and remembers them."""
+    def coded(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         by: dict[int, list[bytes]] = {}
         names: list[str] = []
         ids_parts, length_parts = [], []
@@ -179,36 +173,11 @@ class Coder:
                 ids_parts.append(ids)
                 length_parts.append(lengths)
             names += groups[size]
-        n = len(self.known)
-        lengths, ids = np.concatenate(length_parts), np.concatenate(ids_parts)
-        while n + len(lengths) > len(self.start):
-            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.length[n : n + len(lengths)] = lengths
-        self.start[n : n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
-        self.known.update(zip(names, range(n, n + len(lengths)), strict=True))
+        return names, np.concatenate(ids_parts), np.concatenate(length_parts)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        find = self.pattern.findall
-        each = [find(t) for t in texts]
-        pieces = [p for x in each for p in x]
-        new = set(pieces).difference(self.known)
-        if len(new) + len(self.known) > MEMORY and self.known:
-            self.forget()
-            new = set(pieces)
-        if new:
-            self.learn(list(new))
-        codes = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        lengths = self.length[codes]
-        ends = np.cumsum(lengths)
-        ids = self.flat[np.repeat(self.start[codes] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
-        of_text = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
-        bound = np.concatenate([[0], ends])[of_text]
-        return [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
+        return self.ids_of([self.pattern.findall(t) for t in texts])
 
     def decode(self, ids: np.ndarray) -> bytes:
         ids = ids.astype(np.int64)
@@ -235,17 +204,6 @@ def _default_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
-def _text_batches(texts: list[str], limit: int = C.SUB_BATCH_BYTES) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, text in enumerate(texts):
-        if i > start and size + len(text) > limit:
-            yield start, i
-            start, size = i, 0
-        size += len(text)
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, text: str = "text", keep: list[str] | None = None, ids: bool = True, digests: bool = False) -> DataFrame:
     """Columns ``keep`` (default: all but clashing ones), n_tokens, and where asked for ids, and the
     hashes of the ids and of the bytes they decode to.
@@ -270,7 +228,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, text: s
         coder = _coder(key, shared.value, pattern)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("__text")).cast(pa.string()).fill_null("").to_pylist()
-            for a, b in _text_batches(texts):
+            for a, b in C.text_batches(texts):
                 coded = coder.encode(texts[a:b])
                 got = {"n_tokens": pa.array([len(x) for x in coded], pa.int64())}
                 if ids:

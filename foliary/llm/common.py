@@ -173,3 +173,61 @@ def as_signed(x: np.ndarray) -> np.ndarray:
 
 def passed_on(batch: pa.RecordBatch, columns: list[str]) -> dict[str, pa.Array]:
     return {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
+
+
+class PieceMemory:
+    """Ids of pieces of text already met, in flat arrays; emptied when it holds ``limit`` pieces."""
+
+    def __init__(self, limit: int = 400_000) -> None:
+        self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.start, self.length, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+
+    def coded(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The pieces in an order of one's own, their ids end to end, and how many ids each has."""
+        raise NotImplementedError
+
+    def learn(self, pieces: list[str]) -> None:
+        names, ids, lengths = self.coded(pieces)
+        n = len(self.known)
+        while n + len(lengths) > len(self.start):
+            self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.length[n : n + len(lengths)] = lengths
+        self.start[n : n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        self.known.update(zip(names, range(n, n + len(lengths)), strict=True))
+
+    def ids_of(self, each: list[list[str]]) -> list[np.ndarray]:
+        """Ids of texts that are given as lists of pieces."""
+        pieces = [p for x in each for p in x]
+        new = set(pieces).difference(self.known)
+        if len(new) + len(self.known) > self.limit and self.known:
+            self.forget()
+            new = set(pieces)
+        if new:
+            self.learn(list(new))
+        codes = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        lengths = self.length[codes]
+        ends = np.cumsum(lengths)
+        ids = self.flat[np.repeat(self.start[codes] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
+        of_text = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+        bound = np.concatenate([[0], ends])[of_text]
+        return [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
+
+
+def text_batches(texts: list[str], limit: int = SUB_BATCH_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``limit`` characters, each of one row at least."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text) > limit:
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliary.llm import common as C
-from foliary.llm import bpe, decontam, secrets, toxicity
+from foliary.llm import bpe, decontam, secrets, sharding, sstable, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -35,12 +36,25 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(C.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), keep=["doc_id"], ids=False, digests=True)
 
 
+def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = sstable.write_tables(C.documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
+    return sstable.read_tables(spark, manifest)
+
+
+def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
+    placed = sharding.shard_by_bytes(C.documents(spark, sf_dir), keep=["doc_id", crc])
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_secret_scan": op3_secret_scan,
         "op5_byte_bpe": op5_byte_bpe,
+        "op9_token_tables": op9_token_tables,
+        "op10_histogram_sharding": op10_histogram_sharding,
     }
 
 
