@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import common as C
-from foliary.llm import bpe, decontam, secrets, sharding, sstable, toxicity
+from foliary.llm import bpe, decontam, neardup, secrets, sharding, sstable, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -36,6 +36,10 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(C.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), keep=["doc_id"], ids=False, digests=True)
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(C.documents(spark, sf_dir), shingle=2)
+
+
 def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = sstable.write_tables(C.documents(spark, sf_dir), tokenizer_file("word_bpe_49k.json"))
     return sstable.read_tables(spark, manifest)
@@ -53,6 +57,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_secret_scan": op3_secret_scan,
         "op5_byte_bpe": op5_byte_bpe,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_token_tables": op9_token_tables,
         "op10_histogram_sharding": op10_histogram_sharding,
     }
