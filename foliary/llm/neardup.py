@@ -283,3 +283,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     out = rows.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
+    """The rows of ``docs`` that are their component's least id, all columns as they are; of rows that repeat one id and text, one.
+
+    Rows with a null id stay unless their component has an id, or another such row of the same text stays.
+    """
+    found = near_duplicates(docs, text, doc_id, shingle, threshold, k)
+    gone = found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__to")).distinct()
+    own = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    left = own.join(gone, own["__id"].eqNullSafe(gone["__id"]), "left_anti")
+    return left.dropDuplicates(["__id", "__text"]).select(docs.columns)

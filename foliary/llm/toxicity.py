@@ -168,9 +168,9 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text:
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], int), counts.get(1, 0) / total)
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns ``keep`` (default: all but clashing ones), score (0 to 1) and predicted (1 from the threshold on)."""
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """Columns ``keep`` (default: all but clashing ones), ``score`` (0 to 1) and ``predicted`` (1 from the threshold on)."""
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in (score, predicted)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +178,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         features = Features(model.orders, model.bits)
         for batch in batches:
             scores = np.array([model.score(features, t) for t in C.texts_of(batch, "__text")], np.float64)
-            yield pa.RecordBatch.from_pydict(C.passed_on(batch, keep) | {"score": pa.array(scores), "predicted": pa.array((scores >= threshold).astype(np.int32))})
+            yield pa.RecordBatch.from_pydict(C.passed_on(batch, keep) | {score: pa.array(scores), predicted: pa.array((scores >= threshold).astype(np.int32))})
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(task, ", ".join([*schema, "score double, predicted int"]))
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(task, ", ".join([*schema, f"`{score}` double, `{predicted}` int"]))
