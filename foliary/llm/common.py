@@ -176,7 +176,10 @@ def passed_on(batch: pa.RecordBatch, columns: list[str]) -> dict[str, pa.Array]:
 
 
 class PieceMemory:
-    """Ids of pieces of text already met, in flat arrays; emptied when it holds ``limit`` pieces."""
+    """Ids of pieces of text already met, in flat arrays; emptied when it holds ``limit`` pieces.
+
+    Pieces are known by their text, or by whatever names ``coded`` gives them.
+    """
 
     def __init__(self, limit: int = 400_000) -> None:
         self.limit = limit
@@ -213,10 +216,13 @@ class PieceMemory:
         if new:
             self.learn(list(new))
         codes = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        return self.laid(codes, np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64))
+
+    def laid(self, codes: np.ndarray, of_text: np.ndarray) -> list[np.ndarray]:
+        """Ids of texts; text t has the known pieces ``codes[of_text[t] : of_text[t + 1]]``."""
         lengths = self.length[codes]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.start[codes] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
-        of_text = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
         bound = np.concatenate([[0], ends])[of_text]
         return [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
 

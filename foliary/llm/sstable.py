@@ -171,7 +171,17 @@ class Reader:
 
 
 class WordCoder(C.PieceMemory):
-    """Ids of pieces between white space by a tokenizer that drops white space; each distinct piece is encoded once."""
+    """Ids of pieces between ASCII white space, by a tokenizer that drops white space.
+
+    No match of such a tokenizer reaches over white space, so a text's ids are those of its pieces
+    in turn, and each distinct piece is encoded once.  Many pieces go to the tokenizer as one text,
+    with a mark between them that has one id of its own; a piece that holds the mark goes alone.
+    Pieces are known by a 64-bit hash; ASCII capitals count as small letters (the tokenizer lowers
+    them), but not in texts with combining marks, where lowering first could compose other letters.
+    """
+
+    MARK = "\x01"
+    JOINT = 256
 
     def __init__(self, spec: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -179,19 +189,48 @@ class WordCoder(C.PieceMemory):
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        super().__init__()
-
-    def coded(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        ids, lengths = [], []
-        for i in range(0, len(pieces), 4096):
-            part = [x.ids for x in self.tokenizer.encode_batch_fast(pieces[i : i + 4096], add_special_tokens=False)]
-            lengths += map(len, part)
-            ids += [j for x in part for j in x]
-        return pieces, np.array(ids, np.uint32), np.array(lengths, np.int64)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        # U+001C..1F part words for str.split but not for the tokenizer: such a text is one piece
-        return self.ids_of([[t] if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts])
+        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
+        lowers = self.tokenizer.encode("A b", add_special_tokens=False).ids == self.tokenizer.encode("a b", add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.lowered = C.spaces_scanner()
+        self.plain = C.spaces_scanner()
+        self.plain.lower = np.arange(256, dtype=np.uint8)
+        self.plain.code = C.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        if not lowers:
+            self.lowered = self.plain
+        super().__init__(limit=1_500_000)
+
+    def coded(self, pieces: list[tuple[int, str]]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        joint = [p for p in pieces if self.mark is not None and self.MARK not in p[1]]
+        alone = [p for p in pieces if self.mark is None or self.MARK in p[1]]
+        texts = [f" {self.MARK} ".join(x for _, x in joint[i : i + self.JOINT]) + f" {self.MARK}" for i in range(0, len(joint), self.JOINT)]
+        parts = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = np.concatenate([*parts, np.zeros(0, np.uint32)])
+        marks = np.flatnonzero(ids == self.mark) if joint else np.zeros(0, np.int64)
+        lengths = np.diff(marks, prepend=-1) - 1
+        single = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([x for _, x in alone], add_special_tokens=False)]
+        names = [n for n, _ in joint] + [n for n, _ in alone]
+        if len(lengths) != len(joint):
+            raise ValueError("the tokenizer gives the mark's id to other text")
+        return names, np.concatenate([ids[ids != self.mark] if joint else ids, *single]), np.concatenate([lengths, np.array([len(x) for x in single], np.int64)])
+
+    def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text (UTF-8)."""
+        raw, at = C.joined(texts)
+        marks = bool(((raw == 0xCC) | (raw == 0xCD)).any())
+        scanner = self.plain if marks else self.lowered
+        starts, ends, hashes = scanner.scan(raw)
+        names, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        if len(names) + len(self.known) > self.limit and self.known:
+            self.forget()
+        names = names.tolist()
+        known = [self.known.get(n, -1) for n in names]
+        new = [i for i, k in enumerate(known) if k < 0]
+        if new:
+            data = scanner.lower[raw].tobytes()
+            self.learn([(names[i], data[starts[first[i]] : ends[first[i]]].decode()) for i in new])
+            known = [self.known[n] for n in names]
+        return self.laid(np.array(known, np.int64)[back] if known else np.zeros(0, np.int64), np.searchsorted(starts, at))
 
 
 _CODERS: dict[int, WordCoder] = {}
@@ -230,8 +269,8 @@ def write_tables(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec_shared.value)
         for batch in batches:
-            texts = batch.column(1).cast(pa.string()).fill_null("").to_pylist()
-            for a, b in C.text_batches(texts):
+            texts = C.texts_of(batch, "text")
+            for a, b in C.sub_batches(texts):
                 ids = batch.column(0).slice(a, b - a)
                 plain = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
                 values = [np.append(x, np.uint32(end_id)).astype(wide).tobytes() for x in coder.encode(texts[a:b])]
