@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import common as C
-from foliary.llm import bpe, decontam, neardup, secrets, sharding, sstable, toxicity
+from foliary.llm import bpe, chat, decontam, hnsw, neardup, secrets, sharding, sstable, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -36,6 +36,17 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(C.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), keep=["doc_id"], ids=False, digests=True)
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.nearest(C.documents(spark, sf_dir, "embeddings"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = C.documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    text = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat.read_back(chat.render(log.unionByName(more)))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(C.documents(spark, sf_dir), shingle=2)
 
@@ -57,6 +68,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_secret_scan": op3_secret_scan,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_nearest_neighbours": op6_nearest_neighbours,
+        "op7_chat_formatting": op7_chat_formatting,
         "op8_near_duplicates": op8_near_duplicates,
         "op9_token_tables": op9_token_tables,
         "op10_histogram_sharding": op10_histogram_sharding,
