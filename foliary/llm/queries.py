@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import common as C
-from foliary.llm import bpe, chat, decontam, hnsw, neardup, secrets, sharding, sstable, toxicity
+from foliary.llm import bpe, chat, decontam, hnsw, lm, neardup, secrets, sharding, sstable, toxicity
 
 
 def tokenizer_file(name: str) -> str:
@@ -32,6 +32,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(C.documents(spark, sf_dir), keep=["doc_id"])
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(C.documents(spark, sf_dir))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(C.documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.tiktoken"), keep=["doc_id"], ids=False, digests=True)
 
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_benchmark_decontamination": op2_benchmark_decontamination,
         "op3_secret_scan": op3_secret_scan,
+        "op4_language_model": op4_language_model,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_nearest_neighbours": op6_nearest_neighbours,
         "op7_chat_formatting": op7_chat_formatting,
