@@ -22,13 +22,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _load() -> None:
+    from foliary.plans import queries_corpus, queries_evaluation, queries_search, queries_tables, queries_text  # noqa: F401
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["semantic_topk"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
