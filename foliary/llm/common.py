@@ -65,6 +65,13 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return col.cast(pa.string()).cast(pa.binary()).fill_null(b"").to_pylist()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def sub_batches(texts: list[bytes], limit: int = SUB_BATCH_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes, each of one row at least; texts are never cut."""
     start = size = 0
@@ -209,21 +216,28 @@ class PieceMemory:
     def ids_of(self, each: list[list[str]]) -> list[np.ndarray]:
         """Ids of texts that are given as lists of pieces."""
         pieces = [p for x in each for p in x]
+        codes = self.codes_of(pieces)
+        return self.laid(codes, np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64))
+
+    def codes_of(self, pieces: list[str]) -> np.ndarray:
+        """The known pieces' numbers; new ones are learnt."""
         new = set(pieces).difference(self.known)
         if len(new) + len(self.known) > self.limit and self.known:
             self.forget()
             new = set(pieces)
         if new:
             self.learn(list(new))
-        codes = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
-        return self.laid(codes, np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64))
+        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
 
-    def laid(self, codes: np.ndarray, of_text: np.ndarray) -> list[np.ndarray]:
-        """Ids of texts; text t has the known pieces ``codes[of_text[t] : of_text[t + 1]]``."""
+    def flat_ids(self, codes: np.ndarray, of_text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts end to end, and their bounds; text t has the known pieces ``codes[of_text[t] : of_text[t + 1]]``."""
         lengths = self.length[codes]
         ends = np.cumsum(lengths)
         ids = self.flat[np.repeat(self.start[codes] - ends + lengths, lengths) + np.arange(int(lengths.sum()))]
-        bound = np.concatenate([[0], ends])[of_text]
+        return ids, np.concatenate([[0], ends])[of_text]
+
+    def laid(self, codes: np.ndarray, of_text: np.ndarray) -> list[np.ndarray]:
+        ids, bound = self.flat_ids(codes, of_text)
         return [ids[a:b] for a, b in zip(bound[:-1], bound[1:], strict=True)]
 
 

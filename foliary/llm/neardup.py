@@ -3,11 +3,11 @@
 A document's set is its distinct word shingles, as 64-bit hashes; its sketch the k least of them.
 
 1. Equal sets become one node (grouped with map-side combination, so masses of copies are cheap).
-2. Inverted lists: a pair at the wanted similarity keeps at least ``t`` = 0.45 k common values in
-   both sketches (seven standard deviations below what 0.8 leads to expect at k = 64; sets of at
-   most k shingles are their own sketch, for which this is certain).  So it is enough to list, of
-   each sketch, the k - t + 1 values that occur in fewest nodes; a passage that many documents
-   share then makes no list.
+2. Inverted lists: a pair at the wanted similarity keeps at least ``t`` = 0.55 k common values in
+   both sketches (five standard deviations below what 0.8 leads to expect at k = 64).  A set so
+   small that its partners' sketches are whole sets as well has t = 0.8 of its size, for certain.
+   So it is enough to list, of each sketch, the values that occur in fewest nodes, t - 1 fewer than
+   it has; a passage that many documents share then makes no list.
 3. Canopies: each list's first member is compared with the others by union sketches (the share of
    common values among the k least of both).  Members near it gather in its canopy; those very near
    leave the list, and the rest goes on to a next round.  As distance is a metric, two similar
@@ -40,8 +40,8 @@ from foliary.llm.graph import components
 SHINGLE = 5
 THRESHOLD = 0.8
 K = 64
-SHARED = 0.45
-TIGHT, LOOSE, PASS = 0.6, 0.1, 0.55
+SHARED = 0.55
+TIGHT, LOOSE, PASS = 0.6, 0.2, 0.55
 ROUNDS = 4
 BLOCK = 384
 SIEVE_BITS = 23
@@ -69,7 +69,7 @@ def set_key(grams: np.ndarray) -> bytes:
 def _profile(n: int, k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = C.spaces_scanner()
-        for batch in batches:
+        for batch in C.slices(batches):
             texts = C.texts_of(batch, "text")
             for a, b in C.sub_batches(texts):
                 sets = list(shingle_sets(texts[a:b], scanner, n))
@@ -80,7 +80,7 @@ def _profile(n: int, k: int):
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in C.slices(batches):
         sketches = batch.column(1).to_pylist()
         sizes = np.fromiter((len(s) // 8 for s in sketches), np.int64, len(sketches))
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(np.frombuffer(b"".join(sketches), np.int64)), pa.array(np.repeat(sizes, sizes).astype(np.int32))], ["node", "value", "held"])
@@ -98,7 +98,7 @@ def union_estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:
 
 def _estimates(k: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.slices(batches):
             x, y = (batch.column(i).to_pylist() for i in (2, 3))
             got = [union_estimate(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), k) for a, b in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(got, pa.float64())], ["pivot", "node", "near"])
@@ -170,7 +170,7 @@ def _verify(percent: int, k: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets, left, right = None, [], [], [], []
-        for batch in batches:
+        for batch in C.slices(batches):
             found = []
             for c, i, j, node, block, body in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (c, i, j) != now:
@@ -204,7 +204,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, n: in
     sieve = docs.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.slices(batches):
             at = batch.column(2).to_numpy() % (1 << SIEVE_BITS)
             hit = (sieve.value[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1)
             yield batch.filter(pa.array(hit.astype(bool))).select([0, 1])
@@ -213,7 +213,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, n: in
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = C.spaces_scanner()
-        for batch in batches:
+        for batch in C.slices(batches):
             texts, keys = C.texts_of(batch, "text"), batch.column(1).to_pylist()
             for a, b in C.sub_batches(texts):
                 got = list(shingle_sets(texts[a:b], scanner, n))
@@ -237,7 +237,8 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int
     by_node = Window.partitionBy("node")
     # values in one node only are the rarest of all: they count for the place, but make no list
     ranked = shared.withColumn("rest", F.col("held") - F.count(F.lit(1)).over(by_node)).withColumn("place", F.col("rest") + F.row_number().over(by_node.orderBy("df", "value")))
-    lists = C.cut(ranked.where(F.col("place") <= F.col("held") - F.ceil(F.col("held") * SHARED) + 1).select("value", "node"))
+    common = F.when(F.col("held") * 100 <= percent * k, F.ceil(F.col("held") * percent / 100 - 1e-9)).otherwise(F.ceil(F.col("held") * SHARED))
+    lists = C.cut(ranked.where(F.col("place") <= F.col("held") - common + 1).select("value", "node"))
 
     sketches = nodes.select("node", "sketch")
     canopies = None
