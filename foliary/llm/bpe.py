@@ -211,6 +211,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, text: s
     The ranks are read by the driver and sent to the workers once (a vocabulary is of a fixed size,
     checked to be below 64 MB).
     """
+    C.prepare(docs.sparkSession)
     types = {"n_tokens": pa.int64()}
     if ids:
         types["ids"] = pa.list_(pa.int32())
@@ -226,7 +227,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, text: s
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(key, shared.value, pattern)
-        for batch in batches:
+        for batch in C.slices(batches):
             texts = batch.column(batch.schema.get_field_index("__text")).cast(pa.string()).fill_null("").to_pylist()
             for a, b in C.text_batches(texts):
                 coded = coder.encode(texts[a:b])
@@ -246,6 +247,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, text: s
 
 def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "text") -> DataFrame:
     """Turns lists of ids back into texts (bytes that are no UTF-8 become the replacement character); null stays null."""
+    C.prepare(coded.sparkSession)
     ranks = load_ranks(ranks_path)
     shared = coded.sparkSession.sparkContext.broadcast(ranks)
     key = hashlib.sha256(repr((ranks_path, len(ranks), "")).encode()).hexdigest()
@@ -253,7 +255,7 @@ def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "tex
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(key, shared.value, "")
-        for batch in batches:
+        for batch in C.slices(batches):
             lists = batch.column(batch.schema.get_field_index("__ids")).to_pylist()
             texts = [None if x is None else coder.decode(np.array(x, np.int64)).decode(errors="replace") for x in lists]
             yield pa.RecordBatch.from_pydict(C.passed_on(batch, keep) | {into: pa.array(texts, pa.string())})

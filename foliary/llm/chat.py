@@ -33,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliary.llm import common as C
+
 TURN, END = "<|turn|>", "<|end|>"
 #: Strings that chat templates use as marks.
 CONTROL = (TURN, END, "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>")
@@ -118,6 +120,7 @@ def render(log: DataFrame, conv_id: str = "conv_id", seq: str = "turn", role: st
 
     Parts of one conversation are in one partition, one behind the other.
     """
+    C.prepare(log.sparkSession)
     kind = F.coalesce(F.col(event), F.lit("message")) if event else F.lit("message")
     aim = F.col(target).cast("long") if target else F.lit(None).cast("long")
     rows = log.select(F.col(conv_id).cast("long").alias("c"), F.col(seq).cast("long").alias("s"), kind.alias("e"), aim.alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))

@@ -24,6 +24,20 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_ROWS = "1000"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Lets Arrow batches between the JVM and Python hold fewer rows than Spark's default.
+
+    Texts are long, and both sides hold a batch in memory for each running task; a session that
+    sets a size of its own keeps it.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor and the driver see, as the session names it.
 
@@ -46,6 +60,7 @@ def own_folder(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage through the shared folder, so that a lost executor costs no recomputation."""
+    prepare(df.sparkSession)
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -56,7 +71,8 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def held_out(doc_id: str | Column, mod: int) -> Column:
     """True where crc32(doc_id as text) mod ``mod`` is 1; a null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")) % mod == 1
+    text = F.coalesce((F.col(doc_id) if isinstance(doc_id, str) else doc_id).cast("string"), F.lit(""))
+    return F.crc32(text.cast("binary")) % mod == 1
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -65,7 +81,7 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return col.cast(pa.string()).cast(pa.binary()).fill_null(b"").to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches of fewer rows, so that a task holds few texts as Python objects at a time."""
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
@@ -188,21 +204,22 @@ class PieceMemory:
     Pieces are known by their text, or by whatever names ``coded`` gives them.
     """
 
-    def __init__(self, limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 250_000) -> None:
         self.limit = limit
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.start, self.length, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.start, self.length, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.count = self.used = 0
 
     def coded(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """The pieces in an order of one's own, their ids end to end, and how many ids each has."""
         raise NotImplementedError
 
-    def learn(self, pieces: list[str]) -> None:
-        names, ids, lengths = self.coded(pieces)
-        n = len(self.known)
+    def append(self, ids: np.ndarray, lengths: np.ndarray) -> int:
+        """Keeps the ids of new pieces; the number of the first."""
+        n = self.count
         while n + len(lengths) > len(self.start):
             self.start, self.length = np.resize(self.start, 2 * len(self.start)), np.resize(self.length, 2 * len(self.length))
         while self.used + len(ids) > len(self.flat):
@@ -210,7 +227,12 @@ class PieceMemory:
         self.length[n : n + len(lengths)] = lengths
         self.start[n : n + len(lengths)] = self.used + np.cumsum(lengths) - lengths
         self.flat[self.used : self.used + len(ids)] = ids
-        self.used += len(ids)
+        self.count, self.used = n + len(lengths), self.used + len(ids)
+        return n
+
+    def learn(self, pieces: list[str]) -> None:
+        names, ids, lengths = self.coded(pieces)
+        n = self.append(ids, lengths)
         self.known.update(zip(names, range(n, n + len(lengths)), strict=True))
 
     def ids_of(self, each: list[list[str]]) -> list[np.ndarray]:

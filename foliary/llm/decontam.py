@@ -214,6 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     n_hit, n_items, items_sha256, contaminated and spans (merged runs of hit words, by word number
     and by byte of the UTF-8 text; ends exclusive).
     """
+    C.prepare(docs.sparkSession)
     spark = docs.sparkSession
     keep = [c for c in (docs.columns if keep is None else keep) if c not in _TYPES]
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("words")).where("item is not null and words is not null")
@@ -230,7 +231,7 @@ def _by_broadcast(docs: DataFrame, rows: list[tuple[str, bytes]], text: str, kee
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, index = C.letters_scanner(), _index_of(key, shared.value, span, k)
-        for batch in batches:
+        for batch in C.slices(batches):
             found = _answers(C.texts_of(batch, "__text"), scanner, index)
             yield pa.RecordBatch.from_pydict(C.passed_on(batch, keep) | {c: pa.array(found[c], t) for c, t in _TYPES.items()})
 
@@ -254,7 +255,7 @@ def _by_shuffle(spark: SparkSession, docs: DataFrame, items: DataFrame, text: st
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = C.letters_scanner()
         empty = ItemIndex([], span, k)
-        for batch in batches:
+        for batch in C.slices(batches):
             texts = C.texts_of(batch, "__text")
             met_items = batch.column(batch.schema.get_field_index("__items")).to_pylist()
             found: dict[str, list] = {c: [] for c in _TYPES}
@@ -271,7 +272,7 @@ def _by_shuffle(spark: SparkSession, docs: DataFrame, items: DataFrame, text: st
 def _sizes(span: int):
     def task(batches):
         scanner = C.letters_scanner()
-        for batch in batches:
+        for batch in C.slices(batches):
             raw, at = C.joined(C.texts_of(batch, "words"))
             starts, _ = scanner.bounds(raw)
             n = np.diff(np.searchsorted(starts, at))
@@ -285,7 +286,7 @@ def _prints(key: str, text: str, span: int, k: int, sizes: list[int] | None):
 
     def task(batches):
         scanner = C.letters_scanner()
-        for batch in batches:
+        for batch in C.slices(batches):
             texts = C.texts_of(batch, text)
             keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
             for row, body in enumerate(texts):

@@ -102,7 +102,7 @@ def _write_blocks(folder: str, block_tokens: int):
             ids, held, parts, sizes, tokens = [], [], [], [], 0
             return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(row.items(), (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()), strict=True)})
 
-        for batch in batches:
+        for batch in C.slices(batches):
             texts = C.texts_of(batch, "text")
             doc, out = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in C.sub_batches(texts):
@@ -153,7 +153,7 @@ class Block:
 
 def _send_words(shards: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in C.slices(batches):
             for block, path, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 words, count = unpack(keys), unpack(counts)
                 rows = [(s, block, path, pack(words[a:b]), pack(count[a:b])) for s, a, b in _slices(_shards_of(words, shards))]
@@ -197,7 +197,7 @@ _WORDS = "shard int, block long, path string, ranks binary, totals binary, disti
 def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows sorted by block, a block at a time."""
     now, rows = None, []
-    for batch in batches:
+    for batch in C.slices(batches):
         for row in batch.to_pylist():
             if rows and row["block"] != now:
                 yield now, rows
@@ -320,6 +320,7 @@ def _score(offset: np.ndarray, shards: int, tokens: int, seen: int, documents: i
 def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fold: int = FOLD, held: int = HELD, discount: float = DISCOUNT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Learns from the documents outside the held-out fold, scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
+    C.prepare(spark)
     shards = C.shuffle_partitions(spark)
     folder = C.own_folder(spark, "lm-blocks")
     marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), C.held_out(doc_id, fold).alias("held") if held == 1 else (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % fold == held).alias("held"))

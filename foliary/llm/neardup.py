@@ -271,6 +271,7 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's least id is its own) for every row."""
+    C.prepare(docs.sparkSession)
     percent = math.ceil(threshold * 100 - 1e-9)
     rows = C.cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_profile(shingle, k), "doc_id long, key binary, n_shingles long, sketch binary"))
     grouped = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("sketch").alias("sketch"))

@@ -29,6 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+import regex
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -170,49 +171,82 @@ class Reader:
         self.file.close()
 
 
-class WordCoder(C.PieceMemory):
-    """Ids of pieces between ASCII white space, by a tokenizer that drops white space.
+class Matches(C.PieceMemory):
+    """Ids of pieces by the tokenizer itself.
 
-    No match of such a tokenizer reaches over white space, so a text's ids are those of its pieces
-    in turn, and each distinct piece is encoded once.  Many pieces go to the tokenizer as one text,
-    with a mark between them that has one id of its own; a piece that holds the mark goes alone.
-    Pieces are known by a 64-bit hash; ASCII capitals count as small letters (the tokenizer lowers
-    them), but not in texts with combining marks, where lowering first could compose other letters.
+    Many pieces go to it as one text, with a mark between them that has one id of its own; a piece
+    that holds the mark goes alone.
     """
 
     MARK = "\x01"
     JOINT = 256
 
-    def __init__(self, spec: str) -> None:
+    def __init__(self, spec: str, limit: int) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        lowers = self.tokenizer.encode("A b", add_special_tokens=False).ids == self.tokenizer.encode("a b", add_special_tokens=False).ids
+        mark = self.ids(self.MARK)
         self.mark = mark[0] if len(mark) == 1 else None
-        self.lowered = C.spaces_scanner()
-        self.plain = C.spaces_scanner()
-        self.plain.lower = np.arange(256, dtype=np.uint8)
-        self.plain.code = C.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-        if not lowers:
-            self.lowered = self.plain
-        super().__init__(limit=1_500_000)
+        super().__init__(limit)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def coded(self, pieces: list[tuple[int, str]]) -> tuple[list[int], np.ndarray, np.ndarray]:
-        joint = [p for p in pieces if self.mark is not None and self.MARK not in p[1]]
-        alone = [p for p in pieces if self.mark is None or self.MARK in p[1]]
-        texts = [f" {self.MARK} ".join(x for _, x in joint[i : i + self.JOINT]) + f" {self.MARK}" for i in range(0, len(joint), self.JOINT)]
+    def coded(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        joint = [p for p in pieces if self.mark is not None and self.MARK not in p]
+        alone = [p for p in pieces if self.mark is None or self.MARK in p]
+        texts = [f" {self.MARK} ".join(joint[i : i + self.JOINT]) + f" {self.MARK}" for i in range(0, len(joint), self.JOINT)]
         parts = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.concatenate([*parts, np.zeros(0, np.uint32)])
         marks = np.flatnonzero(ids == self.mark) if joint else np.zeros(0, np.int64)
         lengths = np.diff(marks, prepend=-1) - 1
-        single = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast([x for _, x in alone], add_special_tokens=False)]
-        names = [n for n, _ in joint] + [n for n, _ in alone]
         if len(lengths) != len(joint):
             raise ValueError("the tokenizer gives the mark's id to other text")
-        return names, np.concatenate([ids[ids != self.mark] if joint else ids, *single]), np.concatenate([lengths, np.array([len(x) for x in single], np.int64)])
+        single = [np.array(self.ids(x), np.uint32) for x in alone]
+        return joint + alone, np.concatenate([ids[ids != self.mark] if joint else ids, *single]), np.concatenate([lengths, np.array([len(x) for x in single], np.int64)])
+
+
+class WordCoder(C.PieceMemory):
+    """Ids of pieces between ASCII white space, by a tokenizer that drops white space.
+
+    No match of such a tokenizer's pattern reaches over white space, so a text's ids are those of its
+    pieces in turn.  A piece of Latin letters, signs and digits is the pattern's matches in it, in
+    small letters; each distinct match, and each other piece, goes to the tokenizer once.
+    Pieces are known by a 64-bit hash; ASCII capitals count as small letters (the tokenizer lowers
+    them), but not in texts with combining marks, where lowering first could compose other letters.
+    """
+
+    def __init__(self, spec: str, limit: int = 1_500_000, matches: int = 400_000) -> None:
+        self.matches = Matches(spec, matches)
+        self.lowered, self.plain = C.spaces_scanner(), C.spaces_scanner()
+        self.plain.lower = np.arange(256, dtype=np.uint8)
+        self.plain.code = C.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        if self.matches.ids("A b") != self.matches.ids("a b"):
+            self.lowered = self.plain
+        self.split = self._pattern(json.loads(spec)) if self.lowered is not self.plain else None
+        super().__init__(limit)
+
+    @staticmethod
+    def _pattern(spec: dict):
+        """The pattern whose matches are encoded one by one, where the tokenizer is of that kind."""
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if len(steps) == 2 and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and "Regex" in steps[0]["pattern"]:
+            return regex.compile(steps[0]["pattern"]["Regex"])
+        return None
+
+    def forget(self) -> None:
+        super().forget()
+        self.hashes, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known pieces, sorted by hash
+
+    def split_and_code(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The pieces' ids end to end, and how many each has."""
+        find = self.split.findall if self.split else None
+        each = [find(p.lower()) if find and (p.isascii() or max(p) < "\u0250") else [p] for p in pieces]
+        codes = self.matches.codes_of([m for x in each for m in x])
+        ids, bound = self.matches.flat_ids(codes, np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64))
+        return ids, np.diff(bound)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text (UTF-8)."""
@@ -221,16 +255,22 @@ class WordCoder(C.PieceMemory):
         scanner = self.plain if marks else self.lowered
         starts, ends, hashes = scanner.scan(raw)
         names, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(names) + len(self.known) > self.limit and self.known:
+        if len(names) + self.count > self.limit and self.count:
             self.forget()
-        names = names.tolist()
-        known = [self.known.get(n, -1) for n in names]
-        new = [i for i, k in enumerate(known) if k < 0]
-        if new:
+        place = np.searchsorted(self.hashes, names)
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == names[known]
+        codes = np.full(len(names), -1, np.int64)
+        codes[known] = self.codes[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
             data = scanner.lower[raw].tobytes()
-            self.learn([(names[i], data[starts[first[i]] : ends[first[i]]].decode()) for i in new])
-            known = [self.known[n] for n in names]
-        return self.laid(np.array(known, np.int64)[back] if known else np.zeros(0, np.int64), np.searchsorted(starts, at))
+            pieces = [data[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+            codes[new] = self.append(*self.split_and_code(pieces)) + np.arange(len(new))
+            both = np.concatenate([self.hashes, names[new]])
+            order = np.argsort(both, kind="stable")  # two sorted runs: one merge
+            self.hashes, self.codes = both[order], np.concatenate([self.codes, codes[new]])[order]
+        return self.laid(codes[back], np.searchsorted(starts, at))
 
 
 _CODERS: dict[int, WordCoder] = {}
@@ -250,6 +290,7 @@ def write_tables(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     Returns one row per shard: shard, path, docs, ids, in a table of the shared folder.
     """
     spark = docs.sparkSession
+    C.prepare(spark)
     folder = folder or C.own_folder(spark, "sstables")
     with open(tokenizer_path) as f:
         spec = f.read()
@@ -268,9 +309,9 @@ def write_tables(docs: DataFrame, tokenizer_path: str, folder: str | None = None
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec_shared.value)
-        for batch in batches:
+        for batch in C.slices(batches):
             texts = C.texts_of(batch, "text")
-            for a, b in C.sub_batches(texts):
+            for a, b in C.sub_batches(texts, 4 << 20):
                 ids = batch.column(0).slice(a, b - a)
                 plain = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
                 values = [np.append(x, np.uint32(end_id)).astype(wide).tobytes() for x in coder.encode(texts[a:b])]
@@ -286,7 +327,7 @@ def write_tables(docs: DataFrame, tokenizer_path: str, folder: str | None = None
             fs.move(temp, final)
             done.append((now, f"{folder}/shard-{now:06d}.sst", len(writer.keys), writer.ids))
 
-        for batch in batches:
+        for batch in C.slices(batches):
             for shard, doc, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if shard != now:
                     if writer:
@@ -318,7 +359,7 @@ def read_tables(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
-        for batch in batches:
+        for batch in C.slices(batches):
             for path, at in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 reader, rows = Reader(path), []
                 for key, ids in reader.scan():

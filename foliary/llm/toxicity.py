@@ -170,13 +170,14 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text:
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
     """Columns ``keep`` (default: all but clashing ones), ``score`` (0 to 1) and ``predicted`` (1 from the threshold on)."""
+    C.prepare(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (score, predicted)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         features = Features(model.orders, model.bits)
-        for batch in batches:
+        for batch in C.slices(batches):
             scores = np.array([model.score(features, t) for t in C.texts_of(batch, "__text")], np.float64)
             yield pa.RecordBatch.from_pydict(C.passed_on(batch, keep) | {score: pa.array(scores), predicted: pa.array((scores >= threshold).astype(np.int32))})
 
