@@ -2,7 +2,7 @@
 
 Headings close what was collected and become the context of what follows; lists and paragraphs are
 collected up to a target length, tables stand alone.  The collecting is a state machine over a
-document's units in reading order, so it runs as one grouped map per document; units, headings and
+document's units in reading order, so documents are streamed through it, sorted, a partition at a time; units, headings and
 table texts are built with column expressions before it.
 """
 
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -178,16 +179,28 @@ def units_of(pages: DataFrame, elements: DataFrame | None = None, tables: DataFr
 def chunk_units(units: DataFrame, limits: Limits | None = None) -> DataFrame:
     limits = limits or Limits()
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["page_number", "layer", "place"], kind="stable")
-        found: list[Unit | None] = []
-        for r in pdf.itertuples():
-            found.append(None if r.kind == "heading" else Unit(r.text, int(r.page_number), r.heading if isinstance(r.heading, str) else None, r.kind, bool(r.ocr)))
-        document = pdf["document_id"].iloc[0]
-        rows = [drafted(str(document), i, t, u) for i, (t, u) in enumerate(assemble(found, limits), 1)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    return units.groupBy("document_id").applyInPandas(one, SCHEMA)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def finish(document: str, found: list[Unit | None]) -> list[tuple]:
+        return [drafted(document, i, t, u) for i, (t, u) in enumerate(assemble(found, limits), 1)]
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, found = None, []
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.document_id != now:
+                    if found:
+                        out += finish(now, found)
+                    now, found = r.document_id, []
+                found.append(None if r.kind == "heading" else Unit(r.text, int(r.page_number), r.heading if isinstance(r.heading, str) else None, r.kind, bool(r.ocr)))
+            yield pd.DataFrame(out, columns=names)
+        if found:
+            yield pd.DataFrame(finish(now, found), columns=names)
+
+    own = units.select(F.col("document_id").cast("string").alias("document_id"), "page_number", "layer", "place", "kind", "text", "heading", "ocr")
+    ordered = own.repartition("document_id").sortWithinPartitions("document_id", "page_number", "layer", "place")
+    return ordered.mapInPandas(stream, SCHEMA)
 
 
 def chunk_pages(pages: DataFrame, elements: DataFrame | None = None, tables: DataFrame | None = None, limits: Limits | None = None) -> DataFrame:

@@ -124,13 +124,17 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def keyword_search(queries: DataFrame, chunks: DataFrame, postings: DataFrame | None = None, k: int = TOP_K, filters: Filters | None = None, shown: tuple[str, ...] = _SHOWN) -> DataFrame:
     """queries: query_id, query.  Chunks with all terms, by the number of their occurrences.
 
-    The query terms' side is broadcast where small, so the postings aren't moved before they are
-    reduced to what was asked for.
+    The query terms' side is broadcast where small, so postings (or, without an index, a text's
+    words) aren't moved before they are reduced to what was asked for.
     """
     asked = query_terms(queries)
     asked = F.broadcast(asked) if _few(queries) else asked
-    postings = build_postings(chunks) if postings is None else postings
-    hits = postings.join(asked, "term").groupBy("query_id", "chunk_id", "needed").agg(F.count(F.lit(1)).alias("met"), F.sum(F.size("positions")).alias("keyword_score"))
+    if postings is None:
+        words = chunks.select("chunk_id", F.explode(T.terms(F.col("text"))).alias("term")).join(asked, "term")
+        counted = words.groupBy("query_id", "chunk_id", "needed", "term").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        counted = postings.join(asked, "term").select("query_id", "chunk_id", "needed", F.size("positions").alias("n"))
+    hits = counted.groupBy("query_id", "chunk_id", "needed").agg(F.count(F.lit(1)).alias("met"), F.sum("n").alias("keyword_score"))
     body = (filters or Filters()).apply(chunks).select(*shown)
     return ranked(hits.where("met = needed").select("query_id", "chunk_id", F.col("keyword_score").cast("double").alias("keyword_score")).join(body, "chunk_id"), "keyword_score", k)
 
