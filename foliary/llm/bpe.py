@@ -6,7 +6,7 @@ the least rank.  A merge changes three leaves (the pair itself, its right neighb
 left neighbour whose pair changes), each by one walk to the root.  Pieces of about one length are
 run in lockstep, one numpy row each, so a step costs a few array operations for all of them.
 
-Pieces already met by a worker are remembered (a bounded memory, emptied when full).
+Pieces already met by a task are remembered (a bounded memory, emptied when full).
 
 Defined results: a null text is an empty one, with no ids; every text decodes to its own bytes.
 """
@@ -225,6 +225,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, text: s
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
     key = hashlib.sha256(repr((ranks_path, len(ranks), pattern)).encode()).hexdigest()
 
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(key, shared.value, pattern)
         for batch in C.slices(batches):
@@ -240,6 +241,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, text: s
                     got["decoded_sha256"] = pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in coded])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_pydict(C.passed_on(part, keep) | {c: got[c] for c in types})
+        coder.forget()
 
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["n_tokens long"] + ["ids array<int>"] * ids + ["ids_sha256 string, decoded_sha256 string"] * digests
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(task, ", ".join(schema))
@@ -253,6 +255,7 @@ def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "tex
     key = hashlib.sha256(repr((ranks_path, len(ranks), "")).encode()).hexdigest()
     keep = [c for c in coded.columns if c not in (ids, into)]
 
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(key, shared.value, "")
         for batch in C.slices(batches):

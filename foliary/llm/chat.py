@@ -131,6 +131,7 @@ def render(log: DataFrame, conv_id: str = "conv_id", seq: str = "turn", role: st
         rows = rows.withColumn("held", F.lit(False))
     ordered = rows.repartition("c").sortWithinPartitions("c", F.col("s").asc_nulls_first(), "e", "r", "x")
 
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, fold, renderer, begun = None, Fold(), None, False
 
@@ -178,6 +179,7 @@ def parse(formatted: str) -> Iterator[tuple[str, str]]:
 def read_back(rendered: DataFrame) -> DataFrame:
     """Digests of each conversation, from what ``render`` returned (as it lies, part behind part)."""
 
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, begun = None, False
 

@@ -7,6 +7,9 @@ buffers; only rare matches are looked at one by one.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -81,6 +84,29 @@ def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return col.cast(pa.string()).cast(pa.binary()).fill_null(b"").to_pylist()
 
 
+def release() -> None:
+    """Gives memory that a task has freed back to the system; a worker lives on for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library that has no such call
+        pass
+
+
+def tidy(task):
+    """A task over batches that releases memory when it ends."""
+
+    @functools.wraps(task)
+    def run(*args):
+        try:
+            yield from task(*args)
+        finally:
+            release()
+
+    return run
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches of fewer rows, so that a task holds few texts as Python objects at a time."""
     for batch in batches:

@@ -229,6 +229,7 @@ def _by_broadcast(docs: DataFrame, rows: list[tuple[str, bytes]], text: str, kee
     shared = docs.sparkSession.sparkContext.broadcast(rows)
     key = hashlib.sha256(repr((rows, span, k)).encode()).hexdigest()
 
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, index = C.letters_scanner(), _index_of(key, shared.value, span, k)
         for batch in C.slices(batches):
@@ -252,6 +253,7 @@ def _by_shuffle(spark: SparkSession, docs: DataFrame, items: DataFrame, text: st
     met = pairs.join(bodies, "item_key").groupBy("__key").agg(F.collect_list(F.struct("item", "words")).alias("__items"))
     whole = rows.join(met, "__key", "left")
 
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = C.letters_scanner()
         empty = ItemIndex([], span, k)
@@ -270,6 +272,7 @@ def _by_shuffle(spark: SparkSession, docs: DataFrame, items: DataFrame, text: st
 
 
 def _sizes(span: int):
+    @C.tidy
     def task(batches):
         scanner = C.letters_scanner()
         for batch in C.slices(batches):
@@ -284,6 +287,7 @@ def _sizes(span: int):
 def _prints(key: str, text: str, span: int, k: int, sizes: list[int] | None):
     """Fingerprints (n = 0) of texts, and hashes of n words: of documents for each size of short items, of items their own."""
 
+    @C.tidy
     def task(batches):
         scanner = C.letters_scanner()
         for batch in C.slices(batches):

@@ -74,6 +74,7 @@ def _slices(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
 def _write_blocks(folder: str, block_tokens: int):
     """One row for each block: where its stream is, and its distinct words with their training counts."""
 
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         scanner = C.spaces_scanner()
@@ -152,6 +153,7 @@ class Block:
 
 
 def _send_words(shards: int):
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             for block, path, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
@@ -187,6 +189,7 @@ def _count_words(table: pa.Table) -> pa.Table:
         out["distinct"].append(len(words))
         out["seen"].append(int((total > 0).sum()))
         out["tokens"].append(int(total.sum()))
+    C.release()
     types = {"shard": pa.int32(), "block": pa.int64(), "path": pa.string(), "ranks": pa.binary(), "totals": pa.binary(), "distinct": pa.int64(), "seen": pa.int64(), "tokens": pa.int64()}
     return pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
 
@@ -234,6 +237,7 @@ def _dictionary(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _send_pairs(offset: np.ndarray, shards: int):
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _by_block(batches):
             shard, rank, _ = _dictionary(rows)
@@ -281,6 +285,8 @@ def _answer_pairs(discount: float):
             first = np.flatnonzero(np.diff(k >> np.uint64(ID_BITS), prepend=np.uint64(0xFFFFFFFFFFFFFFFF)))
             out.append((shard, r["block"], pack(code[pick]), pack(weight[pick][first]), books[0].astype("<f8").tobytes(), books[1].astype("<f8").tobytes()))
         names = ["shard", "block", "codes", "weights", "part_book", "weight_book"]
+        del keys, distinct, back, counts, contexts, of, node, leaf, code, weight, built
+        C.release()
         return pa.Table.from_batches([_batch(out, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()], names)])
 
     return task
@@ -291,6 +297,7 @@ def _score(offset: np.ndarray, shards: int, tokens: int, seen: int, documents: i
     types = tokens and seen + (documents > 0) or int(documents > 0)
     unit = total + 0.5 * (types + 1)
 
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_block(batches):
             words = [r for r in rows if r["kind"] == 1]

@@ -67,6 +67,7 @@ def set_key(grams: np.ndarray) -> bytes:
 
 
 def _profile(n: int, k: int):
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = C.spaces_scanner()
         for batch in C.slices(batches):
@@ -79,6 +80,7 @@ def _profile(n: int, k: int):
     return task
 
 
+@C.tidy
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in C.slices(batches):
         sketches = batch.column(1).to_pylist()
@@ -97,6 +99,7 @@ def union_estimate(x: np.ndarray, y: np.ndarray, k: int) -> float:
 
 
 def _estimates(k: int):
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             x, y = (batch.column(i).to_pylist() for i in (2, 3))
@@ -168,6 +171,7 @@ def block_links(nodes: list[int], sets: list[bytes], left: list[bool], right: li
 def _verify(percent: int, k: int):
     """Rows sorted by (canopy, i, j); links of each such group."""
 
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, sets, left, right = None, [], [], [], []
         for batch in C.slices(batches):
@@ -203,6 +207,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, n: in
         words[r["word"]] = r["bits"]
     sieve = docs.sparkSession.sparkContext.broadcast(words.view(np.uint64))
 
+    @C.tidy
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             at = batch.column(2).to_numpy() % (1 << SIEVE_BITS)
@@ -211,6 +216,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, n: in
 
     some = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))).alias("h")).mapInArrow(sift, "doc_id long, text string")
 
+    @C.tidy
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = C.spaces_scanner()
         for batch in C.slices(batches):

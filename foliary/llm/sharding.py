@@ -50,6 +50,7 @@ def count_between(keyed: DataFrame, probes: list[int]) -> dict[int, tuple[int, i
     """bucket -> (bytes, rows, least key, greatest key), bucket i holding keys from probe i-1 up to below probe i."""
     shared = keyed.sparkSession.sparkContext.broadcast(np.array([_as_key(p) for p in probes], "S16"))
 
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(shared.value) + 1
         size, rows = np.zeros(n, np.int64), np.zeros(n, np.int64)
@@ -134,11 +135,13 @@ def shard_by_bytes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     body = df.select(*kept, *(m.alias(f"__{n}") for m, n in zip(marks, ("h", "d", "size"), strict=True)))
     schema = body.schema
 
+    @C.tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part = np.searchsorted(bounds.value, _keys(_long(batch, "__h"), _long(batch, "__d")), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part)], [*batch.schema.names, "__part"])
 
+    @C.tidy
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seen = -1, 0
         for batch in batches:

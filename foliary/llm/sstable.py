@@ -218,7 +218,7 @@ class WordCoder(C.PieceMemory):
     them), but not in texts with combining marks, where lowering first could compose other letters.
     """
 
-    def __init__(self, spec: str, limit: int = 1_500_000, matches: int = 400_000) -> None:
+    def __init__(self, spec: str, limit: int = 1_000_000, matches: int = 300_000) -> None:
         self.matches = Matches(spec, matches)
         self.lowered, self.plain = C.spaces_scanner(), C.spaces_scanner()
         self.plain.lower = np.arange(256, dtype=np.uint8)
@@ -307,6 +307,7 @@ def write_tables(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     wide = np.uint16 if width == 2 else np.uint32
     cuts = np.array(bounds, np.int64)
 
+    @C.tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(spec_shared.value)
         for batch in C.slices(batches):
@@ -317,6 +318,7 @@ def write_tables(docs: DataFrame, tokenizer_path: str, folder: str | None = None
                 values = [np.append(x, np.uint32(end_id)).astype(wide).tobytes() for x in coder.encode(texts[a:b])]
                 yield pa.RecordBatch.from_pydict({"shard": pa.array(np.searchsorted(cuts, plain, "left").astype(np.int32)), "id": ids, "value": pa.array(values, pa.binary())})
 
+    @C.tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(folder)
         writer, now, temp, done = None, None, "", []
@@ -357,6 +359,7 @@ def read_tables(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     if not placed:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
 
+    @C.tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "n_tokens", "ids_crc32"]
         for batch in C.slices(batches):

@@ -174,6 +174,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
     keep = [c for c in (docs.columns if keep is None else keep) if c not in (score, predicted)]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         features = Features(model.orders, model.bits)
