@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliary.llm import common as C
 from foliary.llm import bpe, chat, decontam, hnsw, lm, neardup, secrets, sharding, sstable, toxicity
+from foliary.llm import common as C
+from foliary.llm.oracles import ORACLES
 
 
 def tokenizer_file(name: str) -> str:
@@ -82,4 +83,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
