@@ -10,8 +10,9 @@ Nothing of the corpus has to fit in one place.  Documents are read once, into bl
 folder.  Each block sends its distinct words, then its distinct pairs, to shards (one row for each
 block and shard, pre-counted), a shard counts, builds its trie, memory-maps it, looks up all pairs
 that were sent, and answers each block.  Words are dealt by hash and pairs by their context's
-hash; as a block sends each pair once, a frequent one is no hot spot.  The tries stay in a table of
-the shared folder.
+hash; a block sends each pair once, and a context that would fill more than a quarter of a shard is
+spread over several by its pairs' second words (each shard then knows a part of its weight, and a
+block asks all of them).  The tries stay in a table of the shared folder.
 
 Defined results: a null text is an empty one, of the end token alone; without training documents
 every token has the probability of an unknown one; repeated rows are counted and scored each.
@@ -38,8 +39,9 @@ from foliary.llm.trie import Trie
 FOLD, HELD = 5, 1
 BLOCK_TOKENS = 2_000_000
 DISCOUNT = 0.75
-RANK_BITS, ID_BITS = 23, 40
-BEGIN_RANK = (1 << RANK_BITS) - 1
+ID_BITS = 32
+NONE = BEGIN = (1 << ID_BITS) - 1  # as a second word: none; as a context: the begin of a document
+SPREAD = 4
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -175,8 +177,6 @@ def _count_words(table: pa.Table) -> pa.Table:
     keys, counts = [unpack(r["keys"]) for r in rows], [unpack(r["counts"]) for r in rows]
     words, back = np.unique(np.concatenate(keys).astype(np.uint64), return_inverse=True)
     total = np.bincount(back, weights=np.concatenate(counts).astype(np.float64), minlength=len(words)).astype(np.uint64)
-    if len(words) >= BEGIN_RANK:
-        raise ValueError("too many words for a shard: raise spark.sql.shuffle.partitions")
     at, out = 0, {"shard": [], "block": [], "path": [], "ranks": [], "totals": [], "distinct": [], "seen": [], "tokens": []}
     for r, k in zip(rows, keys, strict=True):
         rank = back[at : at + len(k)]
@@ -211,22 +211,52 @@ def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
         yield now, rows
 
 
-def _sent_pairs(block: Block, words: int, shard: np.ndarray, rank: np.ndarray, offset: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in order: shard, key (context's rank, word's id), context; and each token's pair, and its training count."""
-    pair, _, doc = block.pairs(words)
-    distinct, back = np.unique(pair, return_inverse=True)
-    counts = np.bincount(back, weights=(~block.held[doc]).astype(np.float64), minlength=len(distinct)).astype(np.uint32)
-    context, word = distinct // (words + 1), distinct % (words + 1)
-    begin = context == words + 1
-    real = np.where(begin, 1, context) - 1  # contexts are words, or the begin
-    if words:
-        at = np.where(begin, shards - 1, shard[real])
-        low = np.where(begin, BEGIN_RANK, rank[real])
-        ids = np.where(word == 0, 0, offset[shard[word - 1]] + rank[word - 1] + 1)
-    else:
-        at, low, ids = np.full(len(distinct), shards - 1), np.full(len(distinct), BEGIN_RANK), np.zeros(len(distinct), np.int64)
-    key = (low.astype(np.uint64) << np.uint64(ID_BITS)) | ids.astype(np.uint64)
-    return at, key, context, back, counts
+class Model:
+    """What all tasks know: the shards' first ids, and the training counts in all."""
+
+    def __init__(self, offset: np.ndarray, tokens: int, seen: int, documents: int) -> None:
+        self.offset, self.shards, self.documents = offset, len(offset), documents
+        self.total = tokens + documents
+        self.unit = self.total + 0.5 * (seen + (documents > 0) + 1)
+
+    def spread(self, count: np.ndarray) -> np.ndarray:
+        """Over how many shards a context of that count goes."""
+        return np.clip(np.ceil(count * (SPREAD * self.shards / max(1, self.total))), 1, self.shards).astype(np.int64)
+
+
+class Sent:
+    """A block's distinct pairs in the order of shard and key, as they are sent and answered.
+
+    context: the words' numbers (words + 1: begin); of_token: each token's pair.
+    """
+
+    def __init__(self, block: Block, shard: np.ndarray, rank: np.ndarray, count: np.ndarray, model: Model) -> None:
+        words = len(rank)
+        pair, _, doc = block.pairs(words)
+        distinct, back = np.unique(pair, return_inverse=True)
+        counts = np.bincount(back, weights=(~block.held[doc]).astype(np.float64), minlength=len(distinct)).astype(np.uint32)
+        context, word = distinct // (words + 1), distinct % (words + 1)
+        ids = np.concatenate([[0], model.offset[shard] + rank + 1]).astype(np.int64)  # by word number; 0 is the end
+        second = ids[word]
+        # by context number: id, count, first shard; words and the begin are contexts, the end isn't
+        own = np.concatenate([ids, [BEGIN]])
+        total = np.concatenate([[0], count, [model.documents]]).astype(np.int64)
+        home = np.concatenate([[0], shard, [model.shards - 1]]).astype(np.int64)
+        parts = model.spread(total)
+        asked = np.unique(context)
+        wide = asked[parts[asked] > 1]  # all shards of a spread context are asked for its weight
+        more = np.repeat(wide, parts[wide])
+        turn = np.arange(len(more)) - np.repeat(np.cumsum(parts[wide]) - parts[wide], parts[wide])
+        at = np.concatenate([(home[context] + second % parts[context]) % model.shards, (home[more] + turn) % model.shards])
+        context = np.concatenate([context, more])
+        key = (own[context].astype(np.uint64) << np.uint64(ID_BITS)) | np.concatenate([second, np.full(len(more), NONE)]).astype(np.uint64)
+        order = np.lexsort((key, at))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.shard, self.key, self.context = at[order], key[order], context[order]
+        self.counts = np.concatenate([counts, np.zeros(len(more), np.uint32)])[order]
+        self.total = total[self.context]
+        self.of_token = place[back]
 
 
 def _dictionary(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,54 +266,65 @@ def _dictionary(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat([r["shard"] for r in rows], [len(r) for r in ranks]).astype(np.int64), np.concatenate(ranks), np.concatenate(totals)
 
 
-def _send_pairs(offset: np.ndarray, shards: int):
+def _first_of(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+
+
+def _send_pairs(model: Model):
     @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, rows in _by_block(batches):
-            shard, rank, _ = _dictionary(rows)
-            at, key, _, _, counts = _sent_pairs(Block(rows[0]["path"]), len(rank), shard, rank, offset, shards)
-            out = [(s, number, pack(key[a:b]), pack(counts[a:b])) for s, a, b in _slices(at)]
-            yield _batch(out, [pa.int32(), pa.int64(), pa.binary(), pa.binary()], ["shard", "block", "keys", "counts"])
+            sent = Sent(Block(rows[0]["path"]), *_dictionary(rows), model)
+            out = []
+            for s, a, b in _slices(sent.shard):
+                first = a + _first_of(sent.context[a:b])
+                out.append((s, number, pack(sent.key[a:b]), pack(sent.counts[a:b]), pack(sent.total[first].astype(np.uint64))))
+            yield _batch(out, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["shard", "block", "keys", "counts", "totals"])
 
     return task
 
 
-def shard_trie(keys: np.ndarray, counts: np.ndarray, discount: float) -> Trie:
-    """Trie of a shard's training pairs (sorted keys): contexts with log10 of p1's weight, words with log10 of the discounted part."""
+def shard_trie(keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, totals: np.ndarray, discount: float) -> Trie:
+    """Trie of a shard's training pairs (sorted keys): contexts with log10 of their part of p1's weight, words with log10 of the discounted part.
+
+    contexts, totals: all contexts, sorted, and how often each occurs in training.
+    """
     seen = counts > 0
     keys, counts = keys[seen], counts[seen].astype(np.float64)
-    contexts, first, back = np.unique(keys >> np.uint64(ID_BITS), return_index=True, return_inverse=True)
-    total = np.bincount(back, weights=counts, minlength=len(contexts))
+    held, first, back = np.unique(keys >> np.uint64(ID_BITS), return_index=True, return_inverse=True)
+    total = np.maximum(totals[np.searchsorted(contexts, held)], 1).astype(np.float64)
     follow = np.diff(np.append(first, len(keys)))
     weight = np.log10(discount * follow / total)
     part = np.log10(np.maximum(counts - discount, 1e-9) / total[back])
-    return Trie.build([(np.zeros(len(contexts), np.int64), contexts, weight), (back, keys & np.uint64((1 << ID_BITS) - 1), part)])
+    return Trie.build([(np.zeros(len(held), np.int64), held, weight), (back, keys & np.uint64(NONE), part)])
 
 
 def _answer_pairs(discount: float):
     def task(table: pa.Table) -> pa.Table:
-        rows = table.select(["block", "keys", "counts"]).to_pylist()
+        rows = table.select(["block", "keys", "counts", "totals"]).to_pylist()
         keys = [unpack(r["keys"]).astype(np.uint64) for r in rows]
+        firsts = [_first_of(k >> np.uint64(ID_BITS)) for k in keys]
+        contexts, once = np.unique(np.concatenate([k[f] >> np.uint64(ID_BITS) for k, f in zip(keys, firsts, strict=True)]), return_index=True)
+        totals = np.concatenate([unpack(r["totals"]).astype(np.int64) for r in rows])[once]
         distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
         counts = np.bincount(back, weights=np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.float64), minlength=len(distinct))
-        built = shard_trie(distinct, counts, discount)
+        built = shard_trie(distinct, counts, contexts, totals, discount)
         data = built.packed()
         with built.mapped() as trie:
-            contexts, of = np.unique(distinct >> np.uint64(ID_BITS), return_inverse=True)
+            of = np.searchsorted(contexts, distinct >> np.uint64(ID_BITS))
             node = trie.find(0, np.zeros(len(contexts), np.int64), contexts)
-            leaf = trie.find(1, node[of], distinct & np.uint64((1 << ID_BITS) - 1))
+            leaf = trie.find(1, node[of], distinct & np.uint64(NONE))
             # 0 in the first array: no such pair, and no such context, in training
             code = np.where(leaf >= 0, trie.levels[1][3][np.maximum(leaf, 0)].astype(np.uint16) + 1 if len(trie.levels[1][3]) else 0, 0).astype(np.uint16)
-            known = node[of] >= 0
-            weight = np.where(known, trie.levels[0][3][np.maximum(node[of], 0)].astype(np.uint16) + 1 if len(trie.levels[0][3]) else 0, 0).astype(np.uint16)
+            weight = np.where(node >= 0, trie.levels[0][3][np.maximum(node, 0)].astype(np.uint16) + 1 if len(trie.levels[0][3]) else 0, 0).astype(np.uint16)
             books = [trie.books[1].copy(), trie.books[0].copy()]
         shard = table.column("shard")[0].as_py()
         at, out = 0, [(shard, None, data, None, None, None)]
-        for r, k in zip(rows, keys, strict=True):
+        for r, k, first in zip(rows, keys, firsts, strict=True):
             pick = back[at : at + len(k)]
             at += len(k)
-            first = np.flatnonzero(np.diff(k >> np.uint64(ID_BITS), prepend=np.uint64(0xFFFFFFFFFFFFFFFF)))
-            out.append((shard, r["block"], pack(code[pick]), pack(weight[pick][first]), books[0].astype("<f8").tobytes(), books[1].astype("<f8").tobytes()))
+            out.append((shard, r["block"], pack(code[pick]), pack(weight[of[pick[first]]]), books[0].astype("<f8").tobytes(), books[1].astype("<f8").tobytes()))
         names = ["shard", "block", "codes", "weights", "part_book", "weight_book"]
         del keys, distinct, back, counts, contexts, of, node, leaf, code, weight, built
         C.release()
@@ -292,11 +333,7 @@ def _answer_pairs(discount: float):
     return task
 
 
-def _score(offset: np.ndarray, shards: int, tokens: int, seen: int, documents: int):
-    total = tokens + documents
-    types = tokens and seen + (documents > 0) or int(documents > 0)
-    unit = total + 0.5 * (types + 1)
-
+def _score(model: Model):
     @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in _by_block(batches):
@@ -305,21 +342,24 @@ def _score(offset: np.ndarray, shards: int, tokens: int, seen: int, documents: i
             shard, rank, count = _dictionary(words)
             block = Block(words[0]["path"])
             stream, doc = block.tokens()
-            each = np.concatenate([[documents], count])[stream].astype(np.float64)
-            p1 = (each + 0.5) / unit
+            each = np.concatenate([[model.documents], count])[stream].astype(np.float64)
+            p1 = (each + 0.5) / model.unit
             part, weight = [], []
             for r in answers:
                 code, w = unpack(r["codes"]).astype(np.int64), unpack(r["weights"]).astype(np.int64)
                 part_book, weight_book = (np.concatenate([[-np.inf], np.frombuffer(r[c], "<f8")]) for c in ("part_book", "weight_book"))
                 part.append(10.0 ** part_book[code])
-                weight.append(np.where(w > 0, 10.0 ** weight_book[w], 1.0))
-            part_, weight_ = np.concatenate(part), np.concatenate(weight)
-            _, _, context, back, _ = _sent_pairs(block, len(rank), shard, rank, offset, shards)
-            of = np.cumsum(np.diff(context, prepend=-1) != 0) - 1
-            p = part_[back] + weight_[of[back]] * p1
+                weight.append(10.0 ** weight_book[w])
+            sent = Sent(block, shard, rank, count, model)
+            # a context's weight is the sum over its shards; one that none of them knows has all its weight on p1
+            run = _first_of(sent.shard * (len(rank) + 2) + sent.context)
+            of_context = np.bincount(sent.context[run], weights=np.concatenate(weight), minlength=len(rank) + 2)
+            of_context[of_context == 0] = 1.0
+            pair = sent.of_token
+            p = np.concatenate(part)[pair] + of_context[sent.context[pair]] * p1
             n = len(block.sizes)
             sums = [np.bincount(doc, weights=x, minlength=n) for x in (np.log10(p1), np.log10(np.minimum(p, 1.0)), (each > 0).astype(np.float64))]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids, pa.int64()), "held_out": pa.array(block.held), "n_tokens": pa.array(block.sizes + 1), "n_known": pa.array(sums[2].astype(np.int64)), "train_tokens": pa.array(np.full(n, total), pa.int64()), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids, pa.int64()), "held_out": pa.array(block.held), "n_tokens": pa.array(block.sizes + 1), "n_known": pa.array(sums[2].astype(np.int64)), "train_tokens": pa.array(np.full(n, model.total), pa.int64()), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
 
     return task
 
@@ -339,20 +379,20 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sizes = np.zeros(shards, np.int64)
     for r in stats:
         sizes[r["shard"]] = r["distinct"]
-    if int(sizes.sum()) >= (1 << ID_BITS) - 1:
+    if int(sizes.sum()) >= NONE - 1:
         raise ValueError("more words than ids")
     offset = np.cumsum(sizes) - sizes
     tokens, seen = sum(r["tokens"] for r in stats), sum(r["seen"] for r in stats)
+    model = Model(offset, tokens, seen, learnt)
     by_block = words.select("block", "shard", "path", "ranks", "totals").repartition("block").sortWithinPartitions("block", "shard")
-    pairs = by_block.mapInArrow(_send_pairs(offset, shards), "shard int, block long, keys binary, counts binary")
+    pairs = by_block.mapInArrow(_send_pairs(model), "shard int, block long, keys binary, counts binary, totals binary")
     answers = C.cut(pairs.groupBy("shard").applyInArrow(_answer_pairs(discount), "shard int, block long, codes binary, weights binary, part_book binary, weight_book binary"))
     empty = F.lit(None)
     one = words.select("block", F.lit(1).alias("kind"), "shard", "path", "ranks", "totals", empty.cast("binary").alias("codes"), empty.cast("binary").alias("weights"), empty.cast("binary").alias("part_book"), empty.cast("binary").alias("weight_book"))
     two = answers.where("block is not null").select("block", F.lit(2).alias("kind"), "shard", empty.cast("string").alias("path"), empty.cast("binary").alias("ranks"), empty.cast("binary").alias("totals"), "codes", "weights", "part_book", "weight_book")
     both = one.unionByName(two).repartition("block").sortWithinPartitions("block", "kind", "shard")
-    return both.mapInArrow(_score(offset, shards, tokens, seen, learnt), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def per_token(log10_sum: float, tokens: int) -> float:
-    """Perplexity of a text."""
+def perplexity(log10_sum: float, tokens: int) -> float:
     return math.pow(10, -log10_sum / tokens)
