@@ -62,10 +62,19 @@ def own_folder(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared folder, so that a lost executor costs no recomputation."""
-    prepare(df.sparkSession)
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cuts lineage through the shared folder, so that a lost executor costs no recomputation.
+
+    What lies before the cut isn't needed any more; Spark drops its shuffle files once the driver
+    has collected the objects that stand for them, which is asked for here.
+    """
+    spark = df.sparkSession
+    prepare(spark)
+    shared_folder(spark)
+    out = df.checkpoint(eager=True)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -11,8 +11,8 @@ A document's set is its distinct word shingles, as 64-bit hashes; its sketch the
 3. Canopies: each list's first member is compared with the others by union sketches (the share of
    common values among the k least of both).  Members near it gather in its canopy; those very near
    leave the list, and the rest goes on to a next round.  As distance is a metric, two similar
-   members meet in a canopy before either leaves.  Lists that are left after the last round are
-   canopies as they are.  Large canopies are cut into blocks, and pairs of blocks are tasks.
+   members meet in a canopy before either leaves (the two bounds are 0.35 apart, similar members
+   at most 0.2).  Lists that are left after the last round are canopies as they are.  Large canopies are cut into blocks, and pairs of blocks are tasks.
 4. In each such task pairs are filtered by size and sketch, and confirmed by exact Jaccard on full
    sets; pairs that are linked already by others need no test.  Only links that join something are
    returned, so a group of n copies gives about n rows, not n squared.
@@ -41,8 +41,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 K = 64
 SHARED = 0.55
-TIGHT, LOOSE, PASS = 0.6, 0.2, 0.55
-ROUNDS = 4
+TIGHT, LOOSE, PASS = 0.45, 0.1, 0.55
+ROUNDS = 5
 BLOCK = 384
 SIEVE_BITS = 23
 
@@ -262,7 +262,10 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int
             break
     kept = canopies.distinct()
     members = kept.unionByName(kept.select("pivot", F.col("pivot").alias("node")).distinct()).select(F.struct(F.lit(0).alias("kind"), F.col("pivot").alias("id")).alias("canopy"), "node")
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("value")
+    # lists of the same members are one canopy: told by size and two sums of hashes
+    marks = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (1, 2)]
+    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), *marks).where("size > 1")
+    sizes = sizes.groupBy("size", "mark1", "mark2").agg(F.min("value").alias("value")).select("value")
     members = members.unionByName(lists.join(sizes, "value").select(F.struct(F.lit(1).alias("kind"), F.col("value").alias("id")).alias("canopy"), "node"))
     members = C.cut(members)
     wanted = members.select("node").distinct().join(nodes.select("node", "key", "first_doc"), "node")
