@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -75,7 +75,8 @@ def _profile(n: int, k: int):
             for a, b in C.sub_batches(texts):
                 sets = list(shingle_sets(texts[a:b], scanner, n))
                 keys = [set_key(s) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:k].tobytes() for s in sets], pa.binary())], ["doc_id", "key", "n_shingles", "sketch"])
+                own = [batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:k].tobytes() for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*own, *(c.slice(a, b - a) for c in batch.columns[2:])], ["doc_id", "key", "n_shingles", "sketch", *batch.schema.names[2:]])
 
     return task
 
@@ -280,9 +281,16 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the component's least id is its own) for every row."""
+    return _placed(docs, text, doc_id, shingle, threshold, k, [])
+
+
+def _placed(docs: DataFrame, text: str, doc_id: str, shingle: int, threshold: float, k: int, marks: list[Column]) -> DataFrame:
+    """What ``near_duplicates`` returns, behind it the ``marks`` (long columns of ``docs``) of each row."""
     C.prepare(docs.sparkSession)
     percent = math.ceil(threshold * 100 - 1e-9)
-    rows = C.cut(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_profile(shingle, k), "doc_id long, key binary, n_shingles long, sketch binary"))
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *marks)
+    names = given.columns[2:]
+    rows = C.cut(given.mapInArrow(_profile(shingle, k), ", ".join(["doc_id long, key binary, n_shingles long, sketch binary", *(f"{c} long" for c in names)])))
     grouped = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("sketch").alias("sketch"))
     nodes = C.cut(grouped.withColumn("node", F.monotonically_increasing_id()))
     links = link_nodes(docs, nodes, text, doc_id, shingle, percent, k)
@@ -291,18 +299,20 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     least = placed.where("root <> node").select("root", "first_doc").groupBy("root").agg(F.min("first_doc").alias("least"))
     own = placed.select("root", F.col("node").alias("self"), "first_doc").where("root = self").join(least, "root", "left").select("root", F.least("first_doc", "least").alias("component_id"))
     by_key = placed.select("key", "root").join(own, "root").select("key", "component_id")
-    out = rows.select("doc_id", "n_shingles", "key").join(by_key, "key", "left")
+    out = rows.select("doc_id", "n_shingles", "key", *names).join(by_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *names)
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
     """The rows of ``docs`` that are their component's least id, all columns as they are; of rows that repeat one id and text, one.
 
     Rows with a null id stay unless their component has an id, or another such row of the same text stays.
+    Rows go by id and text: another text of the same id is judged by its own component.
     """
-    found = near_duplicates(docs, text, doc_id, shingle, threshold, k)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__id"), F.col("component_id").alias("__to")).distinct()
-    own = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    left = own.join(gone, own["__id"].eqNullSafe(gone["__id"]), "left_anti")
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    found = _placed(docs, text, doc_id, shingle, threshold, k, [mark.alias("__mark")])
+    gone = found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("__mark").alias("__copy")).distinct()
+    own = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__text", mark)
+    left = own.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__text") == F.col("__copy")), "left_anti")
     return left.dropDuplicates(["__id", "__text"]).select(docs.columns)
