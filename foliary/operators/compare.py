@@ -1,13 +1,17 @@
 """Comparison of two versions: texts, tables and metadata.
 
-Exact pairs are a join on text and occurrence; only what is left goes to the greedy pairing, a
-grouped map for each pair of versions, after blocking on a shared word.
+Exact pairs are a join on text and occurrence.  Texts of what is left meet in a join on shared words
+that loses no similar pair; what the greedy pairing, a grouped map for each pair of versions, gets
+is the blocks' numbers and the measured pairs of texts.
 """
 
 from __future__ import annotations
 
 import difflib
+import functools
+import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -43,36 +47,76 @@ def exact_pairs(base: DataFrame, target: DataFrame, text: str = "normal", order:
     return numbered(base, "b").join(numbered(target, "t"), [scope, "mark", "occurrence"], "full_outer")
 
 
-def _ratio(a: str, b: str) -> float:
-    return round(difflib.SequenceMatcher(None, a, b).ratio(), 6)
-
-
-def _overlap(a: str, b: str) -> float:
-    x, y = set(_WORD.findall(a.casefold())), set(_WORD.findall(b.casefold()))
-    return len(x & y) / min(len(x), len(y)) if x and y else 0.0
-
-
 PAIRS = "pair_id string, base_id string, target_id string, similarity double"
-
-
-def _greedy(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Base blocks in turn take the most similar target that is still free."""
-    pair = str((left if len(left) else right)["pair_id"].iloc[0])
-    free = {r.source_id: r for r in right.sort_values("sequence_number").itertuples()} if len(right) else {}
-    out = []
-    for b in left.sort_values("sequence_number").itertuples() if len(left) else ():
-        best = None
-        for t in free.values():
-            shared = _overlap(b.normal, t.normal)
+FAR = (2 - SIMILAR) / SIMILAR + 1e-4  # a text longer than the other by more than this can't be similar
+
+
+def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        sets = [sorted(set(_WORD.findall(x.casefold()))) for x in f["normal"]]
+        out = f[["pair_id", "side", "mark"]].assign(chars=[len(x) for x in f["normal"]], words=sets)
+        out["size"] = [len(x) for x in sets]
+        out["need"] = [next(c for c in range(int(OVERLAP * n), n + 1) if c / n >= OVERLAP) if n else 0 for n in out["size"]]
+        yield out[["pair_id", "side", "mark", "chars", "size", "need", "words"]]
+
+
+def candidates(texts: DataFrame) -> DataFrame:
+    """(pair_id, base, target): marks of texts that may overlap and be similar; texts: pair_id, side (b or t), mark, normal.
+
+    With words in one order, the rarest first, the first word that two texts share is so far in
+    front in both that the words behind it still hold the overlap the smaller set asks for.
+    """
+    sets = texts.mapInPandas(_words, "pair_id string, side string, mark binary, chars int, size int, need int, words array<string>").where("size > 0")
+    entries = sets.select("pair_id", "side", "mark", "chars", "size", "need", F.explode("words").alias("word"))
+    often = entries.groupBy("pair_id", "word").agg(F.count(F.lit(1)).alias("df"), F.count_distinct("side").alias("sides"))
+    order = Window.partitionBy("pair_id", "side", "mark").orderBy("df", "word")
+    placed = entries.join(often, ["pair_id", "word"]).withColumn("behind", F.col("size") - F.row_number().over(order) + 1)
+    placed = placed.where("sides = 2").withColumn("step", F.floor(F.log("chars") / math.log(FAR)).cast("int"))
+    b, t = (placed.where(F.col("side") == side).select("pair_id", "word", *(F.col(c).alias(f"{side}_{c}") for c in ("mark", "chars", "size", "need", "behind", "step"))) for side in "bt")
+    b = b.withColumn("step", F.explode(F.array(*(F.col("b_step") + i for i in (-1, 0, 1)))))
+    met = b.join(t.withColumn("step", F.col("t_step")), ["pair_id", "word", "step"])
+    need = F.when(F.col("b_size") <= F.col("t_size"), F.col("b_need")).otherwise(F.col("t_need"))
+    near = (F.greatest("b_chars", "t_chars") <= F.least("b_chars", "t_chars") * FAR) & (F.least("b_behind", "t_behind") >= need)
+    return met.where(near).select("pair_id", F.col("b_mark").alias("base"), F.col("t_mark").alias("target")).distinct()
+
+
+def _measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    words = functools.lru_cache(4096)(lambda x: frozenset(_WORD.findall(x.casefold())))
+    m = difflib.SequenceMatcher(None)
+    for f in frames:
+        rows = []
+        for pair, base, target, x, y in zip(f["pair_id"], f["base"], f["target"], f["x"], f["y"], strict=True):
+            u, v = words(x), words(y)
+            shared = len(u & v) / min(len(u), len(v))
             if shared < OVERLAP:
                 continue
-            ratio = _ratio(b.normal, t.normal)
-            if ratio >= SIMILAR:
-                best = max(filter(None, (best, (ratio, shared, -int(t.sequence_number), t.source_id))))
+            if m.b != y:  # what is known of the second text is used again
+                m.set_seq2(y)
+            m.set_seq1(x)
+            if round(m.quick_ratio(), 6) >= SIMILAR and (ratio := round(m.ratio(), 6)) >= SIMILAR:
+                rows.append((pair, base, target, ratio, shared))
+        yield pd.DataFrame(rows, columns=["pair_id", "base", "target", "ratio", "shared"])
+
+
+def _greedy(blocks: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
+    """Base blocks in turn take the most similar target that is still free; edges are between texts."""
+    pair = str((blocks if len(blocks) else edges)["pair_id"].iloc[0])
+    blocks = blocks.sort_values("sequence_number", kind="stable")
+    free: dict[bytes, list] = {}  # blocks of a target text, the next one at the end
+    for r in blocks[blocks["side"] == "t"].itertuples():
+        free.setdefault(r.mark, []).append((-int(r.sequence_number), r.source_id))
+    for held in free.values():
+        held.sort()
+    near: dict[bytes, list] = {}
+    for r in edges.itertuples():
+        near.setdefault(r.base, []).append((r.ratio, r.shared, r.target))
+    out = []
+    for b in blocks[blocks["side"] == "b"].itertuples():
+        best = max(((ratio, shared, *free[t][-1], t) for ratio, shared, t in near.get(b.mark, ()) if free.get(t)), default=None)
         if best:
-            del free[best[3]]
+            free[best[4]].pop()
         out.append((pair, b.source_id, best[3] if best else None, best[0] if best else None))
-    out += [(pair, None, t, None) for t in free]
+    out += [(pair, None, t, None) for held in free.values() for _, t in reversed(held)]
     return pd.DataFrame(out, columns=["pair_id", "base_id", "target_id", "similarity"])
 
 
@@ -80,8 +124,13 @@ def align(base: DataFrame, target: DataFrame) -> DataFrame:
     """Aligned blocks: pair_id, base_id, target_id, similarity (1 for equal texts, null for one side only)."""
     met = exact_pairs(base, target)
     same = met.where("b_source_id is not null and t_source_id is not null").select(F.col("pair_id").cast("string"), F.col("b_source_id").alias("base_id"), F.col("t_source_id").alias("target_id"), F.lit(1.0).alias("similarity"))
-    shape = lambda side, other: met.where(f"{other}_source_id is null").select(F.col("pair_id").cast("string").alias("pair_id"), F.col(f"{side}_source_id").alias("source_id"), F.col(f"{side}_sequence_number").alias("sequence_number"), F.col(f"{side}_normal").alias("normal"))
-    rest = shape("b", "t").groupBy("pair_id").cogroup(shape("t", "b").groupBy("pair_id")).applyInPandas(_greedy, PAIRS)
+    shape = lambda side, other: met.where(f"{other}_source_id is null").select(F.col("pair_id").cast("string").alias("pair_id"), F.lit(side).alias("side"), F.unhex(F.left("mark", F.lit(32))).alias("mark"), F.col(f"{side}_source_id").alias("source_id"), F.col(f"{side}_sequence_number").alias("sequence_number"), F.col(f"{side}_normal").alias("normal"))
+    left = shape("b", "t").unionByName(shape("t", "b"))
+    texts = left.groupBy("pair_id", "side", "mark").agg(F.first("normal").alias("normal"))
+    body = lambda side, name, to: texts.where(F.col("side") == side).select("pair_id", F.col("mark").alias(name), F.col("normal").alias(to))
+    found = candidates(texts).join(body("b", "base", "x"), ["pair_id", "base"]).join(body("t", "target", "y"), ["pair_id", "target"])
+    edges = found.select("pair_id", "base", "target", "x", "y").mapInPandas(_measured, "pair_id string, base binary, target binary, ratio double, shared double")
+    rest = left.drop("normal").groupBy("pair_id").cogroup(edges.groupBy("pair_id")).applyInPandas(_greedy, PAIRS)
     return same.unionByName(rest)
 
 
