@@ -93,6 +93,30 @@ def micro_macro_cer(spark, sf_dir):
     return E.micro_macro(_neighbours(spark, sf_dir)).select("texts", F.round("micro_cer", 6).alias("micro_cer"), F.round("macro_cer", 6).alias("macro_cer"))
 
 
+def _all_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts of every document and the next one, of any length and script; dealt out anew, as edits take long."""
+    d = read_table(spark, sf_dir, "documents").repartition(64, "doc_id")
+    return d.select("doc_id", F.col("text").alias("reference")).join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+
+
+@query("levenshtein_cer_all")
+def levenshtein_cer_all(spark, sf_dir):
+    """Character error rates over all neighbours; the twin of ``levenshtein_cer`` counts bytes and is too slow for long texts, so tests compare with plain code."""
+    return _all_neighbours(spark, sf_dir).select("doc_id", F.round(E.cer(F.col("reference"), F.col("other")), 6).alias("cer"))
+
+
+@query("micro_macro_cer_all")
+def micro_macro_cer_all(spark, sf_dir):
+    return E.micro_macro(_all_neighbours(spark, sf_dir)).select("texts", F.round("micro_cer", 6).alias("micro_cer"), F.round("macro_cer", 6).alias("macro_cer"))
+
+
+@query("anls_all")
+def anls_all(spark, sf_dir):
+    """Each whole text as the answer, the next document's whole text as the prediction."""
+    a, p = F.array("reference"), F.col("other")
+    return _all_neighbours(spark, sf_dir).select("doc_id", F.round(E.anls(a, p), 6).alias("anls"), E.exact_match(a, p).alias("exact_match"))
+
+
 _SHORT = f"SELECT doc_id, lower(left(regexp_replace(reference, '\\s+', ' ', 'g'), 20)) AS a, lower(left(regexp_replace(reference, '\\s+', ' ', 'g'), CAST(20 - doc_id % 15 AS BIGINT))) AS p FROM ({_NEXT})"
 
 
