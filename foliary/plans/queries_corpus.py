@@ -173,6 +173,13 @@ def chunk_single(spark, sf_dir):
     return out.select("document_id", F.col("character_count").cast("long").alias("character_count"), F.col("token_count").cast("long").alias("token_count"), "fingerprint_sha256")
 
 
+@query("chunk_single_all")
+def chunk_single_all(spark, sf_dir):
+    """Of all documents' chunks those that are their document's only one; tests compare with ``chunk_documents``."""
+    out = chunk_documents(spark, sf_dir).withColumn("chunks", F.count(F.lit(1)).over(Window.partitionBy("document_id"))).where("chunks = 1")
+    return out.select("document_id", F.col("character_count").cast("long").alias("character_count"), F.col("token_count").cast("long").alias("token_count"), "fingerprint_sha256")
+
+
 @query("stream_window", "SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2")
 def stream_window(spark, sf_dir):
     """The batch form of the stream's windows: the same plan over a table."""

@@ -168,3 +168,11 @@ def ground_truth(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^ -~\n]") & ~F.col("text").contains("_"))
     questions = d.select(F.col("doc_id").alias("question_key"), F.col("doc_id").alias("document_id"), F.array(F.lit("The")).alias("accepted_answers"))
     return E.ground_truth(questions, d.select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text")).select("question_key", "state")
+
+
+@query("ground_truth_all")
+def ground_truth_all(spark, sf_dir):
+    """A question on every document, of any language and script; tests compare with a plain word search."""
+    d = read_table(spark, sf_dir, "documents")
+    questions = d.select(F.col("doc_id").alias("question_key"), F.col("doc_id").alias("document_id"), F.array(F.lit("The")).alias("accepted_answers"))
+    return E.ground_truth(questions, d.select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text")).select("question_key", "state")

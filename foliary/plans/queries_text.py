@@ -39,6 +39,14 @@ def token_overlap_pairs(spark, sf_dir):
     return met.select("item_id", "doc_id", F.round(T.token_overlap(F.col("a"), F.col("b")), 6).alias("overlap")).where(F.col("overlap").isNotNull())
 
 
+@query("token_overlap_all")
+def token_overlap_all(spark, sf_dir):
+    """Overlap of all items with the documents of their ids, of any script; letters beyond ASCII have no twin, so tests compare with plain sets."""
+    x = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"))
+    met = x.join(read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("b")), F.col("item_id") == F.col("doc_id"))
+    return met.select("item_id", "doc_id", F.round(T.token_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
+
+
 _NEW = "SELECT p_partkey, p_name, CASE WHEN p_partkey % 7 = 0 THEN p_size + 1 ELSE p_size END AS p_size, p_brand FROM part WHERE p_partkey % 11 <> 0"
 
 

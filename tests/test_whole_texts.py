@@ -57,3 +57,28 @@ def test_anls(spark, whole):
             expected[i] = (pytest.approx(1 - share if share < 0.5 else 0.0, abs=1e-6), a == p)
     assert {r.doc_id: (r.anls, r.exact_match) for r in rows(spark, whole, "anls_all")} == expected
     assert [i for i, (_, same) in expected.items() if same] == [0, 5]
+
+
+def test_ground_truth(spark, whole):
+    expected = {i: "SCORABLE" if re.search(r"(?<!\w)the(?!\w)", key(t)) else "ANSWER_NOT_INDEXED" for i, t in whole[1].items()}
+    assert {r.question_key: r.state for r in rows(spark, whole, "ground_truth_all")} == expected
+
+
+def test_token_overlap(spark, whole):
+    t, expected = whole[1], {}
+    for i in t:
+        x, y = (set(re.findall(r"\w+(?:[-']\w+)?", s.lower().replace("ß", "ss"))) for s in (t[len(t) - 1 - i], t[i]))
+        expected[i] = pytest.approx(len(x & y) / min(len(x), len(y)) if x and y else 0.0, abs=1e-6)
+    assert {r.doc_id: r.overlap for r in rows(spark, whole, "token_overlap_all")} == expected
+
+
+def test_single_chunks(spark, whole):
+    chunks = [r.document_id for r in rows(spark, whole, "chunk_documents")]
+    found = {r.document_id: r.character_count for r in rows(spark, whole, "chunk_single_all")}
+    assert set(found) == {d for d in chunks if chunks.count(d) == 1} and len(set(chunks)) > len(found)
+    assert found["12"] == 1500  # longer than the 1,100 characters that the twin of chunk_single takes
+
+
+def test_summaries_of_every_document(spark, whole):
+    found = {r.summary_id: r.grounded for r in rows(spark, whole, "grounded_summaries")}
+    assert found.keys() == whole[1].keys() and {i for i, good in found.items() if good} == {3, 7, 9}  # 11 has a sentence of its own without a citation
