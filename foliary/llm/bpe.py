@@ -217,7 +217,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, text: s
         types["ids"] = pa.list_(pa.int32())
     if digests:
         types |= {"ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in types]
+    kept = C.Kept(docs, ", ".join(["n_tokens long"] + ["ids array<int>"] * ids + ["ids_sha256 string, decoded_sha256 string"] * digests), keep)
+    columns = kept.columns
     ranks = load_ranks(ranks_path)
     if sum(map(len, ranks)) > 64 << 20:
         raise ValueError("the vocabulary is too large to send to every worker")
@@ -229,7 +230,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, text: s
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(key, shared.value, pattern)
         for batch in C.slices(batches):
-            texts = batch.column(batch.schema.get_field_index("__text")).cast(pa.string()).fill_null("").to_pylist()
+            texts = batch.column(batch.schema.get_field_index("body")).cast(pa.string()).fill_null("").to_pylist()
             for a, b in C.text_batches(texts):
                 coded = coder.encode(texts[a:b])
                 got = {"n_tokens": pa.array([len(x) for x in coded], pa.int64())}
@@ -240,11 +241,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str | None = None, text: s
                     got["ids_sha256"] = pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in coded])
                     got["decoded_sha256"] = pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in coded])
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_pydict(C.passed_on(part, keep) | {c: got[c] for c in types})
+                yield pa.RecordBatch.from_pydict(C.passed_on(part, columns) | {c: got[c] for c in types})
         coder.forget()
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema] + ["n_tokens long"] + ["ids array<int>"] * ids + ["ids_sha256 string, decoded_sha256 string"] * digests
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(task, ", ".join(schema))
+    return kept.apply(task, body=kept.column(text))
 
 
 def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "text") -> DataFrame:
@@ -253,15 +253,15 @@ def decode(coded: DataFrame, ranks_path: str, ids: str = "ids", into: str = "tex
     ranks = load_ranks(ranks_path)
     shared = coded.sparkSession.sparkContext.broadcast(ranks)
     key = hashlib.sha256(repr((ranks_path, len(ranks), "")).encode()).hexdigest()
-    keep = [c for c in coded.columns if c not in (ids, into)]
+    kept = C.Kept(coded, f"`{into}` string", [c for c in coded.columns if c != ids])
+    columns = kept.columns
 
     @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(key, shared.value, "")
         for batch in C.slices(batches):
-            lists = batch.column(batch.schema.get_field_index("__ids")).to_pylist()
+            lists = batch.column(batch.schema.get_field_index("coded")).to_pylist()
             texts = [None if x is None else coder.decode(np.array(x, np.int64)).decode(errors="replace") for x in lists]
-            yield pa.RecordBatch.from_pydict(C.passed_on(batch, keep) | {into: pa.array(texts, pa.string())})
+            yield pa.RecordBatch.from_pydict(C.passed_on(batch, columns) | {into: pa.array(texts, pa.string())})
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in coded.select(*keep).schema]
-    return coded.select(*keep, F.col(ids).alias("__ids")).mapInArrow(task, ", ".join([*schema, f"`{into}` string"]))
+    return kept.apply(task, coded=kept.column(ids))

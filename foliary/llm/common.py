@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 SEPARATOR = 0xFF
 SUB_BATCH_BYTES = 1 << 20
@@ -44,10 +45,13 @@ def prepare(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor and the driver see, as the session names it.
 
-    ``spark.checkpoint.dir`` decides; only where it is unset (tests on one machine) a temporary
-    folder is made and set for the session.
+    ``spark.checkpoint.dir`` decides; only where it is unset on one machine (as in tests) a
+    temporary folder is made and set for the session.  On a cluster that would be a folder which no
+    other machine sees, so there it has to be set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="foliary-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -77,6 +81,13 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: fixed for all that read them, column by column."""
+    path = own_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -146,30 +157,27 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+KEEP = np.array([(1 << (8 * n)) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
 class WordScanner:
     """Finds words (runs of bytes of a class) and their 64-bit hashes in a whole buffer.
 
-    A word's hash is a polynomial over its bytes modulo 2^64, got from one running sum over the
-    buffer, then mixed with the word's length.  ASCII capitals count as small letters.
+    A word's hash is a sum over its 8-byte parts, each mixed with its number first, so no
+    arrangement of equal parts cancels out; ``check`` gives a second one, made with other constants.
+    Where identity of words decides a result, both have to agree (128 bits) or bytes are compared.
+    ASCII capitals count as small letters, unless ``lowered`` is false.
     """
 
-    BASE = 0x9E3779B97F4A7C15
+    FIRST = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407)
+    SECOND = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)
 
-    def __init__(self, word_byte: np.ndarray) -> None:
+    def __init__(self, word_byte: np.ndarray, lowered: bool = True) -> None:
         lower = np.arange(256, dtype=np.uint8)
-        lower[65:91] += 32
+        if lowered:
+            lower[65:91] += 32
         self.lower = lower
         self.is_word = word_byte[lower] & (np.arange(256) != SEPARATOR)
-        self.code = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))[lower]
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * SUB_BATCH_BYTES)
-            inverse = pow(self.BASE, -1, 1 << 64)
-            with np.errstate(over="ignore"):
-                self.up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, self.BASE, np.uint64)]), dtype=np.uint64)
-                self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, inverse, np.uint64)]), dtype=np.uint64)
 
     def bounds(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         mask = np.zeros(len(raw) + 2, np.int8)
@@ -177,22 +185,45 @@ class WordScanner:
         edge = np.diff(mask)
         return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
+    def _parts(self, raw: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place of the buffer on, in small letters."""
+        low = np.zeros(len(raw) + 8, np.uint8)
+        np.take(self.lower, raw, out=low[: len(raw)])
+        return np.ndarray((len(raw) + 1,), "<u8", buffer=low, strides=(1,))
+
+    @staticmethod
+    def _mixed(parts: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: tuple[int, int, int]) -> np.ndarray:
+        one, step, size = (np.uint64(k) for k in keys)
+        length = ends - starts
+        with np.errstate(over="ignore"):
+            out = mix64((parts[starts] & KEEP[np.minimum(length, 8)]) ^ one)
+            long = np.flatnonzero(length > 8)
+            if len(long):
+                more = (length[long] - 1) // 8  # parts beyond the first
+                turn = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
+                at = np.repeat(starts[long], more) + 8 * turn
+                rest = np.minimum(np.repeat(ends[long], more) - at, 8)
+                each = mix64(mix64((parts[at] & KEEP[rest]) ^ one) + turn.astype(np.uint64) * step)
+                run = np.concatenate([np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)])
+                edge = np.concatenate([[0], np.cumsum(more)])
+                out[long] += run[edge[1:]] - run[edge[:-1]]
+            return mix64(out + length.astype(np.uint64) * size)
+
     def scan(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts, ends (exclusive) and hashes of all words."""
         starts, ends = self.bounds(raw)
-        self._powers(len(raw) + 1)
-        with np.errstate(over="ignore"):
-            run = np.zeros(len(raw) + 1, np.uint64)
-            np.cumsum(self.code[raw] * self.up[: len(raw)], out=run[1:])
-            hashes = (run[ends] - run[starts]) * self.down[starts]
-            return starts, ends, mix64(hashes + (ends - starts).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+        return starts, ends, self._mixed(self._parts(raw), starts, ends, self.FIRST)
+
+    def check(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The words' second hashes."""
+        return self._mixed(self._parts(raw), starts, ends, self.SECOND)
 
 
-def spaces_scanner() -> WordScanner:
+def spaces_scanner(lowered: bool = True) -> WordScanner:
     """Words ``[^\\x20\\x09-\\x0D]+``."""
     word = np.ones(256, bool)
     word[[0x20, 9, 10, 11, 12, 13]] = False
-    return WordScanner(word)
+    return WordScanner(word, lowered)
 
 
 def letters_scanner() -> WordScanner:
@@ -233,6 +264,47 @@ def passed_on(batch: pa.RecordBatch, columns: list[str]) -> dict[str, pa.Array]:
     return {c: batch.column(batch.schema.get_field_index(c)) for c in columns}
 
 
+class Kept:
+    """Columns of a table that go through an operator beside its results.
+
+    Inside, all columns have names of their own (c0, c1, ...), so that whatever a caller's columns
+    are called (dots, reserved names, one name twice) none is lost or confused.  Only a column that
+    is called like a result, in any case, is left out.
+    """
+
+    def __init__(self, df: DataFrame, results: str, keep: list[str] | None = None) -> None:
+        """results: their names and types, as DDL; keep: names of columns (default: all)."""
+        self.given = df.columns
+        self.results = StructType.fromDDL(results)
+        taken = {f.name.lower() for f in self.results}
+        places = range(len(self.given)) if keep is None else [self.place(c) for c in keep]
+        self.places = [i for i in places if self.given[i].lower() not in taken]
+        self.df = df.toDF(*(f"c{i}" for i in range(len(self.given))))
+        self.columns = [f"c{i}" for i in self.places]
+        self.schema = StructType([*(self.df.schema[c] for c in self.columns), *self.results])
+
+    def place(self, name: str) -> int:
+        """The column of just that name, or else of that name in another case."""
+        if name in self.given:
+            return self.given.index(name)
+        return [c.lower() for c in self.given].index(name.lower())
+
+    def column(self, name: str) -> Column:
+        return F.col(f"c{self.place(name)}")
+
+    def select(self, **more: Column) -> DataFrame:
+        """The kept columns, and others beside them."""
+        return self.df.select(*self.columns, *(v.alias(k) for k, v in more.items()))
+
+    def named(self, out: DataFrame) -> DataFrame:
+        """The kept columns and all results, under their names."""
+        return out.toDF(*(self.given[i] for i in self.places), *self.results.names)
+
+    def apply(self, task, **more: Column) -> DataFrame:
+        """Runs ``task`` over batches of ``select(**more)``; it returns the kept columns and the results."""
+        return self.named(self.select(**more).mapInArrow(task, self.schema))
+
+
 class PieceMemory:
     """Ids of pieces of text already met, in flat arrays; emptied when it holds ``limit`` pieces.
 

@@ -9,10 +9,12 @@ the hash of all their words.
 
 Where the benchmark's text is at most ``broadcast_bytes`` (measured first) its fingerprints go to
 every task and no document is shuffled.  Beyond it, the fingerprints of both sides are joined by
-a shuffle, and only documents that meet an item are looked at again.
+a shuffle, and only documents that meet an item are looked at again.  Both ways give equal results.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items no
-windows; repeated rows get the same answer each; items repeated under one id count once.
+windows; repeated rows get the same answer each; items repeated under one id count once; texts of
+any length are taken whole; an empty table gives an empty one, an empty benchmark no hits; a
+column called like a result (in any case) gives way to it.
 """
 
 from __future__ import annotations
@@ -26,12 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foliary.llm import common as C
 
 SPAN = 10
 K = 5
 BROADCAST_BYTES = 8 << 20
+SIEVE_BITS = 26
 
 RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first_word:long,last_word:long,start:long,end:long>>"
 
@@ -122,12 +126,22 @@ def runs_of(doc: np.ndarray, words, index: ItemIndex, seeds: list[tuple[int, int
         on = int(on.argmax()) if on.any() else right
         first, last = p - back, p + on
         done[diagonal] = max(last - 1, p)
-        if last - first >= span and words(first, last) == item.words[q - back : q + on]:
-            runs.append((first, last))
-            found.add(item.item)
+        if last - first >= span:
+            same = _equal_runs(words(first, last), item.words[q - back : q + on], span)
+            runs += [(first + a, first + b) for a, b in same]
+            if same:
+                found.add(item.item)
     return runs, found
 
 
+def _equal_runs(a: list[bytes], b: list[bytes], span: int) -> list[tuple[int, int]]:
+    """Runs of at least ``span`` equal words; all of it, unless two words share their hash."""
+    if a == b:
+        return [(0, len(a))]
+    edges = [-1, *(i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), len(a)]
+    return [(x + 1, y) for x, y in zip(edges[:-1], edges[1:], strict=True) if y - x - 1 >= span]
+
+
 def find_hits(texts: list[bytes], scanner: C.WordScanner, index: ItemIndex) -> Iterator[tuple[int, list[tuple[int, int, int, int]], set[str], int]]:
     """Per text: words, merged hit runs (words and bytes), items with an occurring window, words hit."""
     raw, at = C.joined(texts)
@@ -166,13 +180,8 @@ def find_hits(texts: list[bytes], scanner: C.WordScanner, index: ItemIndex) -> I
             if words(p, p + m) == index.items[i].words:
                 runs.append((p, p + m))
                 found.add(index.items[i].item)
-        merged: list[list[int]] = []
-        for a, b in sorted(runs):
-            if merged and a <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], b)
-            else:
-                merged.append([a, b])
-        yield n, [(a, b, int(s[a] - at[d]), int(e[b - 1] - at[d])) for a, b in merged], found, sum(b - a for a, b in merged)
+        whole = merged([(a, b, int(s[a] - at[d]), int(e[b - 1] - at[d])) for a, b in runs])
+        yield n, whole, found, sum(b - a for a, b, _, _ in whole)
 
 
 def digest(items: set[str]) -> str:
@@ -210,99 +219,145 @@ _TYPES = {"n_words": pa.int64(), "n_hit": pa.int64(), "n_items": pa.int64(), "it
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", keep: list[str] | None = None, span: int = SPAN, k: int = K, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hits of benchmark passages in every document.
 
-    Returns the columns ``keep`` (default: all but those that clash with results) and n_words,
+    Returns the columns ``keep`` (default: all, but those called like a result) and n_words,
     n_hit, n_items, items_sha256, contaminated and spans (merged runs of hit words, by word number
     and by byte of the UTF-8 text; ends exclusive).
     """
     C.prepare(docs.sparkSession)
     spark = docs.sparkSession
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in _TYPES]
+    kept = C.Kept(docs, RESULT, keep)
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("words")).where("item is not null and words is not null")
     size = items.agg(F.sum(F.octet_length("words") + F.octet_length("item") + 16).alias("b")).first()["b"] or 0
     if size <= broadcast_bytes:
         rows = [(r["item"], r["words"].encode()) for r in items.collect()]
-        return _by_broadcast(docs, rows, text, keep, span, k)
-    return _by_shuffle(spark, docs, items, text, keep, span, k)
+        return _by_broadcast(spark, kept, rows, text, span, k)
+    return _by_shuffle(kept, items, text, span, k)
 
 
-def _by_broadcast(docs: DataFrame, rows: list[tuple[str, bytes]], text: str, keep: list[str], span: int, k: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(rows)
+def _by_broadcast(spark: SparkSession, kept: C.Kept, rows: list[tuple[str, bytes]], text: str, span: int, k: int) -> DataFrame:
+    shared = spark.sparkContext.broadcast(rows)
     key = hashlib.sha256(repr((rows, span, k)).encode()).hexdigest()
+    columns = kept.columns
 
     @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, index = C.letters_scanner(), _index_of(key, shared.value, span, k)
         for batch in C.slices(batches):
-            found = _answers(C.texts_of(batch, "__text"), scanner, index)
-            yield pa.RecordBatch.from_pydict(C.passed_on(batch, keep) | {c: pa.array(found[c], t) for c, t in _TYPES.items()})
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), RESULT])
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(task, schema)
-
-
-def _by_shuffle(spark: SparkSession, docs: DataFrame, items: DataFrame, text: str, keep: list[str], span: int, k: int) -> DataFrame:
-    """Fingerprints of both sides meet in a join; documents that meet items are extended against just those."""
-    marks = "fp long, n int"
-    short_sizes = items.mapInArrow(_sizes(span), "n int").distinct().where("n < %d" % span).collect()  # at most span - 1 rows
-    sizes = sorted(r["n"] for r in short_sizes)
-    rows = docs.select(*keep, F.col(text).alias("__text")).withColumn("__key", F.xxhash64(F.coalesce(F.col("__text"), F.lit(""))))
-    prints = rows.select("__key", "__text").mapInArrow(_prints("__key", "__text", span, k, sizes), "__key long, " + marks)
-    of_items = items.withColumn("item_key", F.xxhash64("item", "words")).select("item_key", "words").mapInArrow(_prints("item_key", "words", span, k, None), "item_key long, " + marks)
-    pairs = prints.join(of_items, ["fp", "n"]).select("__key", "item_key").distinct()
-    bodies = items.withColumn("item_key", F.xxhash64("item", "words")).dropDuplicates(["item_key"])
-    met = pairs.join(bodies, "item_key").groupBy("__key").agg(F.collect_list(F.struct("item", "words")).alias("__items"))
-    whole = rows.join(met, "__key", "left")
+            found = _answers(C.texts_of(batch, "body"), scanner, index)
+            yield pa.RecordBatch.from_pydict(C.passed_on(batch, columns) | {c: pa.array(found[c], t) for c, t in _TYPES.items()})
+
+    return kept.apply(task, body=kept.column(text))
+
+
+def _by_shuffle(kept: C.Kept, items: DataFrame, text: str, span: int, k: int) -> DataFrame:
+    """Fingerprints of both sides meet in a join; each document is then extended against the items it met.
+
+    A bit sieve of the items' fingerprints (of fixed size, whatever their number) goes to every
+    task, so that of the documents' fingerprints only those that may meet one are moved.  Rows have
+    numbers, held by a checkpoint: copies of one text are different keys, and texts without a
+    meeting are not moved at all.
+    """
+    spark = items.sparkSession
+    rows = C.cut(kept.select(body=kept.column(text), row=F.monotonically_increasing_id()))
+    bodies = C.cut(items.groupBy("item", "words").count().select(F.monotonically_increasing_id().alias("number"), "item", "words"))
+    of_items = C.cut(bodies.select(F.col("number").alias("key"), F.col("words").alias("body")).mapInArrow(_prints(span, k, None, None), "key long, fp long, n int"))
+    sizes = sorted(r["n"] for r in of_items.where("n > 0").select("n").distinct().collect())  # less than span of them
+    sieve = spark.sparkContext.broadcast(_sieve_of(of_items))
+    prints = rows.select(F.col("row").alias("key"), "body").mapInArrow(_prints(span, k, sizes, sieve), "key long, fp long, n int")
+    pairs = prints.join(of_items.select(F.col("key").alias("number"), "fp", "n"), ["fp", "n"]).select("key", "number").distinct()
+    met = pairs.join(bodies, "number").select("key", "item", "words")
+    met = rows.select("row", "body").join(met, F.col("row") == F.col("key")).select("row", "body", "item", "words")
 
     @C.tidy
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = C.letters_scanner()
-        empty = ItemIndex([], span, k)
         for batch in C.slices(batches):
-            texts = C.texts_of(batch, "__text")
-            met_items = batch.column(batch.schema.get_field_index("__items")).to_pylist()
-            found: dict[str, list] = {c: [] for c in _TYPES}
-            for body, its in zip(texts, met_items, strict=True):
-                index = ItemIndex(scan_items([(x["item"], x["words"].encode()) for x in its], scanner), span, k) if its else empty
-                for c, v in _answers([body], scanner, index).items():
-                    found[c] += v
-            yield pa.RecordBatch.from_pydict(C.passed_on(batch, keep) | {c: pa.array(found[c], t) for c, t in _TYPES.items()})
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema), RESULT])
-    return whole.select(*keep, "__text", "__items").mapInArrow(task, schema)
+            out = []
+            for row, body, item, words in zip(batch.column(0).to_pylist(), C.texts_of(batch, "body"), batch.column(2).to_pylist(), C.texts_of(batch, "words"), strict=True):
+                _, runs, found, _ = next(find_hits([body], scanner, ItemIndex(scan_items([(item, words)], scanner), span, k)))
+                out += [(row, item, *run) for run in runs]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), *[pa.int64()] * 4))], ["at", "item", "first_word", "last_word", "start", "end"])
 
+    hits = met.mapInArrow(extend, "at long, item string, first_word long, last_word long, start long, end long")
+    found = hits.groupBy("at").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct("first_word", "last_word", "start", "end")).alias("runs"))
 
-def _sizes(span: int):
     @C.tidy
-    def task(batches):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = C.letters_scanner()
         for batch in C.slices(batches):
-            raw, at = C.joined(C.texts_of(batch, "words"))
-            starts, _ = scanner.bounds(raw)
-            n = np.diff(np.searchsorted(starts, at))
-            yield pa.RecordBatch.from_pydict({"n": pa.array(np.unique(n[n > 0]).astype(np.int32), pa.int32())})
+            sizes = []
+            texts = C.texts_of(batch, "body")
+            for a, b in C.sub_batches(texts):
+                raw, at = C.joined(texts[a:b])
+                sizes.append(np.diff(np.searchsorted(scanner.bounds(raw)[0], at)))
+            yield pa.RecordBatch.from_pydict(C.passed_on(batch, [*columns, "row"]) | {"words": pa.array(np.concatenate(sizes) if sizes else [], pa.int64())})
 
-    return task
+    columns = kept.columns
+    whole = rows.mapInArrow(count, StructType([*(rows.schema[c] for c in (*columns, "row")), StructField("words", LongType())]))
+    joined = whole.join(found, F.col("row") == F.col("at"), "left").select(*columns, "words", "items", "runs")
+
+    @C.tidy
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in C.slices(batches):
+            out: dict[str, list] = {c: [] for c in _TYPES}
+            n = len(columns)
+            for words, met_items, runs in zip(*(batch.column(i).to_pylist() for i in (n, n + 1, n + 2)), strict=True):
+                spans = merged([(r["first_word"], r["last_word"], r["start"], r["end"]) for r in runs or ()])
+                values = (words, sum(b - a for a, b, _, _ in spans), len(met_items or ()), digest(set(met_items or ())), bool(spans), [dict(zip(("first_word", "last_word", "start", "end"), s, strict=True)) for s in spans])
+                for c, v in zip(_TYPES, values, strict=True):
+                    out[c].append(v)
+            yield pa.RecordBatch.from_pydict(C.passed_on(batch, columns) | {c: pa.array(out[c], t) for c, t in _TYPES.items()})
+
+    return kept.named(joined.mapInArrow(merge, kept.schema))
+
+
+def merged(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs (first word, end, first byte, end) that touch or overlap, as one each."""
+    out: list[tuple[int, int, int, int]] = []
+    for a, b, s, e in sorted(runs):
+        if out and a <= out[-1][1]:
+            c, d, t, f = out[-1]
+            out[-1] = (c, max(d, b), t, max(f, e))
+        else:
+            out.append((a, b, s, e))
+    return out
 
 
-def _prints(key: str, text: str, span: int, k: int, sizes: list[int] | None):
+def _sieve_of(prints: DataFrame) -> np.ndarray:
+    """A bit for each fingerprint: at most 2^SIEVE_BITS of them, in 2^(SIEVE_BITS - 6) rows."""
+    place = F.shiftrightunsigned("fp", 64 - SIEVE_BITS)
+    bits = prints.select(F.shiftrightunsigned(place, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(fp, {64 - SIEVE_BITS}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    table = bits.toArrow()
+    out[table.column("word").to_numpy()] = table.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
+def _prints(span: int, k: int, sizes: list[int] | None, sieve):
     """Fingerprints (n = 0) of texts, and hashes of n words: of documents for each size of short items, of items their own."""
 
     @C.tidy
-    def task(batches):
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = C.letters_scanner()
         for batch in C.slices(batches):
-            texts = C.texts_of(batch, text)
-            keys = batch.column(batch.schema.get_field_index(key)).to_pylist()
-            for row, body in enumerate(texts):
+            out: list[tuple[int, int, np.ndarray]] = []
+            for key, body in zip(batch.column(0).to_pylist(), C.texts_of(batch, "body"), strict=True):
                 _, _, hashes = scanner.scan(np.frombuffer(body, np.uint8))
-                prints = []
                 if len(hashes) >= span:
                     grams = C.gram_hashes(hashes, k)
-                    prints.append((0, np.unique(grams[winnow(grams, span - k + 1)])))
+                    out.append((key, 0, np.unique(grams[winnow(grams, span - k + 1)])))
                 for n in ([len(hashes)] if 0 < len(hashes) < span else []) if sizes is None else sizes:
                     if len(hashes) >= n:
-                        prints.append((n, np.unique(C.gram_hashes(hashes, n))))
-                for n, x in prints:
-                    yield pa.RecordBatch.from_pydict({key: pa.array([keys[row]] * len(x), pa.int64()), "fp": pa.array(C.as_signed(x)), "n": pa.array([n] * len(x), pa.int32())})
+                        out.append((key, n, np.unique(C.gram_hashes(hashes, n))))
+            if sieve is not None:
+                out = [(key, n, x[sifted(x, sieve.value)]) for key, n, x in out]
+            each = [len(x) for _, _, x in out]
+            fps = np.concatenate([np.zeros(0, np.uint64), *(x for _, _, x in out)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([o[0] for o in out], np.int64), each)), pa.array(C.as_signed(fps)), pa.array(np.repeat(np.array([o[1] for o in out], np.int32), each))], ["key", "fp", "n"])
 
     return task
+
+
+def sifted(prints: np.ndarray, sieve: np.ndarray) -> np.ndarray:
+    place = prints >> np.uint64(64 - SIEVE_BITS)
+    return ((sieve[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1)).astype(bool)

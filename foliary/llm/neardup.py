@@ -47,23 +47,33 @@ BLOCK = 384
 SIEVE_BITS = 23
 
 
-def shingle_sets(texts: list[bytes], scanner: C.WordScanner, n: int) -> Iterator[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
+def shingle_sets(texts: list[bytes], scanner: C.WordScanner, n: int) -> Iterator[tuple[np.ndarray, bytes | None]]:
+    """Per text, its sorted distinct shingle hashes, and what tells its set apart (128 bits; none: no words).
+
+    The latter is made from hashes independent of the former, over whole words, so equal sets are
+    those that agree in both.
+    """
     raw, at = C.joined(texts)
-    starts, _, hashes = scanner.scan(raw)
+    starts, ends, hashes = scanner.scan(raw)
+    checks = scanner.check(raw, starts, ends)
     first = np.searchsorted(starts, at)
-    grams = C.gram_hashes(hashes, n)
-    for a, b in zip(first[:-1], first[1:], strict=True):
+    grams, others = C.gram_hashes(hashes, n), C.gram_hashes(checks, n)
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
         if b - a >= n:
-            yield np.unique(grams[a : b - n + 1])
+            distinct, place = np.unique(grams[a : b - n + 1], return_index=True)
+            yield distinct, set_key(distinct, others[a + place])
+        elif b > a:
+            whole = C.gram_hashes(hashes[a:b], b - a)
+            yield whole, set_key(whole, C.gram_hashes(checks[a:b], b - a))
         else:
-            yield C.gram_hashes(hashes[a:b], int(b - a)) if b > a else np.zeros(0, np.uint64)
+            yield np.zeros(0, np.uint64), None
 
 
-def set_key(grams: np.ndarray) -> bytes:
-    """128 bits that tell sets apart, whatever order they are in."""
+def set_key(grams: np.ndarray, others: np.ndarray) -> bytes:
+    """128 bits that tell sets apart, whatever order they are in; both hashes of each shingle count."""
     with np.errstate(over="ignore"):
-        return np.array([C.mix64(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64), C.mix64(grams ^ np.uint64(0x14057B7EF767814F)).sum(dtype=np.uint64)]).tobytes()
+        one = C.mix64(grams ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+        return np.array([one, C.mix64(C.mix64(others) ^ grams).sum(dtype=np.uint64)]).tobytes()
 
 
 def _profile(n: int, k: int):
@@ -73,8 +83,7 @@ def _profile(n: int, k: int):
         for batch in C.slices(batches):
             texts = C.texts_of(batch, "text")
             for a, b in C.sub_batches(texts):
-                sets = list(shingle_sets(texts[a:b], scanner, n))
-                keys = [set_key(s) if len(s) else None for s in sets]
+                sets, keys = zip(*shingle_sets(texts[a:b], scanner, n), strict=True)
                 own = [batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s[:k].tobytes() for s in sets], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*own, *(c.slice(a, b - a) for c in batch.columns[2:])], ["doc_id", "key", "n_shingles", "sketch", *batch.schema.names[2:]])
 
@@ -224,8 +233,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, n: in
             texts, keys = C.texts_of(batch, "text"), batch.column(1).to_pylist()
             for a, b in C.sub_batches(texts):
                 got = list(shingle_sets(texts[a:b], scanner, n))
-                same = [len(s) > 0 and set_key(s) == key for s, key in zip(got, keys[a:b], strict=True)]
-                part = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in got], pa.binary())], ["node", "body"])
+                same = [own is not None and own == key for (_, own), key in zip(got, keys[a:b], strict=True)]
+                part = pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s, _ in got], pa.binary())], ["node", "body"])
                 yield part.filter(pa.array(same))
 
     met = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_doc"))).select("node", "key", "text")

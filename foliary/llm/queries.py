@@ -62,8 +62,8 @@ def op9_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32")
-    placed = sharding.shard_by_bytes(C.documents(spark, sf_dir), keep=["doc_id", crc])
+    docs = C.documents(spark, sf_dir).withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
+    placed = sharding.shard_by_bytes(docs, keep=["doc_id", "text_crc32"])
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 

@@ -7,12 +7,15 @@ before it and the rest; a block is compressed as a whole.  After the blocks come
 those are.  A lookup asks the filter, finds the block by binary search in the index, and reads
 one block.
 
-Documents are encoded where they lie, dealt out once by ranges of the key, sorted and written;
+Documents are encoded where they lie, dealt out once by ranges of the key, sorted and written.  The
+ranges hold about equal bytes (histogram sort's cuts), and a file is one task;
 a file is written under a name of the attempt's own and then moved, so a task that is run again
 after a lost executor leaves one whole file.  Files lie in a folder all executors see.
 
 Defined results: a null text is an empty one and has the end id alone; rows with one id are all
-kept, next to each other; null ids come first.
+kept, next to each other, in the order of a hash of their texts (equal rows lie in one file); null
+ids come first; a very long text makes its file as large as it is; an empty table gives no file;
+columns beside id and text play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +38,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.llm import common as C
+from foliary.llm.sharding import as_keys, row_keys, splitters
 
 MAGIC = b"FOLISST1"
 BLOCK_BYTES = 64 << 10
 SHARD_BYTES = 64 << 20
 BITS_PER_KEY, PROBES = 10, 7
 END_ID = 1
+MOST_SHARDS = 1 << 16
+PLAIN = np.uint64(0xD1342543DE82EF95)
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -214,15 +220,14 @@ class WordCoder(C.PieceMemory):
     No match of such a tokenizer's pattern reaches over white space, so a text's ids are those of its
     pieces in turn.  A piece of Latin letters, signs and digits is the pattern's matches in it, in
     small letters; each distinct match, and each other piece, goes to the tokenizer once.
-    Pieces are known by a 64-bit hash; ASCII capitals count as small letters (the tokenizer lowers
-    them), but not in texts with combining marks, where lowering first could compose other letters.
+    Pieces are known by two 64-bit hashes; ASCII capitals count as small letters (the tokenizer
+    lowers them), but not in texts with combining marks, where lowering first could compose other
+    letters.  Texts in which two pieces share one hash but not the other go to the tokenizer whole.
     """
 
     def __init__(self, spec: str, limit: int = 1_000_000, matches: int = 300_000) -> None:
         self.matches = Matches(spec, matches)
-        self.lowered, self.plain = C.spaces_scanner(), C.spaces_scanner()
-        self.plain.lower = np.arange(256, dtype=np.uint8)
-        self.plain.code = C.mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+        self.lowered, self.plain = C.spaces_scanner(), C.spaces_scanner(lowered=False)
         if self.matches.ids("A b") != self.matches.ids("a b"):
             self.lowered = self.plain
         self.split = self._pattern(json.loads(spec)) if self.lowered is not self.plain else None
@@ -238,7 +243,7 @@ class WordCoder(C.PieceMemory):
 
     def forget(self) -> None:
         super().forget()
-        self.hashes, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known pieces, sorted by hash
+        self.hashes, self.checks, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)  # known pieces, sorted by hash
 
     def split_and_code(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The pieces' ids end to end, and how many each has."""
@@ -254,6 +259,10 @@ class WordCoder(C.PieceMemory):
         marks = bool(((raw == 0xCC) | (raw == 0xCD)).any())
         scanner = self.plain if marks else self.lowered
         starts, ends, hashes = scanner.scan(raw)
+        checks = scanner.check(raw, starts, ends)
+        if scanner is self.plain and self.lowered is not self.plain:
+            hashes, checks = C.mix64(hashes ^ PLAIN), C.mix64(checks ^ PLAIN)  # capitals told apart: names of their own
+        of_text = np.searchsorted(starts, at)
         names, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(names) + self.count > self.limit and self.count:
             self.forget()
@@ -269,8 +278,12 @@ class WordCoder(C.PieceMemory):
             codes[new] = self.append(*self.split_and_code(pieces)) + np.arange(len(new))
             both = np.concatenate([self.hashes, names[new]])
             order = np.argsort(both, kind="stable")  # two sorted runs: one merge
-            self.hashes, self.codes = both[order], np.concatenate([self.codes, codes[new]])[order]
-        return self.laid(codes[back], np.searchsorted(starts, at))
+            self.hashes, self.checks, self.codes = both[order], np.concatenate([self.checks, checks[first[new]]])[order], np.concatenate([self.codes, codes[new]])[order]
+        out = self.laid(codes[back], of_text)
+        wrong = np.flatnonzero(self.checks[np.searchsorted(self.hashes, names)][back] != checks)
+        for t in np.unique(np.searchsorted(of_text, wrong, "right") - 1).tolist():
+            out[t] = np.array(self.matches.ids(texts[t].decode()), np.uint32)
+        return out
 
 
 _CODERS: dict[int, WordCoder] = {}
@@ -297,15 +310,18 @@ def write_tables(docs: DataFrame, tokenizer_path: str, folder: str | None = None
     from tokenizers import Tokenizer
 
     width = 2 if Tokenizer.from_str(spec).get_vocab_size() <= 1 << 16 else 4
-    plan = docs.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(text)).alias("size")).first()
-    shards = max(1, math.ceil((plan["size"] or 0) / shard_bytes))
-    bounds: list[int] = []
-    if shards > 1:
-        steps = [i / shards for i in range(1, shards)]
-        bounds = sorted(set(docs.agg(F.percentile_approx(F.col(doc_id), steps, max(10_000, 20 * shards))).first()[0] or []))
+    # narrow rows: the id orders, a hash of the text where one id has several, and the bytes to be dealt out evenly
+    marks = {"h": F.coalesce(F.col("id"), F.lit(-(1 << 63))), "d": F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), "r": F.lit(0).cast("long")}
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
+    own = C.Kept(docs, "unused int")
+    given = own.df.select(own.column(doc_id).cast("long").alias("id"), own.column(text).alias("text"))
+    keyed = C.stored(given.select(*(v.alias(k) for k, v in marks.items()), size.alias("size")), "keys")
+    total = keyed.agg(F.sum("size").alias("size")).first()["size"] or 0
+    shards = max(1, min(math.ceil(total / shard_bytes), MOST_SHARDS))
+    cuts = as_keys(splitters(keyed, total, shards, 0.25 * total / shards) if shards > 1 else [])
     spec_shared = spark.sparkContext.broadcast(spec)
     wide = np.uint16 if width == 2 else np.uint32
-    cuts = np.array(bounds, np.int64)
+    bounds = spark.sparkContext.broadcast(cuts)
 
     @C.tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,10 +329,10 @@ def write_tables(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         for batch in C.slices(batches):
             texts = C.texts_of(batch, "text")
             for a, b in C.sub_batches(texts, 4 << 20):
-                ids = batch.column(0).slice(a, b - a)
-                plain = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+                part = batch.slice(a, b - a)
+                shard = np.searchsorted(bounds.value, row_keys(part), "right").astype(np.int32)
                 values = [np.append(x, np.uint32(end_id)).astype(wide).tobytes() for x in coder.encode(texts[a:b])]
-                yield pa.RecordBatch.from_pydict({"shard": pa.array(np.searchsorted(cuts, plain, "left").astype(np.int32)), "id": ids, "value": pa.array(values, pa.binary())})
+                yield pa.RecordBatch.from_pydict({"shard": pa.array(shard), "id": part.column(0), "d": part.column(part.schema.get_field_index("d")), "value": pa.array(values, pa.binary())})
 
     @C.tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +346,7 @@ def write_tables(docs: DataFrame, tokenizer_path: str, folder: str | None = None
             done.append((now, f"{folder}/shard-{now:06d}.sst", len(writer.keys), writer.ids))
 
         for batch in C.slices(batches):
-            for shard, doc, value in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for shard, doc, value in zip(*(batch.column(c).to_pylist() for c in ("shard", "id", "value")), strict=True):
                 if shard != now:
                     if writer:
                         close()
@@ -344,14 +360,14 @@ def write_tables(docs: DataFrame, tokenizer_path: str, folder: str | None = None
         types = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names)
 
-    coded = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(encode, "shard int, id long, value binary")
-    sorted_ = coded.repartition(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "value")
-    return C.cut(sorted_.mapInArrow(write, "shard int, path string, docs long, ids long"))
+    coded = given.select("id", "text", *(v.alias(k) for k, v in marks.items())).mapInArrow(encode, "shard int, id long, d long, value binary")
+    dealt = coded.repartitionById(shards, "shard").sortWithinPartitions("shard", F.col("id").asc_nulls_first(), "d", "value")
+    return C.cut(dealt.mapInArrow(write, "shard int, path string, docs long, ids long"))
 
 
 def read_tables(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """Documents of all shards, from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
-    rows = manifest.select("shard", "path", "ids").collect()  # a row for each file
+    rows = manifest.select("shard", "path", "ids").collect()  # a row for each file, at most MOST_SHARDS
     start, placed = 0, []
     for r in sorted(rows, key=lambda r: r["shard"]):
         placed.append((r["path"], start))

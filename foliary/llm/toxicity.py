@@ -6,12 +6,15 @@ toxic than clean texts hold it; a logistic regression is fitted on features scal
 weights times r make one table, by which every whole text is scored.
 
 Training uses at most ``per_class`` labelled texts of each class, the first in the order of a
-hash of the id (a documented bound: the sample is what a driver of fixed size can hold); both
-classes weigh the same, whatever their shares.
+hash of the id, and of a longer text its middle ``most_chars`` characters (documented
+bounds: the sample is what a driver of fixed size can hold); both classes weigh the same, whatever
+their shares.  Scores are always of whole texts.
 
 Defined results: null and empty texts score as a text without features; rows without a label, or
-with conflicting ones, are not trained on; with no row of one class all texts score the share of
-toxic labels (0 without labels); repeated rows get equal scores.
+with conflicting ones, are not trained on; where one labelled id has several texts, the least is
+trained on; with no row of one class all texts score the share of toxic labels (0 without labels);
+repeated rows get equal scores; a score equal to the threshold is predicted 1; an empty table gives
+an empty one; a column called like a result (in any case) gives way to it.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from foliary.llm import common as C
 ORDERS = (3, 4, 5)
 BITS = 18
 PER_CLASS = 2000
+MOST_CHARS = 256 << 10
 LEAST_RATIO = 1.0
 THRESHOLD = 0.7
 FOLD, HELD = 3, 1
@@ -150,11 +154,11 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float, orders: tuple[int,
     return Model((weight * scaled).astype(np.float32), bias, orders, bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", fold: int = FOLD, held: int = HELD) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", fold: int = FOLD, held: int = HELD, most_chars: int = MOST_CHARS) -> Model:
     """Learns from labelled rows outside the held-out fold."""
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & (F.crc32(F.col(doc_id).cast("string").cast("binary")) % fold != held))
-        .groupBy(F.col(doc_id).alias("__id")).agg(F.min(label).alias("__label"), F.max(label).alias("__most"))
+        .groupBy(F.col(doc_id).cast("long").alias("__id")).agg(F.min(label).alias("__label"), F.max(label).alias("__most"))
         .where("__label = __most").select("__id", "__label")
     )
     counts = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
@@ -163,15 +167,18 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text:
         return fit([], np.zeros(0, int), 0.0)
     parts = [known.where(f"__label = {k}").orderBy(F.xxhash64("__id"), "__id").limit(per_class) for k in (0, 1)]
     sample = parts[0].union(parts[1])  # at most 2 * per_class rows
-    chosen = docs.join(F.broadcast(sample), docs[doc_id] == sample["__id"]).select("__id", "__label", F.col(text).alias("__text"))
-    rows = sorted(((r["__id"], r["__label"], (r["__text"] or "").encode()) for r in chosen.dropDuplicates(["__id"]).toLocalIterator()), key=lambda r: r[0])
+    own = C.Kept(docs, "unused int")
+    whole = F.coalesce(own.column(text), F.lit(""))
+    middle = F.when(F.length(whole) > most_chars, F.substr(whole, ((F.length(whole) - most_chars) / 2).cast("int") + 1, F.lit(most_chars))).otherwise(whole)
+    chosen = own.df.select(own.column(doc_id).cast("long").alias("__key"), middle.alias("__text")).join(F.broadcast(sample), F.col("__key") == F.col("__id"))
+    rows = sorted(((r["__id"], r["__label"], r["__text"].encode()) for r in chosen.groupBy("__id", "__label").agg(F.min("__text").alias("__text")).toLocalIterator()), key=lambda r: r[0])
     return fit([r[2] for r in rows], np.array([r[1] for r in rows], int), counts.get(1, 0) / total)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:
-    """Columns ``keep`` (default: all but clashing ones), ``score`` (0 to 1) and ``predicted`` (1 from the threshold on)."""
+    """Columns ``keep`` (default: all) but those called like a result, ``score`` (0 to 1) and ``predicted`` (1 from the threshold on)."""
     C.prepare(docs.sparkSession)
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in (score, predicted)]
+    kept = C.Kept(docs, f"`{score}` double, `{predicted}` int", keep)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @C.tidy
@@ -179,8 +186,8 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | N
         model = shared.value
         features = Features(model.orders, model.bits)
         for batch in C.slices(batches):
-            scores = np.array([model.score(features, t) for t in C.texts_of(batch, "__text")], np.float64)
-            yield pa.RecordBatch.from_pydict(C.passed_on(batch, keep) | {score: pa.array(scores), predicted: pa.array((scores >= threshold).astype(np.int32))})
+            scores = np.array([model.score(features, t) for t in C.texts_of(batch, "body")], np.float64)
+            yield pa.RecordBatch.from_pydict(C.passed_on(batch, kept_columns) | {score: pa.array(scores), predicted: pa.array((scores >= threshold).astype(np.int32))})
 
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(task, ", ".join([*schema, f"`{score}` double, `{predicted}` int"]))
+    kept_columns = kept.columns
+    return kept.apply(task, body=kept.column(text))
