@@ -1,21 +1,27 @@
 """Language-model scores from an n-gram trie in Elias-Fano levels.
 
-The model is a bigram model with interpolated absolute discounting over add-half unigrams:
-  p(w | v) = max(c(vw) - D, 0) / c(v) + D * n(v) / c(v) * p1(w),   p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
-n(v) being the number of distinct words seen after v; after a context never seen it is p1(w).  The
-discounted part (on pairs) and the weight of p1 (on contexts) are the trie's quantised values.
+The model interpolates absolute discounting over add-half unigrams, for contexts of 1 to ``order`` - 1
+words (and the begin of a document):
+  p(w | c) = max(c(cw) - D, 0) / c(c) + D * n(c) / c(c) * p(w | c'),   p1(w) = (c(w) + 0.5) / (N + 0.5 (V + 1)),
+c' being c without its first word and n(c) the number of distinct words seen after c; after a context
+never seen it is p(w | c').  A node of the trie holds, quantised, the discounted part of its n-gram,
+the weight n-grams behind it give to shorter ones, and on the first level the unigram's p1.
 
 Nothing of the corpus has to fit in one place.  Documents are read once, into blocks of about
 ``BLOCK_TOKENS`` words, each with a dictionary of its own; the word streams are files in the shared
-folder.  Each block sends its distinct words, then its distinct pairs, to shards (one row for each
-block and shard, pre-counted), a shard counts, builds its trie, memory-maps it, looks up all pairs
-that were sent, and answers each block.  Words are dealt by hash and pairs by their context's
-hash; a block sends each pair once, and a context that would fill more than a quarter of a shard is
-spread over several by its pairs' second words (each shard then knows a part of its weight, and a
-block asks all of them).  The tries stay in a table of the shared folder.
+folder.  Each block sends its distinct words, then its distinct pairs, then triples, to shards (one
+row for each block and shard, pre-counted); a shard counts, builds its part of the trie, memory-maps
+it, looks up all that was sent, and answers each block.  A pair's place in its shard's trie is the
+context of the triples behind it.  Words are dealt by hash and longer n-grams by their context's; a
+context that would fill more than a quarter of a shard is spread over several by its n-grams' last
+words (each shard then knows a part of its weight, and a block asks all of them).  The number of
+shards follows the number of tokens, so a shard's task is of about one size (up to ``MOST_SHARDS``).
+The tries stay in a table of the shared folder.
 
 Defined results: a null text is an empty one, of the end token alone; without training documents
-every token has the probability of an unknown one; repeated rows are counted and scored each.
+every token has the probability of an unknown one; repeated rows are counted and scored each; a very
+long text makes its block as large as it is; an empty table gives an empty one; columns beside id and
+text play no part, whatever their names.  Words are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -34,13 +40,16 @@ from pyspark.sql import functions as F
 
 from foliary.llm import common as C
 from foliary.llm.sstable import filesystem
-from foliary.llm.trie import Trie
+from foliary.llm.trie import MappedTrie, Trie
 
 FOLD, HELD = 5, 1
+ORDER = 3
 BLOCK_TOKENS = 2_000_000
+SHARD_TOKENS = 4_000_000
+MOST_SHARDS = 1 << 20
 DISCOUNT = 0.75
-ID_BITS = 32
-NONE = BEGIN = (1 << ID_BITS) - 1  # as a second word: none; as a context: the begin of a document
+WORD_BITS, LEAF_BITS = 38, 32
+END, BEGIN, FIRST = 0, 1, 2  # ids; words follow
 SPREAD = 4
 
 
@@ -61,11 +70,24 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64) if data[:1] == b"d" else x
 
 
+def distinct_words(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (hash, check), sorted, and each one's place among them."""
+    names, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+    if (checks[first][back] == checks).all():
+        return names, checks[first], back
+    order = np.lexsort((checks, hashes))
+    a, b = hashes[order], checks[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return a[new], b[new], place
+
+
 def _shards_of(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)).astype(np.int64)
 
 
-def _slices(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
+def _runs(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """(shard, first, end) of each run of a sorted array."""
     if len(shard):
         cuts = np.flatnonzero(np.diff(shard)) + 1
@@ -73,6 +95,29 @@ def _slices(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(shard[a]), a, b
 
 
+def _batch(rows: list[tuple], columns: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(columns.values())], list(columns))
+
+
+_NAMES = {pa.int32(): "int", pa.int64(): "long", pa.string(): "string", pa.binary(): "binary"}
+
+
+def _ddl(columns: dict[str, pa.DataType]) -> str:
+    return ", ".join(f"{c} {_NAMES[t]}" for c, t in columns.items())
+
+
+def _columns(integers: str = "", longs: str = "", strings: str = "", binaries: str = "") -> dict[str, pa.DataType]:
+    return {c: t for names, t in ((integers, pa.int32()), (longs, pa.int64()), (strings, pa.string()), (binaries, pa.binary())) for c in names.split()}
+
+
+BLOCKS = _columns(longs="block learnt tokens", strings="path", binaries="keys checks counts")
+WORDS = _columns("shard", "block", "path", "keys checks counts")
+#: What comes back to blocks; of words: path, a their ranks, b their counts; of longer n-grams:
+#: a codes, b weights of contexts, c places and d counts of those in the trie, e unigram codes, books.
+ANSWERS = _columns("shard level", "block distinct seen tokens", "path", "a b c d e books trie")
+ASKED = _columns("shard", "block", "", "contexts lengths words counts totals")
+
+
 def _write_blocks(folder: str, block_tokens: int):
     """One row for each block: where its stream is, and its distinct words with their training counts."""
 
@@ -83,16 +128,15 @@ def _write_blocks(folder: str, block_tokens: int):
         number = TaskContext.get().partitionId() << 24
         ids: list = []
         held: list = []
-        parts: list[np.ndarray] = []
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         sizes: list[np.ndarray] = []
         tokens = 0
 
         def close() -> pa.RecordBatch:
             nonlocal number, ids, held, parts, sizes, tokens
             size, out = np.concatenate(sizes), np.array(held, bool)
-            words, stream = np.unique(np.concatenate(parts), return_inverse=True)
-            learnt = np.repeat(~out, size)
-            counts = np.bincount(stream[learnt], minlength=len(words)).astype(np.uint32)
+            words, checks, stream = distinct_words(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
+            counts = np.bincount(stream[np.repeat(~out, size)], minlength=len(words)).astype(np.uint32)
             name = f"block-{number}-{uuid.uuid4().hex}.bin"
             head = json.dumps({"ids": ids, "held": [int(h) for h in held]}).encode()
             sections = [zstandard.ZstdCompressor(level=1).compress(head), pack(size.astype(np.uint32)), pack(stream.astype(np.uint32))]
@@ -100,20 +144,20 @@ def _write_blocks(folder: str, block_tokens: int):
             with fs.open_output_stream(f"{root}/{name}.tmp") as f:
                 f.write(np.array([len(s) for s in sections], "<u8").tobytes() + b"".join(sections))
             fs.move(f"{root}/{name}.tmp", f"{root}/{name}")
-            row = {"block": [number], "path": [f"{folder}/{name}"], "keys": [pack(words)], "counts": [pack(counts)], "learnt": [int((~out).sum())]}
+            row = (number, int((~out).sum()), tokens, f"{folder}/{name}", pack(words), pack(checks), pack(counts))
             number += 1
             ids, held, parts, sizes, tokens = [], [], [], [], 0
-            return pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(row.items(), (pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.int64()), strict=True)})
+            return _batch([row], BLOCKS)
 
         for batch in C.slices(batches):
             texts = C.texts_of(batch, "text")
             doc, out = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             for a, b in C.sub_batches(texts):
                 raw, at = C.joined(texts[a:b])
-                starts, _, hashes = scanner.scan(raw)
+                starts, ends, hashes = scanner.scan(raw)
                 ids += doc[a:b]
                 held += out[a:b]
-                parts.append(hashes)
+                parts.append((hashes, scanner.check(raw, starts, ends)))
                 sizes.append(np.diff(np.searchsorted(starts, at)))
                 tokens += len(hashes) + b - a
                 if tokens >= block_tokens:
@@ -136,262 +180,309 @@ class Block:
         head = json.loads(zstandard.ZstdDecompressor().decompress(data[at[0] : at[1]]))
         self.ids, self.held = head["ids"], np.array(head["held"], bool)
         self.sizes, self.stream = unpack(data[at[1] : at[2]]).astype(np.int64), unpack(data[at[2] : at[3]])
+        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)  # of each token
+        self.first = np.concatenate([[0], np.cumsum(self.sizes + 1)[:-1]])  # each document's first token
 
-    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        """All tokens in order (0: end, word i: i + 1), and the document of each."""
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)
-        out = np.zeros(len(doc), np.int64)
-        word = np.ones(len(doc), bool)
+    def tokens(self) -> np.ndarray:
+        """All tokens in order, as numbers (0: end, word i: i + 2)."""
+        out = np.full(len(self.doc), END, np.int64)
+        word = np.ones(len(out), bool)
         word[np.cumsum(self.sizes + 1) - 1] = False
-        out[word] = self.stream.astype(np.int64) + 1
-        return out, doc
-
-    def pairs(self, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per token, context * (words + 1) + token; the begin of a document is context ``words + 1``."""
-        tokens, doc = self.tokens()
-        before = np.concatenate([[0], tokens[:-1]])
-        before[np.concatenate([[0], np.cumsum(self.sizes + 1)[:-1]])] = words + 1
-        return before * (words + 1) + tokens, tokens, doc
+        out[word] = self.stream.astype(np.int64) + FIRST
+        return out
 
 
 def _send_words(shards: int):
     @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in C.slices(batches):
-            for block, path, keys, counts in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                words, count = unpack(keys), unpack(counts)
-                rows = [(s, block, path, pack(words[a:b]), pack(count[a:b])) for s, a, b in _slices(_shards_of(words, shards))]
-                rows = rows or [(0, block, path, pack(words), pack(count))]  # a block of empty texts
-                yield _batch(rows, [pa.int32(), pa.int64(), pa.string(), pa.binary(), pa.binary()], ["shard", "block", "path", "keys", "counts"])
+        for batch in batches:
+            for r in batch.to_pylist():
+                words, checks, count = unpack(r["keys"]), unpack(r["checks"]), unpack(r["counts"])
+                rows = [(s, r["block"], r["path"], pack(words[a:b]), pack(checks[a:b]), pack(count[a:b])) for s, a, b in _runs(_shards_of(words, shards))]
+                yield _batch(rows or [(0, r["block"], r["path"], pack(words), pack(checks), pack(count))], WORDS)  # or: a block of empty texts
 
     return task
 
 
-def _batch(rows: list[tuple], types: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-
-
-def _count_words(table: pa.Table) -> pa.Table:
-    """Global numbers and counts for the words of a shard, block by block."""
-    rows = table.select(["block", "path", "keys", "counts"]).to_pylist()
-    keys, counts = [unpack(r["keys"]) for r in rows], [unpack(r["counts"]) for r in rows]
-    words, back = np.unique(np.concatenate(keys).astype(np.uint64), return_inverse=True)
-    total = np.bincount(back, weights=np.concatenate(counts).astype(np.float64), minlength=len(words)).astype(np.uint64)
-    at, out = 0, {"shard": [], "block": [], "path": [], "ranks": [], "totals": [], "distinct": [], "seen": [], "tokens": []}
-    for r, k in zip(rows, keys, strict=True):
-        rank = back[at : at + len(k)]
-        at += len(k)
-        out["shard"].append(table.column("shard")[0].as_py())
-        out["block"].append(r["block"])
-        out["path"].append(r["path"])
-        out["ranks"].append(pack(rank.astype(np.uint64)))
-        out["totals"].append(pack(total[rank].astype(np.uint32) if not len(total) or total.max() < 1 << 32 else total[rank]))
-        out["distinct"].append(len(words))
-        out["seen"].append(int((total > 0).sum()))
-        out["tokens"].append(int(total.sum()))
-    C.release()
-    types = {"shard": pa.int32(), "block": pa.int64(), "path": pa.string(), "ranks": pa.binary(), "totals": pa.binary(), "distinct": pa.int64(), "seen": pa.int64(), "tokens": pa.int64()}
-    return pa.table({k: pa.array(v, types[k]) for k, v in out.items()})
-
-
-_WORDS = "shard int, block long, path string, ranks binary, totals binary, distinct long, seen long, tokens long"
-
-
-def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
-    """Rows sorted by block, a block at a time."""
+def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows sorted by a column, those of one value at a time."""
     now, rows = None, []
     for batch in C.slices(batches):
         for row in batch.to_pylist():
-            if rows and row["block"] != now:
+            if rows and row[column] != now:
                 yield now, rows
                 rows = []
-            now = row["block"]
+            now = row[column]
             rows.append(row)
     if rows:
         yield now, rows
 
 
+def _wide(x: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits where they fit."""
+    return x.astype(np.uint32 if not len(x) or x.max() < 1 << 32 else np.uint64)
+
+
+@C.tidy
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ranks within the shard and counts for its words, block by block."""
+    for shard, rows in _by("shard", batches):
+        keys, checks, counts = ([unpack(r[c]) for r in rows] for c in ("keys", "checks", "counts"))
+        words, _, back = distinct_words(np.concatenate(keys).astype(np.uint64), np.concatenate(checks).astype(np.uint64))
+        total = np.bincount(back, weights=np.concatenate(counts).astype(np.float64), minlength=len(words)).astype(np.uint64)
+        at = 0
+        for r, k in zip(rows, keys, strict=True):
+            rank = back[at : at + len(k)]
+            at += len(k)
+            yield _batch([(shard, 1, r["block"], len(words), int((total > 0).sum()), int(total.sum()), r["path"], pack(rank.astype(np.uint64)), pack(_wide(total[rank])), None, None, None, None, None)], ANSWERS)
+
+
 class Model:
     """What all tasks know: the shards' first ids, and the training counts in all."""
 
-    def __init__(self, offset: np.ndarray, tokens: int, seen: int, documents: int) -> None:
-        self.offset, self.shards, self.documents = offset, len(offset), documents
+    def __init__(self, offset: np.ndarray, shards: int, tokens: int, seen: int, documents: int) -> None:
+        self.offset, self.shards, self.documents = offset, shards, documents
         self.total = tokens + documents
         self.unit = self.total + 0.5 * (seen + (documents > 0) + 1)
 
-    def spread(self, count: np.ndarray) -> np.ndarray:
+    def p1(self, count: np.ndarray) -> np.ndarray:
+        return (count + 0.5) / self.unit
+
+    def parts(self, count: np.ndarray) -> np.ndarray:
         """Over how many shards a context of that count goes."""
         return np.clip(np.ceil(count * (SPREAD * self.shards / max(1, self.total))), 1, self.shards).astype(np.int64)
 
+    def home(self, ids: np.ndarray) -> np.ndarray:
+        return _shards_of(C.mix64(ids.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), self.shards)
 
-class Sent:
-    """A block's distinct pairs in the order of shard and key, as they are sent and answered.
-
-    context: the words' numbers (words + 1: begin); of_token: each token's pair.
-    """
-
-    def __init__(self, block: Block, shard: np.ndarray, rank: np.ndarray, count: np.ndarray, model: Model) -> None:
-        words = len(rank)
-        pair, _, doc = block.pairs(words)
-        distinct, back = np.unique(pair, return_inverse=True)
-        counts = np.bincount(back, weights=(~block.held[doc]).astype(np.float64), minlength=len(distinct)).astype(np.uint32)
-        context, word = distinct // (words + 1), distinct % (words + 1)
-        ids = np.concatenate([[0], model.offset[shard] + rank + 1]).astype(np.int64)  # by word number; 0 is the end
-        second = ids[word]
-        # by context number: id, count, first shard; words and the begin are contexts, the end isn't
-        own = np.concatenate([ids, [BEGIN]])
-        total = np.concatenate([[0], count, [model.documents]]).astype(np.int64)
-        home = np.concatenate([[0], shard, [model.shards - 1]]).astype(np.int64)
-        parts = model.spread(total)
-        asked = np.unique(context)
-        wide = asked[parts[asked] > 1]  # all shards of a spread context are asked for its weight
-        more = np.repeat(wide, parts[wide])
-        turn = np.arange(len(more)) - np.repeat(np.cumsum(parts[wide]) - parts[wide], parts[wide])
-        at = np.concatenate([(home[context] + second % parts[context]) % model.shards, (home[more] + turn) % model.shards])
-        context = np.concatenate([context, more])
-        key = (own[context].astype(np.uint64) << np.uint64(ID_BITS)) | np.concatenate([second, np.full(len(more), NONE)]).astype(np.uint64)
-        order = np.lexsort((key, at))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.shard, self.key, self.context = at[order], key[order], context[order]
-        self.counts = np.concatenate([counts, np.zeros(len(more), np.uint32)])[order]
-        self.total = total[self.context]
-        self.of_token = place[back]
-
-
-def _dictionary(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Shard, rank and training count of each word of a block, from the shards' answers."""
-    rows = sorted(rows, key=lambda r: r["shard"])
-    ranks, totals = [unpack(r["ranks"]).astype(np.int64) for r in rows], [unpack(r["totals"]).astype(np.int64) for r in rows]
-    return np.repeat([r["shard"] for r in rows], [len(r) for r in ranks]).astype(np.int64), np.concatenate(ranks), np.concatenate(totals)
-
-
-def _first_of(values: np.ndarray) -> np.ndarray:
-    """Where each run of equal values begins."""
-    return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-
-
-def _send_pairs(model: Model):
-    @C.tidy
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, rows in _by_block(batches):
-            sent = Sent(Block(rows[0]["path"]), *_dictionary(rows), model)
-            out = []
-            for s, a, b in _slices(sent.shard):
-                first = a + _first_of(sent.context[a:b])
-                out.append((s, number, pack(sent.key[a:b]), pack(sent.counts[a:b]), pack(sent.total[first].astype(np.uint64))))
-            yield _batch(out, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["shard", "block", "keys", "counts", "totals"])
-
-    return task
 
+class Asked:
+    """A block's distinct n-grams of one length, in the order of shard, context and word, as they are sent and answered.
 
-def shard_trie(keys: np.ndarray, counts: np.ndarray, contexts: np.ndarray, totals: np.ndarray, discount: float) -> Trie:
-    """Trie of a shard's training pairs (sorted keys): contexts with log10 of their part of p1's weight, words with log10 of the discounted part.
+    Contexts and words are numbers in the order of their ids.  shard, context, word, counts: of each
+    entry; of_token: each token's entry (-1: none, as its context isn't in training); asked_shard,
+    asked_context, lengths: which shard is asked about which context, and with how many entries.
+    """
 
-    contexts, totals: all contexts, sorted, and how often each occurs in training.
+    def __init__(self, context: np.ndarray, context_id: np.ndarray, context_count: np.ndarray, word: np.ndarray, word_id: np.ndarray, learnt: np.ndarray, model: Model) -> None:
+        contexts, words = max(1, len(context_id)), len(word_id)
+        asking = np.flatnonzero(context >= 0)
+        c, w = context[asking], word[asking]
+        parts, home = model.parts(context_count), model.home(context_id)
+        at = (home[c] + word_id[w] % parts[c]) % model.shards if len(c) else c
+        if model.shards * contexts * words < 1 << 63:
+            entries, back = np.unique((at * contexts + c) * words + w, return_inverse=True)
+            self.word, rest = entries % words, entries // words
+            self.shard, self.context = rest // contexts, rest % contexts
+        else:  # a block of very many words: the same order by three keys
+            order = np.lexsort((w, c, at))
+            x, y, z = at[order], c[order], w[order]
+            new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])])
+            back = np.empty(len(order), np.int64)
+            back[order] = np.cumsum(new) - 1
+            self.shard, self.context, self.word = x[new], y[new], z[new]
+        self.counts = np.bincount(back, weights=learnt[asking], minlength=len(self.word)).astype(np.uint32)
+        self.of_token = np.full(len(context), -1, np.int64)
+        self.of_token[asking] = back
+        used = np.unique(c)
+        more = np.repeat(used, parts[used])
+        turn = np.arange(len(more)) - np.repeat(np.cumsum(parts[used]) - parts[used], parts[used])
+        place = (home[more] + turn) % model.shards if len(more) else more
+        order = np.lexsort((more, place))
+        self.asked_shard, self.asked_context = place[order], more[order]
+        asked = self.asked_shard * contexts + self.asked_context
+        held, number = np.unique(self.shard * contexts + self.context, return_counts=True)
+        self.lengths = np.zeros(len(asked), np.int64)
+        self.lengths[np.searchsorted(asked, held)] = number
+        self.word_id, self.context_id, self.total = word_id, context_id, context_count
+
+    def rows(self, block: int) -> Iterator[tuple]:
+        ends = np.concatenate([[0], np.cumsum(self.lengths)])
+        for s, a, b in _runs(self.asked_shard):
+            x, y, of = ends[a], ends[b], self.asked_context[a:b]
+            yield s, block, pack(self.context_id[of].astype(np.uint64)), pack(self.lengths[a:b].astype(np.uint32)), pack(self.word_id[self.word[x:y]].astype(np.uint64)), pack(self.counts[x:y]), pack(_wide(self.total[of]))
+
+
+class Walk:
+    """A block's tokens with what is known of them after some levels: probability, and context of the next level."""
+
+    def __init__(self, rows: list[dict], model: Model) -> None:
+        words = sorted((r for r in rows if r["level"] == 1), key=lambda r: r["shard"])
+        self.rows, self.model, self.block = rows, model, Block(words[0]["path"])
+        ids = [unpack(r["a"]).astype(np.int64) + model.offset[r["shard"]] + FIRST for r in words]
+        counts = [unpack(r["b"]).astype(np.int64) for r in words]
+        self.word_id, self.count = np.concatenate([[END, BEGIN], *ids]), np.concatenate([[model.documents] * 2, *counts])
+        self.word = self.block.tokens()
+        self.learnt = (~self.block.held[self.block.doc]).astype(np.float64)
+        self.context = np.concatenate([[BEGIN], self.word[:-1]])
+        self.context[self.block.first] = BEGIN
+        self.context[self.count[self.context] == 0] = -1
+        self.context_id, self.context_count = self.word_id, self.count
+        self.p = np.zeros(0)
+
+    def ask(self) -> Asked:
+        return Asked(self.context, self.context_id, self.context_count, self.word, self.word_id, self.learnt, self.model)
+
+    def take(self, level: int) -> None:
+        """Goes on by the shards' answers of one level."""
+        asked = self.ask()
+        answers = sorted((r for r in self.rows if r["level"] == level), key=lambda r: r["shard"])
+        part = np.zeros(len(asked.word))
+        # a context's weight is the sum over its shards; one that none of them knows has all its weight on shorter ones
+        of_context = np.zeros(len(self.context_id))
+        unigram = np.full(len(self.context_id), -np.inf)
+        entry = at = 0
+        for r in answers:
+            code, weight = unpack(r["a"]).astype(np.int64), unpack(r["b"]).astype(np.int64)
+            books = np.frombuffer(r["books"], "<f4").reshape(-1, 256)
+            book = lambda i, books=books: np.concatenate([[-np.inf], books[i]])
+            part[entry : entry + len(code)] = 10.0 ** book(0)[code]
+            of = asked.asked_context[at : at + len(weight)]
+            of_context[of] += 10.0 ** book(1)[weight]
+            if level == 2:
+                unigram[of] = np.maximum(unigram[of], book(2)[unpack(r["e"]).astype(np.int64)])
+            entry, at = entry + len(code), at + len(weight)
+        if level == 2:
+            p1 = self.model.p1(np.where(np.arange(len(self.count)) == END, self.count, 0).astype(np.float64))
+            told = ~np.isneginf(unigram)
+            told[[END, BEGIN]] = False
+            p1[told] = 10.0 ** unigram[told]
+            self.p = p1[self.word]
+        of_context[of_context == 0] = 1.0
+        some = np.flatnonzero(asked.of_token >= 0)
+        self.p[some] = part[asked.of_token[some]] + of_context[self.context[some]] * self.p[some]
+        if any(r["c"] for r in answers):
+            leaf, count = np.full(len(asked.word), -1, np.int64), np.zeros(len(asked.word), np.int64)
+            entry = 0
+            for r in answers:
+                code = unpack(r["a"])
+                held = entry + np.flatnonzero(code)
+                leaf[held], count[held] = unpack(r["c"]).astype(np.int64), unpack(r["d"]).astype(np.int64)
+                entry += len(code)
+            before = np.concatenate([[-1], asked.of_token[:-1]])
+            before[self.block.first] = -1
+            known = before >= 0
+            known[known] = leaf[before[known]] >= 0
+            self.context = np.where(known, before, -1)
+            self.context_id, self.context_count = (asked.shard << LEAF_BITS) | np.maximum(leaf, 0), count
+
+
+def shard_trie(contexts: np.ndarray, totals: np.ndarray, keys: np.ndarray, counts: np.ndarray, discount: float, unit: float | None) -> Trie:
+    """Trie of a shard's training n-grams.
+
+    contexts: ids, sorted, and how often each occurs in training; keys: (number of the context, id of
+    the word), sorted, with their counts.  The upper level has log10 of the weight that a context's
+    n-grams here leave to shorter ones (and of its unigram's probability, where ``unit`` is given),
+    the lower one log10 of the discounted parts.
     """
     seen = counts > 0
     keys, counts = keys[seen], counts[seen].astype(np.float64)
-    held, first, back = np.unique(keys >> np.uint64(ID_BITS), return_index=True, return_inverse=True)
-    total = np.maximum(totals[np.searchsorted(contexts, held)], 1).astype(np.float64)
+    held, first, back = np.unique(keys >> np.uint64(WORD_BITS), return_index=True, return_inverse=True)
+    held = held.astype(np.int64)
+    total = np.maximum(totals[held], 1).astype(np.float64)
     follow = np.diff(np.append(first, len(keys)))
-    weight = np.log10(discount * follow / total)
+    upper = [np.log10(discount * follow / total)]
+    if unit is not None:
+        upper.append(np.log10((totals[held] + 0.5) / unit))
     part = np.log10(np.maximum(counts - discount, 1e-9) / total[back])
-    return Trie.build([(np.zeros(len(held), np.int64), held, weight), (back, keys & np.uint64(NONE), part)])
+    return Trie.build([(np.zeros(len(held), np.int64), contexts[held], *upper), (back, keys & np.uint64((1 << WORD_BITS) - 1), part)])
+
 
+def _answer(level: int, last: bool, discount: float, unit: float):
+    """Answers to all blocks that ask a shard; and the shard's trie."""
 
-def _answer_pairs(discount: float):
-    def task(table: pa.Table) -> pa.Table:
-        rows = table.select(["block", "keys", "counts", "totals"]).to_pylist()
-        keys = [unpack(r["keys"]).astype(np.uint64) for r in rows]
-        firsts = [_first_of(k >> np.uint64(ID_BITS)) for k in keys]
-        contexts, once = np.unique(np.concatenate([k[f] >> np.uint64(ID_BITS) for k, f in zip(keys, firsts, strict=True)]), return_index=True)
+    @C.tidy
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _by("shard", batches):
+            yield from answers(shard, rows)
+            C.release()
+
+    def answers(shard: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        asked = [unpack(r["contexts"]).astype(np.uint64) for r in rows]
+        contexts, once, place = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
         totals = np.concatenate([unpack(r["totals"]).astype(np.int64) for r in rows])[once]
-        distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-        counts = np.bincount(back, weights=np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.float64), minlength=len(distinct))
-        built = shard_trie(distinct, counts, contexts, totals, discount)
-        data = built.packed()
-        with built.mapped() as trie:
-            of = np.searchsorted(contexts, distinct >> np.uint64(ID_BITS))
+        lengths = np.concatenate([unpack(r["lengths"]) for r in rows]).astype(np.int64)
+        keys = (np.repeat(place.astype(np.uint64), lengths) << np.uint64(WORD_BITS)) | np.concatenate([unpack(r["words"]).astype(np.uint64) for r in rows])
+        counts = np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.float64)
+        of_row = np.concatenate([[0], np.cumsum([len(a) for a in asked])])
+        of_entry = np.concatenate([[0], np.cumsum(lengths)])[of_row]
+        numbers = [r["block"] for r in rows]
+        rows.clear()
+        keys, back = np.unique(keys, return_inverse=True)
+        counts = np.bincount(back, weights=counts, minlength=len(keys))
+        built = shard_trie(contexts, totals, keys, counts, discount, unit if level == 2 else None).packed()
+        none = (None,) * 4
+        yield _batch([(shard, level, *none, None, *none, None, None, built)], ANSWERS)
+        with MappedTrie(built) as trie:
             node = trie.find(0, np.zeros(len(contexts), np.int64), contexts)
-            leaf = trie.find(1, node[of], distinct & np.uint64(NONE))
-            # 0 in the first array: no such pair, and no such context, in training
-            code = np.where(leaf >= 0, trie.levels[1][3][np.maximum(leaf, 0)].astype(np.uint16) + 1 if len(trie.levels[1][3]) else 0, 0).astype(np.uint16)
-            weight = np.where(node >= 0, trie.levels[0][3][np.maximum(node, 0)].astype(np.uint16) + 1 if len(trie.levels[0][3]) else 0, 0).astype(np.uint16)
-            books = [trie.books[1].copy(), trie.books[0].copy()]
-        shard = table.column("shard")[0].as_py()
-        at, out = 0, [(shard, None, data, None, None, None)]
-        for r, k, first in zip(rows, keys, firsts, strict=True):
-            pick = back[at : at + len(k)]
-            at += len(k)
-            out.append((shard, r["block"], pack(code[pick]), pack(weight[of[pick[first]]]), books[0].astype("<f8").tobytes(), books[1].astype("<f8").tobytes()))
-        names = ["shard", "block", "codes", "weights", "part_book", "weight_book"]
-        del keys, distinct, back, counts, contexts, of, node, leaf, code, weight, built
-        C.release()
-        return pa.Table.from_batches([_batch(out, [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()], names)])
+            leaf = trie.find(1, node[(keys >> np.uint64(WORD_BITS)).astype(np.int64)], keys & np.uint64((1 << WORD_BITS) - 1))
+            code, weight = trie.codes(1, leaf), trie.codes(0, node)
+            unigram = trie.codes(0, node, 1) if level == 2 else None
+            books = np.concatenate([trie.books[1], trie.books[0]]).astype("<f4").tobytes()
+        for block, a, b, x, y in zip(numbers, of_row[:-1], of_row[1:], of_entry[:-1], of_entry[1:], strict=True):
+            entries, mine = back[x:y], place[a:b]
+            held = entries[leaf[entries] >= 0]
+            more = (None, None) if last else (pack(leaf[held].astype(np.uint64)), pack(_wide(counts[held])))
+            yield _batch([(shard, level, block, None, None, None, None, pack(code[entries]), pack(weight[mine]), *more, pack(unigram[mine]) if level == 2 else None, books, None)], ANSWERS)
 
     return task
 
 
-def _score(model: Model):
+def _ask(level: int, model):
     @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in _by_block(batches):
-            words = [r for r in rows if r["kind"] == 1]
-            answers = sorted((r for r in rows if r["kind"] == 2), key=lambda r: r["shard"])
-            shard, rank, count = _dictionary(words)
-            block = Block(words[0]["path"])
-            stream, doc = block.tokens()
-            each = np.concatenate([[model.documents], count])[stream].astype(np.float64)
-            p1 = (each + 0.5) / model.unit
-            part, weight = [], []
-            for r in answers:
-                code, w = unpack(r["codes"]).astype(np.int64), unpack(r["weights"]).astype(np.int64)
-                part_book, weight_book = (np.concatenate([[-np.inf], np.frombuffer(r[c], "<f8")]) for c in ("part_book", "weight_book"))
-                part.append(10.0 ** part_book[code])
-                weight.append(10.0 ** weight_book[w])
-            sent = Sent(block, shard, rank, count, model)
-            # a context's weight is the sum over its shards; one that none of them knows has all its weight on p1
-            run = _first_of(sent.shard * (len(rank) + 2) + sent.context)
-            of_context = np.bincount(sent.context[run], weights=np.concatenate(weight), minlength=len(rank) + 2)
-            of_context[of_context == 0] = 1.0
-            pair = sent.of_token
-            p = np.concatenate(part)[pair] + of_context[sent.context[pair]] * p1
+        for block, rows in _by("block", batches):
+            walk = Walk(rows, model.value)
+            for done in range(2, level):
+                walk.take(done)
+            for row in walk.ask().rows(block):
+                yield _batch([row], ASKED)
+
+    return task
+
+
+def _score(order: int, model):
+    @C.tidy
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _by("block", batches):
+            walk = Walk(rows, model.value)
+            for level in range(2, order + 1):
+                walk.take(level)
+            block, count = walk.block, walk.count[walk.word].astype(np.float64)
+            p1 = model.value.p1(count)
+            p = walk.p if len(walk.p) else p1
             n = len(block.sizes)
-            sums = [np.bincount(doc, weights=x, minlength=n) for x in (np.log10(p1), np.log10(np.minimum(p, 1.0)), (each > 0).astype(np.float64))]
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids, pa.int64()), "held_out": pa.array(block.held), "n_tokens": pa.array(block.sizes + 1), "n_known": pa.array(sums[2].astype(np.int64)), "train_tokens": pa.array(np.full(n, model.total), pa.int64()), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
+            sums = [np.bincount(block.doc, weights=x, minlength=n) for x in (np.log10(p1), np.log10(np.minimum(p, 1.0)), (count > 0).astype(np.float64))]
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(block.ids, pa.int64()), "held_out": pa.array(block.held), "n_tokens": pa.array(block.sizes + 1), "n_known": pa.array(sums[2].astype(np.int64)), "train_tokens": pa.array(np.full(n, model.value.total), pa.int64()), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
 
     return task
 
 
-def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fold: int = FOLD, held: int = HELD, discount: float = DISCOUNT, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fold: int = FOLD, held: int = HELD, order: int = ORDER, discount: float = DISCOUNT, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Learns from the documents outside the held-out fold, scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     C.prepare(spark)
-    shards = C.shuffle_partitions(spark)
-    folder = C.own_folder(spark, "lm-blocks")
-    marked = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), C.held_out(doc_id, fold).alias("held") if held == 1 else (F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % fold == held).alias("held"))
-    blocks = C.cut(marked.mapInArrow(_write_blocks(folder, block_tokens), "block long, path string, keys binary, counts binary, learnt long"))
-    learnt = blocks.agg(F.sum("learnt").alias("n")).first()["n"] or 0
-    sent = blocks.select("block", "path", "keys", "counts").mapInArrow(_send_words(shards), "shard int, block long, path string, keys binary, counts binary")
-    words = C.cut(sent.groupBy("shard").applyInArrow(_count_words, _WORDS))
-    stats = words.groupBy("shard").agg(F.first("distinct").alias("distinct"), F.first("seen").alias("seen"), F.first("tokens").alias("tokens")).collect()  # a row for each shard
+    own = C.Kept(docs, "unused int")
+    text_of_id = F.coalesce(own.column(doc_id).cast("string"), F.lit(""))
+    marked = own.df.select(own.column(doc_id).cast("long").alias("doc_id"), own.column(text).alias("text"), (F.crc32(text_of_id.cast("binary")) % fold == held).alias("held"))
+    blocks = C.cut(marked.mapInArrow(_write_blocks(C.own_folder(spark, "lm-blocks"), block_tokens), _ddl(BLOCKS)))
+    read = blocks.agg(F.sum("learnt").alias("learnt"), F.sum("tokens").alias("tokens")).first()
+    shards = max(1, min(math.ceil((read["tokens"] or 0) / shard_tokens), MOST_SHARDS))
+    dealt = lambda rows: rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "block")
+    found = C.cut(dealt(blocks.mapInArrow(_send_words(shards), _ddl(WORDS))).mapInArrow(_count_words, _ddl(ANSWERS)))
+    stats = found.groupBy("shard").agg(*(F.first(c).alias(c) for c in ("distinct", "seen", "tokens"))).toArrow()  # a row for each shard, at most MOST_SHARDS
     sizes = np.zeros(shards, np.int64)
-    for r in stats:
-        sizes[r["shard"]] = r["distinct"]
-    if int(sizes.sum()) >= NONE - 1:
+    sizes[stats.column("shard").to_numpy()] = stats.column("distinct").to_numpy()
+    if int(sizes.sum()) + FIRST >= 1 << WORD_BITS:
         raise ValueError("more words than ids")
-    offset = np.cumsum(sizes) - sizes
-    tokens, seen = sum(r["tokens"] for r in stats), sum(r["seen"] for r in stats)
-    model = Model(offset, tokens, seen, learnt)
-    by_block = words.select("block", "shard", "path", "ranks", "totals").repartition("block").sortWithinPartitions("block", "shard")
-    pairs = by_block.mapInArrow(_send_pairs(model), "shard int, block long, keys binary, counts binary, totals binary")
-    answers = C.cut(pairs.groupBy("shard").applyInArrow(_answer_pairs(discount), "shard int, block long, codes binary, weights binary, part_book binary, weight_book binary"))
-    empty = F.lit(None)
-    one = words.select("block", F.lit(1).alias("kind"), "shard", "path", "ranks", "totals", empty.cast("binary").alias("codes"), empty.cast("binary").alias("weights"), empty.cast("binary").alias("part_book"), empty.cast("binary").alias("weight_book"))
-    two = answers.where("block is not null").select("block", F.lit(2).alias("kind"), "shard", empty.cast("string").alias("path"), empty.cast("binary").alias("ranks"), empty.cast("binary").alias("totals"), "codes", "weights", "part_book", "weight_book")
-    both = one.unionByName(two).repartition("block").sortWithinPartitions("block", "kind", "shard")
-    return both.mapInArrow(_score(model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    tokens, seen = (int(stats.column(c).to_numpy().sum()) for c in ("tokens", "seen"))
+    model = spark.sparkContext.broadcast(Model(np.cumsum(sizes) - sizes, shards, tokens, seen, read["learnt"] or 0))
+    by_block = lambda rows: rows.where("block is not null").repartition("block").sortWithinPartitions("block", "level", "shard")
+    for level in range(2, order + 1):
+        asked = by_block(found.drop("trie")).mapInArrow(_ask(level, model), _ddl(ASKED))
+        answers = C.cut(dealt(asked).mapInArrow(_answer(level, level == order, discount, model.value.unit), _ddl(ANSWERS)))
+        found = found.unionByName(answers)
+    return by_block(found.drop("trie")).mapInArrow(_score(order, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(log10_sum: float, tokens: int) -> float:

@@ -1,10 +1,14 @@
 """An n-gram trie in Elias-Fano levels, all numpy over one memory-mapped buffer.
 
-A level holds its nodes' word ids in the order of their parents.  To make that one monotone
-sequence, each parent's children are raised by a base beyond all children before it; bases and
-child pointers are monotone too, and all three are Elias-Fano coded.  A child is found by successor
-search relative to its context: base plus id is looked up by one select on the upper bits and a
-short scan of lower bits.  Probabilities are quantised to a code of one byte each.
+A level holds its nodes' ids in the order of their parents, sorted within a parent.  To make that one
+monotone sequence, each parent's children are raised by the last number before them.  The pointers
+to each parent's first child are monotone too; both are Elias-Fano coded.  A child is found by
+successor search relative to its context: the pointers give the range of the parent's children and
+with it the base, and base plus id is looked up in that range by two selects on the upper bits and
+bisection of the lower bits.  Each node has one or more values, quantised to a code of one byte.
+
+Questions come by the million: selects are answered in the order of their places, a piece of the
+upper bits at a time, so memory beside the mapped levels is bounded.
 """
 
 from __future__ import annotations
@@ -16,11 +20,7 @@ import tempfile
 
 import numpy as np
 
-BLOCK = 256
-_POSITION = np.zeros((256, 9), np.uint8)
-for _b in range(256):
-    _z = [i for i in range(8) if not _b >> i & 1]
-    _POSITION[_b, : len(_z)] = _z
+PIECE = 8192  # bytes of upper bits
 
 
 class EliasFano:
@@ -28,10 +28,10 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, zeros: np.ndarray) -> None:
         self.n, self.low_bits = n, low_bits
-        self.low, self.high, self.zeros = low, high, zeros
+        self.low, self.high, self.zeros = low, high, zeros  # zeros: zeros before each piece of the upper bits
         self.words = np.ndarray((max(0, len(low) - 7),), "<u8", buffer=low, strides=(1,)) if len(low) >= 8 else np.zeros(0, np.uint64)
-        self.blocks = high.reshape(-1, BLOCK // 8)
-        self.ones = np.arange(len(zeros), dtype=np.int64) * BLOCK - zeros
+        self.ones = np.arange(len(zeros), dtype=np.int64) * PIECE * 8 - zeros
+        self.buckets = len(high) * 8 - n
 
     @classmethod
     def build(cls, values: np.ndarray) -> EliasFano:
@@ -41,11 +41,11 @@ class EliasFano:
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
         upper = (values >> np.uint64(low_bits)).astype(np.int64)
         size = n + (int(upper[-1]) if n else 0) + 2
-        size += -size % BLOCK
+        size += -size % 8
         bits = np.zeros(size, np.uint8)
         bits[upper + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little")
-        zeros = np.concatenate([[0], np.cumsum(BLOCK - bits.reshape(-1, BLOCK).sum(axis=1, dtype=np.int64))[:-1]]).astype(np.int64)
+        zeros = np.concatenate([[0], np.cumsum([8 * len(p) - int(np.bitwise_count(p).sum(dtype=np.int64)) for p in (high[a : a + PIECE] for a in range(0, len(high), PIECE))])[:-1]]).astype(np.int64)
         if low_bits:
             spread = np.empty((n, low_bits), np.uint8)
             for i in range(low_bits):
@@ -57,21 +57,23 @@ class EliasFano:
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
         """Place of the k-th (from 0) zero or one."""
+        if not len(k):
+            return np.zeros(0, np.int64)
         out = np.empty(len(k), np.int64)
         directory = self.ones if ones else self.zeros
-        for a in range(0, len(k), 1 << 17):
-            want = k[a : a + (1 << 17)].astype(np.int64)
-            block = np.searchsorted(directory, want, "right") - 1
-            rest = want - directory[block]
-            body = self.blocks[block]
-            if ones:
-                body = ~body
-            count = np.cumsum(8 - np.bitwise_count(body), axis=1, dtype=np.uint16)
-            byte = (count <= rest[:, None]).sum(axis=1)
-            at = np.arange(len(want))
-            before = np.where(byte > 0, count[at, np.maximum(byte - 1, 0)], 0)
-            out[a : a + (1 << 17)] = block * BLOCK + byte * 8 + _POSITION[body[at, byte], rest - before]
-        return out
+        order = np.argsort(k, kind="stable") if len(k) and (k[1:] < k[:-1]).any() else None
+        want = k if order is None else k[order]
+        piece = np.searchsorted(directory, want, "right") - 1
+        first = np.flatnonzero(np.diff(piece, prepend=-1))
+        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(want)], strict=True):
+            p = int(piece[a])
+            bits = np.unpackbits(self.high[p * PIECE : (p + 1) * PIECE], bitorder="little")
+            out[a:b] = p * PIECE * 8 + np.flatnonzero(bits if ones else bits == 0)[want[a:b] - directory[p]]
+        if order is None:
+            return out
+        back = np.empty(len(k), np.int64)
+        back[order] = out
+        return back
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -79,89 +81,93 @@ class EliasFano:
         place = i.astype(np.int64) * self.low_bits
         return (self.words[place >> 3] >> (place & 7).astype(np.uint64)) & np.uint64((1 << self.low_bits) - 1)
 
-    def _bit(self, place: np.ndarray) -> np.ndarray:
-        return (self.high[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-
     def access(self, i: np.ndarray) -> np.ndarray:
+        """The i-th numbers."""
+        i = i.astype(np.int64)
         return (((self._select(i, True) - i).astype(np.uint64)) << np.uint64(self.low_bits)) | self._low(i)
 
-    def successor(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Index of the first number that is x or more within x's upper bits, and whether it is x."""
+    def successor(self, x: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the first number from ``first`` to below ``last`` that is x or more, among those with x's upper bits; and whether it is x."""
         x = x.astype(np.uint64)
         upper = (x >> np.uint64(self.low_bits)).astype(np.int64)
         lower = x & np.uint64((1 << self.low_bits) - 1)
-        total = len(self.high) * 8 - self.n
-        inside = upper < total
-        upper = np.minimum(upper, total - 1)
-        place = np.where(upper > 0, self._select(np.maximum(upper - 1, 0), False) + 1, 0)
-        index = place - upper
-        todo = np.arange(len(x))
-        while len(todo):
-            on = (index[todo] < self.n) & (self._bit(place[todo]) == 1)
-            todo = todo[on]
-            less = self._low(index[todo]) < lower[todo]
-            todo = todo[less]
-            place[todo] += 1
-            index[todo] += 1
-        held = inside & (index < self.n) & (self._bit(np.minimum(place, len(self.high) * 8 - 1)) == 1)
-        hit = held.copy()
-        hit[held] = self._low(index[held]) == lower[held]
-        return index, hit
+        inside = upper < self.buckets
+        upper = np.where(inside, upper, 0)
+        begin = np.where(upper > 0, self._select(np.maximum(upper - 1, 0), False) + 1 - upper, 0)
+        end = self._select(upper, False) - upper
+        a, b = np.maximum(begin, first), np.minimum(end, last)
+        b = np.where(inside, np.maximum(a, b), a)
+        top = b.copy()
+        live = np.flatnonzero(a < b)
+        while len(live):
+            middle = (a[live] + b[live]) >> 1
+            less = self._low(middle) < lower[live]
+            a[live[less]] = middle[less] + 1
+            b[live[~less]] = middle[~less]
+            live = live[a[live] < b[live]]
+        hit = a < top
+        hit[hit] = self._low(a[hit]) == lower[hit]
+        return a, hit
 
     def sections(self) -> list[np.ndarray]:
         return [self.low, self.high, self.zeros]
 
 
 class Trie:
-    """levels: (ids, bases, pointers, codes); bases and pointers have an entry for each parent, and one more."""
+    """levels: (ids, pointers, codes, one row for each kind of value); pointers have an entry for each parent, and one more."""
 
-    def __init__(self, levels: list[tuple[EliasFano, EliasFano, EliasFano, np.ndarray]], books: list[np.ndarray]) -> None:
+    def __init__(self, levels: list[tuple[EliasFano, EliasFano, np.ndarray]], books: list[np.ndarray]) -> None:
         self.levels, self.books = levels, books
 
     @classmethod
-    def build(cls, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Trie:
-        """levels: parents (indexes into the level above, sorted), ids (sorted within a parent), log values."""
+    def build(cls, levels: list[tuple[np.ndarray, ...]]) -> Trie:
+        """levels: parents (indexes into the level above, sorted), ids (sorted within a parent), log values of each kind."""
         made, books, parents_of = [], [], 1
-        for parents, ids, values in levels:
+        for parents, ids, *values in levels:
             first = np.searchsorted(parents, np.arange(parents_of + 1))
-            last = np.where(first[1:] > first[:-1], ids[np.maximum(first[1:] - 1, 0)].astype(np.int64) + 1 if len(ids) else 0, 0)
+            last = np.where(first[1:] > first[:-1], ids[np.maximum(first[1:] - 1, 0)].astype(np.int64) if len(ids) else 0, 0)
             base = np.concatenate([[0], np.cumsum(last)]).astype(np.uint64)
-            code, book = quantise(values)
-            made.append((EliasFano.build(base[parents] + ids.astype(np.uint64)), EliasFano.build(base), EliasFano.build(first.astype(np.uint64)), code))
-            books.append(book)
+            coded = [quantise(v) for v in values]
+            made.append((EliasFano.build(base[parents] + ids.astype(np.uint64)), EliasFano.build(first.astype(np.uint64)), np.stack([c for c, _ in coded])))
+            books.append(np.stack([b for _, b in coded]))
             parents_of = len(ids)
         return cls(made, books)
 
     def find(self, level: int, parents: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Index of each child in its level, -1 where there is none (a parent of -1 has none)."""
-        seq, bases, _, _ = self.levels[level]
+        seq, pointers, _ = self.levels[level]
         out = np.full(len(ids), -1, np.int64)
         some = np.flatnonzero(parents >= 0)
-        # parents come many times each: their bases are read once
+        if not len(some) or not seq.n:
+            return out
+        # parents come many times each: their children's range and base are read once
         distinct, back = np.unique(parents[some], return_inverse=True)
-        low, high = bases.access(distinct)[back], bases.access(distinct + 1)[back]
-        x = low + ids[some].astype(np.uint64)
-        fits = x < high
-        some, x = some[fits], x[fits]
-        if len(some):
-            index, hit = seq.successor(x)
-            out[some[hit]] = index[hit]
+        ends = pointers.access(np.concatenate([distinct, distinct + 1])).astype(np.int64)
+        first, last = ends[: len(distinct)], ends[len(distinct) :]
+        base = np.zeros(len(distinct), np.uint64)
+        base[first > 0] = seq.access(first[first > 0] - 1)
+        index, hit = seq.successor(base[back] + ids[some].astype(np.uint64), first[back], last[back])
+        out[some[hit]] = index[hit]
         return out
 
-    def values(self, level: int, index: np.ndarray) -> np.ndarray:
-        return self.books[level][self.levels[level][3][index]]
+    def codes(self, level: int, index: np.ndarray, kind: int = 0) -> np.ndarray:
+        """1 more than the nodes' codes; 0 where the index is -1."""
+        held = self.levels[level][2][kind]
+        return np.where(index >= 0, held[np.maximum(index, 0)].astype(np.uint16) + 1, 0).astype(np.uint16) if len(held) else np.zeros(len(index), np.uint16)
+
+    def values(self, level: int, index: np.ndarray, kind: int = 0) -> np.ndarray:
+        return self.books[level][kind][self.levels[level][2][kind][index]]
 
     def packed(self) -> bytes:
-        head, parts, at = [], [], 0
-        for (ids, bases, pointers, codes), book in zip(self.levels, self.books, strict=True):
+        head, parts = [], []
+        for (ids, pointers, codes), book in zip(self.levels, self.books, strict=True):
             entry = []
-            for seq in (ids, bases, pointers):
-                entry.append([seq.n, seq.low_bits, *([len(s.tobytes()) for s in seq.sections()])])
+            for seq in (ids, pointers):
+                entry.append([seq.n, seq.low_bits, *(s.nbytes for s in seq.sections())])
                 parts += [s.tobytes() for s in seq.sections()]
-            entry.append([len(codes), len(book)])
+            entry.append([*codes.shape, book.shape[1]])
             parts += [codes.tobytes(), book.astype("<f8").tobytes()]
             head.append(entry)
-        del at
         header = json.dumps(head).encode()
         header += b" " * (-(len(header) + 8) % 8)
         body = [len(header).to_bytes(8, "little"), header]
@@ -184,12 +190,12 @@ class Trie:
         levels, books = [], []
         for entry in head:
             seqs = []
-            for count, low_bits, *sizes in entry[:3]:
+            for count, low_bits, *sizes in entry[:2]:
                 low, high, zeros = (take(s) for s in sizes)
                 seqs.append(EliasFano(count, low_bits, low, high, zeros.view(np.int64)))
-            codes, book = take(entry[3][0]), take(8 * entry[3][1])
-            levels.append((*seqs, codes))
-            books.append(book.view("<f8"))
+            kinds, nodes, codes = entry[2]
+            levels.append((*seqs, take(kinds * nodes).reshape(kinds, nodes)))
+            books.append(take(8 * kinds * codes).view("<f8").reshape(kinds, codes))
         return cls(levels, books)
 
     def mapped(self) -> MappedTrie:
@@ -197,7 +203,11 @@ class Trie:
 
 
 class MappedTrie:
-    """A trie whose levels lie in a memory-mapped temporary file that goes when it is closed."""
+    """A trie whose levels lie in a memory-mapped temporary file that goes when it is closed.
+
+    The file is of the task that made it, nobody else reads it, and it has no name any more once it
+    is mapped: a task that runs again on another machine makes its own.
+    """
 
     def __init__(self, data: bytes) -> None:
         fd, path = tempfile.mkstemp(prefix="trie-")
@@ -219,7 +229,7 @@ class MappedTrie:
 def quantise(values: np.ndarray, codes: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Codes of equal-width bins, and each bin's mean."""
     if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(1)
+        return np.zeros(0, np.uint8), np.zeros(codes)
     low, high = float(values.min()), float(values.max())
     code = np.zeros(len(values), np.int64) if high <= low else np.minimum(((values - low) / (high - low) * codes).astype(np.int64), codes - 1)
     count = np.bincount(code, minlength=codes)

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -130,36 +131,65 @@ def test_toxicity(spark):
 # language model
 
 
-@pytest.mark.parametrize("tokens", [50, 2_000_000])
-def test_language_model(spark, tokens):
-    docs = documents(spark)
-    got = sorted((tuple(r) for r in lm.score_documents(docs, block_tokens=tokens).collect()), key=repr)
-    rows = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", low(r.text)) + [None]) for r in docs.collect()]
-    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1
-    c, pair, context, follow = (collections.Counter() for _ in range(4))
-    for i, w in rows:
-        if not held(i):
-            c.update(w)
-            for p in zip([0, *w[:-1]], w, strict=True):
-                pair[p] += 1
-                context[p[0]] += 1
-    for p in pair:
-        follow[p[0]] += 1
-    n, v = sum(c.values()), len(c)
-    expected = []
+def plain_model(rows, held, order, discount=0.75):
+    """(id, held out, tokens, known, N, base score, score) by plain counting."""
+    grams, after, follow = collections.Counter(), collections.Counter(), collections.Counter()
+    train = [w for i, w in rows if not held(i)]
+    for w in train:
+        for n in range(1, order + 1):
+            for p in range(len(w)):
+                if p - n + 1 >= -1:
+                    g = tuple(([0] + w)[p - n + 2 : p + 2])
+                    grams[g] += 1
+    for g, c in grams.items():
+        if len(g) > 1:
+            after[g[:-1]] += c
+            follow[g[:-1]] += 1
+    total, v = sum(map(len, train)), sum(len(g) == 1 for g in grams)
+
+    def p(c, w):
+        if not c:
+            return (grams[(w,)] + 0.5) / (total + 0.5 * (v + 1))
+        if not after[c]:
+            return p(c[1:], w)
+        return (max(grams[(*c, w)] - discount, 0) + discount * follow[c] * p(c[1:], w)) / after[c]
+
+    out = []
     for i, w in rows:
-        p1 = lambda x: (c[x] + 0.5) / (n + 0.5 * (v + 1))
-        score = 0.0
-        for a, b in zip([0, *w[:-1]], w, strict=True):
-            score += math.log10((max(pair[a, b] - 0.75, 0) + 0.75 * follow[a] * p1(b)) / context[a] if context[a] else p1(b))
-        expected.append((i, held(i), len(w), sum(c[x] > 0 for x in w), n, sum(math.log10(p1(x)) for x in w), score))
+        score = sum(math.log10(p(tuple(([0] + w)[max(0, k - order + 2) : k + 1]), w[k])) for k in range(len(w)))
+        out.append((i, held(i), len(w), sum(grams[(x,)] > 0 for x in w), total, sum(math.log10(p((), x)) for x in w), score))
+    return out
+
+
+@pytest.mark.parametrize(("tokens", "shard", "order"), [(50, 300, 3), (2_000_000, 4_000_000, 3), (3000, 1000, 2), (500, 2000, 4)])
+def test_language_model(spark, tokens, shard, order):
+    draw = random.Random(6)
+    extra = [" ".join(draw.choice(("a", "b", "c", "the", "of")) for _ in range(200)) for _ in range(6)]
+    docs = documents(spark, extra)
+    got = sorted((tuple(r) for r in lm.score_documents(docs, block_tokens=tokens, shard_tokens=shard, order=order).collect()), key=repr)
+    rows = [(r.doc_id, re.findall(r"[^\x20\x09-\x0D]+", low(r.text)) + [None]) for r in docs.collect()]
+    expected = plain_model(rows, lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1, order)
     for g, e in zip(got, sorted(expected, key=repr), strict=True):
         assert g[:5] == e[:5] and g[5] == pytest.approx(e[5], abs=1e-6) and abs(g[6] - e[6]) <= 0.02 * e[2]
+
+
+def test_language_model_without_documents(spark):
+    docs = documents(spark)
     assert lm.score_documents(empty(docs)).count() == 0
     only = docs.where(C.held_out("doc_id", 5))
     assert {r.train_tokens for r in lm.score_documents(only).collect()} <= {0}
 
 
+def test_trie_looks_up_many_contexts_at_once():
+    ids = np.concatenate([np.arange(0, 300_000, 3), [2**32 - 1]])
+    built = trie.Trie.build([(np.zeros(len(ids), int), ids, np.zeros(len(ids)))])
+    began = time.perf_counter()
+    with built.mapped() as t:
+        assert (t.find(0, np.zeros(len(ids), int), ids) == np.arange(len(ids))).all()
+        assert (t.find(0, np.zeros(1000, int), np.arange(1, 3001, 3)) == -1).all()
+    assert time.perf_counter() - began < 1
+
+
 def test_trie_of_three_levels():
     draw = np.random.default_rng(1)
     grams = np.unique(draw.integers(0, 60, (3000, 3)), axis=0)
