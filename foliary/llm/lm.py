@@ -70,6 +70,18 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(x, dtype=np.uint64) if data[:1] == b"d" else x
 
 
+def pack_ids(x: np.ndarray) -> bytes:
+    """Ids that come several times, as places in the list of distinct ones."""
+    distinct, place = np.unique(x.astype(np.uint64), return_inverse=True)
+    names = pack(distinct)
+    return len(names).to_bytes(4, "little") + names + pack(place.astype(np.uint32))
+
+
+def unpack_ids(data: bytes) -> np.ndarray:
+    n = 4 + int.from_bytes(data[:4], "little")
+    return unpack(data[4:n])[unpack(data[n:])]
+
+
 def distinct_words(hashes: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (hash, check), sorted, and each one's place among them."""
     names, first, back = np.unique(hashes, return_index=True, return_inverse=True)
@@ -300,7 +312,7 @@ class Asked:
         ends = np.concatenate([[0], np.cumsum(self.lengths)])
         for s, a, b in _runs(self.asked_shard):
             x, y, of = ends[a], ends[b], self.asked_context[a:b]
-            yield s, block, pack(self.context_id[of].astype(np.uint64)), pack(self.lengths[a:b].astype(np.uint32)), pack(self.word_id[self.word[x:y]].astype(np.uint64)), pack(self.counts[x:y]), pack(_wide(self.total[of]))
+            yield s, block, pack(self.context_id[of].astype(np.uint64)), pack(self.lengths[a:b].astype(np.uint32)), pack_ids(self.word_id[self.word[x:y]]), pack(self.counts[x:y]), pack(_wide(self.total[of]))
 
 
 class Walk:
@@ -402,7 +414,7 @@ def _answer(level: int, last: bool, discount: float, unit: float):
         contexts, once, place = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
         totals = np.concatenate([unpack(r["totals"]).astype(np.int64) for r in rows])[once]
         lengths = np.concatenate([unpack(r["lengths"]) for r in rows]).astype(np.int64)
-        keys = (np.repeat(place.astype(np.uint64), lengths) << np.uint64(WORD_BITS)) | np.concatenate([unpack(r["words"]).astype(np.uint64) for r in rows])
+        keys = (np.repeat(place.astype(np.uint64), lengths) << np.uint64(WORD_BITS)) | np.concatenate([unpack_ids(r["words"]) for r in rows])
         counts = np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.float64)
         of_row = np.concatenate([[0], np.cumsum([len(a) for a in asked])])
         of_entry = np.concatenate([[0], np.cumsum(lengths)])[of_row]
@@ -479,9 +491,8 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     model = spark.sparkContext.broadcast(Model(np.cumsum(sizes) - sizes, shards, tokens, seen, read["learnt"] or 0))
     by_block = lambda rows: rows.where("block is not null").repartition("block").sortWithinPartitions("block", "level", "shard")
     for level in range(2, order + 1):
-        asked = by_block(found.drop("trie")).mapInArrow(_ask(level, model), _ddl(ASKED))
-        answers = C.cut(dealt(asked).mapInArrow(_answer(level, level == order, discount, model.value.unit), _ddl(ANSWERS)))
-        found = found.unionByName(answers)
+        # no name for what lies between, so that its shuffle files go when the answers are there
+        found = found.unionByName(C.cut(dealt(by_block(found.drop("trie")).mapInArrow(_ask(level, model), _ddl(ASKED))).mapInArrow(_answer(level, level == order, discount, model.value.unit), _ddl(ANSWERS))))
     return by_block(found.drop("trie")).mapInArrow(_score(order, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
