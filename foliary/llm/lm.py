@@ -16,7 +16,7 @@ context of the triples behind it.  Words are dealt by hash and longer n-grams by
 context that would fill more than a quarter of a shard is spread over several by its n-grams' last
 words (each shard then knows a part of its weight, and a block asks all of them).  The number of
 shards follows the number of tokens, so a shard's task is of about one size (up to ``MOST_SHARDS``).
-The tries stay in a table of the shared folder.
+The tries are written to a table where the caller names one.
 
 Defined results: a null text is an empty one, of the end token alone; without training documents
 every token has the probability of an unknown one; repeated rows are counted and scored each; a very
@@ -280,8 +280,13 @@ class Asked:
         contexts, words = max(1, len(context_id)), len(word_id)
         asking = np.flatnonzero(context >= 0)
         c, w = context[asking], word[asking]
+        used = np.zeros(len(context_id), bool)
+        used[c] = True
+        used = np.flatnonzero(used)
         parts, home = model.parts(context_count), model.home(context_id)
-        at = (home[c] + word_id[w] % parts[c]) % model.shards if len(c) else c
+        at = home[c]
+        wide = np.flatnonzero((parts > 1)[c]) if (parts[used] > 1).any() else used[:0]
+        at[wide] = (at[wide] + word_id[w[wide]] % parts[c[wide]]) % model.shards
         if model.shards * contexts * words < 1 << 63:
             entries, back = np.unique((at * contexts + c) * words + w, return_inverse=True)
             self.word, rest = entries % words, entries // words
@@ -296,16 +301,16 @@ class Asked:
         self.counts = np.bincount(back, weights=learnt[asking], minlength=len(self.word)).astype(np.uint32)
         self.of_token = np.full(len(context), -1, np.int64)
         self.of_token[asking] = back
-        used = np.unique(c)
         more = np.repeat(used, parts[used])
         turn = np.arange(len(more)) - np.repeat(np.cumsum(parts[used]) - parts[used], parts[used])
         place = (home[more] + turn) % model.shards if len(more) else more
         order = np.lexsort((more, place))
         self.asked_shard, self.asked_context = place[order], more[order]
         asked = self.asked_shard * contexts + self.asked_context
-        held, number = np.unique(self.shard * contexts + self.context, return_counts=True)
+        held = self.shard * contexts + self.context  # sorted
+        edge = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]])) if len(held) else np.zeros(0, np.int64)
         self.lengths = np.zeros(len(asked), np.int64)
-        self.lengths[np.searchsorted(asked, held)] = number
+        self.lengths[np.searchsorted(asked, held[edge])] = np.diff(np.append(edge, len(held)))
         self.word_id, self.context_id, self.total = word_id, context_id, context_count
 
     def rows(self, block: int) -> Iterator[tuple]:
@@ -362,7 +367,8 @@ class Walk:
             self.p = p1[self.word]
         of_context[of_context == 0] = 1.0
         some = np.flatnonzero(asked.of_token >= 0)
-        self.p[some] = part[asked.of_token[some]] + of_context[self.context[some]] * self.p[some]
+        entries = asked.of_token[some]
+        self.p[some] = part[entries] + of_context[asked.context][entries] * self.p[some]
         if any(r["c"] for r in answers):
             leaf, count = np.full(len(asked.word), -1, np.int64), np.zeros(len(asked.word), np.int64)
             entry = 0
@@ -400,8 +406,8 @@ def shard_trie(contexts: np.ndarray, totals: np.ndarray, keys: np.ndarray, count
     return Trie.build([(np.zeros(len(held), np.int64), contexts[held], *upper), (back, keys & np.uint64((1 << WORD_BITS) - 1), part)])
 
 
-def _answer(level: int, last: bool, discount: float, unit: float):
-    """Answers to all blocks that ask a shard; and the shard's trie."""
+def _answer(level: int, last: bool, discount: float, unit: float, keep: bool):
+    """Answers to all blocks that ask a shard; and, to be kept, the shard's trie."""
 
     @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,7 +430,8 @@ def _answer(level: int, last: bool, discount: float, unit: float):
         counts = np.bincount(back, weights=counts, minlength=len(keys))
         built = shard_trie(contexts, totals, keys, counts, discount, unit if level == 2 else None).packed()
         none = (None,) * 4
-        yield _batch([(shard, level, *none, None, *none, None, None, built)], ANSWERS)
+        if keep:
+            yield _batch([(shard, level, *none, None, *none, None, None, built)], ANSWERS)
         with MappedTrie(built) as trie:
             node = trie.find(0, np.zeros(len(contexts), np.int64), contexts)
             leaf = trie.find(1, node[(keys >> np.uint64(WORD_BITS)).astype(np.int64)], keys & np.uint64((1 << WORD_BITS) - 1))
@@ -470,8 +477,11 @@ def _score(order: int, model):
     return task
 
 
-def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fold: int = FOLD, held: int = HELD, order: int = ORDER, discount: float = DISCOUNT, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Learns from the documents outside the held-out fold, scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", fold: int = FOLD, held: int = HELD, order: int = ORDER, discount: float = DISCOUNT, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, tries: str | None = None) -> DataFrame:
+    """Learns from the documents outside the held-out fold, scores all: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    tries: where to write the shards' tries as a Parquet table (level, shard, trie), if they are wanted.
+    """
     spark = docs.sparkSession
     C.prepare(spark)
     own = C.Kept(docs, "unused int")
@@ -492,7 +502,9 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     by_block = lambda rows: rows.where("block is not null").repartition("block").sortWithinPartitions("block", "level", "shard")
     for level in range(2, order + 1):
         # no name for what lies between, so that its shuffle files go when the answers are there
-        found = found.unionByName(C.cut(dealt(by_block(found.drop("trie")).mapInArrow(_ask(level, model), _ddl(ASKED))).mapInArrow(_answer(level, level == order, discount, model.value.unit), _ddl(ANSWERS))))
+        found = found.unionByName(C.cut(dealt(by_block(found.drop("trie")).mapInArrow(_ask(level, model), _ddl(ASKED))).mapInArrow(_answer(level, level == order, discount, model.value.unit, tries is not None), _ddl(ANSWERS))))
+    if tries is not None:
+        found.where("trie is not null").select("level", "shard", "trie").write.parquet(tries)
     return by_block(found.drop("trie")).mapInArrow(_score(order, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 

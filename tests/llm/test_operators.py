@@ -175,6 +175,10 @@ def test_language_model(spark, tokens, shard, order):
 
 def test_language_model_without_documents(spark):
     docs = documents(spark)
+    folder = C.own_folder(spark, "tries")
+    lm.score_documents(docs, shard_tokens=5000, tries=folder)
+    kept = spark.read.parquet(folder).collect()
+    assert {r.level for r in kept} == {2, 3} and all(len(trie.Trie.opened(bytes(r.trie)).levels) == 2 for r in kept)
     assert lm.score_documents(empty(docs)).count() == 0
     only = docs.where(C.held_out("doc_id", 5))
     assert {r.train_tokens for r in lm.score_documents(only).collect()} <= {0}
