@@ -65,17 +65,20 @@ def own_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, large: bool = False) -> DataFrame:
     """Cuts lineage through the shared folder, so that a lost executor costs no recomputation.
 
     What lies before the cut isn't needed any more; Spark drops its shuffle files once the driver
-    has collected the objects that stand for them, which is asked for here.
+    has collected the objects that stand for them, which is asked for here.  The last job's own are
+    held until another has run: where they are ``large``, a tiny one does.
     """
     spark = df.sparkSession
     prepare(spark)
     shared_folder(spark)
     out = df.checkpoint(eager=True)
     del df
+    if large:
+        spark.range(1).count()
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     return out

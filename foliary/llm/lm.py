@@ -15,7 +15,7 @@ it, looks up all that was sent, and answers each block.  A pair's place in its s
 context of the triples behind it.  Words are dealt by hash and longer n-grams by their context's; a
 context that would fill more than a quarter of a shard is spread over several by its n-grams' last
 words (each shard then knows a part of its weight, and a block asks all of them).  The number of
-shards follows the number of tokens, so a shard's task is of about one size (up to ``MOST_SHARDS``).
+shards follows the texts' bytes, so a shard's task is of about one size (up to ``MOST_SHARDS``).
 The tries are written to a table where the caller names one.
 
 Defined results: a null text is an empty one, of the end token alone; without training documents
@@ -46,6 +46,7 @@ FOLD, HELD = 5, 1
 ORDER = 3
 BLOCK_TOKENS = 2_000_000
 SHARD_TOKENS = 4_000_000
+TOKEN_BYTES = 6  # of a token, about; tells how many shards there are
 MOST_SHARDS = 1 << 20
 DISCOUNT = 0.75
 WORD_BITS, LEAF_BITS = 38, 32
@@ -122,16 +123,18 @@ def _columns(integers: str = "", longs: str = "", strings: str = "", binaries: s
     return {c: t for names, t in ((integers, pa.int32()), (longs, pa.int64()), (strings, pa.string()), (binaries, pa.binary())) for c in names.split()}
 
 
-BLOCKS = _columns(longs="block learnt tokens", strings="path", binaries="keys checks counts")
-WORDS = _columns("shard", "block", "path", "keys checks counts")
+WORDS = _columns("shard", "block learnt", "path", "keys checks counts")
 #: What comes back to blocks; of words: path, a their ranks, b their counts; of longer n-grams:
 #: a codes, b weights of contexts, c places and d counts of those in the trie, e unigram codes, books.
-ANSWERS = _columns("shard level", "block distinct seen tokens", "path", "a b c d e books trie")
+ANSWERS = _columns("shard level", "block distinct seen tokens learnt", "path", "a b c d e books trie")
 ASKED = _columns("shard", "block", "", "contexts lengths words counts totals")
 
 
-def _write_blocks(folder: str, block_tokens: int):
-    """One row for each block: where its stream is, and its distinct words with their training counts."""
+def _write_blocks(folder: str, block_tokens: int, shards: int):
+    """Writes blocks; for each block and shard a row: where the block is, and its distinct words there with their training counts.
+
+    learnt: the block's training documents, in its first row only.
+    """
 
     @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +159,11 @@ def _write_blocks(folder: str, block_tokens: int):
             with fs.open_output_stream(f"{root}/{name}.tmp") as f:
                 f.write(np.array([len(s) for s in sections], "<u8").tobytes() + b"".join(sections))
             fs.move(f"{root}/{name}.tmp", f"{root}/{name}")
-            row = (number, int((~out).sum()), tokens, f"{folder}/{name}", pack(words), pack(checks), pack(counts))
+            runs = list(_runs(_shards_of(words, shards))) or [(0, 0, 0)]  # or: a block of empty texts
+            rows = [(s, number, 0 if i else int((~out).sum()), f"{folder}/{name}", pack(words[a:b]), pack(checks[a:b]), pack(counts[a:b])) for i, (s, a, b) in enumerate(runs)]
             number += 1
             ids, held, parts, sizes, tokens = [], [], [], [], 0
-            return _batch([row], BLOCKS)
+            return _batch(rows, WORDS)
 
         for batch in C.slices(batches):
             texts = C.texts_of(batch, "text")
@@ -204,18 +208,6 @@ class Block:
         return out
 
 
-def _send_words(shards: int):
-    @C.tidy
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                words, checks, count = unpack(r["keys"]), unpack(r["checks"]), unpack(r["counts"])
-                rows = [(s, r["block"], r["path"], pack(words[a:b]), pack(checks[a:b]), pack(count[a:b])) for s, a, b in _runs(_shards_of(words, shards))]
-                yield _batch(rows or [(0, r["block"], r["path"], pack(words), pack(checks), pack(count))], WORDS)  # or: a block of empty texts
-
-    return task
-
-
 def _by(column: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
     """Rows sorted by a column, those of one value at a time."""
     now, rows = None, []
@@ -246,7 +238,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, k in zip(rows, keys, strict=True):
             rank = back[at : at + len(k)]
             at += len(k)
-            yield _batch([(shard, 1, r["block"], len(words), int((total > 0).sum()), int(total.sum()), r["path"], pack(rank.astype(np.uint64)), pack(_wide(total[rank])), None, None, None, None, None)], ANSWERS)
+            yield _batch([(shard, 1, r["block"], len(words), int((total > 0).sum()), int(total.sum()), r["learnt"], r["path"], pack(rank.astype(np.uint64)), pack(_wide(total[rank])), None, None, None, None, None)], ANSWERS)
 
 
 class Model:
@@ -429,9 +421,8 @@ def _answer(level: int, last: bool, discount: float, unit: float, keep: bool):
         keys, back = np.unique(keys, return_inverse=True)
         counts = np.bincount(back, weights=counts, minlength=len(keys))
         built = shard_trie(contexts, totals, keys, counts, discount, unit if level == 2 else None).packed()
-        none = (None,) * 4
         if keep:
-            yield _batch([(shard, level, *none, None, *none, None, None, built)], ANSWERS)
+            yield _batch([(shard, level, *[None] * 12, built)], ANSWERS)
         with MappedTrie(built) as trie:
             node = trie.find(0, np.zeros(len(contexts), np.int64), contexts)
             leaf = trie.find(1, node[(keys >> np.uint64(WORD_BITS)).astype(np.int64)], keys & np.uint64((1 << WORD_BITS) - 1))
@@ -442,7 +433,7 @@ def _answer(level: int, last: bool, discount: float, unit: float, keep: bool):
             entries, mine = back[x:y], place[a:b]
             held = entries[leaf[entries] >= 0]
             more = (None, None) if last else (pack(leaf[held].astype(np.uint64)), pack(_wide(counts[held])))
-            yield _batch([(shard, level, block, None, None, None, None, pack(code[entries]), pack(weight[mine]), *more, pack(unigram[mine]) if level == 2 else None, books, None)], ANSWERS)
+            yield _batch([(shard, level, block, *[None] * 5, pack(code[entries]), pack(weight[mine]), *more, pack(unigram[mine]) if level == 2 else None, books, None)], ANSWERS)
 
     return task
 
@@ -487,22 +478,22 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     own = C.Kept(docs, "unused int")
     text_of_id = F.coalesce(own.column(doc_id).cast("string"), F.lit(""))
     marked = own.df.select(own.column(doc_id).cast("long").alias("doc_id"), own.column(text).alias("text"), (F.crc32(text_of_id.cast("binary")) % fold == held).alias("held"))
-    blocks = C.cut(marked.mapInArrow(_write_blocks(C.own_folder(spark, "lm-blocks"), block_tokens), _ddl(BLOCKS)))
-    read = blocks.agg(F.sum("learnt").alias("learnt"), F.sum("tokens").alias("tokens")).first()
-    shards = max(1, min(math.ceil((read["tokens"] or 0) / shard_tokens), MOST_SHARDS))
+    size = marked.agg(F.sum(F.octet_length("text")).alias("size")).first()["size"] or 0
+    shards = max(1, min(math.ceil(size / (shard_tokens * TOKEN_BYTES)), MOST_SHARDS))
     dealt = lambda rows: rows.repartitionById(shards, "shard").sortWithinPartitions("shard", "block")
-    found = C.cut(dealt(blocks.mapInArrow(_send_words(shards), _ddl(WORDS))).mapInArrow(_count_words, _ddl(ANSWERS)))
-    stats = found.groupBy("shard").agg(*(F.first(c).alias(c) for c in ("distinct", "seen", "tokens"))).toArrow()  # a row for each shard, at most MOST_SHARDS
+    folder = C.own_folder(spark, "lm-blocks")
+    found = C.cut(dealt(marked.mapInArrow(_write_blocks(folder, block_tokens, shards), _ddl(WORDS))).mapInArrow(_count_words, _ddl(ANSWERS)), large=True)
+    stats = found.groupBy("shard").agg(*(F.first(c).alias(c) for c in ("distinct", "seen", "tokens")), F.sum("learnt").alias("learnt")).toArrow()  # a row for each shard, at most MOST_SHARDS
     sizes = np.zeros(shards, np.int64)
     sizes[stats.column("shard").to_numpy()] = stats.column("distinct").to_numpy()
     if int(sizes.sum()) + FIRST >= 1 << WORD_BITS:
         raise ValueError("more words than ids")
-    tokens, seen = (int(stats.column(c).to_numpy().sum()) for c in ("tokens", "seen"))
-    model = spark.sparkContext.broadcast(Model(np.cumsum(sizes) - sizes, shards, tokens, seen, read["learnt"] or 0))
+    tokens, seen, learnt = (int(stats.column(c).to_numpy().sum()) for c in ("tokens", "seen", "learnt"))
+    model = spark.sparkContext.broadcast(Model(np.cumsum(sizes) - sizes, shards, tokens, seen, learnt))
     by_block = lambda rows: rows.where("block is not null").repartition("block").sortWithinPartitions("block", "level", "shard")
     for level in range(2, order + 1):
         # no name for what lies between, so that its shuffle files go when the answers are there
-        found = found.unionByName(C.cut(dealt(by_block(found.drop("trie")).mapInArrow(_ask(level, model), _ddl(ASKED))).mapInArrow(_answer(level, level == order, discount, model.value.unit, tries is not None), _ddl(ANSWERS))))
+        found = found.unionByName(C.cut(dealt(by_block(found.drop("trie")).mapInArrow(_ask(level, model), _ddl(ASKED))).mapInArrow(_answer(level, level == order, discount, model.value.unit, tries is not None), _ddl(ANSWERS)), large=True))
     if tries is not None:
         found.where("trie is not null").select("level", "shard", "trie").write.parquet(tries)
     return by_block(found.drop("trie")).mapInArrow(_score(order, model), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
