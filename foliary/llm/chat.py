@@ -12,15 +12,20 @@ Events (column ``event``; without it every row is a message):
 ``target`` counts messages by the sequence number of the event that opened them; one that doesn't
 exist is ignored, and so are unknown events.
 
-Conversations of plain messages are streamed row by row; only those with other events are held
-until their log ends.  Rendered text leaves in parts of about ``PART`` characters, whole turns
-each, so no conversation has to fit in memory as one string.
+Every row sends its event without the text first, then the text.  A task folds a conversation's
+events (numbers and roles only), knows from that which text ends up where, and then lets the texts
+stream through in the order of events: a message is rendered once its last piece is there and all
+before it are out.  So beside numbers only texts wait that stand behind a message still growing; a
+plain log is rendered row by row.  Rendered text leaves in parts of about ``PART`` characters, whole
+turns each, so no conversation has to fit in memory as one string.
 
 A control string inside a text gets a backslash behind its first character (one more, if it has
 some already), which no template mark has; taking one away gives the text back.
 
 Defined results: null texts and roles are empty; rows of one sequence number go by event, role and
-text; null numbers come first; null conversation ids are one conversation.
+a hash of the text; repeated rows are messages each; null numbers come first; null conversation ids
+are one conversation; an empty table gives an empty one; columns that aren't named play no part,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -29,6 +34,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,33 +67,89 @@ def _role_in(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role))
 
 
+class Message:
+    __slots__ = ("pieces", "role", "seq", "stays")
+
+    def __init__(self, seq: int | None, role: str, pieces: list[int]) -> None:
+        self.seq, self.role, self.pieces, self.stays = seq, role, pieces, True
+
+
 class Fold:
-    """State of one conversation."""
+    """State of one conversation: its messages, with the numbers of the events whose texts they are made of."""
 
     def __init__(self) -> None:
-        self.messages: list[list] = []  # [sequence number, role, pieces of text]
+        self.messages: list[Message] = []
+        self.place: dict[int, int] = {}  # of a message in the list, by identity
+        self.by_seq: dict[int | None, list[Message]] = {}
+        self.of_assistant: list[Message] = []
+        self.events = 0
+
+    @staticmethod
+    def _last(stack: list[Message]) -> Message | None:
+        while stack and not stack[-1].stays:
+            stack.pop()
+        return stack[-1] if stack else None
 
     def _find(self, target: int | None, role: str | None = None) -> int | None:
-        for i in range(len(self.messages) - 1, -1, -1):
-            if (target is not None and self.messages[i][0] == target) or (target is None and (role is None or self.messages[i][1] == role)):
-                return i
-        return None
+        if target is not None:
+            found = self._last(self.by_seq.get(target, []))
+        else:
+            found = self._last(self.of_assistant if role else self.messages)
+        return None if found is None else self.place[id(found)]
+
+    def _open(self, seq: int | None, role: str, pieces: list[int]) -> None:
+        message = Message(seq, role, pieces)
+        self.place[id(message)] = len(self.messages)
+        self.messages.append(message)
+        self.by_seq.setdefault(seq, []).append(message)
+        if role == ASSISTANT:
+            self.of_assistant.append(message)
 
-    def take(self, event: str, seq: int | None, target: int | None, role: str, text: str) -> None:
+    def _drop(self, first: int) -> None:
+        for message in self.messages[first:]:
+            message.stays = False
+            del self.place[id(message)]
+        del self.messages[first:]
+
+    def take(self, event: str, seq: int | None, target: int | None, role: str) -> None:
+        n, self.events = self.events, self.events + 1
         if event == "message":
-            self.messages.append([seq, role, [text]])
+            self._open(seq, role, [n])
         elif event == "delta" and (i := self._find(target)) is not None:
-            self.messages[i][2].append(text)
+            self.messages[i].pieces.append(n)
         elif event == "edit" and (i := self._find(target)) is not None:
-            del self.messages[i + 1 :]
-            self.messages[i][2] = [text]
+            self._drop(i + 1)
+            self.messages[i].pieces = [n]
         elif event == "regenerate" and (i := self._find(target, ASSISTANT)) is not None:
-            del self.messages[i:]
-            self.messages.append([seq, ASSISTANT, []])
+            self._drop(i)
+            self._open(seq, ASSISTANT, [])
+
+    def plan(self) -> np.ndarray:
+        """The message each event's text goes to (-1: none)."""
+        out = np.full(self.events, -1, np.int64)
+        for i, message in enumerate(self.messages):
+            out[message.pieces] = i
+        return out
+
 
-    def done(self) -> Iterator[tuple[str, str]]:
-        for _, role, pieces in self.messages:
-            yield role, "".join(pieces)
+class Stream:
+    """Texts of one conversation's events, in turn, become its messages."""
+
+    def __init__(self, fold: Fold) -> None:
+        self.messages, self.to, self.event, self.out = fold.messages, fold.plan(), 0, 0
+        self.missing = [len(m.pieces) for m in fold.messages]
+        self.waiting: dict[int, list[str]] = {}
+
+    def take(self, text: str) -> Iterator[tuple[str, str]]:
+        """Messages that are whole, and next, with this event's text."""
+        i = int(self.to[self.event])
+        self.event += 1
+        if i >= 0:
+            self.waiting.setdefault(i, []).append(text)
+            self.missing[i] -= 1
+        while self.out < len(self.messages) and not self.missing[self.out]:
+            yield self.messages[self.out].role, "".join(self.waiting.pop(self.out, ()))
+            self.out += 1
 
 
 class Renderer:
@@ -106,6 +168,10 @@ class Renderer:
         if self.size >= PART:
             yield self.flush()
 
+    def end(self) -> Iterator[tuple]:
+        if self.pieces or not self.part:
+            yield self.flush()
+
     def flush(self) -> tuple:
         out = (self.conv, self.part, "".join(self.pieces), self.loss)
         self.part, self.pieces, self.size, self.loss = self.part + 1, [], 0, []
@@ -121,40 +187,34 @@ def render(log: DataFrame, conv_id: str = "conv_id", seq: str = "turn", role: st
     Parts of one conversation are in one partition, one behind the other.
     """
     C.prepare(log.sparkSession)
-    kind = F.coalesce(F.col(event), F.lit("message")) if event else F.lit("message")
-    aim = F.col(target).cast("long") if target else F.lit(None).cast("long")
-    rows = log.select(F.col(conv_id).cast("long").alias("c"), F.col(seq).cast("long").alias("s"), kind.alias("e"), aim.alias("t"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("x"))
-    if event:
-        changed = rows.where("e <> 'message'").select("c").distinct().withColumn("held", F.lit(True)).withColumnRenamed("c", "cc")
-        rows = rows.join(changed, F.col("c").eqNullSafe(F.col("cc")), "left").select("c", "s", "e", "t", "r", "x", F.coalesce("held", F.lit(False)).alias("held"))
-    else:
-        rows = rows.withColumn("held", F.lit(False))
-    ordered = rows.repartition("c").sortWithinPartitions("c", F.col("s").asc_nulls_first(), "e", "r", "x")
+    own = C.Kept(log, "unused int")
+    kind = F.coalesce(own.column(event), F.lit("message")) if event else F.lit("message")
+    aim = own.column(target).cast("long") if target else F.lit(None).cast("long")
+    body = F.coalesce(own.column(text), F.lit(""))
+    rows = own.df.select(own.column(conv_id).cast("long").alias("c"), own.column(seq).cast("long").alias("s"), kind.alias("e"), F.coalesce(own.column(role), F.lit("")).alias("r"), aim.alias("t"), body.alias("x"))
+    twice = rows.withColumn("h", F.xxhash64("x")).withColumn("late", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("x", F.when(F.col("late"), F.col("x")))
+    ordered = twice.repartition("c").sortWithinPartitions("c", "late", F.col("s").asc_nulls_first(), "e", "r", "h", F.col("t").asc_nulls_first(), "x").select("c", "late", "s", "e", "r", "t", "x")
 
     @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, fold, renderer, begun = None, Fold(), None, False
-
-        def end() -> Iterator[tuple]:
-            for m in fold.done():
-                yield from renderer.turn(*m)
-            if renderer.pieces or not renderer.part:
-                yield renderer.flush()
-
-        for batch in batches:
+        now, fold, stream, renderer, begun = None, Fold(), None, None, False
+        for batch in C.slices(batches):
             out = []
-            for c, s, e, t, r, x, held in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+            for c, late, s, e, r, t, x in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 if not begun or c != now:
                     if begun:
-                        out += end()
-                    now, fold, renderer, begun = c, Fold(), Renderer(c), True
-                if held:
-                    fold.take(e, s, t, r, x)
-                else:
-                    out += renderer.turn(r, x)
+                        out += renderer.end()
+                    now, fold, stream, renderer, begun = c, Fold(), None, Renderer(c), True
+                if not late:
+                    fold.take(e, s, t, r)
+                    continue
+                if stream is None:
+                    stream = Stream(fold)
+                for message in stream.take(x):
+                    out += renderer.turn(*message)
             yield _parts(out)
         if begun:
-            yield _parts(list(end()))
+            yield _parts(list(renderer.end()))
 
     return ordered.mapInArrow(task, "conv_id long, part int, formatted string, loss array<struct<start:long,end:long>>")
 

@@ -418,6 +418,7 @@ def _answer(level: int, last: bool, discount: float, unit: float, keep: bool):
         of_entry = np.concatenate([[0], np.cumsum(lengths)])[of_row]
         numbers = [r["block"] for r in rows]
         rows.clear()
+        del asked, lengths, once
         keys, back = np.unique(keys, return_inverse=True)
         counts = np.bincount(back, weights=counts, minlength=len(keys))
         built = shard_trie(contexts, totals, keys, counts, discount, unit if level == 2 else None).packed()
@@ -490,7 +491,8 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         raise ValueError("more words than ids")
     tokens, seen, learnt = (int(stats.column(c).to_numpy().sum()) for c in ("tokens", "seen", "learnt"))
     model = spark.sparkContext.broadcast(Model(np.cumsum(sizes) - sizes, shards, tokens, seen, learnt))
-    by_block = lambda rows: rows.where("block is not null").repartition("block").sortWithinPartitions("block", "level", "shard")
+    blocks = found.agg(F.countDistinct("block").alias("n")).first()["n"]
+    by_block = lambda rows: rows.where("block is not null").repartition(max(1, 2 * blocks), "block").sortWithinPartitions("block", "level", "shard")
     for level in range(2, order + 1):
         # no name for what lies between, so that its shuffle files go when the answers are there
         found = found.unionByName(C.cut(dealt(by_block(found.drop("trie")).mapInArrow(_ask(level, model), _ddl(ASKED))).mapInArrow(_answer(level, level == order, discount, model.value.unit, tries is not None), _ddl(ANSWERS)), large=True))

@@ -12,15 +12,26 @@ A document's set is its distinct word shingles, as 64-bit hashes; its sketch the
    common values among the k least of both).  Members near it gather in its canopy; those very near
    leave the list, and the rest goes on to a next round.  As distance is a metric, two similar
    members meet in a canopy before either leaves (the two bounds are 0.35 apart, similar members
-   at most 0.2).  Lists that are left after the last round are canopies as they are.  Large canopies are cut into blocks, and pairs of blocks are tasks.
-4. In each such task pairs are filtered by size and sketch, and confirmed by exact Jaccard on full
-   sets; pairs that are linked already by others need no test.  Only links that join something are
-   returned, so a group of n copies gives about n rows, not n squared.
+   at most 0.2).  Lists that are left after the last round are canopies as they are.
+4. Members of a canopy larger than a block are first compared with its centre, exactly.  Those that
+   are similar to it are linked by that, so only the others are compared with all: of n copies with
+   little changes that is n comparisons, not n squared.  What is to be compared is cut into pairs of
+   blocks, which are tasks.  In a task pairs are filtered by size and sketch, and confirmed by exact
+   Jaccard on full sets; pairs that are linked already by others need no test.  Only links that join
+   something are returned, so a group of n copies gives about n rows.
 5. Components of the links, each with its least id.
 
+Joins on values, centres and canopies spread keys of very many rows over several tasks.
+
+With ``exact`` a sketch is the whole set.  Then every step above is lossless: lists are prefixes of
+whole sets, estimates are the Jaccard similarities themselves.  Without it that holds for sets of up
+to 51 shingles, and for larger ones a pair can be missed by its estimate.
+
 Defined results: null, empty and wordless texts have an empty set, are linked with nothing, and
 their component is their own id; rows with a null id take part, and a component's id is the least
-that is not null; repeated rows are linked.
+that is not null; repeated rows are linked; texts of any length are taken whole; an empty table
+gives an empty one; ``near_duplicates`` returns its own columns only, ``keep_one`` all columns of
+the table, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +56,8 @@ TIGHT, LOOSE, PASS = 0.45, 0.1, 0.55
 ROUNDS = 5
 BLOCK = 384
 SIEVE_BITS = 23
+MANY, MOST_HOT = 1024, 1 << 15
+WHOLE = 1 << 30  # as k: sketches are whole sets
 
 
 def shingle_sets(texts: list[bytes], scanner: C.WordScanner, n: int) -> Iterator[tuple[np.ndarray, bytes | None]]:
@@ -245,25 +258,40 @@ def _sql_hash(column: str) -> str:
     return f"xxhash64(coalesce({column}, -1L))"
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, size: str, rows: int) -> DataFrame:
+    """left and right on ``key``, where right has one row a key, with the number (``size``) of its rows in left.
+
+    Keys of very many rows are spread over several tasks by a hash of ``by``.  As left has about
+    ``rows`` rows, no more than MOST_HOT keys can be that large: that many are broadcast at most.
+    """
+    limit = max(MANY, rows // MOST_HOT)
+    parts = F.ceil(F.col(size) / limit).cast("int")
+    hot = right.where(F.col(size) > limit).select(key, parts.alias("parts"))
+    spread = left.join(F.broadcast(hot), key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    copied = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))))
+    return spread.join(copied, [key, "part"]).drop("part")
+
+
 def link_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int, percent: int, k: int, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join all nodes of one component; nodes: node, key, first_doc, sketch."""
     postings = nodes.select("node", "sketch").mapInArrow(_postings, "node long, value long, held int")
     often = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = postings.join(often, "value")
+    shared = spread_join(postings, often, "value", "node", "df", nodes.count() * min(k, K))
     by_node = Window.partitionBy("node")
     # values in one node only are the rarest of all: they count for the place, but make no list
     ranked = shared.withColumn("rest", F.col("held") - F.count(F.lit(1)).over(by_node)).withColumn("place", F.col("rest") + F.row_number().over(by_node.orderBy("df", "value")))
-    common = F.when(F.col("held") * 100 <= percent * k, F.ceil(F.col("held") * percent / 100 - 1e-9)).otherwise(F.ceil(F.col("held") * SHARED))
+    common = F.when(F.col("held").cast("long") * 100 <= F.lit(percent * k), F.ceil(F.col("held") * percent / 100 - 1e-9)).otherwise(F.ceil(F.col("held") * SHARED))
     lists = C.cut(ranked.where(F.col("place") <= F.col("held") - common + 1).select("value", "node"))
 
     sketches = nodes.select("node", "sketch")
     canopies = None
     for _ in range(rounds):
-        order = F.xxhash64("node")
-        first = lists.groupBy("value").agg(F.min_by("node", F.struct(order, "node")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        lists = lists.join(first, "value").where("node <> pivot").select("value", "node", "pivot")
+        rows = lists.count()
+        first = lists.groupBy("value").agg(F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
+        lists = spread_join(lists, first, "value", "node", "size", rows).where("node <> pivot").select("value", "node", "pivot")
         pairs = lists.select("pivot", "node").distinct()
-        with_sketch = pairs.join(sketches, "node").withColumnRenamed("sketch", "y").join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("x")), "pivot")
+        centres = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("x")), "pivot")
+        with_sketch = spread_join(pairs.join(sketches.withColumnRenamed("sketch", "y"), "node"), centres, "pivot", "node", "size", rows)
         near = C.cut(with_sketch.select("pivot", "node", "x", "y").mapInArrow(_estimates(k), "pivot long, node long, near double"))
         gathered = near.where(F.col("near") >= LOOSE).select("pivot", "node")
         canopies = gathered if canopies is None else canopies.unionByName(gathered)
@@ -271,38 +299,63 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int
         if lists.isEmpty():
             break
     kept = canopies.distinct()
-    members = kept.unionByName(kept.select("pivot", F.col("pivot").alias("node")).distinct()).select(F.struct(F.lit(0).alias("kind"), F.col("pivot").alias("id")).alias("canopy"), "node")
+    canopy = lambda kind, column: F.xxhash64(F.lit(kind), column)
+    members = kept.unionByName(kept.select("pivot", F.col("pivot").alias("node")).distinct()).select(canopy(0, "pivot").alias("c"), "node", F.col("pivot").alias("centre"))
     # lists of the same members are one canopy: told by size and two sums of hashes
     marks = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (1, 2)]
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), *marks).where("size > 1")
-    sizes = sizes.groupBy("size", "mark1", "mark2").agg(F.min("value").alias("value")).select("value")
-    members = members.unionByName(lists.join(sizes, "value").select(F.struct(F.lit(1).alias("kind"), F.col("value").alias("id")).alias("canopy"), "node"))
-    members = C.cut(members)
+    left = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre"), *marks).where("size > 1")
+    left = left.groupBy("size", "mark1", "mark2").agg(F.min_by(F.struct("value", "centre"), "value").alias("one")).select("one.value", "one.centre", "size")
+    members = C.cut(members.unionByName(spread_join(lists, left, "value", "node", "size", lists.count()).select(canopy(1, "value").alias("c"), "node", "centre")))
+    rows = members.count()
     wanted = members.select("node").distinct().join(nodes.select("node", "key", "first_doc"), "node")
-    bodies = _full_sets(docs, wanted, text, doc_id, n)
-    blocks = members.groupBy("canopy").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "canopy").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = dealt.select(F.xxhash64("canopy").alias("c"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block").join(bodies, "node")
-    tasks = tasks.select("c", "i", "j", "node", "block", "body").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "node")
-    return tasks.mapInArrow(_verify(percent, k), "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept (the component's least id is its own) for every row."""
-    return _placed(docs, text, doc_id, shingle, threshold, k, [])
-
-
-def _placed(docs: DataFrame, text: str, doc_id: str, shingle: int, threshold: float, k: int, marks: list[Column]) -> DataFrame:
-    """What ``near_duplicates`` returns, behind it the ``marks`` (long columns of ``docs``) of each row."""
+    bodies = C.cut(_full_sets(docs, wanted, text, doc_id, n))
+    sizes = members.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
+    sized = C.cut(spread_join(members, sizes, "c", "node", "size", rows))
+    verify = _verify(percent, k)
+
+    def links_of(tasks: DataFrame) -> DataFrame:
+        """tasks: c, i, j, node, block; members of block i are compared with those of block j."""
+        with_body = tasks.join(bodies, "node").select("c", "i", "j", "node", "block", "body")
+        return with_body.repartition("c", "i", "j").sortWithinPartitions("c", "i", "j", "node").mapInArrow(verify, "a long, b long")
+
+    large = sized.where(F.col("size") > block)
+    blocks = F.ceil(F.col("size") / block).cast("int")
+    dealt = lambda count: F.pmod(F.xxhash64("node"), count).cast("int")
+    # each member of a large canopy with the centre, which is block -1 of every task
+    around = large.where("node <> centre").withColumn("i", dealt(blocks)).select("c", "i", F.lit(-1).alias("j"), "node", F.col("i").alias("block"))
+    centre = large.where("node = centre").withColumn("i", F.explode(F.sequence(F.lit(0), blocks - 1))).select("c", "i", F.lit(-1).alias("j"), "node", F.lit(-1).alias("block"))
+    stars = C.cut(links_of(around.unionByName(centre)))
+    ends = stars.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(stars.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    # what is linked with its centre is done with; the others meet everyone
+    linked = ends.select(F.col("u").alias("node"), F.col("v").alias("centre")).distinct().withColumn("done", F.lit(1))
+    told = C.cut(large.join(linked, ["node", "centre"], "left").select("c", "node", "size", (F.col("done").isNotNull() | (F.col("node") == F.col("centre"))).alias("done")))
+    open_ = told.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("done")).cast("long")).alias("rest")).where("rest > 0")
+    again = spread_join(told.drop("size"), open_, "c", "node", "size", rows)
+    inner, outer = F.ceil((F.col("size") - F.col("rest")) / block).cast("int"), F.ceil(F.col("rest") / block).cast("int")
+    placed = again.withColumn("block", F.when(F.col("done"), dealt(inner)).otherwise(inner + dealt(outer)))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.when(F.col("done"), inner).otherwise(0), inner + outer - 1)))
+    wide = placed.select("c", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "block")
+    small = sized.where(F.col("size") <= block).select("c", F.lit(0).alias("i"), F.lit(0).alias("j"), "node", F.lit(0).alias("block"))
+    return stars.unionByName(links_of(small.unionByName(wide)))
+
+
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, k: int = K, exact: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept (the component's least id is its own) for every row; ``exact``: whole sets as sketches."""
+    own = C.Kept(docs, "unused int")
+    given = own.df.select(own.column(doc_id).cast("long").alias("doc_id"), own.column(text).alias("text"))
+    return _placed(given, shingle, threshold, WHOLE if exact else k, [])
+
+
+def _placed(docs: DataFrame, shingle: int, threshold: float, k: int, marks: list[Column]) -> DataFrame:
+    """What ``near_duplicates`` returns for docs (doc_id, text), behind it the ``marks`` (long columns) of each row."""
     C.prepare(docs.sparkSession)
     percent = math.ceil(threshold * 100 - 1e-9)
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *marks)
+    given = docs.select("doc_id", "text", *marks)
     names = given.columns[2:]
     rows = C.cut(given.mapInArrow(_profile(shingle, k), ", ".join(["doc_id long, key binary, n_shingles long, sketch binary", *(f"{c} long" for c in names)])))
     grouped = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("sketch").alias("sketch"))
     nodes = C.cut(grouped.withColumn("node", F.monotonically_increasing_id()))
-    links = link_nodes(docs, nodes, text, doc_id, shingle, percent, k)
+    links = link_nodes(docs, nodes, "text", "doc_id", shingle, percent, k)
     roots = components(links)
     placed = nodes.select("node", "key", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.where("root <> node").select("root", "first_doc").groupBy("root").agg(F.min("first_doc").alias("least"))
@@ -313,15 +366,16 @@ def _placed(docs: DataFrame, text: str, doc_id: str, shingle: int, threshold: fl
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *names)
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, k: int = K) -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, threshold: float = THRESHOLD, k: int = K, exact: bool = False) -> DataFrame:
     """The rows of ``docs`` that are their component's least id, all columns as they are; of rows that repeat one id and text, one.
 
     Rows with a null id stay unless their component has an id, or another such row of the same text stays.
     Rows go by id and text: another text of the same id is judged by its own component.
     """
-    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    found = _placed(docs, text, doc_id, shingle, threshold, k, [mark.alias("__mark")])
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone"), F.col("__mark").alias("__copy")).distinct()
-    own = docs.withColumn("__id", F.col(doc_id).cast("long")).withColumn("__text", mark)
-    left = own.join(gone, F.col("__id").eqNullSafe(F.col("__gone")) & (F.col("__text") == F.col("__copy")), "left_anti")
-    return left.dropDuplicates(["__id", "__text"]).select(docs.columns)
+    kept = C.Kept(docs, "unused int", [])
+    mark = F.xxhash64(F.coalesce(kept.column(text), F.lit("")))
+    found = _placed(kept.df.select(kept.column(doc_id).cast("long").alias("doc_id"), kept.column(text).alias("text"), mark.alias("mark")), shingle, threshold, WHOLE if exact else k, [F.col("mark")])
+    gone = found.where("not kept").select(F.col("doc_id").alias("gone"), F.col("mark").alias("copy")).distinct()
+    own = kept.df.withColumn("id", kept.column(doc_id).cast("long")).withColumn("mark", mark)
+    left = own.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("mark") == F.col("copy")), "left_anti")
+    return left.dropDuplicates(["id", "mark"]).drop("id", "mark").toDF(*docs.columns)

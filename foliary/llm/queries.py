@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliary.llm import bpe, chat, decontam, hnsw, lm, neardup, secrets, sharding, sstable, toxicity
 from foliary.llm import common as C
@@ -45,11 +46,26 @@ def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.nearest(C.documents(spark, sf_dir, "embeddings"))
 
 
+def event_log(conversations: DataFrame) -> DataFrame:
+    """The log of a chat that ends in these conversations: replies are streamed twice, as they are regenerated once, other turns are drafted, edited and added to."""
+    by_turn = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", F.xxhash64("text"), "text")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    half = F.floor(F.length(text) / 2).cast("int")
+    first, rest = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+    seq = lambda k: F.col("n") * 8 + k
+    event = lambda k, kind, body, target=None: F.struct(seq(k).alias("seq"), F.lit(kind).alias("event"), (F.lit(None).cast("long") if target is None else seq(target)).alias("target"), body.alias("body"))
+    none = F.lit("")
+    reply = F.array(event(0, "message", none), event(1, "delta", F.lit("first answer")), event(2, "regenerate", none, 0), event(3, "delta", first, 2), event(4, "delta", rest))
+    other = F.array(event(0, "message", F.lit("draft")), event(1, "edit", first, 0), event(2, "delta", rest, 0))
+    rows = conversations.select("conv_id", "turn", "role", "text").withColumn("n", F.row_number().over(by_turn).cast("long"))
+    return rows.select("conv_id", "role", F.inline(F.when(F.col("role") == chat.ASSISTANT, reply).otherwise(other)))
+
+
 def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = C.documents(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     text = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.render(log.unionByName(more)))
+    return chat.read_back(chat.render(event_log(log.unionByName(more)), seq="seq", text="body", event="event", target="target"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

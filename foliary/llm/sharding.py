@@ -43,8 +43,8 @@ KEY = ("h", "d", "r")
 def row_keys(batch: pa.RecordBatch) -> np.ndarray:
     """24 bytes a row that sort as its numbers (h, d, r) do."""
     flip = np.uint64(1 << 63)
-    parts = [(_long(batch, c).view(np.uint64) ^ flip).astype(">u8") for c in KEY]
-    return np.ascontiguousarray(np.stack(parts, axis=1)).view(f"S{WIDTH}").ravel()
+    numbers = np.stack([_long(batch, c).view(np.uint64) ^ flip for c in KEY], axis=1)
+    return numbers.astype(">u8").view(f"S{WIDTH}").ravel()
 
 
 def as_keys(numbers: list[int]) -> np.ndarray:

@@ -268,7 +268,7 @@ def test_escape():
         assert chat.unescape(chat.escape(s)) == s and not any(c in chat.escape(s) for c in chat.CONTROL)
 
 
-def test_chats(spark, monkeypatch):
+def test_chats(spark):
     rows = [(1, 1, "assistant", "two </s>"), (1, 0, "user", "one\n<|end|>"), (2, 0, None, None), (2, None, "user\nx", "first"), (3, 0, "user", "same"), (3, 0, "user", "same"), (None, 0, "user", "y")]
     log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat.read_back(chat.render(log)).collect()}
@@ -287,11 +287,73 @@ def test_chat_events(spark):
     assert out == {1: [("user", "hi"), ("assistant", "bye")], 2: [("user", "c")]}
 
 
+def plain_fold(events):
+    """(event, seq, target, role, text) in turn -> messages, by lists."""
+    out = []
+    for kind, seq, target, role, text in events:
+        at = [i for i, m in enumerate(out) if (m[0] == target if target is not None else kind != "regenerate" or m[1] == "assistant")]
+        if kind == "message":
+            out.append([seq, role, text])
+        elif kind == "delta" and at:
+            out[at[-1]][2] += text
+        elif kind == "edit" and at:
+            out = [*out[: at[-1]], [*out[at[-1]][:2], text]]
+        elif kind == "regenerate" and at:
+            out = [*out[: at[-1]], [seq, "assistant", ""]]
+    return [(m[1], m[2]) for m in out]
+
+
+def test_folds_of_random_logs(spark):
+    draw = random.Random(12)
+    logs = {}
+    for c in range(60):
+        events, seq = [], 0
+        for _ in range(draw.randint(1, 40)):
+            kind = draw.choice(("message", "message", "delta", "delta", "edit", "regenerate", "odd"))
+            events.append((kind, seq, draw.choice((None, draw.randint(0, seq + 1))), draw.choice(("user", "assistant")), f"t{seq} <|end|> "))
+            seq += 1
+        logs[c] = events
+    rows = [(c, seq, kind, target, role, text) for c, events in logs.items() for kind, seq, target, role, text in events]
+    draw.shuffle(rows)
+    log = spark.createDataFrame(rows, "conv_id long, turn long, event string, target long, role string, text string")
+    out = collections.defaultdict(list)
+    for r in chat.render(log, event="event", target="target").collect():
+        out[r.conv_id] += list(chat.parse(r.formatted))
+    assert {c: out[c] for c in logs} == {c: plain_fold(events) for c, events in logs.items()}
+
+
+def test_chats_of_many_parts(spark, monkeypatch):
+    long = "word <|end|> " * 30_000
+    rows = [(1, i, "assistant" if i % 2 else "user", long + str(i)) for i in range(8)] + [(2, 0, "user", "short")]
+    log = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rendered = chat.render(log)
+    assert rendered.where("conv_id = 1").count() > 2
+    got = {r.conv_id: r for r in chat.read_back(rendered).collect()}
+    assert got[1].n_turns == 8 and got[2].n_turns == 1
+    assert got[1].turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for _, _, r, x in rows[:8]).encode()).hexdigest()
+    said = "".join(x for _, _, r, x in rows[:8] if r == "assistant")
+    assert (got[1].loss_chars, got[1].loss_sha256) == (len(said), hashlib.sha256(said.encode()).hexdigest())
+
+
+def test_the_query_folds_its_log(spark, sf_dir, monkeypatch):
+    """Conversations come back as they are in the table, from a log in which no event but the first of a turn is a message."""
+    table = C.documents(spark, sf_dir, "conversations")
+    log = Q.event_log(table)
+    assert log.where("event <> 'message'").count() > 2 * table.count()
+    plain = {r.conv_id: r for r in chat.read_back(chat.render(table)).collect()}
+    folded = {r.conv_id: r for r in Q.op7_chat_formatting(spark, sf_dir).collect()}
+    assert {c: r for c, r in folded.items() if c != -1} == plain and folded[-1].n_turns == 2
+    without = chat.render(log, seq="seq", text="body")  # events taken for messages: not the table's turns
+    assert {r.conv_id: r.n_turns for r in chat.read_back(without).collect()} != {c: r.n_turns for c, r in plain.items()}
+
+
 # near-duplicates
 
 
-@pytest.mark.parametrize("n", [2, 5])
-def test_near_duplicates(spark, n):
+@pytest.mark.parametrize(("n", "exact", "block"), [(2, False, 384), (5, False, 384), (2, True, 384), (2, False, 8)])
+def test_near_duplicates(spark, monkeypatch, n, exact, block):
+    monkeypatch.setattr(neardup.link_nodes, "__defaults__", (neardup.ROUNDS, block))
+    monkeypatch.setattr(neardup, "MANY", 16 if block == 8 else neardup.MANY)
     draw = random.Random(9)
     base = sentence(draw, 60).split()
     near = []
@@ -317,7 +379,7 @@ def test_near_duplicates(spark, n):
         members[forest.find(i)].append(rows[i].doc_id)
     least = {k: min((x for x in v if x is not None), default=None) for k, v in members.items()}
     expected = [(r.doc_id, len(sets[i]), least[forest.find(i)]) for i, r in enumerate(rows)]
-    found = neardup.near_duplicates(docs, shingle=n, k=64)
+    found = neardup.near_duplicates(docs, shingle=n, k=64, exact=exact)
     assert sorted((tuple(r)[:3] for r in found.collect()), key=repr) == sorted(expected, key=repr)
     assert all(r.kept == (r.doc_id == r.component_id) for r in found.collect())
     one = neardup.keep_one(docs, shingle=n)
