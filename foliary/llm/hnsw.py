@@ -6,13 +6,17 @@ vector.  Each shard's graph is hierarchical: a node's top layer is drawn from a
 is a flat array of neighbour numbers, and insertion goes in batches that search the graph so far
 in lockstep.  One more coordinate makes all vectors of a shard equally long, which turns largest
 inner product into nearest neighbour.  Nodes that the entry can't reach are linked to it at the
-end.  Indexes are rows of a table in the shared folder; queries go to every shard in blocks, and
-the shards' answers are merged.  All rows are indexed; none is a sample.
+end.  Indexes are rows of a table in the shared folder.  Queries go to every shard; a task reads one
+index once and lets its queries stream past in blocks (one task a shard for up to
+``QUERIES_A_TASK`` queries, then more), and the shards' answers are merged.  All rows are indexed;
+none is a sample.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, rows without
 an id, and vectors of another length than most (the longer, on ties) take no part; repeated rows
 count once; a query's own id is never its neighbour; scores are double-precision products of the
-original vectors, ties go to the smaller id.
+original vectors, ties go to the smaller id; an id with several vectors asks with each and counts
+with its nearest; columns beside id and vector play no part, whatever their names; an empty table
+gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,6 +37,7 @@ M, M0 = 16, 32
 EF_BUILD, EF_SEARCH = 64, 192
 SHARD_ROWS = 16384
 QUERY_BLOCK = 1024
+QUERIES_A_TASK = 65536
 TOP = 20
 EXPAND = 4
 
@@ -304,29 +309,29 @@ def build_index(embeddings: DataFrame, vec_id: str = "vec_id", embedding: str =
     nodes = some.groupBy("v", "salt").agg(least(F.collect_list("ids")).alias("ids")).groupBy("v").agg(least(F.collect_list("ids")).alias("ids"))
     nodes = C.cut(nodes)
     shards = max(1, math.ceil(nodes.count() / shard_rows))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).repartitionById(shards, "shard")
     index = dealt.groupBy("shard").applyInArrow(_index, "shard int, vectors binary, graph binary, ids binary, offsets binary")
     return C.cut(index), shards, width
 
 
-def _answers(top: int, ef: int):
-    def task(queries: pa.Table, index: pa.Table) -> pa.Table:
-        empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not len(queries) or not len(index):
-            return empty
-        bodies = queries.column("v").to_pylist()
-        wanted = np.frombuffer(b"".join(bodies), "<f8").reshape(len(bodies), -1)
-        vectors = np.frombuffer(index.column("vectors")[0].as_py(), "<f8").reshape(-1, wanted.shape[1])
-        offsets, ids = (np.frombuffer(index.column(c)[0].as_py(), np.int64) for c in ("offsets", "ids"))
-        graph = Graph.unpacked(longer(vectors), index.column("graph")[0].as_py())
-        ask = np.concatenate([wanted, np.zeros((len(wanted), 1))], axis=1).astype(np.float32)
-        found = graph.search(ask, ef)
+class Shard:
+    """One shard's index, ready for questions."""
+
+    def __init__(self, row: dict, width: int) -> None:
+        self.vectors = np.frombuffer(row["vectors"], "<f8").reshape(-1, width)
+        self.offsets, self.ids = (np.frombuffer(row[c], np.int64) for c in ("offsets", "ids"))
+        self.graph = Graph.unpacked(longer(self.vectors), row["graph"])
+
+    def answer(self, queries: list[tuple[int, bytes]], top: int, ef: int) -> pa.RecordBatch:
+        """query_id, vec_id and score of the nearest found for each query (id, vector)."""
+        wanted = np.frombuffer(b"".join(v for _, v in queries), "<f8").reshape(len(queries), -1)
+        found = self.graph.search(np.concatenate([wanted, np.zeros((len(wanted), 1))], axis=1).astype(np.float32), ef)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for q, body, near in zip(queries.column("id").to_pylist(), wanted, found, strict=True):
+        for (q, _), body, near in zip(queries, wanted, found, strict=True):
             near = near[near >= 0]
-            score = vectors[near] @ body
-            count = offsets[near + 1] - offsets[near]
-            pick = ids[np.repeat(offsets[near] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+            score = self.vectors[near] @ body
+            count = self.offsets[near + 1] - self.offsets[near]
+            pick = self.ids[np.repeat(self.offsets[near] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
             score = np.repeat(score, count)
             other = pick != q
             pick, score = pick[other], score[other]
@@ -334,20 +339,48 @@ def _answers(top: int, ef: int):
             pick, score = pick[order], score[order]
             first = np.sort(np.unique(pick, return_index=True)[1])[:top]  # an id with several vectors counts with its nearest
             out.append((np.full(len(first), q), pick[first], score[first]))
-        return pa.table({n: pa.array(np.concatenate([x[i] for x in out])) for i, n in enumerate(("query_id", "vec_id", "score"))}) if out else empty
+        return pa.RecordBatch.from_pydict({n: pa.array(np.concatenate([x[i] for x in out])) for i, n in enumerate(("query_id", "vec_id", "score"))})
+
+
+def _answers(width: int, top: int, ef: int):
+    """Rows sorted by part, an index before the queries that are put to it."""
+
+    @C.tidy
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, shard, waiting = None, None, []
+        for batch in C.slices(batches):
+            for row in batch.to_pylist():
+                if row["part"] != part or len(waiting) >= QUERY_BLOCK:
+                    if waiting and shard:
+                        yield shard.answer(waiting, top, ef)
+                    waiting = []
+                if row["part"] != part:
+                    part, shard = row["part"], None
+                if row["graph"] is not None:
+                    shard = Shard(row, width)
+                else:
+                    waiting.append((row["id"], row["v"]))
+        if waiting and shard:
+            yield shard.answer(waiting, top, ef)
 
     return task
 
 
-def nearest(embeddings: DataFrame, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", top: int = TOP, ef: int = EF_SEARCH, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def nearest(embeddings: DataFrame, every: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", top: int = TOP, ef: int = EF_SEARCH, shard_rows: int = SHARD_ROWS, queries_a_task: int = QUERIES_A_TASK) -> DataFrame:
     """For each row whose id is divisible by ``every``, its ``top`` nearest other rows: query_id, rank, vec_id, score."""
-    index, shards, width = build_index(embeddings, vec_id, embedding, shard_rows, top)
-    asked = _valid(embeddings.where(F.col(vec_id) % every == 0), vec_id, embedding).where(F.size("v") == width)
-    asked = asked.dropDuplicates(["id", "v"]).mapInArrow(_binary, "id long, v binary")
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
-    sent = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    found = sent.groupBy("shard", "block").cogroup(copies.groupBy("shard", "block")).applyInArrow(_answers(top, ef), "query_id long, vec_id long, score double")
+    own = C.Kept(embeddings, "unused int")
+    rows = own.df.select(own.column(vec_id).alias("id"), own.column(embedding).alias("v"))
+    index, shards, width = build_index(rows, "id", "v", shard_rows, top)
+    asked = _valid(rows.where(F.col("id") % every == 0), "id", "v").where(F.size("v") == width)
+    asked = C.cut(asked.dropDuplicates(["id", "v"]).mapInArrow(_binary, "id long, v binary"))
+    copies = max(1, math.ceil(asked.count() / queries_a_task))  # of each shard's index, by which its queries are dealt
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("vectors", "binary"), ("graph", "binary"), ("ids", "binary"), ("offsets", "binary"))]
+    sent = asked.withColumn("copy", F.pmod(F.xxhash64("id"), F.lit(copies)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    part = (F.col("shard") * copies + F.col("copy")).cast("int").alias("part")
+    held = index.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(part, F.lit(None).cast("long").alias("id"), F.lit(None).cast("binary").alias("v"), "vectors", "graph", "ids", "offsets")
+    both = held.unionByName(sent.select(part, "id", "v", *none))
+    dealt = both.repartitionById(shards * copies, "part").sortWithinPartitions("part", F.col("graph").isNull())
+    found = dealt.mapInArrow(_answers(width, top, ef), "query_id long, vec_id long, score double")
     # one id may have come from several shards, if it stands for several vectors
     best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

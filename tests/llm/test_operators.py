@@ -255,6 +255,10 @@ def test_nearest(spark):
         assert [s for _, s in found] == sorted((s for _, s in found), reverse=True)
         met += len({i for i, _ in found} & set(order))
     assert met / (20 * len(got)) >= 0.95
+    again = hnsw.nearest(df, shard_rows=100, queries_a_task=4)  # several tasks for each shard
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in again.collect()) == sorted((q, i + 1, v) for q, found in got.items() for i, (v, _) in enumerate(found))
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [1.5, 0.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in hnsw.nearest(twice).orderBy("rank").collect()] == [(0, 1, 1, 2.0), (0, 2, 2, 1.5)]
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in hnsw.nearest(few).collect()] == [(0, 1, 1, 0.0)]
     assert hnsw.nearest(empty(df)).count() == 0
