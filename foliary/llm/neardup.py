@@ -56,7 +56,6 @@ TIGHT, LOOSE, PASS = 0.45, 0.1, 0.55
 ROUNDS = 5
 BLOCK = 384
 SIEVE_BITS = 23
-MANY, MOST_HOT = 1024, 1 << 15
 WHOLE = 1 << 30  # as k: sketches are whole sets
 
 
@@ -258,25 +257,11 @@ def _sql_hash(column: str) -> str:
     return f"xxhash64(coalesce({column}, -1L))"
 
 
-def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, size: str, rows: int) -> DataFrame:
-    """left and right on ``key``, where right has one row a key, with the number (``size``) of its rows in left.
-
-    Keys of very many rows are spread over several tasks by a hash of ``by``.  As left has about
-    ``rows`` rows, no more than MOST_HOT keys can be that large: that many are broadcast at most.
-    """
-    limit = max(MANY, rows // MOST_HOT)
-    parts = F.ceil(F.col(size) / limit).cast("int")
-    hot = right.where(F.col(size) > limit).select(key, parts.alias("parts"))
-    spread = left.join(F.broadcast(hot), key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
-    copied = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(parts - 1, F.lit(0)))))
-    return spread.join(copied, [key, "part"]).drop("part")
-
-
 def link_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int, percent: int, k: int, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that join all nodes of one component; nodes: node, key, first_doc, sketch."""
     postings = nodes.select("node", "sketch").mapInArrow(_postings, "node long, value long, held int")
     often = postings.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = spread_join(postings, often, "value", "node", "df", nodes.count() * min(k, K))
+    shared = C.spread_join(postings, often, "value", "node", "df", nodes.count() * min(k, K))
     by_node = Window.partitionBy("node")
     # values in one node only are the rarest of all: they count for the place, but make no list
     ranked = shared.withColumn("rest", F.col("held") - F.count(F.lit(1)).over(by_node)).withColumn("place", F.col("rest") + F.row_number().over(by_node.orderBy("df", "value")))
@@ -288,10 +273,10 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int
     for _ in range(rounds):
         rows = lists.count()
         first = lists.groupBy("value").agg(F.min_by("node", F.struct(F.xxhash64("node"), "node")).alias("pivot"), F.count(F.lit(1)).alias("size")).where("size > 1")
-        lists = spread_join(lists, first, "value", "node", "size", rows).where("node <> pivot").select("value", "node", "pivot")
+        lists = C.spread_join(lists, first, "value", "node", "size", rows).where("node <> pivot").select("value", "node", "pivot")
         pairs = lists.select("pivot", "node").distinct()
         centres = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("size")).join(sketches.select(F.col("node").alias("pivot"), F.col("sketch").alias("x")), "pivot")
-        with_sketch = spread_join(pairs.join(sketches.withColumnRenamed("sketch", "y"), "node"), centres, "pivot", "node", "size", rows)
+        with_sketch = C.spread_join(pairs.join(sketches.withColumnRenamed("sketch", "y"), "node"), centres, "pivot", "node", "size", rows)
         near = C.cut(with_sketch.select("pivot", "node", "x", "y").mapInArrow(_estimates(k), "pivot long, node long, near double"))
         gathered = near.where(F.col("near") >= LOOSE).select("pivot", "node")
         canopies = gathered if canopies is None else canopies.unionByName(gathered)
@@ -305,12 +290,12 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int
     marks = [F.sum(F.xxhash64("node", F.lit(i)).cast("decimal(20,0)")).alias(f"mark{i}") for i in (1, 2)]
     left = lists.groupBy("value").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("centre"), *marks).where("size > 1")
     left = left.groupBy("size", "mark1", "mark2").agg(F.min_by(F.struct("value", "centre"), "value").alias("one")).select("one.value", "one.centre", "size")
-    members = C.cut(members.unionByName(spread_join(lists, left, "value", "node", "size", lists.count()).select(canopy(1, "value").alias("c"), "node", "centre")))
+    members = C.cut(members.unionByName(C.spread_join(lists, left, "value", "node", "size", lists.count()).select(canopy(1, "value").alias("c"), "node", "centre")))
     rows = members.count()
     wanted = members.select("node").distinct().join(nodes.select("node", "key", "first_doc"), "node")
     bodies = C.cut(_full_sets(docs, wanted, text, doc_id, n))
     sizes = members.groupBy("c").agg(F.count(F.lit(1)).alias("size"))
-    sized = C.cut(spread_join(members, sizes, "c", "node", "size", rows))
+    sized = C.cut(C.spread_join(members, sizes, "c", "node", "size", rows))
     verify = _verify(percent, k)
 
     def links_of(tasks: DataFrame) -> DataFrame:
@@ -330,7 +315,7 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, n: int
     linked = ends.select(F.col("u").alias("node"), F.col("v").alias("centre")).distinct().withColumn("done", F.lit(1))
     told = C.cut(large.join(linked, ["node", "centre"], "left").select("c", "node", "size", (F.col("done").isNotNull() | (F.col("node") == F.col("centre"))).alias("done")))
     open_ = told.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.sum((~F.col("done")).cast("long")).alias("rest")).where("rest > 0")
-    again = spread_join(told.drop("size"), open_, "c", "node", "size", rows)
+    again = C.spread_join(told.drop("size"), open_, "c", "node", "size", rows)
     inner, outer = F.ceil((F.col("size") - F.col("rest")) / block).cast("int"), F.ceil(F.col("rest") / block).cast("int")
     placed = again.withColumn("block", F.when(F.col("done"), dealt(inner)).otherwise(inner + dealt(outer)))
     placed = placed.withColumn("other", F.explode(F.sequence(F.when(F.col("done"), inner).otherwise(0), inner + outer - 1)))
@@ -358,9 +343,10 @@ def _placed(docs: DataFrame, shingle: int, threshold: float, k: int, marks: list
     links = link_nodes(docs, nodes, "text", "doc_id", shingle, percent, k)
     roots = components(links)
     placed = nodes.select("node", "key", "first_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = placed.where("root <> node").select("root", "first_doc").groupBy("root").agg(F.min("first_doc").alias("least"))
-    own = placed.select("root", F.col("node").alias("self"), "first_doc").where("root = self").join(least, "root", "left").select("root", F.least("first_doc", "least").alias("component_id"))
-    by_key = placed.select("key", "root").join(own, "root").select("key", "component_id")
+    least = placed.where("root <> node").groupBy("root").agg(F.min("first_doc").alias("least"))
+    own = placed.select("root", F.col("node").alias("self"), "first_doc").where("root = self").join(least, "root", "left")
+    own = own.select("root", F.least("first_doc", "least").alias("component_id")).join(placed.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root")
+    by_key = C.spread_join(placed.select("key", "root"), own, "root", "key", "size", nodes.count()).select("key", "component_id")
     out = rows.select("doc_id", "n_shingles", "key", *names).join(by_key, "key", "left")
     component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *names)

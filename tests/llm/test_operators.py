@@ -357,7 +357,7 @@ def test_the_query_folds_its_log(spark, sf_dir, monkeypatch):
 @pytest.mark.parametrize(("n", "exact", "block"), [(2, False, 384), (5, False, 384), (2, True, 384), (2, False, 8)])
 def test_near_duplicates(spark, monkeypatch, n, exact, block):
     monkeypatch.setattr(neardup.link_nodes, "__defaults__", (neardup.ROUNDS, block))
-    monkeypatch.setattr(neardup, "MANY", 16 if block == 8 else neardup.MANY)
+    monkeypatch.setattr(C, "MANY", 16 if block == 8 else C.MANY)
     draw = random.Random(9)
     base = sentence(draw, 60).split()
     near = []
