@@ -162,3 +162,27 @@ def inherited_scope(messages: DataFrame) -> DataFrame:
     """Each message's scope of documents: its own, or the last one given before it."""
     order = Window.partitionBy("conversation_id").orderBy("sequence_number").rowsBetween(Window.unboundedPreceding, 0)
     return messages.withColumn("effective_scope", F.last("scope", ignorenulls=True).over(order))
+
+
+# What a scope stands between in a message, and the ids in it.
+SCOPE_BEGIN, SCOPE_END = "\x1eSCOPE:", "\x1e"
+SCOPE = r"\x1eSCOPE:([0-9a-fA-F,-]+)\x1e"
+UUID = r"^[0-9a-fA-F]{8}(?:-?[0-9a-fA-F]{4}){3}-?[0-9a-fA-F]{12}$"
+
+
+def encode_scope(content: Column, ids: Column) -> Column:
+    """A message with the ids of the documents it is about behind it, each once; without ids just the message."""
+    once = F.array_distinct(ids)
+    return F.when(F.size(once) > 0, F.concat(F.trim(content), F.lit(SCOPE_BEGIN), F.array_join(once, ","), F.lit(SCOPE_END))).otherwise(F.trim(content))
+
+
+def extract_scope(content: Column) -> Column:
+    """The ids of the last scope in a message; none where one of them is no id."""
+    found = F.regexp_extract_all(content, F.lit(SCOPE), F.lit(1))
+    ids = F.array_distinct(F.transform(F.split(F.element_at(found, -1), ","), F.lower))
+    return F.when((F.size(found) > 0) & F.forall(ids, lambda x: x.rlike(UUID)), ids).otherwise(F.array().cast("array<string>"))
+
+
+def strip_scope(content: Column) -> Column:
+    """A message as people see it."""
+    return F.trim(F.regexp_replace(content, SCOPE, ""))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,7 +15,7 @@ MOST_BYTES = 25 << 20
 OCR_LEAST = 20
 TITLE = 512
 # Fixed value: what a list item begins with.
-LIST_ITEM = r"^\s*(?:[-*•‣▪]|\(?[0-9]{1,3}[.)]|\(?[A-Za-z][.)])\s+"
+LIST_ITEM = r"(?U)^\s*(?:[-*•]|\d+[.)]|[A-Za-z][)])\s+"
 
 
 def accepted_files(files: DataFrame, most: int = MOST_BYTES) -> DataFrame:
@@ -89,6 +92,35 @@ def listing(rows: DataFrame, order: list[Column], page: int, size: int) -> DataF
     return rows.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def recent_conversations(conversations: DataFrame, most: int = 100) -> DataFrame:
+    """The conversations that changed last; on ties the younger, then the least id."""
+    return conversations.orderBy(F.desc("updated_at"), F.desc("created_at"), "id").limit(most)
+
+
+def messages_of(messages: DataFrame, conversation_id) -> DataFrame:
+    """A conversation's messages in their order."""
+    return messages.where(F.col("conversation_id") == conversation_id).orderBy("sequence_number", "id")
+
+
+def one_document(documents: DataFrame, document_id) -> DataFrame:
+    """The document of that id, or nothing; the filter reaches the scan."""
+    return documents.where(F.col("document_id") == document_id)
+
+
+def with_documents(chunks: DataFrame, documents: DataFrame, shown: tuple[str, ...] = ("original_filename", "is_indexed")) -> DataFrame:
+    """Chunks beside their document's columns; chunks of documents that aren't indexed don't count."""
+    return chunks.join(documents.where("is_indexed").select("document_id", *shown), "document_id")
+
+
+def nested_documents(documents: DataFrame, pages: DataFrame, elements: DataFrame) -> DataFrame:
+    """Each document with its pages in order, and in each its elements in order."""
+    own = [c for c in elements.columns if c not in ("document_id", "page_number")]
+    held = elements.groupBy("document_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("sequence_order", *(c for c in own if c != "sequence_order")))).alias("elements"))
+    more = [c for c in pages.columns if c not in ("document_id", "page_number")]
+    page = pages.join(held, ["document_id", "page_number"], "left").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("page_number", *more, "elements"))).alias("pages"))
+    return documents.join(page, "document_id", "left")
+
+
 def total_pages(total: Column, size: int) -> Column:
     return F.when(total > 0, F.ceil(total / size)).otherwise(F.lit(0))
 
@@ -110,8 +142,76 @@ def replace_index(stored: DataFrame, fresh: DataFrame, by: str = "document_id")
 
 
 def write_index(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Chunks by document bucket; a later write of some documents' chunks replaces only their buckets."""
-    chunks.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    """An upsert of whole documents into a table by document bucket, at ``path``.
+
+    What is stored of the buckets that ``chunks`` touches, less the documents it brings anew, is
+    written with it as a new version of those buckets; a list then names the version of each bucket,
+    and only from then on old versions go unread.  A task that is lost runs again from
+    stored files, none of which is overwritten.
+    """
+    spark = chunks.sparkSession
+    fresh = chunks.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int"))
+    touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())  # at most ``buckets``
+    if not touched:
+        return
+    now = _versions(spark, path)
+    stored = _stored(spark, path, {b: now[b] for b in touched if b in now})
+    whole = fresh if stored is None else replace_index(stored.where(F.col("bucket").isin(touched)), fresh.select(stored.columns))
+    version = f"v{max([int(v[1:9]) for v in now.values()], default=0) + 1:08d}-{uuid.uuid4().hex}"  # an attempt that failed before is in nobody's way
+    whole.write.partitionBy("bucket").parquet(f"{path}/{version}")
+    _set_versions(spark, path, now | dict.fromkeys(touched, version))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks that ``write_index`` left, each bucket in its current version."""
+    stored = _stored(spark, path, _versions(spark, path))
+    if stored is None:
+        raise FileNotFoundError(f"no index at {path}")
+    return stored
+
+
+def _stored(spark: SparkSession, path: str, versions: dict[int, str]) -> DataFrame | None:
+    """Rows of buckets by version: a scan of each version, pruned to its buckets."""
+    out = None
+    for version in sorted(set(versions.values())):
+        held = [b for b, v in versions.items() if v == version]
+        part = spark.read.parquet(f"{path}/{version}").where(F.col("bucket").isin(held))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _hadoop(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place, jvm
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, str]:
+    """Which version of each bucket counts: the last whole list."""
+    fs, place, jvm = _hadoop(spark, path)
+    if not fs.exists(place):
+        return {}
+    lists = sorted(s.getPath().getName() for s in fs.listStatus(place) if s.getPath().getName().startswith("_current-") and not s.getPath().getName().endswith(".tmp"))
+    if not lists:
+        return {}
+    stream = fs.open(jvm.org.apache.hadoop.fs.Path(place, lists[-1]))
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return {int(b): v for b, v in json.loads(text).items()}
+
+
+def _set_versions(spark: SparkSession, path: str, versions: dict[int, str]) -> None:
+    """A new list beside the old ones, whole at once by a rename."""
+    fs, place, jvm = _hadoop(spark, path)
+    name = f"_current-{max(versions.values())}"
+    temporary = jvm.org.apache.hadoop.fs.Path(place, name + ".tmp")
+    out = fs.create(temporary, True)
+    out.write(bytearray(json.dumps(versions).encode()))
+    out.close()
+    if not fs.rename(temporary, jvm.org.apache.hadoop.fs.Path(place, name)):
+        raise OSError(f"{name} can't be written at {path}")
 
 
 def delete_cascade(gone: DataFrame, tables: dict[str, DataFrame], by: str = "document_id") -> dict[str, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -232,20 +234,46 @@ def answer_summary(records: DataFrame, by: str = "configuration") -> DataFrame:
     )
 
 
+# What marks citations, emphasis, code and headings in answers.
+LABEL = r"^S\d+$"
+MARKS = (
+    (r"(?s)(\*\*|__)(.+?)\1", "$2"),
+    (r"(?<!\*)\*([^*\n]+)\*(?!\*)", "$1"),
+    (r"`([^`\n]+)`", "$1"),
+    (r"(?mdU)^\s{0,3}#{1,6}\s+", ""),
+)
+
+
 def strip_citations(answer: Column, labels: Column) -> Column:
-    """An answer without the labels it was given, and without simple marks of emphasis, code and headings."""
-    plain = F.aggregate(labels, answer, lambda s, x: F.replace(s, F.concat(F.lit("["), x, F.lit("]")), F.lit("")))
-    for pattern, into in ((r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"`([^`]+)`", "$1")):
+    """An answer without the labels it was given (others stay), and without marks of emphasis, code and headings; null stays null."""
+    known = F.filter(labels, lambda x: x.rlike(LABEL))
+    plain = F.aggregate(known, answer, lambda s, x: F.replace(s, F.concat(F.lit("["), x, F.lit("]")), F.lit("")))
+    for pattern, into in MARKS:
         plain = F.regexp_replace(plain, pattern, into)
     return T.collapse(plain)
 
 
-def review_bucket(status: Column, exact: Column, score: Column, valid: Column, scorable: Column) -> Column:
-    """Which pile an answer goes to for review; the first that fits."""
-    return (
-        F.when(status == "FAILED", "generation_failed").when(~scorable, "not_scorable").when(status == "ABSTAINED", "abstained")
-        .when(exact, "exact").when(score >= ANLS_LEAST, "near").when(~valid, "unsupported").otherwise("wrong")
-    )
+def review_bucket(status: Column, raw: Column, metric: Column, raw_anls: Column, raw_exact: Column, metric_anls: Column, metric_exact: Column, citations: Column, citations_valid: Column, supported: Column) -> Column:
+    """Which pile an answer goes to for review, the first that fits.
+
+    raw, metric: the answer as given and as cleaned for scoring; supported: whether its cited
+    evidence holds it, null where that isn't known.
+    """
+    filled = lambda c: F.coalesce(c, F.lit("")) != ""
+    right = lambda exact, anls: F.coalesce(exact, F.lit(False)) | (F.coalesce(anls, F.lit(0.0)) > 0)
+    rules = (
+        (status == "GROUNDING_REJECTED", "GROUNDING_REJECTED"),
+        (status != "ANSWERED", "UNCLASSIFIED"),
+        (~filled(raw) | ~filled(metric), "EMPTY_ANSWER"),
+        (right(raw_exact, raw_anls), "EXACT_OR_ANLS_CORRECT"),
+        (right(metric_exact, metric_anls), "FORMAT_MISMATCH"),
+        (F.coalesce(F.size(citations), F.lit(0)) <= 0, "NO_CITATION"),
+        (citations_valid & F.coalesce(~supported, F.lit(False)), "VALID_CITATION_WRONG_ANSWER"),
+    )
+    out = F.lit("UNCLASSIFIED")
+    for rule, bucket in reversed(rules):
+        out = F.when(rule, bucket).otherwise(out)
+    return out
 
 
 def gates(measures: DataFrame, least: dict[str, float]) -> DataFrame:
@@ -264,6 +292,11 @@ def against_baseline(current: DataFrame, baseline: DataFrame, measures: list[str
     return met.select(by, *(d.alias(f"{m}_delta") for m, d in deltas.items()), worse.alias("regression"))
 
 
+def percentage_points(delta: Column) -> Column:
+    """A difference of two rates in percentage points."""
+    return delta * 100
+
+
 def wide_to_long(wide: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     return wide.select(*keys, *(F.col(m).cast("double").alias(m) for m in measures)).unpivot(keys, measures, "metric", "value")
 
@@ -276,6 +309,7 @@ def shown_metric(status: Column, value: Column, places: int = 4) -> Column:
     return F.when(status == "MEASURED", F.format_string(f"%.{places}f", value)).otherwise(status)
 
 
-def claims(lines: DataFrame) -> DataFrame:
-    """Lines of a report that claim an accuracy as such."""
-    return lines.where(F.col("value").rlike(r"(?i)\b(accuracy|accurate)\b[^.]{0,40}\d+(?:\.\d+)?\s*%|\b\d+(?:\.\d+)?\s*%\s+(accuracy|accurate)\b"))
+def claims(lines: DataFrame, product: str) -> DataFrame:
+    """Lines of a report that claim one accuracy for a whole product (or its total system), which no measure here is."""
+    name = re.escape(product)
+    return lines.where(F.col("value").rlike(rf"(?i)\b{name}(?:\s+total[- ]system)?\s+accuracy\s*(?:=|:)\s*[0-9]"))

@@ -15,6 +15,8 @@ DATE = (
 )
 TRUE = r"\b(true|yes|enabled|active|required|allowed|available)\b"
 FALSE = r"\b(false|no|disabled|inactive|not required|unavailable|prohibited)\b"
+NUMBER_EDGES = (r"^[\s€$£₹]+", r"[\s,]+$")
+NUMBER = r"((?<![A-Za-z])[-+]?\d[\d,]*(?:\.\d+)?(?![A-Za-z]))"
 IDENTIFIER = r"^[A-Za-z]{2,}[A-Za-z0-9]*(?:[-/][A-Za-z0-9]+)+$"
 
 
@@ -23,9 +25,10 @@ def looks_like_identifier(text: Column) -> Column:
 
 
 def coerce(text: Column, kind: Column) -> Column:
-    """A raw value as normal text of its type, null where it doesn't fit."""
+    """A raw value as normal text of its type, null where it doesn't fit; lists are JSON arrays of texts, none of them blank."""
     plain = F.trim(text)
-    number = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"^[\s€$£₹]+", ""), r"[\s,]+$", ""), ",", "")
+    number = F.replace(F.regexp_replace(F.regexp_replace(plain, NUMBER_EDGES[0], ""), NUMBER_EDGES[1], ""), F.lit(","), F.lit(""))
+    items = F.transform(F.from_json(plain, "array<string>"), lambda x: F.trim(x))
     decimal = number.cast("decimal(38,10)").cast("string")
     shown = F.regexp_replace(F.regexp_replace(decimal, "0+$", ""), r"\.$", "")
     return (
@@ -34,6 +37,7 @@ def coerce(text: Column, kind: Column) -> Column:
         .when(kind == "number", F.when(number.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), shown))
         .when(kind == "boolean", F.when(F.lower(plain).isin("true", "false"), F.lower(plain)))
         .when(kind == "date", F.when(plain.rlike(DATE) & ~looks_like_identifier(plain), plain))
+        .when(kind == "list[string]", F.when((F.size(items) > 0) & F.forall(items, lambda x: x.isNotNull() & (x != "")), F.to_json(items)))
     )
 
 
@@ -41,10 +45,11 @@ def supported(value: Column, kind: Column, evidence: Column) -> Column:
     """Whether a coerced value stands in the evidence."""
     seen = collapse(casefold(evidence))
     own = collapse(casefold(value))
-    numbers = F.transform(F.regexp_extract_all(F.lower(evidence), F.lit(r"((?<![A-Za-z])[-+]?\d[\d,]*(?:\.\d+)?(?![A-Za-z]))")), lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("decimal(38,10)"))
+    numbers = F.transform(F.regexp_extract_all(F.lower(evidence), F.lit(NUMBER)), lambda n: F.replace(n, F.lit(","), F.lit("")).try_cast("decimal(38,10)"))
     return F.coalesce(
         F.when(kind.isin("string", "date"), (own != "") & seen.contains(own))
         .when(kind.isin("integer", "number"), F.array_contains(numbers, value.try_cast("decimal(38,10)")))
+        .when(kind == "list[string]", F.forall(F.from_json(value, "array<string>"), lambda x: (collapse(casefold(x)) != "") & seen.contains(collapse(casefold(x)))))
         .when(kind == "boolean", F.when(value == "true", F.lower(evidence).rlike(TRUE)).otherwise(F.lower(evidence).rlike(FALSE))),
         F.lit(False),
     )

@@ -33,6 +33,19 @@ def block_classes(spark, sf_dir):
     return corpus.classify_blocks(blocks).select("document_id", "l_linenumber", "element_type")
 
 
+@query(
+    "block_prefixes",
+    "SELECT l_orderkey AS document_id, l_linenumber, CASE l_linenumber WHEN 1 THEN 'list_item' WHEN 2 THEN 'paragraph' WHEN 3 THEN 'list_item' WHEN 4 THEN 'list_item' WHEN 5 THEN 'paragraph' WHEN 6 THEN 'heading' ELSE 'paragraph' END AS element_type FROM lineitem",
+)
+def block_prefixes(spark, sf_dir):
+    """What begins a list item and what doesn't, and capitals, at one size of letters."""
+    n = F.col("l_linenumber")
+    texts = ("1234) a numbered one", "A. Smith said so", "• a dot", "b) a letter", "(a) in brackets", "ALL CAPITALS", "‣ another mark")
+    text = F.element_at(F.array(*(F.lit(t) for t in texts)), n)
+    blocks = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), n, text.alias("text"), F.lit(10.0).alias("font_size"), F.lit(False).alias("is_bold"))
+    return corpus.classify_blocks(blocks).select("document_id", "l_linenumber", "element_type")
+
+
 @query("outside_tables", "SELECT a.l_orderkey AS document_id, a.l_linenumber FROM lineitem a WHERE a.l_linenumber > 1 AND NOT EXISTS (SELECT 1 FROM lineitem t WHERE t.l_linenumber = 1 AND t.l_orderkey = a.l_orderkey AND a.l_linenumber < 1 + t.l_quantity / 10)")
 def outside_tables(spark, sf_dir):
     """Boxes of a page (lines of an order) that don't touch the first one."""
@@ -76,16 +89,28 @@ def metric_records(spark, sf_dir):
     return M.metric_records(s, "e", {"mean": "n", "none": "zero"})
 
 
-@query("strip_citations", "SELECT doc_id, 'See ' || lang || ' here [S9]' AS answer FROM documents")
+@query("strip_citations", "SELECT doc_id, 'T ' || lang || ' is bold here [S9] and so' AS answer FROM documents")
 def strip_citations(spark, sf_dir):
+    """Headings, emphasis of both kinds, over a line end too, code, known and unknown labels."""
     d = read_table(spark, sf_dir, "documents")
-    return d.select("doc_id", E.strip_citations(F.concat(F.lit("**See** `"), "lang", F.lit("` [S1] here [S9] [S2]")), F.array(F.lit("S1"), F.lit("S2"))).alias("answer"))
+    marked = F.concat(F.lit("  ## T\n`"), "lang", F.lit("` **is\n bold** __here__ [S1][S9] [S2] *and* so"))
+    return d.select("doc_id", E.strip_citations(marked, F.array(F.lit("S1"), F.lit("S2"))).alias("answer"))
+
+
+_REVIEW = (
+    "SELECT event_id, CASE WHEN event_type = 'error' THEN 'GROUNDING_REJECTED' WHEN event_type = 'signup' THEN 'UNCLASSIFIED' WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN 'EMPTY_ANSWER' "
+    "WHEN event_id % 3 = 0 OR value > 90 THEN 'EXACT_OR_ANLS_CORRECT' WHEN event_id % 5 = 0 OR value > 70 THEN 'FORMAT_MISMATCH' WHEN event_id % 7 = 0 THEN 'NO_CITATION' "
+    "WHEN event_id % 2 = 0 AND event_id % 4 = 0 THEN 'VALID_CITATION_WRONG_ANSWER' ELSE 'UNCLASSIFIED' END AS bucket FROM events"
+)
 
 
-@query("review_buckets", "SELECT bucket, count(*) AS n FROM (SELECT CASE WHEN value > 90 THEN 'generation_failed' WHEN value > 70 THEN 'exact' WHEN value > 50 THEN 'near' WHEN value > 30 THEN 'unsupported' ELSE 'wrong' END AS bucket FROM events) GROUP BY bucket")
+@query("review_buckets", f"SELECT bucket, count(*) AS n FROM ({_REVIEW}) GROUP BY bucket")
 def review_buckets(spark, sf_dir):
-    v = F.col("value")
-    bucket = E.review_bucket(F.when(v > 90, "FAILED").otherwise("COMPLETED"), v > 70, F.when(v > 50, 0.8).otherwise(0.1), v <= 30, F.lit(True))
+    """Every pile; unsupported where the id is divisible by 4, unknown where it is odd."""
+    n, v = F.col("event_id"), F.col("value")
+    status = F.when(F.col("event_type") == "error", "GROUNDING_REJECTED").when(F.col("event_type") == "signup", "FAILED").otherwise("ANSWERED")
+    cited = F.when(n % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("S1")))
+    bucket = E.review_bucket(status, F.when(n % 11 != 0, "raw"), F.when(n % 13 == 0, "").otherwise("metric"), F.when(v > 90, 0.6).otherwise(0.0), n % 3 == 0, F.when(v > 70, 0.6).otherwise(0.0), n % 5 == 0, cited, n % 2 == 0, F.when(n % 2 == 0, n % 4 != 0))
     return read_table(spark, sf_dir, "events").groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 

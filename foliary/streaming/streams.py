@@ -20,28 +20,12 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
 def index_stream(pages: DataFrame, path: str, checkpoint: str, limits: Limits | None = None, buckets: int = 64):
     """Chunks each batch's documents into the index.
 
-    A bucket that a batch touches is rewritten with its other documents kept, so running a batch
-    again gives the same index.
+    A batch's documents replace what is stored of them (an upsert by versions of buckets, see
+    ``write_index``), so running a batch again gives the same index; ``corpus.read_index`` reads it.
     """
 
     def one(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = chunk_pages(batch, limits=limits)
-        bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
-        try:
-            stored = spark.read.parquet(path)
-        except Exception as e:  # the first batch finds no index
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            write_index(fresh, path, buckets)
-            return
-        fresh = fresh.checkpoint() if spark.sparkContext.getCheckpointDir() else fresh.persist()
-        touched = fresh.select(bucket.alias("bucket")).distinct()
-        kept = stored.join(touched, "bucket", "left_semi").drop("bucket").join(fresh.select("document_id").distinct(), "document_id", "left_anti")
-        merged = kept.unionByName(fresh)
-        merged = merged.checkpoint() if spark.sparkContext.getCheckpointDir() else merged.persist()
-        merged.count()  # read before its files are replaced
-        write_index(merged, path, buckets)
+        write_index(chunk_pages(batch, limits=limits), path, buckets)
 
     return pages.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -4,6 +4,8 @@ import glob
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 
 
 def views(sf_dir):
@@ -17,9 +19,9 @@ def plain(frame):
     """Rows as sorted tuples of comparable values, columns by name."""
 
     def value(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and v != v):
             return None
-        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        return float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, bool) else str(v)
 
     frame = frame[sorted(frame.columns)]
     return sorted((tuple(value(v) for v in row) for row in frame.itertuples(index=False)), key=repr)

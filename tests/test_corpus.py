@@ -51,7 +51,14 @@ def test_index_replacement_and_deletion(spark, tmp_path):
     assert {tuple(r) for r in corpus.replace_index(stored, fresh).collect()} == {("a", "1"), ("b", "3"), ("c", "4")}
     corpus.write_index(stored, str(tmp_path / "i"), 4)
     corpus.write_index(fresh.where("document_id = 'b'"), str(tmp_path / "i"), 4)
-    assert ("b", "3") in {(r.document_id, r.text) for r in spark.read.parquet(str(tmp_path / "i")).collect()}
+    for _ in range(2):  # written again, it is the same
+        assert {(r.document_id, r.text) for r in corpus.read_index(spark, str(tmp_path / "i")).collect()} == {("a", "1"), ("b", "3")}
+        corpus.write_index(fresh.where("document_id = 'b'"), str(tmp_path / "i"), 4)
+    corpus.write_index(fresh.limit(0), str(tmp_path / "i"), 4)
+    corpus.write_index(fresh, str(tmp_path / "i"), 4)
+    assert {(r.document_id, r.text) for r in corpus.read_index(spark, str(tmp_path / "i")).collect()} == {("a", "1"), ("b", "3"), ("c", "4")}
+    with pytest.raises(FileNotFoundError):
+        corpus.read_index(spark, str(tmp_path / "nothing"))
     assert [r.document_id for r in corpus.delete_verified(fresh.limit(0), stored, ["text"]).orderBy("document_id").collect()] == ["a", "b"]
     with pytest.raises(ValueError):
         corpus.delete_verified(fresh, stored, ["text"])
@@ -110,7 +117,7 @@ def test_index_stream(spark, tmp_path):
     streams.index_stream(source, str(tmp_path / "index"), str(tmp_path / "cp"), buckets=2).awaitTermination()
     spark.createDataFrame([("a", 1, "Changed text.", False)], pages.schema).write.mode("append").parquet(str(tmp_path / "in"))
     streams.index_stream(source, str(tmp_path / "index"), str(tmp_path / "cp"), buckets=2).awaitTermination()
-    got = {r.document_id: r.text for r in spark.read.parquet(str(tmp_path / "index")).collect()}
+    got = {r.document_id: r.text for r in corpus.read_index(spark, str(tmp_path / "index")).collect()}
     assert got == {"a": "Changed text.", "b": "Second text."}
 
 

@@ -85,5 +85,5 @@ def test_gates_and_baseline(spark):
 def test_strip_and_review(spark):
     df = spark.createDataFrame([("# Title\n**Bold** and `code` [S1] [S9]", ["S1"])], "t string, l array<string>")
     assert df.select(E.strip_citations(F.col("t"), F.col("l"))).first()[0] == "Title Bold and code [S9]"
-    claim = spark.createDataFrame([("Accuracy of 95 %",), ("We saw 95 pages",)], "value string")
-    assert E.claims(claim).count() == 1
+    claim = spark.createDataFrame([("Acme total-system Accuracy = 95",), ("accuracy: 95 %",), ("Acme accuracy is 95",)], "value string")
+    assert E.claims(claim, "acme").count() == 1
