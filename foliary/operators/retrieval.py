@@ -204,7 +204,10 @@ def rerank(candidates: DataFrame, queries: DataFrame, chunks: DataFrame, k: int,
     ``scorer`` gives a column from (query, heading, text): an expression, or a pandas UDF around a model.
     """
     heading = F.col("section_heading") if "section_heading" in chunks.columns else F.lit(None).cast("string")
-    body = candidates.withColumnRenamed("rank", "base_rank").join(queries.select("query_id", "query"), "query_id").join(chunks.select("chunk_id", F.col("text").alias("__text"), heading.alias("__heading")), "chunk_id")
+    texts = chunks.select("chunk_id", F.col("text").alias("__text"), heading.alias("__heading"), F.lit(True).alias("__held"))
+    body = candidates.withColumnRenamed("rank", "base_rank").join(queries.select("query_id", "query"), "query_id", "left").join(texts, "chunk_id", "left")
+    # every candidate must be scored: one without its chunk or query is an error, not a row less
+    body = body.withColumn("__text", F.when(F.col("__held") & F.col("query").isNotNull(), F.col("__text")).otherwise(F.raise_error(F.lit("a candidate has no chunk or query to be scored by")))).drop("__held")
     scored = body.withColumn("rerank_score", scorer(F.col("query"), F.col("__heading"), F.col("__text"))).drop("query", "__text", "__heading")
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "base_rank", "chunk_id")
     out = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

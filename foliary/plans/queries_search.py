@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.operators import retrieval as R
+from foliary.operators import search as S
 from foliary.plans.catalog import query
-from foliary.session import read_table
+from foliary.session import own_folder, read_table
 
 ASKED = (0, 1, 2, 3, 4)
 WORDS = {0: "the and", 1: "der die", 2: "de la", 3: "that with", 4: "und ist"}
@@ -163,3 +164,35 @@ def query_terms(spark, sf_dir):
     return R.query_terms(_vectors(spark, sf_dir)).select("query_id", "term")
 
 
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> S.Index:
+    """The stored index over all documents, in a folder of its own."""
+    return S.build(_chunks(spark, sf_dir), own_folder(spark, "search-index"))
+
+
+def many_queries(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """n queries: the first vectors, and two words of the document of the same id each."""
+    e = read_table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    d = read_table(spark, sf_dir, "documents").where(F.col("doc_id") < n)
+    words = F.filter(F.split("text", r"[^\\p{L}]+"), lambda w: F.length(w) > 3)
+    return e.join(d.select(F.col("doc_id").alias("query_id"), F.coalesce(F.nullif(F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1))), F.lit("")), F.lit("document")).alias("query")), "query_id")
+
+
+@query("index_semantic_topk", f"SELECT {_SEM} FROM ({_ranked(_scored(), 10)})")
+def index_semantic_topk(spark, sf_dir):
+    """The same results as ``semantic_topk``, from stored unit vectors."""
+    return _shown(S.search(search_index(spark, sf_dir), _vectors(spark, sf_dir).drop("query"), "semantic", 10))
+
+
+@query("index_keyword_topk")
+def index_keyword_topk(spark, sf_dir):
+    """Stems, groups, phrases and exclusions; SQL engines here have no such ranking, so tests hold it against plain code."""
+    q = spark.createDataFrame([(0, "document words"), (1, '"with the" station'), (2, "tion or station -the")], "query_id long, query string")
+    return S.search(search_index(spark, sf_dir), q, "keyword", 10).select("query_id", "chunk_id", "rank", F.round("keyword_score", 9).alias("keyword_score"))
+
+
+@query("index_hybrid_topk")
+def index_hybrid_topk(spark, sf_dir):
+    """Both branches of the stored index, fused; tests hold the branches and the fusion against plain code."""
+    return S.search(search_index(spark, sf_dir), _vectors(spark, sf_dir), "hybrid", 10).select("query_id", "chunk_id", "rank", F.round("hybrid_score", 9).alias("hybrid_score"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,3 +27,11 @@ def build_session(app: str = "foliary", master: str | None = None, **conf: str)
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder, always through Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def own_folder(spark: SparkSession, name: str) -> str:
+    """A fresh path in the folder that ``spark.checkpoint.dir`` names; on one machine, where it is unset, in a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{(folder or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
