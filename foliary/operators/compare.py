@@ -156,6 +156,15 @@ def within_limits(chunks: DataFrame, items: int = MOST_ITEMS, chars: int = MOST_
     return chunks.groupBy("pair_id").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("text")).alias("chars")).where((F.col("items") <= items) & (F.col("chars") <= chars))
 
 
+def require_limits(*sides: DataFrame, items: int = MOST_ITEMS, chars: int = MOST_CHARS) -> None:
+    """Raises where a pair is too large to be compared; the first ten are named."""
+    for side in sides:
+        small = within_limits(side, items, chars).select("pair_id")
+        bad = [str(r[0]) for r in side.select("pair_id").distinct().join(small, "pair_id", "left_anti").orderBy("pair_id").limit(10).collect()]
+        if bad:
+            raise ValueError(f"too large to be compared: {', '.join(bad)}")
+
+
 def metadata_changes(pairs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """pairs: pair_id, base_<field>, target_<field>.  A null that gets a value is added, the reverse removed; "" is a value."""
     listed = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"base_{f}").alias("before"), F.col(f"target_{f}").alias("after")) for f in fields))
@@ -222,6 +231,41 @@ def table_pairs(base: DataFrame, target: DataFrame) -> DataFrame:
     return candidates.groupBy("pair_id").applyInPandas(greedy, "pair_id string, base_table string, target_table string, score double")
 
 
+def table_alignment(base: DataFrame, target: DataFrame) -> DataFrame:
+    """All tables of both sides: pairs as ``table_pairs`` finds them, and those left over as removed or added."""
+    met = table_pairs(base, target).withColumn("change_type", F.lit("matched"))
+    names = lambda df, to: df.select(F.col("pair_id").cast("string").alias("pair_id"), F.col("table_id").cast("string").alias(to))
+    none = F.lit(None).cast("string")
+    removed = names(base, "base_table").join(met.select("pair_id", "base_table"), ["pair_id", "base_table"], "left_anti").select("pair_id", "base_table", none.alias("target_table"), F.lit(None).cast("double").alias("score"), F.lit("removed").alias("change_type"))
+    added = names(target, "target_table").join(met.select("pair_id", "target_table"), ["pair_id", "target_table"], "left_anti").select("pair_id", none.alias("base_table"), "target_table", F.lit(None).cast("double").alias("score"), F.lit("added").alias("change_type"))
+    return met.unionByName(removed).unionByName(added)
+
+
+def all_changes(*parts: tuple[str, DataFrame, list[str]]) -> DataFrame:
+    """One list of changes, numbered C1, C2, ... for each pair: metadata, text, tables, in the order given.
+
+    parts: (what it is about, its rows with pair_id and change_type, the columns it is ordered by);
+    what a part says of a change is kept as ``detail`` (JSON).
+    """
+    out = None
+    for place, (about, rows, order) in enumerate(parts):
+        own = [c for c in rows.columns if c not in ("pair_id", "change_id", "change_type")]
+        number = F.row_number().over(Window.partitionBy("pair_id").orderBy(*order))
+        part = rows.select(F.col("pair_id").cast("string").alias("pair_id"), F.lit(place).alias("place"), F.lit(about).alias("about"), "change_type", number.alias("n"), F.to_json(F.struct(*own)).alias("detail"))
+        out = part if out is None else out.unionByName(part)
+    by = Window.partitionBy("pair_id").orderBy("place", "n")
+    return out.select("pair_id", F.concat(F.lit("C"), F.row_number().over(by).cast("string")).alias("change_id"), "about", "change_type", "detail")
+
+
+def summary_grounded(summaries: DataFrame, found: DataFrame) -> DataFrame:
+    """Whether a comparison's summary (pair_id, summary) cites only changes there are, and at least one: pair_id, cited, unknown, grounded."""
+    ids = F.array_distinct(F.regexp_extract_all("summary", F.lit(r"\[(C[0-9]+)\]"), F.lit(1)))
+    cited = summaries.select(F.col("pair_id").cast("string").alias("pair_id"), F.explode_outer(ids).alias("change_id"))
+    held = found.select(F.col("pair_id").cast("string").alias("pair_id"), "change_id", F.lit(True).alias("held"))
+    met = cited.join(held, ["pair_id", "change_id"], "left").groupBy("pair_id").agg(F.count("change_id").alias("cited"), F.count_if(F.col("change_id").isNotNull() & F.col("held").isNull()).alias("unknown"))
+    return met.withColumn("grounded", (F.col("cited") > 0) & (F.col("unknown") == 0))
+
+
 def fallback_summary(found: DataFrame, most: int = 20) -> DataFrame:
     """A sentence for each of the first changes of a pair, with the labels of both sides."""
     labels = F.concat(F.when(F.col("base_id").isNotNull(), F.concat(F.lit("["), "base_id", F.lit("]"))).otherwise(""), F.when(F.col("target_id").isNotNull(), F.concat(F.lit("["), "target_id", F.lit("]"))).otherwise(""))

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, replace
+from decimal import Context, Decimal, localcontext
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -68,7 +70,7 @@ class TableQueryPlan:
 
 def number(cell: Column) -> Column:
     """A cell as a number: leading currency signs and all commas go, then digits with a sign and fraction; else null."""
-    text = F.trim(cell.cast("string"))
+    text = F.regexp_replace(cell.cast("string"), r"(?U)^\s+|\s+$", "")
     clean = F.regexp_replace(F.regexp_replace(text, r"^[\s€$£₹]+", ""), ",", "")
     return F.when(clean.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$"), clean.cast(NUMBER))
 
@@ -186,7 +188,8 @@ def shown(value: Column) -> Column:
     return F.when(text.contains("."), F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")).otherwise(text)
 
 
-# Words that name an operation, in the order in which they are tried, and column aliases.
+# Words that name an operation, in the order in which they are tried, column aliases,
+# words for rows, and the sentences of answers.
 PHRASES = (
     ("max", ("highest", "maximum", "max", "largest", "greatest")),
     ("min", ("lowest", "minimum", "min", "smallest", "least")),
@@ -195,6 +198,17 @@ PHRASES = (
     ("count", ("how many", "count")),
 )
 ALIASES = {"qty": {"quantity", "quantities", "units", "unit"}, "no": {"number", "count"}}
+NOUNS = ("product", "record", "row")
+SENTENCES = {
+    "count": "There {are} {value} {noun} in the table. [T1]",
+    "number": "The {operation} of {column} is {value}. [T1]",
+    "extreme": "{label} has the {most} {column} at {value}. [T1]",
+    "filter": "{n} rows match the requested filter. [T1]",
+    "rows": "The table query returned {n} rows. [T1]",
+}
+
+_RULES = tuple((operation, re.compile("|".join(phrases))) for operation, phrases in PHRASES)
+_AROUND = re.compile(r"^\s*(?:of\s+)?|(?:\s+column)?(?:\s+(?:in|from)\s+the\s+table)?\s*$")
 
 
 def _hints(text: str) -> set[str]:
@@ -202,43 +216,52 @@ def _hints(text: str) -> set[str]:
 
 
 def plan_from_question(question: str, headers: list[str]) -> TableQueryPlan | None:
-    """A plan for a plainly worded question, or None; raises where it asks for a column there isn't."""
+    """A plan for a plainly worded question, or None; raises where it asks for a column there isn't.
+
+    The first rule of ``PHRASES`` that occurs gives the operation, a header (but the first, which
+    names rows) that shares a word with the question the column; what stands behind the rule's words
+    is the column asked for, where there is none.
+    """
     asked = question.casefold()
-    operation = next((op for op, phrases in PHRASES if any(p in asked for p in phrases)), None)
-    if operation is None:
+    for operation, rule in _RULES:
+        if not (said := rule.search(asked)):
+            continue
+        if operation == "count":
+            return TableQueryPlan(operation)
+        wanted = _hints(asked)
+        for header in headers[1:]:
+            if wanted & (_hints(header) | ALIASES.get(header.casefold(), set())):
+                return TableQueryPlan(operation, header, tuple(dict.fromkeys((headers[0], header))))
+        missing = _AROUND.sub("", asked[said.end() :].partition("?")[0])
+        if missing:
+            raise TableQueryError(f"no column for {missing!r}; there are: {', '.join(headers)}")
         return None
-    if operation == "count":
-        return TableQueryPlan("count")
-    wanted = _hints(asked)
-    target = next((h for h in headers[1:] if _hints(h) & wanted or ALIASES.get(h.casefold(), set()) & wanted), None)
-    if target is not None:
-        return TableQueryPlan(operation, target, tuple(dict.fromkeys([headers[0], target])))
-    leads = "|".join(p for op, phrases in PHRASES[:2] for p in phrases), "|".join(p for op, phrases in PHRASES[2:4] for p in phrases)
-    for pattern in (rf"\b(?:{leads[0]})\s+(.+?)(?:\?|$)", rf"\b(?:{leads[1]})\s+(?:of\s+)?(.+?)(?:\?|$)"):
-        if m := re.search(pattern, asked):
-            phrase = re.sub(r"\s+column$", "", re.sub(r"\s+(?:in|from)\s+the\s+table$", "", m[1].strip())).strip()
-            if phrase:
-                raise TableQueryError(f"no column for {phrase!r}; there are: {', '.join(headers)}")
     return None
 
 
-def answer_text(plan: TableQueryPlan, result: DataFrame, question: str = "") -> str:
-    """One sentence for a small result; ends with the table's label."""
-    if plan.operation in ("sum", "average", "count"):
+def _facts(plan: TableQueryPlan, result: DataFrame, question: str) -> tuple[str, dict]:
+    """Which sentence a result makes, and what stands in it."""
+    op, column = plan.operation, plan.target_column
+    if op in ("sum", "average", "count"):
         value = result.select(shown(F.col("value"))).first()[0]
-        if plan.operation == "count":
-            hints = _hints(question)
-            noun = next((n for n in ("product", "record") if {n, n + "s"} & hints), "row")
-            return f"There {'is' if value == '1' else 'are'} {value} {noun}{'' if value == '1' else 's'} in the table. [T1]"
-        return f"The {plan.operation} of {plan.target_column} is {value}. [T1]"
-    if plan.operation in ("min", "max"):
-        row = result.orderBy(ROW).first()
-        label = next((c for c in plan.return_columns if c != plan.target_column), plan.target_column)
-        return f"{row[label]} has the {'lowest' if plan.operation == 'min' else 'highest'} {plan.target_column} at {row[plan.target_column]}. [T1]" if row else "The table query returned no rows. [T1]"
+        said = _hints(question)
+        noun = next((n for n in NOUNS if said & {n, f"{n}s"}), NOUNS[-1])
+        one = value == "1"
+        return ("count" if op == "count" else "number"), {"value": value, "operation": op, "column": column, "noun": noun if one else f"{noun}s", "are": "is" if one else "are"}
+    if op in ("min", "max"):
+        best = result.orderBy(ROW).first()
+        if best is not None:
+            label = [c for c in plan.return_columns if c != column] or [column]
+            return "extreme", {"label": best[label[0]], "most": {"min": "lowest", "max": "highest"}[op], "column": column, "value": best[column]}
+        return "rows", {"n": "no"}
     n = result.count()
-    if plan.operation == "filter":
-        return f"{n} rows match the requested filter. [T1]"
-    return f"The table query returned {n or 'no'} rows. [T1]"
+    return ("filter", {"n": n}) if op == "filter" else ("rows", {"n": n or "no"})
+
+
+def answer_text(plan: TableQueryPlan, result: DataFrame, question: str = "") -> str:
+    """One sentence for a small result; ends with the table's label."""
+    sentence, facts = _facts(plan, result, question)
+    return SENTENCES[sentence].format(**facts)
 
 
 def inventory(tables: DataFrame) -> DataFrame:
@@ -265,3 +288,32 @@ def without_repeated_header(rows: Column, headers: Column) -> Column:
 
 def combined(filters: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, filters, F.lit(True))
+
+
+def exact_totals(df: DataFrame, column: str) -> DataFrame:
+    """Sum and average of a text column to 28 significant digits, whatever the cells' digits (up to 38 before and 28 behind the point); one row.
+
+    Whole parts and fractions are summed apart, both exactly; only their two sums meet in decimal arithmetic.
+    """
+    cell = F.replace(F.regexp_replace(_cell(df, column).cast("string"), r"(?U)^[\s€$£₹]+|\s+$", ""), F.lit(","), F.lit(""))
+    good = cell.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$")
+    sign = F.when(cell.startswith("-"), -1).otherwise(1)
+    digits = F.regexp_replace(cell, "^[+-]", "")
+    whole = F.substring_index(digits, ".", 1).cast("decimal(38,0)") * sign
+    part = F.concat(F.lit("0."), F.when(digits.contains("."), F.substring_index(digits, ".", -1)).otherwise("0")).cast("decimal(38,28)") * sign
+    sums = df.agg(F.sum(F.when(good, whole)).alias("w"), F.sum(F.when(good, part)).alias("p"), F.count_if(good).alias("n"), F.count(F.lit(1)).alias("row_count"))
+
+    @F.pandas_udf("sum string, average string")
+    def total(w: pd.Series, p: pd.Series, n: pd.Series) -> pd.DataFrame:
+        def text(x: Decimal) -> str:
+            plain = format(x.normalize(), "f")
+            return plain.rstrip("0").rstrip(".") if "." in plain else plain
+
+        rows = []
+        with localcontext(Context(prec=28)):
+            for a, b, k in zip(w, p, n, strict=True):
+                s = Decimal(a or 0) + Decimal(b or 0)
+                rows.append((text(s), text(s / Decimal(int(k))) if k else None))
+        return pd.DataFrame(rows, columns=["sum", "average"])
+
+    return sums.select(total("w", "p", "n").alias("t"), "n", "row_count").select("t.sum", "t.average", F.col("n").alias("numbers"), "row_count")

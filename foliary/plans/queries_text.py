@@ -149,3 +149,53 @@ def value_supported(spark, sf_dir):
 @query("stable_ids", "SELECT doc_id, 'docs-' || left(sha256('docs' || '|' || lang || '|' || doc_id), 20) AS evaluation_id FROM documents")
 def stable_ids(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", T.stable_id("docs", F.lit("docs"), F.col("lang"), F.col("doc_id"), separator="|").alias("evaluation_id"))
+
+
+_NATIONS = "(SELECT n_regionkey AS pair_id, n_nationkey AS k, n_name FROM nation)"
+
+
+@query(
+    "table_alignment",
+    "SELECT CAST(n_regionkey AS VARCHAR) AS pair_id, CASE WHEN n_nationkey % 5 <> 1 THEN 'b' || n_nationkey END AS base_table, CASE WHEN n_nationkey % 5 <> 2 THEN 't' || n_nationkey END AS target_table, "
+    "CASE n_nationkey % 5 WHEN 1 THEN 'added' WHEN 2 THEN 'removed' ELSE 'matched' END AS change_type FROM nation",
+)
+def table_alignment(spark, sf_dir):
+    """A table for each nation on both sides, but some on one only; headers and keys tell them apart."""
+    n = read_table(spark, sf_dir, "nation")
+    side = lambda mark, gone: n.where(F.col("n_nationkey") % 5 != gone).select(F.col("n_regionkey").alias("pair_id"), F.concat(F.lit(mark), F.col("n_nationkey").cast("string")).alias("table_id"), F.lit(1).alias("page_number"), F.col("n_nationkey").alias("table_index"), F.array("n_name", F.concat("n_name", F.lit(" x"))).alias("headers"), F.array(F.lower("n_name")).alias("keys"))
+    return compare.table_alignment(side("b", 1), side("t", 2)).drop("score")
+
+
+@query(
+    "all_changes",
+    "SELECT CAST(pair_id AS VARCHAR) AS pair_id, 'C' || row_number() OVER (PARTITION BY pair_id ORDER BY place, k) AS change_id, about, kind AS change_type FROM (SELECT pair_id, 0 AS place, k, 'metadata' AS about, 'modified' AS kind FROM "
+    + _NATIONS
+    + " WHERE k % 3 = 0 UNION ALL SELECT pair_id, 1, k, 'text', 'added' FROM "
+    + _NATIONS
+    + " UNION ALL SELECT pair_id, 2, k, 'table', 'removed' FROM "
+    + _NATIONS
+    + " WHERE k % 2 = 0)",
+)
+def all_changes(spark, sf_dir):
+    n = read_table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("pair_id"), F.col("n_nationkey").alias("k"), "n_name")
+    of = lambda kind: n.withColumn("change_type", F.lit(kind))
+    found = compare.all_changes(("metadata", of("modified").where("k % 3 = 0"), ["k"]), ("text", of("added"), ["k"]), ("table", of("removed").where("k % 2 = 0"), ["k"]))
+    return found.drop("detail")
+
+
+@query("summary_changes_cited", "SELECT CAST(r_regionkey AS VARCHAR) AS pair_id, CASE WHEN r_regionkey % 3 = 2 THEN 0 ELSE 2 END AS cited, CASE WHEN r_regionkey % 3 = 1 THEN 1 ELSE 0 END AS unknown, r_regionkey % 3 = 0 AS grounded FROM region")
+def summary_changes_cited(spark, sf_dir):
+    r = read_table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("pair_id"))
+    say = F.when(F.col("pair_id") % 3 == 0, "It grew [C1], then [C2] and [C1].").when(F.col("pair_id") % 3 == 1, "It grew [C1] [C9].").otherwise("It grew.")
+    found = r.select("pair_id", F.explode(F.array(F.lit("C1"), F.lit("C2"))).alias("change_id"))
+    return compare.summary_grounded(r.select("pair_id", say.alias("summary")), found)
+
+
+@query("exact_totals", "SELECT CAST(sum(CAST(p_partkey AS DECIMAL(38, 6)) + 0.000001) AS VARCHAR) AS total, count(*) AS numbers FROM part")
+def exact_totals(spark, sf_dir):
+    """Cells of six decimals with signs of currency and commas; the sum as text without trailing zeros, padded to six."""
+    from foliary.operators import tables
+
+    cells = read_table(spark, sf_dir, "part").select(F.concat(F.lit(" € "), F.col("p_partkey").cast("string"), F.lit(".000,001 ")).alias("price"))
+    out = tables.exact_totals(cells, "price")
+    return out.select(F.col("sum").cast("decimal(38,6)").cast("string").alias("total"), "numbers")

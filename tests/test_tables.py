@@ -88,3 +88,12 @@ def test_answers(sales):
 def test_repeated_header(spark):
     df = spark.createDataFrame([([["a", "b"], ["1", "2"]], ["a", "b"]), ([["1", "2"]], ["a", "b"])], "rows array<array<string>>, headers array<string>")
     assert [len(r[0]) for r in df.select(Q.without_repeated_header(F.col("rows"), F.col("headers"))).collect()] == [1, 1]
+
+
+def test_totals_of_many_digits(spark):
+    rows = spark.createDataFrame([("12345678901234567890123456789",), ("0.0000000000000000000000001",), (" $1,000.5\u00a0",), ("-2",), ("n/a",)], "x string")
+    r = Q.exact_totals(rows, "x").first()
+    assert (r["sum"], r.numbers, r.row_count) == ("12345678901234567890123457790", 4, 5)
+    small = Q.exact_totals(spark.createDataFrame([("0.1",), ("0.2",), ("0.4",)], "x string"), "x").first()
+    assert (small["sum"], small.average) == ("0.7", "0.2333333333333333333333333333")
+    assert Q.exact_totals(rows.limit(0), "x").first()["sum"] == "0"
