@@ -45,7 +45,7 @@ from foliary.llm.trie import MappedTrie, Trie
 FOLD, HELD = 5, 1
 ORDER = 3
 BLOCK_TOKENS = 2_000_000
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 3_000_000
 TOKEN_BYTES = 6  # of a token, about; tells how many shards there are
 MOST_SHARDS = 1 << 20
 DISCOUNT = 0.75
@@ -196,15 +196,15 @@ class Block:
         head = json.loads(zstandard.ZstdDecompressor().decompress(data[at[0] : at[1]]))
         self.ids, self.held = head["ids"], np.array(head["held"], bool)
         self.sizes, self.stream = unpack(data[at[1] : at[2]]).astype(np.int64), unpack(data[at[2] : at[3]])
-        self.doc = np.repeat(np.arange(len(self.sizes)), self.sizes + 1)  # of each token
+        self.doc = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes + 1)  # of each token
         self.first = np.concatenate([[0], np.cumsum(self.sizes + 1)[:-1]])  # each document's first token
 
     def tokens(self) -> np.ndarray:
         """All tokens in order, as numbers (0: end, word i: i + 2)."""
-        out = np.full(len(self.doc), END, np.int64)
+        out = np.full(len(self.doc), END, np.int32)
         word = np.ones(len(out), bool)
         word[np.cumsum(self.sizes + 1) - 1] = False
-        out[word] = self.stream.astype(np.int64) + FIRST
+        out[word] = self.stream.astype(np.int32) + FIRST
         return out
 
 
@@ -271,7 +271,7 @@ class Asked:
     def __init__(self, context: np.ndarray, context_id: np.ndarray, context_count: np.ndarray, word: np.ndarray, word_id: np.ndarray, learnt: np.ndarray, model: Model) -> None:
         contexts, words = max(1, len(context_id)), len(word_id)
         asking = np.flatnonzero(context >= 0)
-        c, w = context[asking], word[asking]
+        c, w = context[asking].astype(np.int64), word[asking]
         used = np.zeros(len(context_id), bool)
         used[c] = True
         used = np.flatnonzero(used)
@@ -290,8 +290,8 @@ class Asked:
             back = np.empty(len(order), np.int64)
             back[order] = np.cumsum(new) - 1
             self.shard, self.context, self.word = x[new], y[new], z[new]
-        self.counts = np.bincount(back, weights=learnt[asking], minlength=len(self.word)).astype(np.uint32)
-        self.of_token = np.full(len(context), -1, np.int64)
+        self.counts = np.bincount(back[learnt[asking]], minlength=len(self.word)).astype(np.uint32)
+        self.of_token = np.full(len(context), -1, np.int32)
         self.of_token[asking] = back
         more = np.repeat(used, parts[used])
         turn = np.arange(len(more)) - np.repeat(np.cumsum(parts[used]) - parts[used], parts[used])
@@ -322,8 +322,8 @@ class Walk:
         counts = [unpack(r["b"]).astype(np.int64) for r in words]
         self.word_id, self.count = np.concatenate([[END, BEGIN], *ids]), np.concatenate([[model.documents] * 2, *counts])
         self.word = self.block.tokens()
-        self.learnt = (~self.block.held[self.block.doc]).astype(np.float64)
-        self.context = np.concatenate([[BEGIN], self.word[:-1]])
+        self.learnt = ~self.block.held[self.block.doc]
+        self.context = np.concatenate([np.full(1, BEGIN, np.int32), self.word[:-1]])
         self.context[self.block.first] = BEGIN
         self.context[self.count[self.context] == 0] = -1
         self.context_id, self.context_count = self.word_id, self.count
@@ -339,23 +339,23 @@ class Walk:
         part = np.zeros(len(asked.word))
         # a context's weight is the sum over its shards; one that none of them knows has all its weight on shorter ones
         of_context = np.zeros(len(self.context_id))
-        unigram = np.full(len(self.context_id), -np.inf)
+        unigram = np.zeros(len(self.context_id))
         entry = at = 0
         for r in answers:
-            code, weight = unpack(r["a"]).astype(np.int64), unpack(r["b"]).astype(np.int64)
+            code, weight = unpack(r["a"]), unpack(r["b"])
             books = np.frombuffer(r["books"], "<f4").reshape(-1, 256)
-            book = lambda i, books=books: np.concatenate([[-np.inf], books[i]])
-            part[entry : entry + len(code)] = 10.0 ** book(0)[code]
+            book = np.concatenate([np.zeros((len(books), 1)), 10.0**books], axis=1)  # code 0: nothing
+            part[entry : entry + len(code)] = book[0][code]
             of = asked.asked_context[at : at + len(weight)]
-            of_context[of] += 10.0 ** book(1)[weight]
+            of_context[of] += book[1][weight]
             if level == 2:
-                unigram[of] = np.maximum(unigram[of], book(2)[unpack(r["e"]).astype(np.int64)])
+                unigram[of] = np.maximum(unigram[of], book[2][unpack(r["e"])])
             entry, at = entry + len(code), at + len(weight)
         if level == 2:
             p1 = self.model.p1(np.where(np.arange(len(self.count)) == END, self.count, 0).astype(np.float64))
-            told = ~np.isneginf(unigram)
+            told = unigram > 0
             told[[END, BEGIN]] = False
-            p1[told] = 10.0 ** unigram[told]
+            p1[told] = unigram[told]
             self.p = p1[self.word]
         of_context[of_context == 0] = 1.0
         some = np.flatnonzero(asked.of_token >= 0)
@@ -369,11 +369,10 @@ class Walk:
                 held = entry + np.flatnonzero(code)
                 leaf[held], count[held] = unpack(r["c"]).astype(np.int64), unpack(r["d"]).astype(np.int64)
                 entry += len(code)
-            before = np.concatenate([[-1], asked.of_token[:-1]])
-            before[self.block.first] = -1
-            known = before >= 0
-            known[known] = leaf[before[known]] >= 0
-            self.context = np.where(known, before, -1)
+            self.context = np.concatenate([np.full(1, -1, np.int32), asked.of_token[:-1]])
+            self.context[self.block.first] = -1
+            known = np.flatnonzero(self.context >= 0)
+            self.context[known[leaf[self.context[known]] < 0]] = -1
             self.context_id, self.context_count = (asked.shard << LEAF_BITS) | np.maximum(leaf, 0), count
 
 
@@ -491,8 +490,13 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         raise ValueError("more words than ids")
     tokens, seen, learnt = (int(stats.column(c).to_numpy().sum()) for c in ("tokens", "seen", "learnt"))
     model = spark.sparkContext.broadcast(Model(np.cumsum(sizes) - sizes, shards, tokens, seen, learnt))
-    blocks = found.agg(F.countDistinct("block").alias("n")).first()["n"]
-    by_block = lambda rows: rows.where("block is not null").repartition(max(1, 2 * blocks), "block").sortWithinPartitions("block", "level", "shard")
+    # blocks are numbered within the partitions they were made in: laid out so, each has a task of its own
+    most = F.max(F.col("block").bitwiseAND((1 << 24) - 1)), F.max(F.shiftright("block", 24))
+    read = found.agg(F.countDistinct("block").alias("n"), *(F.coalesce(m, F.lit(0)).alias(c) for m, c in zip(most, ("each", "parts"), strict=True))).first()
+    each, blocks = read["each"] + 1, (read["each"] + 1) * (read["parts"] + 1)
+    place = (F.shiftright("block", 24) * each + F.col("block").bitwiseAND((1 << 24) - 1)).cast("int")
+    even = blocks <= 2 * read["n"] + 8
+    by_block = lambda rows: (rows.where("block is not null").repartitionById(blocks, place) if even else rows.where("block is not null").repartition(max(1, read["n"]), "block")).sortWithinPartitions("block", "level", "shard")
     for level in range(2, order + 1):
         # no name for what lies between, so that its shuffle files go when the answers are there
         found = found.unionByName(C.cut(dealt(by_block(found.drop("trie")).mapInArrow(_ask(level, model), _ddl(ASKED))).mapInArrow(_answer(level, level == order, discount, model.value.unit, tries is not None), _ddl(ANSWERS)), large=True))

@@ -141,7 +141,12 @@ class Trie:
         if not len(some) or not seq.n:
             return out
         # parents come many times each: their children's range and base are read once
-        distinct, back = np.unique(parents[some], return_inverse=True)
+        own = parents[some]
+        if (own[1:] >= own[:-1]).all():
+            new = np.concatenate([[True], own[1:] != own[:-1]])
+            distinct, back = own[new], np.cumsum(new) - 1
+        else:
+            distinct, back = np.unique(own, return_inverse=True)
         ends = pointers.access(np.concatenate([distinct, distinct + 1])).astype(np.int64)
         first, last = ends[: len(distinct)], ends[len(distinct) :]
         base = np.zeros(len(distinct), np.uint64)
