@@ -45,7 +45,7 @@ from foliary.llm.trie import MappedTrie, Trie
 FOLD, HELD = 5, 1
 ORDER = 3
 BLOCK_TOKENS = 2_000_000
-SHARD_TOKENS = 3_000_000
+SHARD_TOKENS = 4_000_000
 TOKEN_BYTES = 6  # of a token, about; tells how many shards there are
 MOST_SHARDS = 1 << 20
 DISCOUNT = 0.75
@@ -276,14 +276,24 @@ class Asked:
         used[c] = True
         used = np.flatnonzero(used)
         parts, home = model.parts(context_count), model.home(context_id)
-        at = home[c]
         wide = np.flatnonzero((parts > 1)[c]) if (parts[used] > 1).any() else used[:0]
-        at[wide] = (at[wide] + word_id[w[wide]] % parts[c[wide]]) % model.shards
         if model.shards * contexts * words < 1 << 63:
-            entries, back = np.unique((at * contexts + c) * words + w, return_inverse=True)
-            self.word, rest = entries % words, entries // words
-            self.shard, self.context = rest // contexts, rest % contexts
+            # (shard, context, word) as one number
+            first = (home * contexts + np.arange(len(home))) * words
+            whole = first[c]
+            whole += w
+            if len(wide):
+                at = (home[c[wide]] + word_id[w[wide]] % parts[c[wide]]) % model.shards
+                whole[wide] = (at * contexts + c[wide]) * words + w[wide]
+            entries, back = np.unique(whole, return_inverse=True)
+            del whole
+            rest = entries // words
+            self.word = entries - rest * words
+            self.shard = rest // contexts
+            self.context = rest - self.shard * contexts
         else:  # a block of very many words: the same order by three keys
+            at = home[c]
+            at[wide] = (at[wide] + word_id[w[wide]] % parts[c[wide]]) % model.shards
             order = np.lexsort((w, c, at))
             x, y, z = at[order], c[order], w[order]
             new = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])])
@@ -408,8 +418,9 @@ def _answer(level: int, last: bool, discount: float, unit: float, keep: bool):
 
     def answers(shard: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
         asked = [unpack(r["contexts"]).astype(np.uint64) for r in rows]
-        contexts, once, place = np.unique(np.concatenate(asked), return_index=True, return_inverse=True)
-        totals = np.concatenate([unpack(r["totals"]).astype(np.int64) for r in rows])[once]
+        contexts, place = np.unique(np.concatenate(asked), return_inverse=True)
+        totals = np.zeros(len(contexts), np.int64)
+        totals[place] = np.concatenate([unpack(r["totals"]) for r in rows])  # every block says the same
         lengths = np.concatenate([unpack(r["lengths"]) for r in rows]).astype(np.int64)
         keys = (np.repeat(place.astype(np.uint64), lengths) << np.uint64(WORD_BITS)) | np.concatenate([unpack_ids(r["words"]) for r in rows])
         counts = np.concatenate([unpack(r["counts"]) for r in rows]).astype(np.float64)
@@ -417,7 +428,7 @@ def _answer(level: int, last: bool, discount: float, unit: float, keep: bool):
         of_entry = np.concatenate([[0], np.cumsum(lengths)])[of_row]
         numbers = [r["block"] for r in rows]
         rows.clear()
-        del asked, lengths, once
+        del asked, lengths
         keys, back = np.unique(keys, return_inverse=True)
         counts = np.bincount(back, weights=counts, minlength=len(keys))
         built = shard_trie(contexts, totals, keys, counts, discount, unit if level == 2 else None).packed()
@@ -490,13 +501,13 @@ def score_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
         raise ValueError("more words than ids")
     tokens, seen, learnt = (int(stats.column(c).to_numpy().sum()) for c in ("tokens", "seen", "learnt"))
     model = spark.sparkContext.broadcast(Model(np.cumsum(sizes) - sizes, shards, tokens, seen, learnt))
-    # blocks are numbered within the partitions they were made in: laid out so, each has a task of its own
+    # blocks are numbered within the partitions they were made in: laid out so, two have a task
     most = F.max(F.col("block").bitwiseAND((1 << 24) - 1)), F.max(F.shiftright("block", 24))
     read = found.agg(F.countDistinct("block").alias("n"), *(F.coalesce(m, F.lit(0)).alias(c) for m, c in zip(most, ("each", "parts"), strict=True))).first()
     each, blocks = read["each"] + 1, (read["each"] + 1) * (read["parts"] + 1)
-    place = (F.shiftright("block", 24) * each + F.col("block").bitwiseAND((1 << 24) - 1)).cast("int")
+    place = ((F.shiftright("block", 24) * each + F.col("block").bitwiseAND((1 << 24) - 1)) / 2).cast("int")
     even = blocks <= 2 * read["n"] + 8
-    by_block = lambda rows: (rows.where("block is not null").repartitionById(blocks, place) if even else rows.where("block is not null").repartition(max(1, read["n"]), "block")).sortWithinPartitions("block", "level", "shard")
+    by_block = lambda rows: (rows.where("block is not null").repartitionById(blocks // 2 + 1, place) if even else rows.where("block is not null").repartition(max(1, read["n"]), "block")).sortWithinPartitions("block", "level", "shard")
     for level in range(2, order + 1):
         # no name for what lies between, so that its shuffle files go when the answers are there
         found = found.unionByName(C.cut(dealt(by_block(found.drop("trie")).mapInArrow(_ask(level, model), _ddl(ASKED))).mapInArrow(_answer(level, level == order, discount, model.value.unit, tries is not None), _ddl(ANSWERS)), large=True))

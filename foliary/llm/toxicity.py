@@ -108,6 +108,7 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float, orders: tuple[int,
     rows = [features.of(t) for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
     places = np.concatenate(rows)
+    del rows
     y = labels.astype(np.float64)
     toxic = np.repeat(labels == 1, np.diff(starts))
     p = np.bincount(places[toxic], minlength=size) + smoothing
@@ -172,7 +173,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text:
     middle = F.when(F.length(whole) > most_chars, F.substr(whole, ((F.length(whole) - most_chars) / 2).cast("int") + 1, F.lit(most_chars))).otherwise(whole)
     chosen = own.df.select(own.column(doc_id).cast("long").alias("__key"), middle.alias("__text")).join(F.broadcast(sample), F.col("__key") == F.col("__id"))
     rows = sorted(((r["__id"], r["__label"], r["__text"].encode()) for r in chosen.groupBy("__id", "__label").agg(F.min("__text").alias("__text")).toLocalIterator()), key=lambda r: r[0])
-    return fit([r[2] for r in rows], np.array([r[1] for r in rows], int), counts.get(1, 0) / total)
+    model = fit([r[2] for r in rows], np.array([r[1] for r in rows], int), counts.get(1, 0) / total)
+    del rows
+    C.release()  # the driver lives on for other work
+    return model
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, threshold: float = THRESHOLD, score: str = "score", predicted: str = "predicted") -> DataFrame:

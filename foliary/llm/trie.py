@@ -21,6 +21,22 @@ import tempfile
 import numpy as np
 
 PIECE = 8192  # bytes of upper bits
+TURN = 1 << 16  # questions answered at a time
+
+
+def _bits_in_row(values: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of ``width`` bits, one behind the other, as bytes."""
+    n = len(values)
+    if not width or not n:
+        return np.zeros(0, np.uint8)
+    place = np.arange(n, dtype=np.int64) * width
+    word, shift = place >> 6, (place & 63).astype(np.uint64)
+    out = np.zeros((n * width >> 6) + 2, np.uint64)
+    first = np.flatnonzero(np.diff(word, prepend=-1))
+    out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+    over = np.flatnonzero(shift + np.uint64(width) > np.uint64(64))  # at most one for each word
+    out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+    return out.view(np.uint8)[: (n * width + 7) >> 3]
 
 
 class EliasFano:
@@ -46,13 +62,7 @@ class EliasFano:
         bits[upper + np.arange(n)] = 1
         high = np.packbits(bits, bitorder="little")
         zeros = np.concatenate([[0], np.cumsum([8 * len(p) - int(np.bitwise_count(p).sum(dtype=np.int64)) for p in (high[a : a + PIECE] for a in range(0, len(high), PIECE))])[:-1]]).astype(np.int64)
-        if low_bits:
-            spread = np.empty((n, low_bits), np.uint8)
-            for i in range(low_bits):
-                spread[:, i] = (values >> np.uint64(i)) & np.uint64(1)
-            low = np.packbits(spread.ravel(), bitorder="little")
-        else:
-            low = np.zeros(0, np.uint8)
+        low = _bits_in_row(values & np.uint64((1 << low_bits) - 1), low_bits)
         return cls(n, low_bits, np.concatenate([low, np.zeros(8, np.uint8)]), high, zeros)
 
     def _select(self, k: np.ndarray, ones: bool) -> np.ndarray:
@@ -151,8 +161,10 @@ class Trie:
         first, last = ends[: len(distinct)], ends[len(distinct) :]
         base = np.zeros(len(distinct), np.uint64)
         base[first > 0] = seq.access(first[first > 0] - 1)
-        index, hit = seq.successor(base[back] + ids[some].astype(np.uint64), first[back], last[back])
-        out[some[hit]] = index[hit]
+        for a in range(0, len(some), TURN):
+            of, who = back[a : a + TURN], some[a : a + TURN]
+            index, hit = seq.successor(base[of] + ids[who].astype(np.uint64), first[of], last[of])
+            out[who[hit]] = index[hit]
         return out
 
     def codes(self, level: int, index: np.ndarray, kind: int = 0) -> np.ndarray:
