@@ -19,7 +19,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, root) for every linked node; root is the component's least node.
 
     Each step takes only a minimum for each node and a join on it, so a node with very many links
-    needs no list of them anywhere; in the join they are spread over several tasks.
+    needs no list of them anywhere; where there are very many, the join spreads them over several tasks.
     """
     edges = C.cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
     for _ in range(rounds):
@@ -27,10 +27,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        rows = 2 * edges.count()
-        large = C.spread_join(both, least, "u", "v", "n", rows).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        rows, most = 2 * edges.count(), least.agg(F.max("n")).first()[0]
+        joined = (lambda a, b, rows=rows: C.spread_join(a, b, "u", "v", "n", rows)) if most > C.MANY else (lambda a, b: a.join(b, "u"))
+        large = joined(both, least).where("v > u and v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = C.spread_join(large, least, "u", "v", "n", rows).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        small = joined(large, least).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = C.cut(small.where("u > v").distinct())
     else:
         raise RuntimeError(f"components aren't found in {rounds} rounds")
