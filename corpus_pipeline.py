@@ -6,7 +6,9 @@ decontamination rows with a passage of the benchmark go
 secret_scan     secrets in the texts are blotted out (and n_chars follows)
 byte_bpe        texts become token ids
 
-Every stage but the last returns the columns it was given.
+Every stage but the last returns the columns it was given, whatever their names.  Null and empty
+texts are clean, are nobody's copy and have no ids; empty tables give empty ones; without labels
+nothing is toxic; texts of any length are taken whole.
 """
 
 from __future__ import annotations
@@ -21,10 +23,17 @@ from foliary.llm import common as C
 from foliary.llm.queries import tokenizer_file
 
 
+def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The rows with column names that no result and no other column has, and what each column is called then."""
+    own = docs.toDF(*(f"__c{i}" for i in range(len(docs.columns))))
+    return own, dict(zip(docs.columns, own.columns, strict=True))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored below the threshold; labels serve for training only."""
     model = toxicity.train(docs, C.documents(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, score="__score", predicted="__predicted").where("__predicted = 0").select(docs.columns)
+    own, name = plain(docs)
+    return toxicity.score(own, model, text=name["text"]).where("predicted = 0").select(own.columns).toDF(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +43,18 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows without any window of the benchmark."""
-    own = docs.toDF(*(f"__c{i}" for i in range(len(docs.columns))))  # names that no result has
-    found = decontam.decontaminate(own, C.documents(spark, sf_dir, "benchmark"), text=own.columns[docs.columns.index("text")])
+    own, name = plain(docs)
+    found = decontam.decontaminate(own, C.documents(spark, sf_dir, "benchmark"), text=name["text"])
     return found.where("not contaminated").select(own.columns).toDF(*docs.columns)
 
 
 def blot_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without their secrets."""
-    clean = secrets.redact_secrets(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    """All rows, without their secrets; a column ``n_chars`` follows the text."""
+    own, name = plain(docs)
+    clean = secrets.redact_secrets(own, text=name["text"])
+    if "n_chars" in name:
+        clean = clean.withColumn(name["n_chars"], F.length(name["text"]).cast(docs.schema["n_chars"].dataType))
+    return clean.toDF(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
