@@ -108,3 +108,33 @@ def test_every_query_returns_every_row(spark, sf_dir):
     n = {t: duckdb.sql(f"SELECT count(*) FROM '{os.path.join(sf_dir, t)}.parquet'").fetchall()[0][0] for t in ("documents",)}
     for name in ("op1_toxicity", "op3_secret_scan", "op9_token_tables", "op10_histogram_sharding"):
         assert Q.queries()[name](spark, sf_dir).count() == n["documents"]
+
+
+def staged(spark, docs, sf_dir):
+    out = []
+    for name, stage in P.STAGES:
+        path = C.own_folder(spark, f"test-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append(docs)
+    return out
+
+
+def test_empty_tables(spark, sf_dir, tmp_path):
+    for table in ("documents", "labels", "benchmark"):
+        C.documents(spark, sf_dir, table).limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert P.run(spark, str(tmp_path)).count() == 0
+    some = spark.createDataFrame([(1, "one text of it"), (2, None)], "doc_id long, text string")
+    assert [x.count() for x in staged(spark, some, str(tmp_path))] == [2] * 5  # nothing is toxic, copied or leaked
+
+
+def test_awkward_columns_and_long_texts(spark, sf_dir):
+    long = " ".join(f"word{i}" for i in range(120_000))
+    rows = [(1, "plain words " * 20, "d", 0.5, 1, "r", "s", 240), (2, long, "d", 0.5, 1, "r", "s", len(long)), (3, None, None, None, None, None, None, None), (4, "password: hunter2hunter2", "d", 0.5, 1, "r", "s", 24), (4, "password: hunter2hunter2", "d", 0.5, 1, "r", "s", 24)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` string, __score double, predicted int, __c0 string, spans string, n_chars long")
+    *before, coded = staged(spark, docs, sf_dir)
+    assert all(x.columns == docs.columns for x in before)
+    got = {r.doc_id: r for r in before[-1].collect()}
+    assert set(got) == {1, 2, 3, 4} and before[-1].count() == 4 and got[2].text == long
+    assert got[4].text == "[ASSIGN]" and got[4].n_chars == 8 and got[4]["a.b"] == "d" and got[4]["__c0"] == "r"
+    assert {r.doc_id: r.n_tokens > 100_000 for r in coded.collect()} == {1: False, 2: True, 3: False, 4: False}
