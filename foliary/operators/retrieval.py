@@ -31,7 +31,10 @@ class SearchError(ValueError):
 
 @dataclass(frozen=True)
 class Filters:
-    """What a chunk must meet; None: anything.  An empty list meets nothing."""
+    """What a chunk must meet; None: anything.  An empty list meets nothing.
+
+    documents: a table of document_id, status, is_indexed; only chunks of its ready, indexed rows pass.
+    """
 
     document_ids: list | None = None
     content_types: list[str] | None = None
@@ -39,6 +42,7 @@ class Filters:
     start_page: int | None = None
     end_page: int | None = None
     more: list[Column] = field(default_factory=list)
+    documents: DataFrame | None = None
 
     def __post_init__(self) -> None:
         if self.start_page is not None and self.end_page is not None and self.start_page > self.end_page:
@@ -58,6 +62,8 @@ class Filters:
     def apply(self, chunks: DataFrame) -> DataFrame:
         for c in self.columns():
             chunks = chunks.where(c)
+        if self.documents is not None:
+            chunks = chunks.join(self.documents.where("status = 'ready' and is_indexed").select("document_id"), "document_id", "left_semi")
         return chunks
 
 

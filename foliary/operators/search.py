@@ -228,7 +228,7 @@ def _selected(index, queries, mode, k, filters, floor, rerank, scorer, selected,
         if not R.missing_documents(documents, scope).isEmpty():
             raise R.SearchError("every selected document must exist, be ready, and have indexed chunks")
     base = filters or R.Filters()
-    own = R.Filters(ids, base.content_types, base.contains_ocr, base.start_page, base.end_page, base.more)
+    own = R.Filters(ids, base.content_types, base.contains_ocr, base.start_page, base.end_page, base.more, base.documents)
     score = f"{mode}_score"
     ranked = _found(index, queries, mode, None, own, floor)
     if rerank:

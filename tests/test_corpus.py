@@ -78,6 +78,11 @@ def test_search_golden(spark):
     assert {r.query_id: r.chunk_id for r in R.keyword_search(q, chunks, k=5).collect()} == {"a": "c1", "b": "c2"}
     assert R.semantic_search(q, chunks, 5, filters=R.Filters(content_types=["table"])).count() == 0
     assert R.semantic_search(q, chunks, 5, filters=R.Filters(document_ids=[])).count() == 0
+    documents = spark.createDataFrame([("employment", "ready", True), ("employment", "ready", True), ("products", "ready", None), (None, "ready", True)], "document_id string, status string, is_indexed boolean")
+    ready = R.Filters(documents=documents)
+    assert {(r.query_id, r.chunk_id) for r in R.semantic_search(q, chunks, 5, filters=ready).collect()} == {("a", "c1"), ("b", "c1"), ("c", "c1")}
+    assert {r.query_id: r.chunk_id for r in R.keyword_search(q, chunks, k=5, filters=ready).collect()} == {"a": "c1"}
+    assert R.semantic_search(q, chunks, 5, filters=R.Filters(documents=documents.limit(0))).count() == 0
     both = R.hybrid_search(q, chunks, k=5).where("query_id = 'a' and chunk_id = 'c1'").first()
     assert both.hybrid_score == pytest.approx(2 / 61)
     with pytest.raises(R.SearchError):
