@@ -112,6 +112,9 @@ def test_selected_documents_and_faults(spark, index):
     documents = spark.createDataFrame([(f"d{i}", "ready", i != 5, 20) for i in range(6)], "document_id string, status string, is_indexed boolean, chunk_count int")
     got = S.search(built, queries, "semantic", 5, selected=["d1", "d2", "d1"], documents=documents)
     assert {r.document_id for r in got.collect()} <= {"d1", "d2"} and got.count() == 5
+    ready = R.Filters(documents=spark.createDataFrame([("d1", "ready", True), ("d2", "failed", True)], "document_id string, status string, is_indexed boolean"))
+    for scope in (None, ["d1", "d2"]):
+        assert {r.document_id for r in S.search(built, queries, "semantic", 5, filters=ready, selected=scope).collect()} == {"d1"}
     for bad in ({"selected": []}, {"selected": ["d5"], "documents": documents}, {"selected": [f"x{i}" for i in range(21)]}, {"mode": "odd"}, {"k": 51}):
         with pytest.raises(R.SearchError):
             S.search(built, queries, **bad)
