@@ -55,4 +55,24 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, root AS component_id, d.doc_id =
 FROM documents d LEFT JOIN size USING (doc_id) JOIN (SELECT node, min(root) AS root FROM reach GROUP BY node) r ON r.node = d.doc_id
 """
 
-ORACLES = {"op2_benchmark_decontamination": OP2, "op7_chat_formatting": OP7, "op8_near_duplicates": OP8}
+
+
+def _clusters(rounds: int = 3, centroids: int = 16) -> str:
+    """Rounds of assignment and floored means, one common table each; rows are told apart by a number."""
+    parts = [
+        "x AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS r, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)",
+        "cell AS (SELECT r, generate_subscripts(v, 1) AS i, unnest(v) AS e FROM x)",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM x QUALIFY c < {centroids})",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS (SELECT r, c, d FROM (SELECT r, c, CAST(list_sum(list_transform(list_zip(x.v, c{n}.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x, c{n}) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)")
+        if n < rounds:
+            parts.append(f"m{n} AS (SELECT c, list(e ORDER BY i) AS v FROM (SELECT c, i, CAST(floor(sum(e) / count(*)) AS BIGINT) AS e FROM a{n} JOIN cell USING (r) GROUP BY c, i) GROUP BY c)")
+            parts.append(f"c{n + 1} AS (SELECT c{n}.c, coalesce(m{n}.v, c{n}.v) AS v FROM c{n} LEFT JOIN m{n} USING (c))")
+    last = f"SELECT x.vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256 FROM x JOIN a{rounds} a USING (r) JOIN c{rounds} k ON k.c = a.c"
+    return "WITH " + ",\n".join(parts) + "\n" + last
+
+
+OP11 = _clusters()
+
+ORACLES = {"op11_centroid_clusters": OP11, "op2_benchmark_decontamination": OP2, "op7_chat_formatting": OP7, "op8_near_duplicates": OP8}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliary.llm import bpe, chat, decontam, hnsw, lm, neardup, secrets, sharding, sstable, toxicity
+from foliary.llm import bpe, centroids, chat, decontam, hnsw, lm, neardup, secrets, sharding, sstable, toxicity
 from foliary.llm import common as C
 from foliary.llm.oracles import ORACLES
 
@@ -83,6 +83,10 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(C.documents(spark, sf_dir, "embeddings"), keep=["vec_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -95,6 +99,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_duplicates": op8_near_duplicates,
         "op9_token_tables": op9_token_tables,
         "op10_histogram_sharding": op10_histogram_sharding,
+        "op11_centroid_clusters": op11_centroid_clusters,
     }
 
 
