@@ -85,6 +85,13 @@ def cut(df: DataFrame, large: bool = False) -> DataFrame:
     return out
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of what has been written, see ``cut``."""
+    spark.range(1).count()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, size: str, rows: int) -> DataFrame:
     """left and right on ``key``, where right has one row a key, with the number (``size``) of its rows in left.
 

@@ -75,4 +75,15 @@ def _clusters(rounds: int = 3, centroids: int = 16) -> str:
 
 OP11 = _clusters()
 
-ORACLES = {"op11_centroid_clusters": OP11, "op2_benchmark_decontamination": OP2, "op7_chat_formatting": OP7, "op8_near_duplicates": OP8}
+OP12 = f"""
+WITH t AS (SELECT doc_id, regexp_extract_all(text, '{_SPACES}') AS w FROM documents),
+w AS (SELECT doc_id, generate_subscripts(w, 1) AS p, unnest(w) AS word FROM t),
+win AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS p, w FROM t WHERE len(w) >= 20),
+later AS (SELECT doc_id, p FROM win QUALIFY row_number() OVER (PARTITION BY array_to_string(w[p:p + 19], ' ') ORDER BY doc_id, p) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM later),
+kept AS (SELECT w.doc_id, count(*) AS n, string_agg(w.word, ' ' ORDER BY w.p) AS rest FROM w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p GROUP BY 1)
+SELECT t.doc_id, coalesce(len(t.w), 0) AS n_words, coalesce(len(t.w), 0) - coalesce(kept.n, 0) AS n_removed, sha256(coalesce(kept.rest, '')) AS kept_sha256
+FROM t LEFT JOIN kept ON kept.doc_id = t.doc_id
+"""
+
+ORACLES = {"op11_centroid_clusters": OP11, "op12_substring_dedup": OP12, "op2_benchmark_decontamination": OP2, "op7_chat_formatting": OP7, "op8_near_duplicates": OP8}

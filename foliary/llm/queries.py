@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliary.llm import bpe, centroids, chat, decontam, hnsw, lm, neardup, secrets, sharding, sstable, toxicity
+from foliary.llm import bpe, centroids, chat, decontam, hnsw, lm, neardup, secrets, sharding, sstable, substrings, toxicity
 from foliary.llm import common as C
 from foliary.llm.oracles import ORACLES
 
@@ -87,6 +87,10 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(C.documents(spark, sf_dir, "embeddings"), keep=["vec_id"])
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(C.documents(spark, sf_dir), keep=["doc_id"], texts=False).drop("kept_text", "removed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -100,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_token_tables": op9_token_tables,
         "op10_histogram_sharding": op10_histogram_sharding,
         "op11_centroid_clusters": op11_centroid_clusters,
+        "op12_substring_dedup": op12_substring_dedup,
     }
 
 
