@@ -131,10 +131,11 @@ def hot_keys(docs: DataFrame, span: int, hot_from: int) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"key": pa.array([None], pa.int64()), "n": [segments]})
 
     counts = docs.mapInArrow(task, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    total = counts.where("key is null").first()
-    least = max(hot_from, (total.n if total else 0) // HOT_SHARE)
-    found = counts.where((F.col("n") >= least) & F.col("key").isNotNull()).select("key").toArrow()
-    return np.sort(found.column("key").to_numpy().astype(np.int64).view(np.uint64))
+    top = counts.where((F.col("n") >= hot_from) | F.col("key").isNull()).orderBy(F.col("n").desc()).limit(HOT_SHARE + 1).toArrow()
+    key, n = top.column("key"), top.column("n").to_numpy()
+    total = int(n.max()) if len(n) else 0  # no key has more segments than there are
+    often = (n >= max(hot_from, total // HOT_SHARE)) & key.is_valid().to_numpy(zero_copy_only=False)
+    return np.sort(key.fill_null(0).to_numpy()[often].astype(np.int64).view(np.uint64))
 
 
 def segments(docs: DataFrame, span: int, hot: np.ndarray) -> DataFrame:
