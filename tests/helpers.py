@@ -7,6 +7,13 @@ import duckdb
 import numpy as np
 import pandas as pd
 
+WORDS = "the of and to in stone river quiet lantern amber field winter copper meadow harbor signal".split()
+
+
+def sentence(draw, n):
+    """n words with numbers."""
+    return " ".join(draw.choice(WORDS) + str(draw.randint(0, 99)) for _ in range(n))
+
 
 def views(sf_dir):
     db = duckdb.connect()

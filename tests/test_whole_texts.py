@@ -6,7 +6,7 @@ import re
 import pytest
 
 from foliary.plans import catalog
-from tests.llm.helpers import sentence
+from tests.helpers import sentence
 
 
 @pytest.fixture(scope="module")
