@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import pandas as pd
@@ -82,7 +83,7 @@ def distance_rate(distance: Column, reference: Column, other: Column) -> Column:
 
 
 def cer(reference: Column, other: Column) -> Column:
-    return distance_rate(F.levenshtein(reference, other), F.length(reference), F.length(other))
+    return distance_rate(T.edits(reference, other), F.length(reference), F.length(other))
 
 
 def wer(reference: Column, other: Column) -> Column:
@@ -99,7 +100,7 @@ def text_rates(pairs: DataFrame, reference: str = "reference", other: str = "oth
 
 def micro_macro(pairs: DataFrame, reference: str = "reference", other: str = "other") -> DataFrame:
     """Character error rate over all characters, and its mean over texts."""
-    d = F.levenshtein(reference, other)
+    d = T.edits(F.col(reference), F.col(other))
     return pairs.agg(F.count(F.lit(1)).alias("texts"), F.try_divide(F.sum(d), F.sum(F.length(reference))).alias("micro_cer"), F.avg(cer(F.col(reference), F.col(other))).alias("macro_cer"))
 
 
@@ -153,33 +154,57 @@ def iou(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
 
 
-def layout_match(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
-    """Pairs of boxes of one page and label, best overlap first, each box once.
+def _strips(y0: Column, y1: Column, base: float, near: int = 0) -> Column:
+    """Where a box of a page stands: classes of height and strips of the page, for ``near`` > 0 all that a box it matches can be in.
 
-    truth, predicted: document_id, page_number, box_index, label, x0, y0, x1, y1.
+    Boxes that overlap by 1 / base of their union have heights within a factor of base, and tops
+    no further apart than base - 1 times the height of either.
     """
+    kind = F.floor(F.log(y1 - y0) / math.log(base) + 1e-9).cast("int")
+    high = lambda c: F.pow(F.lit(base), c + 1)
+    if not near:
+        return F.array(F.struct(kind.alias("kind"), F.floor(y0 / high(kind)).alias("strip")))
+    kinds = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: kind + d)
+    return F.flatten(F.transform(kinds, lambda c: F.transform(F.sequence(F.lit(-near), F.lit(near)), lambda d: F.struct(c.alias("kind"), (F.floor(y0 / high(c)) + d).alias("strip")))))
+
+
+def layout_pairs(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pairs of boxes of one page and label that overlap enough: only boxes of like heights and near strips of a page meet."""
     key = ["document_id", "page_number", "label"]
     mapped = F.create_map(*(F.lit(x) for kv in LAYOUT_LABELS.items() for x in kv))
     p = predicted.withColumn("label", F.coalesce(mapped[F.col("label")], "label"))
     g = truth.select(*key, *(F.col(c).alias(f"g_{c}") for c in ("box_index", "x0", "y0", "x1", "y1")))
     q = p.select(*key, *(F.col(c).alias(f"p_{c}") for c in ("box_index", "x0", "y0", "x1", "y1")))
     box = lambda s: tuple(F.col(f"{s}_{c}").cast("double") for c in ("x0", "y0", "x1", "y1"))
-    near = g.join(q, key).withColumn("iou", iou(box("g"), box("p"))).where(F.col("iou") >= least)
+    if least > 0:
+        base = max(2.0, 1 / least)
+        g = g.where("g_y1 > g_y0").select("*", F.inline(_strips(box("g")[1], box("g")[3], base)))
+        q = q.where("p_y1 > p_y0").select("*", F.inline(_strips(box("p")[1], box("p")[3], base, math.ceil(base - 1))))
+    met = g.join(q, [*key, "kind", "strip"] if least > 0 else key)
+    return met.withColumn("iou", iou(box("g"), box("p"))).drop("kind", "strip").where(F.col("iou") >= least)
+
+
+def layout_match(truth: DataFrame, predicted: DataFrame, least: float = 0.5) -> DataFrame:
+    """Pairs of boxes of one page and label, best overlap first, each box once.
+
+    truth, predicted: document_id, page_number, box_index, label, x0, y0, x1, y1.  A group of the greedy
+    choice is one label of one page.
+    """
+    near = layout_pairs(truth, predicted, least)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iou", "page_number", "g_box_index", "p_box_index"], ascending=[False, True, True, True], kind="stable")
+        pdf = pdf.sort_values(["iou", "g_box_index", "p_box_index"], ascending=[False, True, True], kind="stable")
         left, right, rows = set(), set(), []
         for r in pdf.itertuples():
-            a, b = (r.page_number, r.label, r.g_box_index), (r.page_number, r.label, r.p_box_index)
-            if a not in left and b not in right:
-                left.add(a)
-                right.add(b)
+            if r.g_box_index not in left and r.p_box_index not in right:
+                left.add(r.g_box_index)
+                right.add(r.p_box_index)
                 rows.append((r.document_id, r.page_number, r.label, r.g_box_index, r.p_box_index, r.iou))
         return pd.DataFrame(rows, columns=["document_id", "page_number", "label", "truth_index", "predicted_index", "iou"])
 
     kinds = {f.name: f.dataType.simpleString() for f in near.schema}
     schema = f"document_id {kinds['document_id']}, page_number {kinds['page_number']}, label string, truth_index {kinds['g_box_index']}, predicted_index {kinds['p_box_index']}, iou double"
-    return near.groupBy("document_id").applyInPandas(greedy, schema)
+    return near.groupBy("document_id", "page_number", "label").applyInPandas(greedy, schema)
 
 
 def layout_scores(truth: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:

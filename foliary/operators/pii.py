@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foliary.functions.text import casefold, spans, stable_id
+from foliary.functions.text import casefold, normal_key, spans, stable_id
 
 # Kinds in their order, the patterns, and IBAN lengths by country.
 KINDS = ("EMAIL", "PHONE_NUMBER", "IBAN", "CREDIT_CARD")
@@ -123,15 +124,25 @@ def unknown_ids(found: DataFrame, selected: DataFrame) -> DataFrame:
 
 
 def word_boxes(words: DataFrame, found: DataFrame, most: int = 10) -> DataFrame:
-    """Box around up to ``most`` consecutive words (document_id, page_number, word_index, word, x0..y1) that spell a detection."""
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("document_id", "page_number").orderBy("word_index")
-    runs = None
-    for n in range(1, most + 1):
-        frame = order.rowsBetween(0, n - 1)
-        own = words.select("document_id", "page_number", "word_index", F.concat_ws(" ", F.collect_list("word").over(frame)).alias("spelled"), F.count(F.lit(1)).over(frame).alias("n"), *(f("%s" % c).over(frame).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1")))).where(F.col("n") == n)
-        runs = own if runs is None else runs.unionByName(own)
-    met = found.join(runs, ["document_id", "page_number"]).where(F.col("matched_text") == F.col("spelled"))
-    first = Window.partitionBy("detection_id").orderBy("word_index", "n")
-    return met.withColumn("k", F.row_number().over(first)).where("k = 1").select("detection_id", "x0", "y0", "x1", "y1")
+    """Box around the first run of up to ``most`` words of a page that spells a detection, apart from case and white space.
+
+    words: document_id, page_number, word_index, word, x0, y0, x1, y1; blank words don't count.
+    found: detection_id, document_id, page_number, matched_text.  A detection that no run spells has no row.
+
+    Both sides become numbered tokens and meet on page and token; tokens of a detection that fall on
+    one begin, all of them, are a run, and it counts where it begins and ends with whole words.
+    """
+    page = ["document_id", "page_number"]
+    parts = lambda c: F.filter(F.split(normal_key(F.col(c)), " "), lambda t: t != "")
+    tokens = words.select(*page, "word_index", "x0", "y0", "x1", "y1", F.size(parts("word")).alias("n"), F.posexplode(parts("word")).alias("i", "token"))
+    by_page = Window.partitionBy(*page).orderBy("word_index", "i")
+    placed = tokens.withColumn("at", F.row_number().over(by_page)).withColumn("word_number", F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).over(by_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    asked = found.select("detection_id", *page, F.size(parts("matched_text")).alias("needed"), F.posexplode(parts("matched_text")).alias("j", "token"))
+    met = placed.join(asked, [*page, "token"]).withColumn("begin", F.col("at") - F.col("j"))
+    whole = F.bool_and(((F.col("j") > 0) | (F.col("i") == 0)) & ((F.col("j") < F.col("needed") - 1) | (F.col("i") == F.col("n") - 1)))
+    run = met.groupBy("detection_id", *page, "needed", "begin").agg(
+        F.count(F.lit(1)).alias("met"), whole.alias("whole"), (F.max("word_number") - F.min("word_number") + 1).alias("words"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1")))
+    )
+    fits = run.where((F.col("met") == F.col("needed")) & F.col("whole") & (F.col("words") <= most))
+    first = fits.groupBy("detection_id").agg(F.min_by(F.struct("x0", "y0", "x1", "y1"), "begin").alias("box"))
+    return first.select("detection_id", "box.*")

@@ -23,7 +23,10 @@ from foliary.functions import english
 from foliary.operators import retrieval as R
 
 BLOCK = 10_000
-BUCKETS = 64
+#: scores that one product of queries and rows holds at most
+SCORES = 1 << 22
+#: folders of postings: one for so many characters of text, so many at least
+BUCKET_CHARACTERS, BUCKETS = 1 << 28, 64
 OWN = ("chunk_id", "document_id", "sequence_number")
 FILTERED = ("content_type", "contains_ocr", "start_page", "end_page")
 MODES = ("semantic", "keyword", "hybrid")
@@ -46,32 +49,66 @@ def lexemes(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 @dataclass(frozen=True)
 class Index:
     spark: SparkSession
     path: str
+    buckets: int = BUCKETS
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
 
-def build(chunks: DataFrame, path: str) -> Index:
-    """Writes the index of chunks (chunk_id, document_id, sequence_number, text; where there are: section_heading, embedding, and what filters ask for)."""
+def _write(index: Index, chunks: DataFrame, batch: int) -> None:
+    """The three tables' rows of chunks, below ``batch=N``; what a failed attempt has left there is replaced."""
     shown = [*OWN, *(c for c in FILTERED if c in chunks.columns)]
-    chunks.write.parquet(f"{path}/chunks")
+    out = lambda df: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     text = F.concat_ws(" ", F.coalesce("text", F.lit("")), *([F.col("section_heading")] if "section_heading" in chunks.columns else []))
     found = chunks.select(*shown, F.explode(lexemes(text)).alias("x")).select(*shown, "x.term", F.col("x.at").alias("positions"))
-    found.withColumn("bucket", _bucket(F.col("term"))).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    out(found.withColumn("bucket", _bucket(F.col("term"), index.buckets)).repartition("bucket").sortWithinPartitions("bucket", "term")).partitionBy("batch", "bucket").parquet(f"{index.path}/postings")
     if "embedding" in chunks.columns:
         v = F.col("embedding").cast("array<double>")
         size = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
         unit = chunks.select(*shown, v.alias("v"), size.alias("size")).where("size > 0").select(*shown, F.transform("v", lambda x: x / F.col("size")).alias("unit"))
-        unit.write.parquet(f"{path}/vectors")
-    return Index(chunks.sparkSession, path)
+        out(unit).partitionBy("batch").parquet(f"{index.path}/vectors")
+    out(chunks).partitionBy("batch").parquet(f"{index.path}/chunks")
+
+
+def build(chunks: DataFrame, path: str) -> Index:
+    """Writes the index of chunks (chunk_id, document_id, sequence_number, text; where there are: section_heading, embedding, and what filters ask for)."""
+    characters = chunks.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    index = Index(chunks.sparkSession, path, max(BUCKETS, -(-characters // BUCKET_CHARACTERS)))
+    index.spark.createDataFrame([(index.buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+    _write(index, chunks, 0)
+    return index
+
+
+def opened(spark: SparkSession, path: str) -> Index:
+    """An index that was built before."""
+    return Index(spark, path, spark.read.schema("buckets int").json(f"{path}/settings").first().buckets)
+
+
+def remainder(index: Index, chunks: DataFrame, batch: int | None = None) -> DataFrame:
+    """Chunks of documents that the index doesn't hold (from batches other than ``batch``)."""
+    held = index.table("chunks")
+    held = held if batch is None else held.where(F.col("batch") != batch)
+    return chunks.join(held.select("document_id").distinct(), "document_id", "left_anti")
+
+
+def extend(index: Index, chunks: DataFrame, batch: int) -> Index:
+    """Adds the chunks of documents that aren't indexed yet, as batch ``batch`` (from 1 on).
+
+    Nothing that is stored is read anew but the ids of its documents.  A batch that is run again, after
+    a failure or by chance, replaces its own folders and gives the same index.
+    """
+    if batch < 1:
+        raise R.SearchError("batches are numbered from 1")
+    _write(index, remainder(index, chunks, batch), batch)
+    return index
 
 
 def _blocks(queries: DataFrame) -> Iterator[list]:
@@ -114,18 +151,24 @@ def _semantic(index: Index, kind: P.DataType, block: list, k: int | None, floor:
         asked = shared.value
         least = np.full(len(asked), -np.inf if floor is None else floor - 1e-12)
         held: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]] = []
-        best = np.full((len(asked), 0), -np.inf)
-        for batch in batches:
-            if not batch.num_rows or not len(asked):
-                continue
-            score = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1) @ asked.T
-            if k is not None:
-                best = np.concatenate([best, score.T], axis=1)
-                if best.shape[1] > k:
-                    best = -np.partition(-best, k - 1, axis=1)[:, :k]
-                    least = np.maximum(least, best.min(axis=1) - 1e-12)  # ties of the last are decided later
-            row, query = np.nonzero(score >= least)
-            held.append((query, score[row, query], batch.select([0, 1, 2]).take(pa.array(row))))
+        best, size = np.full((len(asked), 0), -np.inf), 0
+        for whole in batches:
+            step = max(1, SCORES // max(1, len(asked)))
+            for at in range(0, whole.num_rows if len(asked) else 0, step):
+                batch = whole.slice(at, step)
+                score = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1) @ asked.T
+                if k is not None:
+                    best = np.concatenate([best, score.T], axis=1)
+                    if best.shape[1] > k:
+                        best = -np.partition(-best, k - 1, axis=1)[:, :k]
+                        least = np.maximum(least, best.min(axis=1) - 1e-12)  # ties of the last are decided later
+                row, query = np.nonzero(score >= least)
+                held.append((query, score[row, query], batch.select([0, 1, 2]).take(pa.array(row))))
+                size += len(row)
+                if k is not None and size > SCORES:  # what is no longer among the best goes
+                    kept = [(q, v, rows, v >= least[q]) for q, v, rows in held]
+                    held = [(q[stays], v[stays], rows.filter(pa.array(stays))) for q, v, rows, stays in kept]
+                    size = sum(len(q) for q, _, _ in held)
         for query, score, rows in held:
             stays = score >= least[query]
             yield pa.RecordBatch.from_arrays([pa.array(query[stays].astype(np.int32)), *rows.filter(pa.array(stays)).columns, pa.array(score[stays])], ["q", *OWN, "semantic_score"])
@@ -178,7 +221,7 @@ def _keyword(index: Index, kind: P.DataType, block: list, k: int | None, filters
     schema = P.StructType([P.StructField("query_id", kind), *(P.StructField(c, P.BooleanType() if c == "excluded" else P.StringType() if c == "term" else P.IntegerType()) for c in ("g", "i", "excluded", "n", "words", "term", "needed"))])
     asked = index.spark.createDataFrame(rows, schema).where("needed > 0")
     terms = sorted({r[6] for r in rows})
-    buckets = [r[0] for r in index.spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t")).alias("b")).distinct().collect()] if terms else []  # at most BUCKETS
+    buckets = [r[0] for r in index.spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket(F.col("t"), index.buckets).alias("b")).distinct().collect()] if terms else []  # at most one a folder
     postings = (filters or R.Filters()).apply(index.table("postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms) if len(terms) <= 1000 else F.col("bucket").isin(buckets)))
     met = postings.join(F.broadcast(asked), "term")
     key = ["query_id", "g", "i", "excluded", "needed", *OWN]

@@ -31,28 +31,56 @@ def index_stream(pages: DataFrame, path: str, checkpoint: str, limits: Limits |
 
 
 class Numberer(StatefulProcessor):
-    """Gives a conversation's messages their next sequence numbers; the state is one number for each conversation."""
+    """Gives a conversation's messages their next sequence numbers, each message one.
+
+    State of a conversation: the last number, the latest arrival, and the messages that have a number
+    and arrived within ``horizon`` of it.  One of those that is sent again gets none; older ones are
+    forgotten, and what arrives before the horizon counts as sent again.
+    """
+
+    def __init__(self, horizon: int) -> None:
+        self.horizon = horizon
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "n long")
+        self.last = handle.getValueState("last", "n long, arrival long")
+        self.seen = handle.getMapState("seen", "arrival long, message string", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        last = self.last.get()[0] if self.last.exists() else 0
+        number, latest = self.last.get() if self.last.exists() else (0, None)
         parts = [x for x in rows if len(x)]
-        if parts:
-            pdf = pd.concat(parts).sort_values("arrival", kind="stable")
-            pdf = pdf[pdf["content"].fillna("").str.strip() != ""]
-            numbers = range(last + 1, last + 1 + len(pdf))
-            self.last.update((last + len(pdf),))
-            yield pd.DataFrame({"conversation_id": pdf["conversation_id"], "sequence_number": list(numbers), "role": pdf["role"], "content": pdf["content"]})
+        if not parts:
+            return
+        pdf = pd.concat(parts).sort_values(["arrival", "message_id"], kind="stable")
+        pdf = pdf[pdf["content"].fillna("").str.strip() != ""]
+        out = []
+        for r in pdf.itertuples(index=False):
+            mark = (int(r.arrival), str(r.message_id))
+            if self.seen.containsKey(mark) or (latest is not None and mark[0] < latest - self.horizon):
+                continue
+            number += 1
+            self.seen.updateValue(mark, (number,))
+            out.append((r.conversation_id, number, r.role, r.content))
+        newest = [int(x) for x in pdf["arrival"]] + ([] if latest is None else [latest])
+        if newest:
+            bound = max(newest) - self.horizon
+            for mark in [m for m in self.seen.keys() if m[0] < bound]:
+                self.seen.removeKey(mark)
+            self.last.update((number, max(newest)))
+        if out:
+            yield pd.DataFrame(out, columns=["conversation_id", "sequence_number", "role", "content"])
 
     def close(self) -> None:
         pass
 
 
-def number_messages(messages: DataFrame) -> DataFrame:
-    """Stream of conversation_id, arrival, role, content with sequence numbers (needs the RocksDB state store)."""
-    return messages.groupBy("conversation_id").transformWithStateInPandas(Numberer(), "conversation_id long, sequence_number long, role string, content string", "Append", "None")
+def number_messages(messages: DataFrame, horizon: int = 1 << 62) -> DataFrame:
+    """Stream of conversation_id, arrival, role, content (and message_id, where there is one) with sequence numbers (needs the RocksDB state store).
+
+    A message is known by its arrival and id (or, without one, role and text).  ``horizon``, in units of
+    ``arrival``, says how long after the newest one a message may be sent again.
+    """
+    own = messages if "message_id" in messages.columns else messages.withColumn("message_id", F.sha2(F.concat_ws("\0", "role", "content"), 256))
+    return own.groupBy("conversation_id").transformWithStateInPandas(Numberer(horizon), "conversation_id long, sequence_number long, role string, content string", "Append", "None")
 
 
 def latency_windows(events: DataFrame, width: str = "1 day", late: str = "1 hour", slide: str | None = None, time: str = "ts") -> DataFrame:

@@ -135,6 +135,25 @@ def test_message_stream(spark, tmp_path):
     assert got == {"a": 1, "b": 2, "c": 1}
 
 
+def test_messages_sent_again_keep_their_numbers(spark, tmp_path):
+    """Three runs over growing input: what was numbered before gets no second number, what is older than the horizon counts as sent again."""
+    schema = "conversation_id long, arrival long, message_id string, role string, content string"
+    add = lambda *rows: spark.createDataFrame([(c, at, m, "user", t) for c, at, m, t in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        streams.number_messages(streams.read_stream(spark, str(tmp_path / "in"), schema), horizon=100).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.conversation_id, r.sequence_number, r.content) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    add((1, 10, "a", "one"), (1, 20, "b", "two"), (2, 5, "c", "other"))
+    assert run() == [(1, 1, "one"), (1, 2, "two"), (2, 1, "other")]
+    add((1, 20, "b", "two"), (1, 30, "d", "three"), (1, 10, "a", "one"), (1, 30, "d", "three"), (1, 30, "e", "three"))
+    assert run() == [(1, 1, "one"), (1, 2, "two"), (1, 3, "three"), (1, 4, "three"), (2, 1, "other")]
+    add((1, 500, "f", "four"), (2, 5, "c", "other"))
+    add((1, 10, "a", "one"), (1, 450, "g", "late but within"))
+    assert run()[:6] == [(1, 1, "one"), (1, 2, "two"), (1, 3, "three"), (1, 4, "three"), (1, 5, "four"), (1, 6, "late but within")] or run()[4:6] == [(1, 5, "late but within"), (1, 6, "four")]
+    assert len(run()) == 7
+
+
 def test_window_stream(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events*.parquet")

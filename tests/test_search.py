@@ -137,3 +137,44 @@ def test_embedding(spark):
             embedding.unit_vectors(["a"], bad, 2)
     with pytest.raises(embedding.EmbeddingError):
         embedding.unit_vectors(["a", " "], embedding.hashing_encoder(8), 8)
+
+
+def found(index, mode, vectors, queries=("notice invoice", "pump or oil -daily", '"the pump"')):
+    asked = index.spark.createDataFrame([(i, q, [float(x) for x in vectors[i]]) for i, q in enumerate(queries)], "query_id long, query string, vector array<double>")
+    return sorted(tuple(r) for r in S.search(index, asked, mode, 9).select("query_id", "rank", "chunk_id", F.round(f"{mode}_score", 9)).collect())
+
+
+def test_the_remainder_is_indexed(spark, index, tmp_path):
+    """An index extended twice, a batch of it run again, answers as one that was built whole."""
+    whole, _, vectors = index
+    chunks = whole.table("chunks").drop("batch")
+    of = lambda *n: chunks.where(F.col("document_id").isin(*(f"d{i}" for i in n)))
+    part = S.build(of(0, 1), str(tmp_path / "i"))
+    S.extend(part, of(0, 1, 2, 3), 1)
+    again = [sorted(map(tuple, part.table(t).drop("positions", "unit").collect()), key=repr) for t in ("chunks", "postings", "vectors")]
+    S.extend(part, of(0, 1, 2, 3), 1)
+    assert again == [sorted(map(tuple, part.table(t).drop("positions", "unit").collect()), key=repr) for t in ("chunks", "postings", "vectors")]
+    assert S.remainder(part, chunks).select("document_id").distinct().count() == 2
+    S.extend(part, chunks, 2)
+    assert part.table("chunks").groupBy("batch").agg(F.countDistinct("document_id")).collect() and S.remainder(part, chunks).isEmpty()
+    part = S.opened(spark, str(tmp_path / "i"))
+    for mode in S.MODES:
+        assert found(part, mode, vectors) == found(whole, mode, vectors)
+
+
+def test_an_extension_that_failed_is_run_again(spark, index, tmp_path):
+    whole, _, vectors = index
+    chunks = whole.table("chunks").drop("batch")
+    part = S.build(chunks.where("document_id in ('d0', 'd1', 'd2')"), str(tmp_path / "i"))
+    S._write(part, chunks.where("document_id = 'd3'"), 1)  # a batch that wrote other rows before it was lost
+    S.extend(part, chunks, 1)
+    for mode in S.MODES:
+        assert found(part, mode, vectors) == found(whole, mode, vectors)
+
+
+@pytest.mark.parametrize("scores", [1, 50, 1 << 22])
+def test_small_products_give_the_same(index, monkeypatch, scores):
+    built, _, vectors = index
+    expected = found(built, "semantic", vectors)
+    monkeypatch.setattr(S, "SCORES", scores)
+    assert found(built, "semantic", vectors) == expected
