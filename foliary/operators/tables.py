@@ -7,8 +7,10 @@ have a number (``row_index``, from 1), which breaks ties and says where results
 
 from __future__ import annotations
 
+import json
 import re
-from dataclasses import dataclass, replace
+from collections.abc import Callable
+from dataclasses import dataclass, fields, replace
 from decimal import Context, Decimal, localcontext
 from functools import reduce
 
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliary.functions.text import casefold
+from foliary.sources.connectors import repair_prompt
 
 OPERATIONS = ("select", "filter", "min", "max", "sum", "average", "count", "sort", "top_n")
 COMPARISONS = ("eq", "neq", "gt", "gte", "lt", "lte")
@@ -153,6 +156,8 @@ def guard_rows(df: DataFrame, most: int | None) -> None:
 def run(df: DataFrame, plan: TableQueryPlan, max_rows: int | None = None, check: bool = True) -> DataFrame:
     """The plan's rows (``row_index`` and return columns), or for sum, average and count one row: value, row_count.
 
+    The sum and average of texts are texts of up to 28 digits, of numbers decimals.
+
     ``check`` looks for cells that are no numbers before numeric operations; leave it out for typed tables.
     """
     plan = resolved(plan, df.columns)
@@ -163,6 +168,8 @@ def run(df: DataFrame, plan: TableQueryPlan, max_rows: int | None = None, check:
     kept = [ROW, *(f"`{c}`" for c in plan.return_columns)]
     if op == "count":
         return df.agg(F.count(F.lit(1)).alias("value"), F.count(F.lit(1)).alias("row_count"))
+    if op in ("sum", "average") and _is_text(df, target):
+        return exact_totals(df, target).select(F.col(op).alias("value"), "row_count")
     if op in ("sum", "average"):
         x = _number(df, target)
         total = F.sum(x.cast("decimal(38,10)"))
@@ -239,6 +246,42 @@ def plan_from_question(question: str, headers: list[str]) -> TableQueryPlan | No
     return None
 
 
+def plan_from_json(text: str, headers: list[str]) -> TableQueryPlan:
+    """A plan from a JSON object with the fields of a plan, checked against the table's headers."""
+    try:
+        given = json.loads(text)
+    except (TypeError, ValueError) as error:
+        raise TableQueryError("a plan must be JSON") from error
+    names = {f.name for f in fields(TableQueryPlan)}
+    if not isinstance(given, dict) or not given.keys() <= names:
+        raise TableQueryError(f"a plan is an object with the fields {', '.join(sorted(names))}")
+    kept = {k: v for k, v in given.items() if v is not None}
+    kept["return_columns"] = tuple(str(c) for c in kept.get("return_columns", ()))
+    if "filter_value" in kept:
+        kept["filter_value"] = str(kept["filter_value"])
+    try:
+        plan = TableQueryPlan(**kept)
+    except (TypeError, AttributeError) as error:
+        raise TableQueryError("a plan lacks its operation, or a field has another type") from error
+    resolved(plan, headers)
+    return plan
+
+
+def plan_for(question: str, headers: list[str], generate: Callable[[str], str] | None = None) -> TableQueryPlan:
+    """The plan of a question: by rule where a rule fits, else as ``generate`` words it in JSON, with one repair."""
+    plan = plan_from_question(question, headers)
+    if plan is not None:
+        return plan
+    if generate is None:
+        raise TableQueryError("no rule fits the question")
+    prompt = f"Question: {question}\nColumns: {json.dumps(headers, ensure_ascii=False)}\nReturn one JSON object with the fields {', '.join(f.name for f in fields(TableQueryPlan))}."
+    answer = generate(prompt)
+    try:
+        return plan_from_json(answer, headers)
+    except TableQueryError as fault:
+        return plan_from_json(generate(repair_prompt(prompt, str(answer), str(fault))), headers)
+
+
 def _facts(plan: TableQueryPlan, result: DataFrame, question: str) -> tuple[str, dict]:
     """Which sentence a result makes, and what stands in it."""
     op, column = plan.operation, plan.target_column
@@ -290,18 +333,18 @@ def combined(filters: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, filters, F.lit(True))
 
 
-def exact_totals(df: DataFrame, column: str) -> DataFrame:
-    """Sum and average of a text column to 28 significant digits, whatever the cells' digits (up to 38 before and 28 behind the point); one row.
+def exact_totals(df: DataFrame, column: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Sum and average of a text column to 28 significant digits, whatever the cells' digits (up to 38 before and 28 behind the point); one row, or one for each group.
 
     Whole parts and fractions are summed apart, both exactly; only their two sums meet in decimal arithmetic.
     """
     cell = F.replace(F.regexp_replace(_cell(df, column).cast("string"), r"(?U)^[\s€$£₹]+|\s+$", ""), F.lit(","), F.lit(""))
     good = cell.rlike(r"^[+-]?[0-9]+(\.[0-9]+)?$")
-    sign = F.when(cell.startswith("-"), -1).otherwise(1)
+    signed = lambda x: F.when(cell.startswith("-"), -x).otherwise(x)  # noqa: E731 - a product would lose digits
     digits = F.regexp_replace(cell, "^[+-]", "")
-    whole = F.substring_index(digits, ".", 1).cast("decimal(38,0)") * sign
-    part = F.concat(F.lit("0."), F.when(digits.contains("."), F.substring_index(digits, ".", -1)).otherwise("0")).cast("decimal(38,28)") * sign
-    sums = df.agg(F.sum(F.when(good, whole)).alias("w"), F.sum(F.when(good, part)).alias("p"), F.count_if(good).alias("n"), F.count(F.lit(1)).alias("row_count"))
+    whole = signed(F.substring_index(digits, ".", 1).cast("decimal(38,0)"))
+    part = signed(F.concat(F.lit("0."), F.when(digits.contains("."), F.substring_index(digits, ".", -1)).otherwise("0")).cast("decimal(38,28)"))
+    sums = df.groupBy(*by).agg(F.sum(F.when(good, whole)).alias("w"), F.sum(F.when(good, part)).alias("p"), F.count_if(good).alias("n"), F.count(F.lit(1)).alias("row_count"))
 
     @F.pandas_udf("sum string, average string")
     def total(w: pd.Series, p: pd.Series, n: pd.Series) -> pd.DataFrame:
@@ -316,4 +359,4 @@ def exact_totals(df: DataFrame, column: str) -> DataFrame:
                 rows.append((text(s), text(s / Decimal(int(k))) if k else None))
         return pd.DataFrame(rows, columns=["sum", "average"])
 
-    return sums.select(total("w", "p", "n").alias("t"), "n", "row_count").select("t.sum", "t.average", F.col("n").alias("numbers"), "row_count")
+    return sums.select(*by, total("w", "p", "n").alias("t"), "n", "row_count").select(*by, "t.sum", "t.average", F.col("n").alias("numbers"), "row_count")

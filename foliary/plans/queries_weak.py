@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliary.operators import evaluate as E
-from foliary.operators import pii
+from foliary.operators import pii, tables
 from foliary.plans.catalog import query
 from foliary.session import read_table
 
@@ -51,3 +51,28 @@ def layout_pairs(spark, sf_dir):
     truth = _boxes(spark, sf_dir)
     moved = truth.withColumns({c: F.col(c) + 1 for c in ("x0", "y0", "x1", "y1")})
     return E.layout_pairs(truth, moved).groupBy("page_number").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.sum("iou"), 3).alias("iou"))
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as texts with twenty decimals and a currency sign; the first line of an order has none."""
+    li = read_table(spark, sf_dir, "lineitem")
+    exact = F.col("l_extendedprice").cast("decimal(16,2)") + F.col("l_linenumber").cast("decimal(10,0)") * F.lit("0.00000000000000000001").cast("decimal(20,20)")
+    return li.select("l_suppkey", F.when(F.col("l_linenumber") == 1, "n/a").otherwise(F.concat(F.lit(" € "), exact.cast("decimal(38,20)").cast("string"))).alias("cell"))
+
+
+@query(
+    "exact_group_totals",
+    "SELECT l_suppkey, regexp_replace(CAST(sum(CASE WHEN l_linenumber > 1 THEN CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS DECIMAL(38, 20)) + CAST(l_linenumber AS DECIMAL(18, 0)) * CAST('0.00000000000000000001' AS DECIMAL(20, 20)) END) AS VARCHAR), '\\.?0+$', '') AS sum, "
+    "count(*) FILTER (l_linenumber > 1) AS numbers, count(*) AS row_count FROM lineitem GROUP BY l_suppkey",
+)
+def exact_group_totals(spark, sf_dir):
+    """Sums of texts to their last digit, by group."""
+    return tables.exact_totals(_cells(spark, sf_dir), "cell", ("l_suppkey",)).select("l_suppkey", "sum", "numbers", "row_count")
+
+
+@query("table_sum_text", "SELECT regexp_replace(CAST(sum(CAST(p_retailprice AS DECIMAL(38, 2))) AS VARCHAR), '\\.?0+$', '') AS value, count(*) AS row_count FROM part")
+def table_sum_text(spark, sf_dir):
+    """A plan over a column of texts with commas and a currency sign."""
+    part = read_table(spark, sf_dir, "part")
+    cells = part.select(F.col("p_partkey").cast("int").alias(tables.ROW), F.concat(F.lit("$"), F.format_number("p_retailprice", 2)).alias("Price"))
+    return tables.run(cells, tables.TableQueryPlan("sum", "price"))
