@@ -17,12 +17,12 @@ from pyspark.sql import types as P
 from pyspark.sql.window import Window
 
 from foliary.functions import text as T
-from foliary.functions.vectors import cosine
+from foliary.functions.vectors import cosine, nearest
 
 TOP_K, MOST_K, RRF_K, MULTIPLIER = 5, 50, 60, 4
 RERANK_LEAST, RERANK_MOST = 20, 200
 MOST_DOCUMENTS, MOST_CANDIDATES = 20, 100
-SMALL_QUERIES = 10_000
+SMALL_QUERIES, SMALL_BYTES = 10_000, 32 << 20
 
 
 class SearchError(ValueError):
@@ -90,7 +90,10 @@ def pool_size(k: int, mode: str = "hybrid", rerank: bool = False) -> int:
 
 
 def _few(queries: DataFrame) -> bool:
-    return queries.limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES
+    """Whether the queries are few and small enough to go to every task (one look at their number and size)."""
+    sizes = [F.length(c) if queries.schema[c].dataType.simpleString() == "string" else 8 * F.size(c) for c in ("query", "vector") if c in queries.columns]
+    r = queries.agg(F.count(F.lit(1)).alias("n"), *(F.coalesce(F.sum(x.cast("long")), F.lit(0)).alias(f"b{i}") for i, x in enumerate(sizes))).first()
+    return r.n <= SMALL_QUERIES and sum(r[f"b{i}"] for i in range(len(sizes))) <= SMALL_BYTES
 
 
 def ranked(scored: DataFrame, score: str, k: int | None, rank: str = "rank") -> DataFrame:
@@ -106,9 +109,12 @@ _SHOWN = ("chunk_id", "document_id", "sequence_number")
 def semantic_search(queries: DataFrame, chunks: DataFrame, k: int = TOP_K, floor: float | None = None, filters: Filters | None = None, shown: tuple[str, ...] = _SHOWN) -> DataFrame:
     """queries: query_id, vector.  Exact cosine over all chunks that pass; a set of queries against all rows."""
     body = (filters or Filters()).apply(chunks).where(F.col("embedding").isNotNull()).select(*shown, "embedding")
-    asked = queries.select("query_id", F.col("vector").alias("__q"))
-    asked = F.broadcast(asked) if _few(queries) else asked
-    scored = body.join(asked, F.lit(True)).withColumn("semantic_score", cosine(F.col("embedding"), F.col("__q"))).drop("embedding", "__q").where("semantic_score is not null")
+    asked = queries.select("query_id", "vector")
+    if _few(asked):
+        block = [(r["query_id"], r["vector"]) for r in asked.collect()]  # SMALL_QUERIES and SMALL_BYTES at most
+        scored = nearest(body, "embedding", shown, block, queries.schema["query_id"].dataType, k, floor)
+    else:
+        scored = body.join(asked.withColumnRenamed("vector", "__q"), F.lit(True)).withColumn("semantic_score", cosine(F.col("embedding"), F.col("__q"))).drop("embedding", "__q").where("semantic_score is not null")
     if floor is not None:
         scored = scored.where(F.col("semantic_score") >= floor)
     return ranked(scored, "semantic_score", k)

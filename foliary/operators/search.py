@@ -14,17 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as P
 
-from foliary.functions import english
+from foliary.functions import english, vectors
 from foliary.operators import retrieval as R
 
 BLOCK = 10_000
-#: scores that one product of queries and rows holds at most
-SCORES = 1 << 22
 #: folders of postings: one for so many characters of text, so many at least
 BUCKET_CHARACTERS, BUCKETS = 1 << 28, 64
 OWN = ("chunk_id", "document_id", "sequence_number")
@@ -138,45 +135,9 @@ def semantic(index: Index, queries: DataFrame, k: int, floor: float | None = Non
 
 
 def _semantic(index: Index, kind: P.DataType, block: list, k: int | None, floor: float | None, filters: R.Filters | None) -> DataFrame:
-    ids = [r["query_id"] for r in block]
-    vectors = [np.array(r["vector"] if r["vector"] is not None else [], np.float64) for r in block]
-    width = max((len(v) for v in vectors), default=0)
-    sizes = np.array([np.sqrt(float(v @ v)) for v in vectors])
-    good = [i for i, v in enumerate(vectors) if len(v) == width and sizes[i] > 0]
-    matrix = np.stack([vectors[i] / sizes[i] for i in good]) if good else np.zeros((0, width))
-    shared = index.spark.sparkContext.broadcast(matrix)  # at most BLOCK vectors
-    body = (filters or R.Filters()).apply(index.table("vectors")).where(F.size("unit") == width).select(*OWN, "unit")
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = shared.value
-        least = np.full(len(asked), -np.inf if floor is None else floor - 1e-12)
-        held: list[tuple[np.ndarray, np.ndarray, pa.RecordBatch]] = []
-        best, size = np.full((len(asked), 0), -np.inf), 0
-        for whole in batches:
-            step = max(1, SCORES // max(1, len(asked)))
-            for at in range(0, whole.num_rows if len(asked) else 0, step):
-                batch = whole.slice(at, step)
-                score = batch.column(3).flatten().to_numpy().reshape(batch.num_rows, -1) @ asked.T
-                if k is not None:
-                    best = np.concatenate([best, score.T], axis=1)
-                    if best.shape[1] > k:
-                        best = -np.partition(-best, k - 1, axis=1)[:, :k]
-                        least = np.maximum(least, best.min(axis=1) - 1e-12)  # ties of the last are decided later
-                row, query = np.nonzero(score >= least)
-                held.append((query, score[row, query], batch.select([0, 1, 2]).take(pa.array(row))))
-                size += len(row)
-                if k is not None and size > SCORES:  # what is no longer among the best goes
-                    kept = [(q, v, rows, v >= least[q]) for q, v, rows in held]
-                    held = [(q[stays], v[stays], rows.filter(pa.array(stays))) for q, v, rows, stays in kept]
-                    size = sum(len(q) for q, _, _ in held)
-        for query, score, rows in held:
-            stays = score >= least[query]
-            yield pa.RecordBatch.from_arrays([pa.array(query[stays].astype(np.int32)), *rows.filter(pa.array(stays)).columns, pa.array(score[stays])], ["q", *OWN, "semantic_score"])
-
-    fields = [body.schema[c] for c in OWN]
-    found = body.mapInArrow(task, P.StructType([P.StructField("q", P.IntegerType()), *fields, P.StructField("semantic_score", P.DoubleType())]))
-    names = index.spark.createDataFrame([(n, ids[i]) for n, i in enumerate(good)], P.StructType([P.StructField("q", P.IntegerType()), P.StructField("query_id", kind)]))
-    return R.ranked(found.join(F.broadcast(names), "q").drop("q").select("query_id", *OWN, "semantic_score"), "semantic_score", k)
+    body = (filters or R.Filters()).apply(index.table("vectors"))
+    found = vectors.nearest(body, "unit", OWN, [(r["query_id"], r["vector"]) for r in block], kind, k, floor, unit=True)
+    return R.ranked(found, "semantic_score", k)
 
 
 @F.pandas_udf(P.DoubleType())

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliary.functions import embedding, english
+from foliary.functions import vectors as vectors_module
 from foliary.operators import retrieval as R
 from foliary.operators import search as S
 
@@ -176,5 +177,5 @@ def test_an_extension_that_failed_is_run_again(spark, index, tmp_path):
 def test_small_products_give_the_same(index, monkeypatch, scores):
     built, _, vectors = index
     expected = found(built, "semantic", vectors)
-    monkeypatch.setattr(S, "SCORES", scores)
+    monkeypatch.setattr(vectors_module, "SCORES", scores)
     assert found(built, "semantic", vectors) == expected
