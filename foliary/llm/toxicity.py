@@ -6,9 +6,9 @@ toxic than clean texts hold it; a logistic regression is fitted on features scal
 weights times r make one table, by which every whole text is scored.
 
 Training uses at most ``per_class`` labelled texts of each class, the first in the order of a
-hash of the id, and of a longer text its middle ``most_chars`` characters (documented
-bounds: the sample is what a driver of fixed size can hold); both classes weigh the same, whatever
-their shares.  Scores are always of whole texts.
+hash of the id (a documented bound: the sample is what a driver of fixed size can hold).  Their
+features are found in tasks, of whole texts, and only these come to the driver, at most ``2^bits``
+numbers a text.  Both classes weigh the same, whatever their shares.  Scores are of whole texts.
 
 Defined results: null and empty texts score as a text without features; rows without a label, or
 with conflicting ones, are not trained on; where one labelled id has several texts, the least is
@@ -33,7 +33,6 @@ from foliary.llm import common as C
 ORDERS = (3, 4, 5)
 BITS = 18
 PER_CLASS = 2000
-MOST_CHARS = 256 << 10
 LEAST_RATIO = 1.0
 THRESHOLD = 0.7
 FOLD, HELD = 3, 1
@@ -94,8 +93,14 @@ def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return total[starts[1:]] - total[starts[:-1]]
 
 
-def fit(texts: list[bytes], labels: np.ndarray, share: float, orders: tuple[int, ...] = ORDERS, bits: int = BITS, smoothing: float = 1.0, penalty: float = 0.1, rounds: int = 100, least_ratio: float = LEAST_RATIO) -> Model:
-    """share: of toxic rows among all labelled ones, used where one class is missing.
+def fit(texts: list[bytes], labels: np.ndarray, share: float, orders: tuple[int, ...] = ORDERS, bits: int = BITS, **settings) -> Model:
+    """A model of texts, see ``fit_features``."""
+    features = Features(orders, bits)
+    return fit_features([features.of(t) for t in texts], labels, share, orders, bits, **settings)
+
+
+def fit_features(rows: list[np.ndarray], labels: np.ndarray, share: float, orders: tuple[int, ...] = ORDERS, bits: int = BITS, smoothing: float = 1.0, penalty: float = 0.1, rounds: int = 100, least_ratio: float = LEAST_RATIO) -> Model:
+    """rows: the places of each text; share: of toxic rows among all labelled ones, used where one class is missing.
 
     Places whose log ratio is within ``least_ratio`` of 0 are left out: by far the most, they only
     add noise that grows with a text's length.  Both classes weigh the same.
@@ -104,11 +109,9 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float, orders: tuple[int,
     if len(set(labels.tolist())) < 2:
         odds = math.log(max(share, 1e-9) / max(1 - share, 1e-9))
         return Model(np.zeros(size, np.float32), odds, orders, bits)
-    features = Features(orders, bits)
-    rows = [features.of(t) for t in texts]
     starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
     places = np.concatenate(rows)
-    del rows
+    rows.clear()
     y = labels.astype(np.float64)
     toxic = np.repeat(labels == 1, np.diff(starts))
     p = np.bincount(places[toxic], minlength=size) + smoothing
@@ -155,11 +158,11 @@ def fit(texts: list[bytes], labels: np.ndarray, share: float, orders: tuple[int,
     return Model((weight * scaled).astype(np.float32), bias, orders, bits)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", fold: int = FOLD, held: int = HELD, most_chars: int = MOST_CHARS) -> Model:
-    """Learns from labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: str = "text", doc_id: str = "doc_id", label: str = "toxic", fold: int = FOLD, held: int = HELD, most_chars: int | None = None) -> Model:
+    """Learns from labelled rows outside the held-out fold; with ``most_chars``, which a caller may set, from the middle of longer texts."""
     known = (
         labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull() & (F.crc32(F.col(doc_id).cast("string").cast("binary")) % fold != held))
-        .groupBy(F.col(doc_id).cast("long").alias("__id")).agg(F.min(label).alias("__label"), F.max(label).alias("__most"))
+        .groupBy(F.col(doc_id).cast("long").alias("__id")).agg(F.min(F.col(label).cast("int")).alias("__label"), F.max(F.col(label).cast("int")).alias("__most"))
         .where("__label = __most").select("__id", "__label")
     )
     counts = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
@@ -169,11 +172,23 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text:
     parts = [known.where(f"__label = {k}").orderBy(F.xxhash64("__id"), "__id").limit(per_class) for k in (0, 1)]
     sample = parts[0].union(parts[1])  # at most 2 * per_class rows
     own = C.Kept(docs, "unused int")
+    C.prepare(docs.sparkSession)
     whole = F.coalesce(own.column(text), F.lit(""))
-    middle = F.when(F.length(whole) > most_chars, F.substr(whole, ((F.length(whole) - most_chars) / 2).cast("int") + 1, F.lit(most_chars))).otherwise(whole)
-    chosen = own.df.select(own.column(doc_id).cast("long").alias("__key"), middle.alias("__text")).join(F.broadcast(sample), F.col("__key") == F.col("__id"))
-    rows = sorted(((r["__id"], r["__label"], r["__text"].encode()) for r in chosen.groupBy("__id", "__label").agg(F.min("__text").alias("__text")).toLocalIterator()), key=lambda r: r[0])
-    model = fit([r[2] for r in rows], np.array([r[1] for r in rows], int), counts.get(1, 0) / total)
+    if most_chars is not None:
+        whole = F.when(F.length(whole) > most_chars, F.substr(whole, ((F.length(whole) - most_chars) / 2).cast("int") + 1, F.lit(most_chars))).otherwise(whole)
+    chosen = own.df.select(own.column(doc_id).cast("long").alias("__key"), whole.alias("__text")).join(F.broadcast(sample), F.col("__key") == F.col("__id"))
+
+    @C.tidy
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        features = Features()
+        for batch in C.slices(batches):
+            places = [features.of(t).tobytes() for t in C.texts_of(batch, "__text")]
+            yield pa.RecordBatch.from_pydict(C.passed_on(batch, ["__id", "__label"]) | {"__places": pa.array(places, pa.binary())})
+
+    one_each = chosen.groupBy("__id", "__label").agg(F.min("__text").alias("__text"))
+    found = one_each.mapInArrow(task, "__id long, __label int, __places binary")
+    rows = sorted(((r["__id"], r["__label"], np.frombuffer(r["__places"], np.int32)) for r in found.toLocalIterator()), key=lambda r: r[0])
+    model = fit_features([r[2] for r in rows], np.array([r[1] for r in rows], int), counts.get(1, 0) / total)
     del rows
     C.release()  # the driver lives on for other work
     return model
