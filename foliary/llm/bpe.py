@@ -4,11 +4,14 @@ Each piece of a text (a match of the pattern) has a tree whose leaves are its by
 hold rank * size + position of the pair that begins there; the root is then the leftmost pair of
 the least rank.  A merge changes three leaves (the pair itself, its right neighbour that dies, its
 left neighbour whose pair changes), each by one walk to the root.  Pieces of about one length are
-run in lockstep, one numpy row each, so a step costs a few array operations for all of them.
+run in lockstep, one numpy row each, so a step costs a few array operations for all of them; of
+long pieces, few of which are of one length, each has a tree of plain numbers.
 
 Pieces already met by a task are remembered (a bounded memory, emptied when full).
 
-Defined results: a null text is an empty one, with no ids; every text decodes to its own bytes.
+Defined results: a null text is an empty one, with no ids; every text decodes to its own bytes;
+repeated rows get equal ids each; texts and pieces of any length are taken whole; an empty table
+gives an empty one; a column called like a result (in any case) gives way to it.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from foliary.llm import common as C
 
 NONE = np.iinfo(np.int64).max
 LOCKSTEP_CELLS = 1 << 22
+#: pieces longer than so many bytes, and no more than so many together, are merged one by one
+ALONE_BYTES, ALONE = 256, 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,6 +52,7 @@ class Coder(C.PieceMemory):
                     keys.append(a * self.size + b)
                     values.append(rank)
         self._hash(np.array(keys, np.int64), np.array(values, np.int64))
+        self.pairs = dict(zip(keys, values, strict=True))
         tokens = [b""] * self.size
         for token, rank in ranks.items():
             tokens[rank] = token
@@ -148,6 +154,45 @@ class Coder(C.PieceMemory):
         keep = ids >= 0
         return ids[keep].astype(np.uint32), keep.sum(axis=1)
 
+    def merge_alone(self, piece: bytes) -> np.ndarray:
+        """Ids of one piece."""
+        n = len(piece)
+        size = 1 << max(1, (n - 1).bit_length())
+        ids = [int(self.of_byte[b]) for b in piece]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        tree, pairs, ranks = [NONE] * (2 * size), self.pairs, self.size
+        for i in range(n - 1):
+            rank = pairs.get(ids[i] * ranks + ids[i + 1])
+            if rank is not None:
+                tree[size + i] = rank * size + i
+        for node in range(size - 1, 0, -1):
+            tree[node] = min(tree[2 * node], tree[2 * node + 1])
+
+        def put(leaf: int, rank: int | None) -> None:
+            node = leaf + size
+            tree[node] = NONE if rank is None else rank * size + leaf
+            node >>= 1
+            while node:
+                a, b = tree[2 * node], tree[2 * node + 1]
+                least = a if a < b else b
+                if tree[node] == least:
+                    return
+                tree[node] = least
+                node >>= 1
+
+        while (root := tree[1]) != NONE:
+            pos, token = root % size, root // size
+            gone = after[pos]
+            then = after[gone]
+            ids[pos], ids[gone], after[pos] = token, -1, then
+            put(gone, None)
+            if then < n:
+                before[then] = pos
+            put(pos, pairs.get(token * ranks + ids[then]) if then < n else None)
+            if (prev := before[pos]) >= 0:
+                put(prev, pairs.get(ids[prev] * ranks + token))
+        return np.array([x for x in ids if x >= 0], np.uint32)
+
     def coded(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         by: dict[int, list[bytes]] = {}
         names: list[str] = []
@@ -169,7 +214,12 @@ class Coder(C.PieceMemory):
         for size, group in by.items():
             step = max(1, LOCKSTEP_CELLS >> (size + 2))
             for i in range(0, len(group), step):
-                ids, lengths = self.merge(group[i : i + step])
+                some = group[i : i + step]
+                if 1 << size > ALONE_BYTES and len(some) <= ALONE:
+                    each = [self.merge_alone(p) for p in some]
+                    ids, lengths = np.concatenate(each), np.array([len(x) for x in each])
+                else:
+                    ids, lengths = self.merge(some)
                 ids_parts.append(ids)
                 length_parts.append(lengths)
             names += groups[size]
