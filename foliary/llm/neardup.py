@@ -356,12 +356,17 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     """The rows of ``docs`` that are their component's least id, all columns as they are; of rows that repeat one id and text, one.
 
     Rows with a null id stay unless their component has an id, or another such row of the same text stays.
-    Rows go by id and text: another text of the same id is judged by its own component.
+    Rows go by id and text (null is an empty one): another text of the same id is judged by its own
+    component.  Of rows that differ in other columns only, the one whose columns have the least hash
+    stays, whatever order rows come in (maps, which have no hash, aside).
     """
     kept = C.Kept(docs, "unused int", [])
     mark = F.xxhash64(F.coalesce(kept.column(text), F.lit("")))
     found = _placed(kept.df.select(kept.column(doc_id).cast("long").alias("doc_id"), kept.column(text).alias("text"), mark.alias("mark")), shingle, threshold, WHOLE if exact else k, [F.col("mark")])
     gone = found.where("not kept").select(F.col("doc_id").alias("gone"), F.col("mark").alias("copy")).distinct()
-    own = kept.df.withColumn("id", kept.column(doc_id).cast("long")).withColumn("mark", mark)
+    others = F.xxhash64(*(f.name for f in kept.df.schema if "map<" not in f.dataType.simpleString()))
+    own = kept.df.withColumn("id", kept.column(doc_id).cast("long")).withColumn("mark", mark).withColumn("others", others)
+    repeated = own.groupBy("id", "mark").agg(F.count(F.lit(1)).alias("n"), F.min("others").alias("least")).where("n > 1").select(F.col("id").alias("same"), F.col("mark").alias("twin"), "least")
+    own = own.join(repeated, F.col("id").eqNullSafe(F.col("same")) & (F.col("mark") == F.col("twin")), "left").where("least is null or others = least").drop("same", "twin", "least", "others")
     left = own.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("mark") == F.col("copy")), "left_anti")
     return left.dropDuplicates(["id", "mark"]).drop("id", "mark").toDF(*docs.columns)
