@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,6 +25,45 @@ def read_cases(spark: SparkSession, path: str, schema: str, lines: bool = True)
     return spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
 
 
+def normal_cases(cases: DataFrame) -> DataFrame:
+    """Evaluation cases whose single labels stand first in their lists, where those lack them.
+
+    cases: id, and for each of document, chunk, page a column expected_X and a list expected_Xs; what is
+    missing counts as empty.  A case that expects no evidence yet names documents or chunks stops the
+    query; ``case_faults`` lists such cases.
+    """
+
+    def labels(name: str) -> Column:
+        many = F.coalesce(F.col(f"expected_{name}s"), F.array().cast(cases.schema[f"expected_{name}s"].dataType))
+        one = F.col(f"expected_{name}")
+        given = one.isNotNull() & (one > 0 if name == "page" else one != "")
+        return F.when(given & ~F.coalesce(F.array_contains(many, one), F.lit(False)), F.concat(F.array(one), many)).otherwise(many)
+
+    out = cases.withColumns({f"expected_{n}s": labels(n) for n in ("document", "chunk", "page")})
+    named = (F.size("expected_documents") > 0) | (F.size("expected_chunks") > 0)
+    fault = F.coalesce(F.col("expect_no_evidence"), F.lit(False)) & named
+    return out.withColumn("id", F.when(fault, F.raise_error(F.concat(F.lit("a case without evidence names documents or chunks: "), F.col("id")))).otherwise(F.col("id")))
+
+
+def case_faults(cases: DataFrame) -> DataFrame:
+    """One row for each case that breaks a rule, with the rule."""
+    some = lambda n: F.coalesce(F.size(f"expected_{n}s"), F.lit(0)) > 0
+    named = some("document") | some("chunk") | (F.coalesce("expected_document", F.lit("")) != "") | (F.coalesce("expected_chunk", F.lit("")) != "")
+    rules = {
+        "it has no question": F.coalesce("question", F.lit("")) == "",
+        "it expects no evidence and names some": F.coalesce(F.col("expect_no_evidence"), F.lit(False)) & named,
+        "a page is below 1": (F.col("expected_page") < 1) | F.exists("expected_pages", lambda p: p < 1),
+    }
+    found = F.filter(F.array(*(F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items())), lambda x: x.isNotNull())
+    return cases.select("id", F.explode(found).alias("fault")).unionByName(repeated(cases, "id").select("id", F.lit("an id is used twice").alias("fault")))
+
+
+def iso(at: Column) -> Column:
+    """A time as text in UTC, with its offset; a fraction of six digits where there is one."""
+    text = F.date_format(at.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(text, r"\.000000$", ""), F.lit("+00:00"))
+
+
 def repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).count().where("count > 1")
 
@@ -88,10 +127,11 @@ def from_form_source(words: DataFrame) -> DataFrame:
     return words.groupBy("document_id").agg(listed.alias("entities"))
 
 
-def pick_questions(manifest: DataFrame, n: int) -> DataFrame:
-    """The first n questions in the order of records, then of questions."""
+def pick_questions(manifest: DataFrame, n: int | None = None) -> DataFrame:
+    """Questions of records with their places; with ``n`` the first of them, in the order of records, then of questions."""
     rows = manifest.select("evaluation_id", F.posexplode("qa_pairs").alias("place", "qa"))
-    return rows.orderBy("evaluation_id", "place").limit(n).select("evaluation_id", "place", F.col("qa.question").alias("question"), F.col("qa.answers").alias("answers"))
+    picked = rows if n is None else rows.orderBy("evaluation_id", "place").limit(n)
+    return picked.select("evaluation_id", "place", F.col("qa.question").alias("question"), F.col("qa.answers").alias("answers"))
 
 
 def write_json(rows: DataFrame, path: str) -> None:
