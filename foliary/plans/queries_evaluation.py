@@ -74,21 +74,25 @@ def gates(spark, sf_dir):
 
 
 _ASCII = "text = regexp_replace(text, '[^ -~\\n]', '', 'g') AND n_chars BETWEEN 1 AND 400"
-_NEXT = f"SELECT a.doc_id, a.text AS reference, b.text AS other FROM (SELECT * FROM documents WHERE {_ASCII}) a JOIN (SELECT * FROM documents WHERE {_ASCII}) b ON b.doc_id = a.doc_id + 1"
+#: letters that the other engine counts as several bytes count as one sign on both sides
+_PLAIN_TEXT = r"regexp_replace({}, '[^ -~\n]', '#', 'g')"
+_NEXT = f"SELECT a.doc_id, {_PLAIN_TEXT.format('a.text')} AS reference, {_PLAIN_TEXT.format('b.text')} AS other FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1"
+_RATE = "CASE WHEN length(reference) > 0 THEN CAST(d AS DOUBLE) / length(reference) WHEN length(other) > 0 THEN 1 ELSE 0 END"
+_EDITS = f"SELECT *, levenshtein(reference, other) AS d FROM ({_NEXT})"
 
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read_table(spark, sf_dir, "documents").where("n_chars between 1 and 400").where(~F.col("text").rlike(r"[^ -~\n]"))
-    a, b = d.select("doc_id", F.col("text").alias("reference")), d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other"))
-    return a.join(b, "doc_id")
+    """All neighbours' whole texts, letters beyond ASCII as one sign."""
+    plain = lambda c: F.regexp_replace(c, r"[^ -~\n]", "#").alias(c)
+    return _all_neighbours(spark, sf_dir).select("doc_id", plain("reference"), plain("other"))
 
 
-@query("levenshtein_cer", f"SELECT doc_id, round(CAST(levenshtein(reference, other) AS DOUBLE) / length(reference), 6) AS cer FROM ({_NEXT})")
+@query("levenshtein_cer", f"SELECT doc_id, round({_RATE}, 6) AS cer FROM ({_EDITS})")
 def levenshtein_cer(spark, sf_dir):
     return _neighbours(spark, sf_dir).select("doc_id", F.round(E.cer(F.col("reference"), F.col("other")), 6).alias("cer"))
 
 
-@query("micro_macro_cer", f"SELECT count(*) AS texts, round(sum(levenshtein(reference, other)) / sum(length(reference)), 6) AS micro_cer, round(avg(CAST(levenshtein(reference, other) AS DOUBLE) / length(reference)), 6) AS macro_cer FROM ({_NEXT})")
+@query("micro_macro_cer", f"SELECT count(*) AS texts, round(sum(d) / sum(length(reference)), 6) AS micro_cer, round(avg({_RATE}), 6) AS macro_cer FROM ({_EDITS})")
 def micro_macro_cer(spark, sf_dir):
     return E.micro_macro(_neighbours(spark, sf_dir)).select("texts", F.round("micro_cer", 6).alias("micro_cer"), F.round("macro_cer", 6).alias("macro_cer"))
 
@@ -117,14 +121,15 @@ def anls_all(spark, sf_dir):
     return _all_neighbours(spark, sf_dir).select("doc_id", F.round(E.anls(a, p), 6).alias("anls"), E.exact_match(a, p).alias("exact_match"))
 
 
-_SHORT = f"SELECT doc_id, lower(left(regexp_replace(reference, '\\s+', ' ', 'g'), 20)) AS a, lower(left(regexp_replace(reference, '\\s+', ' ', 'g'), CAST(20 - doc_id % 15 AS BIGINT))) AS p FROM ({_NEXT})"
+_KEYS = f"SELECT doc_id, trim(regexp_replace(lower(reference), '\\s+', ' ', 'g')) AS a, trim(regexp_replace(lower(other), '\\s+', ' ', 'g')) AS p FROM ({_NEXT})"
+_SHARE = f"SELECT doc_id, a = p AS exact_match, CASE WHEN greatest(length(a), length(p)) > 0 THEN CAST(levenshtein(a, p) AS DOUBLE) / greatest(length(a), length(p)) ELSE 0 END AS share FROM ({_KEYS})"
 
 
-@query("anls", f"SELECT doc_id, CASE WHEN CAST(levenshtein(trim(a), trim(p)) AS DOUBLE) / greatest(length(trim(a)), length(trim(p))) < 0.5 THEN round(1 - CAST(levenshtein(trim(a), trim(p)) AS DOUBLE) / greatest(length(trim(a)), length(trim(p))), 6) ELSE 0 END AS anls, trim(a) = trim(p) AS exact_match FROM ({_SHORT})")
+@query("anls", f"SELECT doc_id, CASE WHEN share < 0.5 THEN round(1 - share, 6) ELSE 0 END AS anls, exact_match FROM ({_SHARE})")
 def anls(spark, sf_dir):
-    plain = F.regexp_replace("reference", r"\s+", " ")
-    rows = _neighbours(spark, sf_dir).select("doc_id", F.array(F.left(plain, F.lit(20))).alias("a"), F.left(plain, (F.lit(20) - F.col("doc_id") % 15).cast("int")).alias("p"))
-    return rows.select("doc_id", F.round(E.anls(F.col("a"), F.col("p")), 6).alias("anls"), E.exact_match(F.col("a"), F.col("p")).alias("exact_match"))
+    """Whole texts as answers, the next documents' as predictions; letters beyond ASCII as one sign."""
+    rows, a, p = _neighbours(spark, sf_dir), F.array("reference"), F.col("other")
+    return rows.select("doc_id", F.round(E.anls(a, p), 6).alias("anls"), E.exact_match(a, p).alias("exact_match"))
 
 
 @query("rank_delta", f"SELECT count(*) FILTER (d > 0) AS improved, count(*) FILTER (d = 0) AS unchanged, count(*) FILTER (d < 0) AS worsened FROM (SELECT CAST(rank - chunk_id % 10 - 1 AS INTEGER) AS d FROM ({_ranked(_scored(), 10)}))")
@@ -163,9 +168,13 @@ def answer_summary(spark, sf_dir):
     return out.select("configuration", "questions", "completed", F.round("end_to_end_anls", 6).alias("end_to_end_anls"), F.round("p95_ms", 6).alias("p95_ms"))
 
 
-@query("ground_truth", "SELECT d.doc_id AS question_key, CASE WHEN contains(' ' || array_to_string(regexp_extract_all(lower(b.text), '[a-z0-9]+'), ' ') || ' ', ' the ') THEN 'SCORABLE' ELSE 'ANSWER_NOT_INDEXED' END AS state FROM documents d JOIN documents b ON b.doc_id = d.doc_id WHERE d.lang = 'en' AND d.text = regexp_replace(d.text, '[^ -~\\n]', '', 'g') AND NOT contains(d.text, '_')")
+_TRUE_WORDS = "' ' || array_to_string(regexp_extract_all(lower(regexp_replace(d.text, '[^ -~\\n]|_', '#', 'g')), '[a-z0-9]+'), ' ') || ' '"
+
+
+@query("ground_truth", f"SELECT d.doc_id AS question_key, CASE WHEN contains({_TRUE_WORDS}, ' the ') THEN 'SCORABLE' ELSE 'ANSWER_NOT_INDEXED' END AS state FROM documents d")
 def ground_truth(spark, sf_dir):
-    d = read_table(spark, sf_dir, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"[^ -~\n]") & ~F.col("text").contains("_"))
+    """A question on every document; signs that aren't letters, digits or plain punctuation are one sign."""
+    d = read_table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", r"[^ -~\n]|_", "#"))
     questions = d.select(F.col("doc_id").alias("question_key"), F.col("doc_id").alias("document_id"), F.array(F.lit("The")).alias("accepted_answers"))
     return E.ground_truth(questions, d.select(F.col("doc_id").alias("document_id"), F.col("doc_id").alias("chunk_id"), "text")).select("question_key", "state")
 
