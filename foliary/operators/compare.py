@@ -196,6 +196,15 @@ def row_changes(base: DataFrame, target: DataFrame) -> DataFrame:
     return met.select("table_id", "row_key", F.when(F.col("b").isNull(), "row_added").otherwise("row_removed").alias("change_type"))
 
 
+def row_states(base: DataFrame, target: DataFrame) -> DataFrame:
+    """All rows (table_id, row_key, cells) of both sides: row_added, row_removed, row_modified, or row_unchanged where all cells agree apart from white space."""
+    plain = lambda c: F.transform(c, lambda x: T.collapse(F.coalesce(x, F.lit(""))))
+    b = base.select("table_id", "row_key", F.coalesce("cells", F.array().cast("array<string>")).alias("before"))
+    t = target.select("table_id", "row_key", F.coalesce("cells", F.array().cast("array<string>")).alias("after"))
+    state = F.when(F.col("before").isNull(), "row_added").when(F.col("after").isNull(), "row_removed").when(plain("before") == plain("after"), "row_unchanged").otherwise("row_modified")
+    return b.join(t, ["table_id", "row_key"], "full_outer").select("table_id", "row_key", state.alias("change_type"))
+
+
 def cell_changes(base: DataFrame, target: DataFrame) -> DataFrame:
     """Cells (table_id, row_key, header, value) of common rows and headers whose values differ."""
     b, t = base.withColumnRenamed("value", "before"), target.withColumnRenamed("value", "after")

@@ -104,6 +104,20 @@ def micro_macro(pairs: DataFrame, reference: str = "reference", other: str = "ot
     return pairs.agg(F.count(F.lit(1)).alias("texts"), F.try_divide(F.sum(d), F.sum(F.length(reference))).alias("micro_cer"), F.avg(cer(F.col(reference), F.col(other))).alias("macro_cer"))
 
 
+def text_summary(pairs: DataFrame, reference: str = "reference", other: str = "other") -> DataFrame:
+    """One row: character and word error rates, over all characters or words and as means over texts, of texts as they are and of normal ones."""
+    split = lambda c: F.filter(F.split(T.collapse(c), " "), lambda w: w != "")
+    out = pairs.select(F.col(reference).alias("r"), F.col(other).alias("o")).withColumns({"nr": T.nfkc(F.col("r")), "no": T.nfkc(F.col("o"))})
+    measures = {"cer": (F.length, T.edits, lambda c: F.col(c)), "wer": (F.size, T.word_distance, lambda c: split(F.col(c)))}
+    for name, (size, distance, form) in measures.items():
+        for suffix, x, y in (("", "r", "o"), ("_collapsed", "nr", "no")):
+            out = out.withColumns({f"d_{name}{suffix}": distance(form(x), form(y)), f"n_{name}{suffix}": size(form(x)), f"m_{name}{suffix}": size(form(y))})
+    names = [f"{n}{s}" for n in measures for s in ("", "_collapsed")]
+    micro = lambda n: F.try_divide(F.sum(f"d_{n}"), F.sum(f"n_{n}"))
+    macro = lambda n: F.avg(distance_rate(F.col(f"d_{n}"), F.col(f"n_{n}"), F.col(f"m_{n}")))
+    return out.agg(F.count(F.lit(1)).alias("texts"), *(c for n in names for c in (micro(n).alias(f"micro_{n}"), macro(n).alias(f"macro_{n}"))))
+
+
 def anls_pair(answer: Column, prediction: Column) -> Column:
     """1 minus the share of edits, 0 from half on; both empty: 1."""
     a, p = T.normal_key(answer), T.normal_key(prediction)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliary.functions.text import casefold, collapse
 
@@ -67,3 +68,37 @@ def outcomes(candidates: DataFrame) -> DataFrame:
 def canonical_label(answer: Column, labels: Column) -> Column:
     """The caller's own spelling of a label, null where it is none of them."""
     return F.get(F.filter(labels, lambda x: casefold(F.trim(x)) == casefold(F.trim(answer))), F.lit(0))
+
+
+def checked_fields(responses: DataFrame, definitions: DataFrame, evidence: DataFrame) -> DataFrame:
+    """A generator's fields as far as its whole response holds: one fault anywhere, and all of a document's fields are not_found.
+
+    responses: document_id, field, status, value, sources (labels), candidates (value and sources each).
+    definitions: document_id, field, kind.  evidence: document_id, source_id, text (a prompt's worth).
+
+    A response answers exactly the fields asked for, each once, and cites only labels there are.
+    not_found has no value and no candidates; found has one value that fits its kind and stands in what it
+    cites; ambiguous has two such candidates at least, that differ, and no value.
+    """
+    labels = evidence.groupBy("document_id").agg(F.map_from_entries(F.collect_list(F.struct("source_id", "text"))).alias("held"))
+    texts = F.array().cast("array<string>")
+    none = F.array().cast("array<struct<value:string,sources:array<string>>>")
+    given = responses.select("document_id", "field", "status", "value", F.coalesce("sources", texts).alias("sources"), F.coalesce("candidates", none).alias("candidates"), F.lit(True).alias("given"))
+    asked = definitions.select("document_id", "field", "kind", F.lit(True).alias("asked"))
+    met = asked.join(given, ["document_id", "field"], "full_outer").join(labels, "document_id", "left")
+    known = lambda xs: F.forall(xs, lambda x: F.coalesce(F.map_contains_key("held", x), F.lit(False)))
+    holds = lambda v, xs: (F.size(xs) > 0) & known(xs) & supported(coerce(v, F.col("kind")), F.col("kind"), F.array_join(F.transform(xs, lambda x: F.try_element_at("held", x)), "\n"))
+    empty = F.size("candidates") == 0
+    keys = F.array_distinct(F.transform("candidates", lambda c: casefold(coerce(c["value"], F.col("kind")))))
+    fits = (
+        F.when(F.col("status") == "not_found", F.col("value").isNull() & empty)
+        .when(F.col("status") == "found", F.col("value").isNotNull() & empty & holds(F.col("value"), F.col("sources")))
+        .when(F.col("status") == "ambiguous", F.col("value").isNull() & F.forall("candidates", lambda c: holds(c["value"], c["sources"])) & (F.size(keys) >= 2))
+    )
+    good = F.coalesce(F.col("given") & F.col("asked") & known(F.col("sources")) & fits, F.lit(False))
+    whole = Window.partitionBy("document_id")
+    once = F.count(F.lit(1)).over(Window.partitionBy("document_id", "field")) == 1
+    rows = met.withColumn("good", good & once).withColumn("sound", F.bool_and("good").over(whole)).where("asked").dropDuplicates(["document_id", "field"])
+    said = lambda c: F.col("sound") & (F.col("status") == c)
+    status = F.when(F.col("sound"), F.col("status")).otherwise("not_found")
+    return rows.select("document_id", "field", status.alias("status"), F.when(said("found"), coerce(F.col("value"), F.col("kind"))).alias("value"), F.when(said("found"), F.array_distinct("sources")).otherwise(texts).alias("sources"), F.when(said("ambiguous"), keys).otherwise(texts).alias("candidates"))

@@ -73,14 +73,18 @@ def detections(text: Column, kinds: tuple[str, ...] = KINDS) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.array(*found))))
 
 
+def check_kinds(kinds: tuple[str, ...]) -> None:
+    bad = set(kinds) - set(KINDS)
+    if bad:
+        raise ValueError(f"unknown kinds: {sorted(bad)}")
+
+
 def detect_pii(texts: DataFrame, kinds: tuple[str, ...] = KINDS, document: str = "document_id", page: str = "page_number", text: str = "text") -> DataFrame:
     """One row for each detection, with an id that depends on document, page, place and text.
 
     Texts without an at sign, and without a run of digits, are left out before the patterns run.
     """
-    bad = set(kinds) - set(KINDS)
-    if bad:
-        raise ValueError(f"unknown kinds: {sorted(bad)}")
+    check_kinds(kinds)
     likely = F.col(text).contains("@") | F.col(text).rlike("[0-9][0-9 ().-]*[0-9]")
     rows = texts.where(likely).select(F.col(document).alias("document_id"), F.col(page).alias("page_number"), F.explode(detections(F.col(text), kinds)).alias("d"))
     out = rows.select("document_id", "page_number", F.col("d.kind").alias("pii_type"), F.col("d.start").alias("start_offset"), F.col("d.end").alias("end_offset"), F.col("d.matched").alias("matched_text"))
@@ -119,6 +123,16 @@ def redact_text(texts: DataFrame, found: DataFrame, selected: DataFrame | None =
     return out.select("document_id", "page_number", "redacted_text", F.size("spans").alias("redactions"), (~left).alias("verified"))
 
 
+def redact_pages(texts: DataFrame, kinds: tuple[str, ...] = KINDS, document: str = "document_id", page: str = "page_number", text: str = "text") -> DataFrame:
+    """As ``redact_text`` with all detections of some kinds; they are found in the row itself, so nothing is shuffled."""
+    check_kinds(kinds)
+    spans = F.transform(detections(F.col("text"), kinds), lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["matched"].alias("matched")))
+    base = texts.select(F.col(document).alias("document_id"), F.col(page).alias("page_number"), F.col(text).alias("text")).withColumn("spans", F.coalesce(spans, F.array().cast("array<struct<start:int,end:int,matched:string>>")))
+    out = base.withColumn("redacted_text", redacted(F.col("text"), F.col("spans")))
+    left = F.exists(detections(F.col("redacted_text"), kinds), lambda d: F.exists("spans", lambda s: s["matched"] == d["matched"]))
+    return out.select("document_id", "page_number", "redacted_text", F.size("spans").alias("redactions"), (~left).alias("verified"))
+
+
 def unknown_ids(found: DataFrame, selected: DataFrame) -> DataFrame:
     return selected.select("detection_id").distinct().join(found, "detection_id", "left_anti")
 

@@ -234,14 +234,38 @@ def first_questions(questions: DataFrame, answers: DataFrame, most: int | None =
     return asked if most is None else asked.orderBy("question_key").limit(most)
 
 
-def with_reasons(manifest: DataFrame, documents: DataFrame) -> DataFrame:
-    """Records of a manifest against the stored documents: ready, or the reason why one is skipped."""
-    d = documents.select(F.col("source_record_id").alias("key"), "document_id", "status", "is_indexed", "chunk_count")
-    met = manifest.join(d, F.col("source_record_id") == F.col("key"), "left").drop("key")
+def with_reasons(manifest: DataFrame, documents: DataFrame, by_file: bool = False) -> DataFrame:
+    """Records of a manifest against the stored documents: ready, or the reason why one is skipped.
+
+    They meet by ``source_record_id``, or by the file's name (``local_pdf_path``, ``original_filename``); of several
+    documents of one name the one of least id counts.
+    """
+    if by_file:
+        key, stored = F.regexp_extract("local_pdf_path", r"([^/\\]+)$", 1), documents.withColumn("key", F.col("original_filename"))
+        first = Window.partitionBy("key").orderBy("document_id")
+        stored = stored.withColumn("n", F.row_number().over(first)).where("n = 1")
+    else:
+        key, stored = F.col("source_record_id"), documents.withColumn("key", F.col("source_record_id"))
+    d = stored.select("key", "document_id", "status", "is_indexed", "chunk_count")
+    met = manifest.withColumn("__key", key).join(d, F.col("__key") == F.col("key"), "left").drop("key", "__key")
     reason = F.when(F.col("document_id").isNull(), "NOT_INGESTED").when(F.col("status") != "ready", "NOT_READY").when(~F.coalesce("is_indexed", F.lit(False)) | (F.coalesce("chunk_count", F.lit(0)) == 0), "NOT_INDEXED")
     return met.withColumn("reason_code", reason).withColumn("ready", reason.isNull())
 
 
+def method_summary(cases: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), by: str = "method", approximate: bool = False) -> DataFrame:
+    """One row for each method over all its questions: a question that failed counts with 0, but its times don't count.
+
+    cases: method, failed, results, reciprocal_rank, recall_at_k, hit_at_k, total_ms.
+    """
+    failed = F.coalesce(F.col("failed"), F.lit(False))
+    mean = lambda c: F.avg(F.when(failed, 0.0).otherwise(F.coalesce(F.col(c).cast("double"), F.lit(0.0))))
+    timed = cases.withColumn("ms", F.when(~failed, F.col("total_ms").cast("double")))
+    return timed.groupBy(by).agg(
+        F.count(F.lit(1)).alias("questions"), F.count_if(failed).alias("errors"), rate(F.count_if(~failed & (F.coalesce("results", F.lit(0)) == 0)), F.count_if(~failed)).alias("no_evidence_rate"),
+        mean("reciprocal_rank").alias("mrr"), *(c for k in ks for c in (mean(f"recall_at_{k}").alias(f"recall_at_{k}"), mean(f"hit_at_{k}").alias(f"hit_at_{k}"))), *times("ms", approximate),
+    )
+
+
 def latest_runs(runs: DataFrame) -> DataFrame:
     """The last run of each experiment (experiment, finished_at, run_id)."""
     order = Window.partitionBy("experiment").orderBy(F.desc("finished_at"), F.desc("run_id"))

@@ -195,3 +195,53 @@ def header_changes(spark, sf_dir):
 def blank_metadata(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "  ").otherwise(F.concat(F.lit(" "), "lang")).alias("title"), F.col("source").alias("author"))
     return d.select("doc_id", *corpus.blank_to_null(["title", "author"]))
+
+
+@query("extraction_fails_closed", "SELECT doc_id AS document_id, f AS field, CASE WHEN f = 'a' AND doc_id % 4 = 0 THEN 'found' ELSE 'not_found' END AS status, CASE WHEN f = 'a' AND doc_id % 4 = 0 THEN lang END AS value FROM documents, (VALUES ('a'), ('b')) v(f)")
+def extraction_fails_closed(spark, sf_dir):
+    """A supported field beside another that is sound, unsupported, cites an unknown label, or is missing."""
+    d, k = read_table(spark, sf_dir, "documents"), F.col("doc_id") % 4
+    evidence = d.select(F.col("doc_id").alias("document_id"), F.lit("S1").alias("source_id"), F.concat_ws(" ", F.lit("in"), "lang", F.lit("only")).alias("text"))
+    definitions = d.select(F.col("doc_id").alias("document_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("field"), F.lit("string").alias("kind"))
+    no = F.array().cast("array<struct<value:string,sources:array<string>>>")
+    item = lambda field, status, value, source: F.struct(F.lit(field).alias("field"), F.lit(status).alias("status"), value.cast("string").alias("value"), F.array(F.lit(source)).alias("sources"), no.alias("candidates"))
+    sound = item("a", "found", F.col("lang"), "S1")
+    other = F.when(k == 0, item("b", "not_found", F.lit(None), "S1")).when(k == 1, item("b", "found", F.lit("elsewhere"), "S1")).when(k == 2, item("b", "not_found", F.lit(None), "S9"))
+    responses = d.select(F.col("doc_id").alias("document_id"), F.inline(F.array_compact(F.array(sound, other))))
+    return extract.checked_fields(responses, definitions, evidence).select("document_id", "field", "status", "value")
+
+
+_TIMED = "SELECT event_type AS method, value > 50 AS failed, CASE WHEN user_id % 3 = 0 THEN 0 ELSE 5 END AS results, 1.0 / (1 + user_id % 4) AS rr, value FROM events"
+
+
+@query(
+    "method_summary",
+    "SELECT method, count(*) AS questions, count(*) FILTER (failed) AS errors, round(CAST(count(*) FILTER (NOT failed AND results = 0) AS DOUBLE) / count(*) FILTER (NOT failed), 9) AS no_evidence_rate, round(avg(CASE WHEN failed THEN 0 ELSE rr END), 9) AS mrr, "
+    f"round(avg(CASE WHEN failed OR rr < 1 THEN 0.0 ELSE 1.0 END), 9) AS hit_at_1, count(*) FILTER (NOT failed) AS samples, round(avg(value) FILTER (NOT failed), 9) AS mean_ms, round(quantile_cont(value, 0.95) FILTER (NOT failed), 9) AS p95_ms FROM ({_TIMED}) GROUP BY method",
+)
+def method_summary(spark, sf_dir):
+    """Failed questions count with 0, their times don't count."""
+    e = read_table(spark, sf_dir, "events")
+    rr = 1 / (1 + F.col("user_id") % 4)
+    cases = e.select(F.col("event_type").alias("method"), (F.col("value") > 50).alias("failed"), F.when(F.col("user_id") % 3 == 0, 0).otherwise(5).alias("results"), rr.alias("reciprocal_rank"), rr.alias("recall_at_1"), (rr == 1).alias("hit_at_1"), F.col("value").alias("total_ms"))
+    out = runs.method_summary(cases, (1,))
+    return out.select("method", "questions", "errors", F.round("no_evidence_rate", 9).alias("no_evidence_rate"), F.round("mrr", 9).alias("mrr"), F.round("hit_at_1", 9).alias("hit_at_1"), "samples", F.round("mean_ms", 9).alias("mean_ms"), F.round("p95_ms", 9).alias("p95_ms"))
+
+
+@query("row_states", "SELECT 't' AS table_id, CAST(p_partkey AS VARCHAR) AS row_key, CASE WHEN p_partkey % 11 = 0 THEN 'row_removed' WHEN p_partkey % 13 = 0 THEN 'row_added' WHEN p_partkey % 7 = 0 THEN 'row_modified' ELSE 'row_unchanged' END AS change_type FROM part WHERE NOT (p_partkey % 11 = 0 AND p_partkey % 13 = 0)")
+def row_states(spark, sf_dir):
+    """Rows of two versions of a table, those that didn't change too."""
+    p, k = read_table(spark, sf_dir, "part"), F.col("p_partkey")
+    cells = lambda size: F.array(F.concat(F.lit(" "), "p_name"), size.cast("string"))
+    base = p.where(k % 13 != 0).select(F.lit("t").alias("table_id"), k.cast("string").alias("row_key"), cells(F.col("p_size")).alias("cells"))
+    target = p.where(k % 11 != 0).select(F.lit("t").alias("table_id"), k.cast("string").alias("row_key"), cells(F.when(k % 7 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))).alias("cells"))
+    return compare.row_states(base, target)
+
+
+@query("manifest_files", "SELECT doc_id AS source_record_id, CASE WHEN doc_id % 5 = 0 THEN 'NOT_INGESTED' WHEN doc_id % 5 = 1 THEN 'NOT_READY' WHEN doc_id % 5 = 2 THEN 'NOT_INDEXED' END AS reason_code FROM documents")
+def manifest_files(spark, sf_dir):
+    """Records of a manifest meet stored documents by the names of their files."""
+    d, k = read_table(spark, sf_dir, "documents"), F.col("doc_id")
+    manifest = d.select(k.alias("source_record_id"), F.concat(F.lit("/data/"), "source", F.lit("/"), k.cast("string"), F.lit(".pdf")).alias("local_pdf_path"))
+    stored = d.where("doc_id % 5 <> 0").select(k.alias("document_id"), F.concat(k.cast("string"), F.lit(".pdf")).alias("original_filename"), F.when(k % 5 == 1, "failed").otherwise("ready").alias("status"), (k % 5 != 2).alias("is_indexed"), F.lit(3).alias("chunk_count"))
+    return runs.with_reasons(manifest, stored, by_file=True).select("source_record_id", "reason_code")
