@@ -8,8 +8,9 @@ on the words themselves.  Items shorter than ``span`` words form one window each
 the hash of all their words.
 
 Where the benchmark's text is at most ``broadcast_bytes`` (measured first) its fingerprints go to
-every task and no document is shuffled.  Beyond it, the fingerprints of both sides are joined by
-a shuffle, and only documents that meet an item are looked at again.  Both ways give equal results.
+every task and no document is shuffled.  Beyond it, the windows of both sides are joined by a shuffle, by
+fingerprint and 128 bits of their words, and hits that touch are put together; texts stay where they
+are.  Both ways give equal results.
 
 Defined results: null or wordless texts have no words and no hits; null or wordless items no
 windows; repeated rows get the same answer each; items repeated under one id count once; texts of
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -250,36 +251,32 @@ def _by_broadcast(spark: SparkSession, kept: C.Kept, rows: list[tuple[str, bytes
 
 
 def _by_shuffle(kept: C.Kept, items: DataFrame, text: str, span: int, k: int) -> DataFrame:
-    """Fingerprints of both sides meet in a join; each document is then extended against the items it met.
-
-    A bit sieve of the items' fingerprints (of fixed size, whatever their number) goes to every
-    task, so that of the documents' fingerprints only those that may meet one are moved.  Rows have
-    numbers, held by a checkpoint: copies of one text are different keys, and texts without a
-    meeting are not moved at all.
+    """Windows of both sides meet in a join by fingerprint and words; no text is moved, and no pair of document and item is formed.
+
+    Of the documents' windows only those go into the join that may meet one (a bit sieve of fixed
+    size, whatever the number of items, goes to every task).  The items' side has each window once,
+    with a name for the set of items it occurs in, so a fingerprint that all items share is one row
+    there; windows of very many documents are spread over tasks.  Documents that met the same sets
+    of items share one digest of them.  What one document met is one row, at most five times as
+    large as its words; the items of one digest are sorted in one place, by their ids alone.
     """
     spark = items.sparkSession
     rows = C.cut(kept.select(body=kept.column(text), row=F.monotonically_increasing_id()))
-    bodies = C.cut(items.groupBy("item", "words").count().select(F.monotonically_increasing_id().alias("number"), "item", "words"))
-    of_items = C.cut(bodies.select(F.col("number").alias("key"), F.col("words").alias("body")).mapInArrow(_prints(span, k, None, None), "key long, fp long, n int"))
-    sizes = sorted(r["n"] for r in of_items.where("n > 0").select("n").distinct().collect())  # less than span of them
-    sieve = spark.sparkContext.broadcast(_sieve_of(of_items))
-    prints = rows.select(F.col("row").alias("key"), "body").mapInArrow(_prints(span, k, sizes, sieve), "key long, fp long, n int")
-    pairs = prints.join(of_items.select(F.col("key").alias("number"), "fp", "n"), ["fp", "n"]).select("key", "number").distinct()
-    met = pairs.join(bodies, "number").select("key", "item", "words")
-    met = rows.select("row", "body").join(met, F.col("row") == F.col("key")).select("row", "body", "item", "words")
-
-    @C.tidy
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = C.letters_scanner()
-        for batch in C.slices(batches):
-            out = []
-            for row, body, item, words in zip(batch.column(0).to_pylist(), C.texts_of(batch, "body"), batch.column(2).to_pylist(), C.texts_of(batch, "words"), strict=True):
-                _, runs, found, _ = next(find_hits([body], scanner, ItemIndex(scan_items([(item, words)], scanner), span, k)))
-                out += [(row, item, *run) for run in runs]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), *[pa.int64()] * 4))], ["at", "item", "first_word", "last_word", "start", "end"])
+    name = F.struct("n", "fp", "window", "check")
+    of_items = items.select("item", F.col("words").alias("body")).distinct().mapInArrow(_windows(span, k, None, None), f"item string, {WINDOW}")
+    of_items = C.stored(of_items.select("item", name.alias("name")).distinct(), "decontam-items")
+    windows = C.stored(of_items.groupBy("name").agg(*_set_name("item")).select("name", F.struct("x", "y", "size").alias("set")), "decontam-windows")
+    sizes = sorted(r["n"] for r in windows.select("name.n").where(F.col("n") < span).distinct().collect())  # less than span of them
+    sieve = spark.sparkContext.broadcast(_sieve_of(windows.select("name.fp").unionAll(windows.select("name.window"))))
+    asked = rows.select("row", "body").mapInArrow(_windows(span, k, sizes, sieve), f"row long, {WINDOW}")
+    asked = C.stored(asked.select("row", name.alias("name"), F.struct("first_word", "last_word", "start", "end").alias("run")), "decontam-asked")
+    met = windows.join(asked.groupBy("name").agg(F.count("*").alias("copies")), "name")
+    hits = C.spread_join(asked, met, "name", "row", "copies", asked.count())
+    found = hits.groupBy(F.col("row").alias("at")).agg(F.collect_set("run").alias("runs"), F.sort_array(F.collect_set("set")).alias("sets"))
+    found = C.stored(found.withColumn("sets_name", F.struct(F.xxhash64("sets").alias("x"), F.xxhash64(F.lit(1), "sets").alias("y"))), "decontam-found")
+    told = C.spread_join(found.drop("sets"), _digests(found, windows, of_items), "sets_name", "at", "documents", found.count())
 
-    hits = met.mapInArrow(extend, "at long, item string, first_word long, last_word long, start long, end long")
-    found = hits.groupBy("at").agg(F.collect_set("item").alias("items"), F.collect_set(F.struct("first_word", "last_word", "start", "end")).alias("runs"))
+    columns = kept.columns
 
     @C.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,18 +289,18 @@ def _by_shuffle(kept: C.Kept, items: DataFrame, text: str, span: int, k: int) ->
                 sizes.append(np.diff(np.searchsorted(scanner.bounds(raw)[0], at)))
             yield pa.RecordBatch.from_pydict(C.passed_on(batch, [*columns, "row"]) | {"words": pa.array(np.concatenate(sizes) if sizes else [], pa.int64())})
 
-    columns = kept.columns
     whole = rows.mapInArrow(count, StructType([*(rows.schema[c] for c in (*columns, "row")), StructField("words", LongType())]))
-    joined = whole.join(found, F.col("row") == F.col("at"), "left").select(*columns, "words", "items", "runs")
+    joined = whole.join(told, F.col("row") == F.col("at"), "left").select(*columns, "words", "n_items", "items_sha256", "runs")
 
     @C.tidy
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nothing = digest(set())
         for batch in C.slices(batches):
             out: dict[str, list] = {c: [] for c in _TYPES}
             n = len(columns)
-            for words, met_items, runs in zip(*(batch.column(i).to_pylist() for i in (n, n + 1, n + 2)), strict=True):
+            for words, n_items, items_digest, runs in zip(*(batch.column(i).to_pylist() for i in range(n, n + 4)), strict=True):
                 spans = merged([(r["first_word"], r["last_word"], r["start"], r["end"]) for r in runs or ()])
-                values = (words, sum(b - a for a, b, _, _ in spans), len(met_items or ()), digest(set(met_items or ())), bool(spans), [dict(zip(("first_word", "last_word", "start", "end"), s, strict=True)) for s in spans])
+                values = (words, sum(b - a for a, b, _, _ in spans), n_items or 0, items_digest or nothing, bool(spans), [dict(zip(("first_word", "last_word", "start", "end"), s, strict=True)) for s in spans])
                 for c, v in zip(_TYPES, values, strict=True):
                     out[c].append(v)
             yield pa.RecordBatch.from_pydict(C.passed_on(batch, columns) | {c: pa.array(out[c], t) for c, t in _TYPES.items()})
@@ -311,6 +308,27 @@ def _by_shuffle(kept: C.Kept, items: DataFrame, text: str, span: int, k: int) ->
     return kept.named(joined.mapInArrow(merge, kept.schema))
 
 
+def _set_name(column: str) -> list[Column]:
+    """Sums by which sets of distinct values are told apart: 128 bits and the size; no set is ever gathered for it."""
+    return [F.bit_xor(F.xxhash64(column)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), column)).alias("y"), F.count("*").alias("size")]
+
+
+def _digests(found: DataFrame, windows: DataFrame, of_items: DataFrame) -> DataFrame:
+    """sets_name, documents, n_items, items_sha256 of each distinct combination of sets that documents met.
+
+    A set's items are those of any one of its windows; the items of large sets are spread over tasks.
+    """
+    combined = found.groupBy("sets_name").agg(F.first("sets").alias("sets"), F.count("*").alias("documents"))
+    one = windows.groupBy("set").agg(F.min("name").alias("name")).withColumn("size", F.col("set.size"))
+    members = C.spread_join(of_items, one, "name", "item", "size", of_items.count()).select("set", "item")
+    parts = F.ceil(F.col("set.size") / C.MANY).cast("int")
+    asked = combined.select("sets_name", F.explode("sets").alias("set")).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pairs = asked.join(members.withColumn("part", F.pmod(F.xxhash64("item"), parts).cast("int")), ["set", "part"])
+    listed = pairs.groupBy("sets_name").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    listed = listed.select("sets_name", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"))
+    return combined.select("sets_name", "documents").join(listed, "sets_name")
+
+
 def merged(runs: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
     """Runs (first word, end, first byte, end) that touch or overlap, as one each."""
     out: list[tuple[int, int, int, int]] = []
@@ -333,27 +351,45 @@ def _sieve_of(prints: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def _prints(span: int, k: int, sizes: list[int] | None, sieve):
-    """Fingerprints (n = 0) of texts, and hashes of n words: of documents for each size of short items, of items their own."""
+WINDOW = "n int, fp long, window long, check long, first_word long, last_word long, start long, end long"
+
+
+def _windows(span: int, k: int, sizes: list[int] | None, sieve):
+    """Windows of texts (key, body): fingerprint, 128 bits of all their words, and where they are.
+
+    Of ``span`` words the fingerprint is the least k-gram hash, of short items the hash of all words.
+    sizes: how many words short items have, for documents; for items none, as each has its own.
+    """
+    integers, longs = ["n"], ["fp", "window", "check", "first_word", "last_word", "start", "end"]
+
+    def of_text(scanner: C.WordScanner, body: bytes) -> Iterator[list[np.ndarray]]:
+        raw = np.frombuffer(body, np.uint8)
+        starts, ends, hashes = scanner.scan(raw)
+        many = len(hashes)
+        lengths = [n for n in ([min(many, span)] if sizes is None else [*sizes, span]) if 0 < n <= many]
+        checks = scanner.check(raw, starts, ends) if lengths else hashes
+        for n in lengths:
+            window = fp = C.gram_hashes(hashes, n)
+            if n == span:
+                grams = C.gram_hashes(hashes, k)
+                fp = grams[: len(window)].copy()
+                for j in range(1, span - k + 1):
+                    np.minimum(fp, grams[j : j + len(window)], out=fp)
+            at = np.arange(len(window)) if sieve is None else np.flatnonzero(sifted(fp, sieve.value) & sifted(window, sieve.value))
+            if len(at):
+                yield [np.full(len(at), n), C.as_signed(fp[at]), C.as_signed(window[at]), C.as_signed(C.gram_hashes(checks, n)[at]), at, at + n, starts[at], ends[at + n - 1]]
 
     @C.tidy
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = C.letters_scanner()
         for batch in C.slices(batches):
-            out: list[tuple[int, int, np.ndarray]] = []
-            for key, body in zip(batch.column(0).to_pylist(), C.texts_of(batch, "body"), strict=True):
-                _, _, hashes = scanner.scan(np.frombuffer(body, np.uint8))
-                if len(hashes) >= span:
-                    grams = C.gram_hashes(hashes, k)
-                    out.append((key, 0, np.unique(grams[winnow(grams, span - k + 1)])))
-                for n in ([len(hashes)] if 0 < len(hashes) < span else []) if sizes is None else sizes:
-                    if len(hashes) >= n:
-                        out.append((key, n, np.unique(C.gram_hashes(hashes, n))))
-            if sieve is not None:
-                out = [(key, n, x[sifted(x, sieve.value)]) for key, n, x in out]
-            each = [len(x) for _, _, x in out]
-            fps = np.concatenate([np.zeros(0, np.uint64), *(x for _, _, x in out)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([o[0] for o in out], np.int64), each)), pa.array(C.as_signed(fps)), pa.array(np.repeat(np.array([o[1] for o in out], np.int32), each))], ["key", "fp", "n"])
+            texts = C.texts_of(batch, "body")
+            for a, b in C.sub_batches(texts):
+                found = [(i, w) for i in range(a, b) for w in of_text(scanner, texts[i])]
+                if found:
+                    keys = batch.column(0).take(pa.array(np.repeat([i for i, _ in found], [len(w[0]) for _, w in found])))
+                    parts = [np.concatenate([w[c] for _, w in found]) for c in range(8)]
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(parts[0], pa.int32()), *(pa.array(x, pa.int64()) for x in parts[1:])], [batch.schema.names[0], *integers, *longs])
 
     return task
 
