@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from foliary.plans import queries_corpus, queries_evaluation, queries_more, queries_rows, queries_runs, queries_search, queries_tables, queries_text, queries_weak  # noqa: F401
+    from foliary.plans import queries_corpus, queries_evaluation, queries_more, queries_recognition, queries_rows, queries_runs, queries_search, queries_tables, queries_text, queries_weak  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
