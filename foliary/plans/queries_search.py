@@ -86,10 +86,6 @@ _FUSED = (
 _HYBRID = f"SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(h, 12) DESC, document_id, sequence_number, chunk_id) AS rank FROM ({_FUSED}) QUALIFY rank <= 10"
 
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.hybrid_search(_vectors(spark, sf_dir), _chunks(spark, sf_dir), k=10)
-
-
 @query("hybrid_rrf", f"SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank, round(h, 6) AS hybrid_score FROM ({_HYBRID})")
 def hybrid_rrf(spark, sf_dir):
     q, c = _vectors(spark, sf_dir), _chunks(spark, sf_dir)
