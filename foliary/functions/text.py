@@ -75,26 +75,30 @@ SMALL_TABLE = 1 << 18
 def edit_distance(a: str, b: str) -> int:
     """Edits between two texts; a whole column of the table is one number, a bit for each character.
 
-    Work is the length of one text times the other's in machine words, so texts of 100,000
-    characters take seconds.
+    Bit 0 is the row above the longer text, where each step to the right adds one.  What is shifted beyond
+    the text never comes back, so it is cut off only now and then.  Work is the length of one text times
+    the other's in machine words, so texts of 100,000 characters take seconds.
     """
     if len(a) < len(b):
         a, b = b, a
-    if not b:
-        return len(a)
+    if a == b or not b:
+        return len(a) - len(b)
     at: dict[str, int] = {}
-    for i, c in enumerate(a):
+    for i, c in enumerate(a, 1):
         at[c] = at.get(c, 0) | 1 << i
-    every, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
-    up, down, score = every, 0, len(a)
-    for c in b:
-        same = at.get(c, 0)
-        across = (((same & up) + up) ^ up) | same
-        more, less = down | (every & ~(across | up)), up & across
-        score += bool(more & top) - bool(less & top)
-        more = (more << 1 | 1) & every
-        up, down = (less << 1 & every) | (every & ~(same | down | more)), more & (same | down)
-    return score
+    every = (2 << len(a)) - 1
+    inner = every - 1
+    up, down = inner, 0
+    for start in range(0, len(b), 256):
+        for c in b[start : start + 256]:
+            same = at.get(c, 0)
+            across = (((same & up) + up) ^ up) | same | down
+            less = up & across
+            more = (down | (every ^ (across | up))) << 1
+            up = less << 1 | (inner ^ (across | more))
+            down = more & across
+        up, down = up & inner, down & inner
+    return len(b) + up.bit_count() - down.bit_count()
 
 
 @F.pandas_udf(P.LongType())
@@ -108,6 +112,18 @@ def edits(a: Column, b: Column) -> Column:
     return F.when(small, F.levenshtein(F.when(small, a), F.when(small, b)).cast("long")).otherwise(_long_distance(F.when(~small, a), F.when(~small, b)))
 
 
+@F.pandas_udf(P.ArrayType(P.LongType()))
+def edits_within(answers: pd.Series, text: pd.Series, share: pd.Series) -> pd.Series:
+    """Edits between each of some texts and another; null where their lengths alone differ by that share of the longer one, or one is null."""
+
+    def distance(x: str | None, y: str | None, least: float) -> int | None:
+        if x is None or y is None or (x != y and abs(len(x) - len(y)) >= least * max(len(x), len(y))):
+            return None
+        return edit_distance(x, y)
+
+    return pd.Series([None if xs is None else [distance(x, y, least) for x in xs] for xs, y, least in zip(answers, text, share, strict=True)], dtype="object")
+
+
 def token_overlap(a: Column, b: Column) -> Column:
     """Share of the smaller set of words that both have; 0 if one has none."""
     x, y = F.array_distinct(words(a)), F.array_distinct(words(b))

@@ -118,17 +118,16 @@ def text_summary(pairs: DataFrame, reference: str = "reference", other: str = "o
     return out.agg(F.count(F.lit(1)).alias("texts"), *(c for n in names for c in (micro(n).alias(f"micro_{n}"), macro(n).alias(f"macro_{n}"))))
 
 
-def anls_pair(answer: Column, prediction: Column) -> Column:
-    """1 minus the share of edits, 0 from half on; both empty: 1."""
-    a, p = T.normal_key(answer), T.normal_key(prediction)
-    longest = F.greatest(F.length(a), F.length(p))
-    share = F.levenshtein(a, p) / longest
-    return F.when(longest == 0, F.lit(1.0)).otherwise(F.when(share < ANLS_LEAST, F.round(1 - share, 12)).otherwise(F.lit(0.0)))
+def anls(answers: Column, prediction: Column) -> Column:
+    """1 minus the share of edits, 0 from half on, both empty: 1; the best over accepted answers, 0 without any."""
+    keys, p = F.transform(answers, T.normal_key), T.normal_key(prediction)
 
+    def score(a: Column, d: Column) -> Column:
+        longest = F.greatest(F.length(a), F.length(p))
+        share = d / longest
+        return F.when(longest == 0, F.lit(1.0)).when(share < ANLS_LEAST, F.round(1 - share, 12)).otherwise(F.lit(0.0))
 
-def anls(answers: Column, prediction: Column) -> Column:
-    """The best over accepted answers, 0 without any."""
-    return F.coalesce(F.array_max(F.transform(answers, lambda a: anls_pair(a, prediction))), F.lit(0.0))
+    return F.coalesce(F.array_max(F.zip_with(keys, T.edits_within(keys, p, F.lit(ANLS_LEAST)), score)), F.lit(0.0))
 
 
 def exact_match(answers: Column, prediction: Column) -> Column:

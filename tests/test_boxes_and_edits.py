@@ -97,3 +97,23 @@ def test_layout_pairs_formed_are_near_linear(spark):
         strips = lambda near: F.inline(E._strips(F.col("y0"), F.col("y1"), 2.0, near))
         met.append(page.select(strips(0)).join(page.select(strips(1)), ["kind", "strip"]).count())
     assert met[1] < 2.1 * met[0] and met[1] < 10 * 4000
+
+
+def test_edits_within_a_share(spark):
+    """Whole texts that differ by half of the longer one's length aren't compared; all others get their edits, by numbers of bits."""
+    draw = random.Random(7)
+    text = lambda n: "".join(draw.choice("ab é🙂") for _ in range(n))
+    cases = [(["abcd", "ab", "abc", "", None], "abcd"), ([""], ""), ([], "x"), (["x"], None), ([text(300), text(257), text(513)], text(512))]
+    df = spark.createDataFrame(cases, "a array<string>, p string")
+    want = [[None if x is None or p is None or (x != p and abs(len(x) - len(p)) >= 0.5 * max(len(x), len(p))) else plain_edits(x, p) for x in xs] for xs, p in cases]
+    got = [r[0] for r in df.select(T.edits_within("a", "p", F.lit(0.5))).collect()]
+    assert got == want and got[0] == [0, None, 1, None, None]
+
+
+def test_answers_are_not_compared_in_a_table_of_all_cells(spark):
+    """Two texts of 100,000 characters: a table of all cells has 10^10 of them and took longer than a minute."""
+    a, b = "ab c" * 25_000, "ab d" * 25_000
+    df = spark.createDataFrame([([a], b)], "a array<string>, p string")
+    plan = df.select(E.anls(F.col("a"), F.col("p")))
+    assert plan.first()[0] == pytest.approx(0.75)
+    assert "levenshtein" not in plan._jdf.queryExecution().toString()
