@@ -104,7 +104,11 @@ def pii_email_prefilter(spark, sf_dir):
 
 @query("pii_card_luhn", "WITH c AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]{16}\\b')) AS m FROM documents) SELECT doc_id, m AS matched_text FROM c WHERE list_sum([CASE WHEN i % 2 = 1 THEN (CAST(m[i] AS INTEGER) * 2) // 10 + (CAST(m[i] AS INTEGER) * 2) % 10 ELSE CAST(m[i] AS INTEGER) END for i in range(1, 17)]) % 10 = 0")
 def pii_card_luhn(spark, sf_dir):
-    found = pii.detect_pii(read_table(spark, sf_dir, "documents"), ("CREDIT_CARD",), "doc_id", "n_chars").where(F.col("matched_text").rlike("^[0-9]{16}$"))
+    """Words of 16 digits, each a text of its own: in the whole text a longer number with blanks or dashes may take one's digits."""
+    d = read_table(spark, sf_dir, "documents")
+    words = F.regexp_extract_all("text", F.lit("(?<![0-9A-Za-z_])([0-9]{16})(?![0-9A-Za-z_])"))
+    runs = d.select("doc_id", F.explode(F.array_distinct(words)).alias("text"), F.lit(1).alias("page_number"))
+    found = pii.detect_pii(runs, ("CREDIT_CARD",), "doc_id")
     return found.select(F.col("document_id").alias("doc_id"), "matched_text").distinct()
 
 
