@@ -88,10 +88,10 @@ def asked(questions: DataFrame, n: int | None = None) -> DataFrame:
 def truth(questions: DataFrame, corpus: DataFrame) -> DataFrame:
     """Documents that hold all of a question's terms (a keyword search) and hold them as one passage."""
     passage = lambda c: F.concat(F.lit(" "), F.array_join(T.terms(c), " "), F.lit(" "))
-    found = retrieval.keyword_search(asked(questions), as_chunks(corpus), k=None).select("query_id", "chunk_id")
+    # hits bring their texts along, so the corpus isn't joined again
+    found = retrieval.keyword_search(asked(questions), as_chunks(corpus), k=None, shown=("chunk_id", "document_id", "sequence_number", "text"))
     wanted = questions.select(F.col("item_id").alias("query_id"), passage(F.col("text")).alias("wanted"))
-    texts = corpus.select(F.col("doc_id").alias("chunk_id"), "text")
-    met = found.join(wanted, "query_id").join(texts, "chunk_id")
+    met = found.join(wanted, "query_id")
     return met.where(F.contains(passage(F.col("text")), F.col("wanted"))).select("query_id", "chunk_id").distinct()
 
 
