@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as P
@@ -30,20 +31,29 @@ MODES = ("semantic", "keyword", "hybrid")
 # Fixed value: what one least stretch with all terms and nothing between them scores.
 WEIGHT = 0.1
 
-_LEXEMES = P.ArrayType(P.StructType([P.StructField("term", P.StringType()), P.StructField("at", P.ArrayType(P.IntegerType()))]))
 
+def _posted(shown: int, names: list[str]):
+    """Stems of each text (behind the shown columns), one row each, with their places; few texts at a time, as arrays."""
 
-@F.pandas_udf(_LEXEMES)
-def lexemes(text: pd.Series) -> pd.Series:
-    """Stems of a text, each with its places."""
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for i in range(0, whole.num_rows, R.TEXTS):
+                batch = whole.slice(i, R.TEXTS)
+                row, term, ends, places = [], [], [0], []
+                for n, text in enumerate(batch.column(shown).to_pylist()):
+                    at: dict[str, list[int]] = {}
+                    for stem, place in english.lexemes(text or ""):
+                        at.setdefault(stem, []).append(place)
+                    row += [n] * len(at)
+                    term += at
+                    for held in at.values():
+                        places += held
+                        ends.append(len(places))
+                own = batch.select(list(range(shown))).take(pa.array(row, pa.int64()))
+                positions = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(term, pa.string()), positions], names)
 
-    def one(t: str | None) -> list[dict]:
-        at: dict[str, list[int]] = {}
-        for term, i in english.lexemes(t or ""):
-            at.setdefault(term, []).append(i)
-        return [{"term": k, "at": v} for k, v in at.items()]
-
-    return text.map(one)
+    return task
 
 
 def _bucket(term: Column, buckets: int) -> Column:
@@ -65,7 +75,8 @@ def _write(index: Index, chunks: DataFrame, batch: int) -> None:
     shown = [*OWN, *(c for c in FILTERED if c in chunks.columns)]
     out = lambda df: df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     text = F.concat_ws(" ", F.coalesce("text", F.lit("")), *([F.col("section_heading")] if "section_heading" in chunks.columns else []))
-    found = chunks.select(*shown, F.explode(lexemes(text)).alias("x")).select(*shown, "x.term", F.col("x.at").alias("positions"))
+    kind = P.StructType([*(chunks.schema[c] for c in shown), P.StructField("term", P.StringType()), P.StructField("positions", P.ArrayType(P.IntegerType()))])
+    found = chunks.select(*shown, text.alias("__text")).mapInArrow(_posted(len(shown), kind.names), kind)
     out(found.withColumn("bucket", _bucket(F.col("term"), index.buckets)).repartition("bucket").sortWithinPartitions("bucket", "term")).partitionBy("batch", "bucket").parquet(f"{index.path}/postings")
     if "embedding" in chunks.columns:
         v = F.col("embedding").cast("array<double>")
