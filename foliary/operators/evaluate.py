@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -204,20 +205,27 @@ def layout_match(truth: DataFrame, predicted: DataFrame, least: float = 0.5) ->
     choice is one label of one page.
     """
     near = layout_pairs(truth, predicted, least)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iou", "g_box_index", "p_box_index"], ascending=[False, True, True], kind="stable")
-        left, right, rows = set(), set(), []
-        for r in pdf.itertuples():
-            if r.g_box_index not in left and r.p_box_index not in right:
-                left.add(r.g_box_index)
-                right.add(r.p_box_index)
-                rows.append((r.document_id, r.page_number, r.label, r.g_box_index, r.p_box_index, r.iou))
-        return pd.DataFrame(rows, columns=["document_id", "page_number", "label", "truth_index", "predicted_index", "iou"])
-
+    key = ["document_id", "page_number", "label"]
+    names = [*key, "truth_index", "predicted_index", "iou"]
     kinds = {f.name: f.dataType.simpleString() for f in near.schema}
     schema = f"document_id {kinds['document_id']}, page_number {kinds['page_number']}, label string, truth_index {kinds['g_box_index']}, predicted_index {kinds['p_box_index']}, iou double"
-    return near.groupBy("document_id", "page_number", "label").applyInPandas(greedy, schema)
+
+    def greedy(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, left, right = None, set(), set()
+        for f in frames:
+            rows = []
+            for r in zip(*(f[c].tolist() for c in (*key, "g_box_index", "p_box_index", "iou")), strict=True):
+                if r[:3] != now:
+                    now, left, right = r[:3], set(), set()
+                if r[3] not in left and r[4] not in right:
+                    left.add(r[3])
+                    right.add(r[4])
+                    rows.append(r)
+            yield pd.DataFrame(rows, columns=names)
+
+    # many pages pass through one task in order, so a small page costs no call of its own
+    ordered = near.select(*key, "g_box_index", "p_box_index", "iou").repartition(*key).sortWithinPartitions(*key, F.desc("iou"), "g_box_index", "p_box_index")
+    return ordered.mapInPandas(greedy, schema)
 
 
 def layout_scores(truth: DataFrame, predicted: DataFrame, matches: DataFrame) -> DataFrame:

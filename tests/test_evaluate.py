@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,6 +76,33 @@ def test_layout(spark):
     assert (s.tp, s.fp, s.fn) == (2, 1, 0) and s.f1 == pytest.approx(0.8)
 
 
+def test_layout_of_many_small_pages(spark):
+    """No call of its own for each page; pairs as a plain greedy choice gives them, pages without a document's name too."""
+    kind = "document_id string, page_number int, box_index int, label string, x0 double, y0 double, x1 double, y1 double"
+    draw = random.Random(5)
+    boxes = []
+    for d in range(60):
+        for i in range(draw.randint(1, 6)):
+            x, y = draw.randint(0, 6), draw.randint(0, 3)
+            boxes.append((f"d{d % 30}", d // 30, i, draw.choice(["Text", "Table"]), float(x), float(y), x + 6.0, y + 5.0))
+    moved = [(*b[:4], b[4] + 0.5, b[5], b[6] + 0.5, b[7]) for b in boxes]
+    found = E.layout_match(spark.createDataFrame(boxes, kind), spark.createDataFrame(moved, kind))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().toString()
+
+    def overlap(a, b):
+        both = max(0.0, min(a[6], b[6]) - max(a[4], b[4])) * max(0.0, min(a[7], b[7]) - max(a[5], b[5]))
+        return both / (60.0 - both)
+
+    pairs = sorted(((a[:2] + a[3:4], -overlap(a, b), a[2], b[2]) for a in boxes for b in moved if a[:2] == b[:2] and a[3] == b[3] and overlap(a, b) >= 0.5))
+    left, right, expected = set(), set(), set()
+    for page, share, i, j in pairs:
+        if (page, i) not in left and (page, j) not in right:
+            left.add((page, i))
+            right.add((page, j))
+            expected.add((*page, i, j, round(-share, 9)))
+    assert {(r.document_id, r.page_number, r.label, r.truth_index, r.predicted_index, round(r.iou, 9)) for r in found.collect()} == expected and len(expected) > 100
+
+
 def test_gates_and_baseline(spark):
     m = spark.createDataFrame([("x", 0.5, None)], "configuration string, a double, b double")
     assert [r.passed for r in E.gates(m, {"a": 0.5, "b": 0.1}).collect()] == [True, False]
