@@ -143,7 +143,7 @@ def word_boxes(words: DataFrame, found: DataFrame, most: int = 10) -> DataFrame:
     words: document_id, page_number, word_index, word, x0, y0, x1, y1; blank words don't count.
     found: detection_id, document_id, page_number, matched_text.  A detection that no run spells has no row.
 
-    Both sides become numbered tokens and meet on page and token; tokens of a detection that fall on
+    Both sides become numbered tokens and meet on their page; equal tokens of a detection that fall on
     one begin, all of them, are a run, and it counts where it begins and ends with whole words.
     """
     page = ["document_id", "page_number"]
@@ -152,7 +152,10 @@ def word_boxes(words: DataFrame, found: DataFrame, most: int = 10) -> DataFrame:
     by_page = Window.partitionBy(*page).orderBy("word_index", "i")
     placed = tokens.withColumn("at", F.row_number().over(by_page)).withColumn("word_number", F.sum(F.when(F.col("i") == 0, 1).otherwise(0)).over(by_page.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     asked = found.select("detection_id", *page, F.size(parts("matched_text")).alias("needed"), F.posexplode(parts("matched_text")).alias("j", "token"))
-    met = placed.join(asked, [*page, "token"]).withColumn("begin", F.col("at") - F.col("j"))
+    # a page's tokens asked for come to its words as one list, so the words stay where they were numbered
+    by_name = asked.groupBy(*page).agg(F.collect_list(F.struct("token", "detection_id", "needed", "j")).alias("asked"))
+    met = placed.join(by_name, page).select("*", F.inline(F.transform(F.filter("asked", lambda a: a["token"] == F.col("token")), lambda a: F.struct(a["detection_id"].alias("detection_id"), a["needed"].alias("needed"), a["j"].alias("j")))))
+    met = met.drop("asked").withColumn("begin", F.col("at") - F.col("j"))
     whole = F.bool_and(((F.col("j") > 0) | (F.col("i") == 0)) & ((F.col("j") < F.col("needed") - 1) | (F.col("i") == F.col("n") - 1)))
     run = met.groupBy("detection_id", *page, "needed", "begin").agg(
         F.count(F.lit(1)).alias("met"), whole.alias("whole"), (F.max("word_number") - F.min("word_number") + 1).alias("words"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1")))

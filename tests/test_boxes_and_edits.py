@@ -1,6 +1,7 @@
 """Boxes, words and edit distances against plain code."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,3 +118,12 @@ def test_answers_are_not_compared_in_a_table_of_all_cells(spark):
     plan = df.select(E.anls(F.col("a"), F.col("p")))
     assert plan.first()[0] == pytest.approx(0.75)
     assert "levenshtein" not in plan._jdf.queryExecution().toString()
+
+
+def test_words_of_a_page_are_shuffled_once(spark):
+    words = spark.createDataFrame([("d", 1, 0, "Ab", 0.0, 0.0, 1.0, 1.0), ("d", 1, 1, "cd", 1.0, 0.0, 2.0, 1.0)], WORD)
+    found = spark.createDataFrame([("x", "d", 1, "AB  cd"), ("y", "d", 1, "cd ab")], "detection_id string, document_id string, page_number int, matched_text string")
+    out = pii.word_boxes(words, found)
+    assert [tuple(r) for r in out.collect()] == [("x", 0.0, 0.0, 2.0, 1.0)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert not re.search(r"hashpartitioning\([^)]*token", plan)
