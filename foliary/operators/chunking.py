@@ -21,6 +21,8 @@ from pyspark.sql.window import Window
 from foliary.functions.text import collapse
 
 TARGET, MAX, OVERLAP = 1200, 1800, 150
+#: units whose chunks a task holds before they leave it
+UNITS = 128
 SCHEMA = "document_id string, sequence_number int, text string, start_page int, end_page int, section_heading string, content_type string, contains_ocr boolean, character_count int, token_count int, fingerprint_sha256 string"
 _SENTENCE_END = re.compile(r"[.!?](?:\s|$)")
 
@@ -186,15 +188,16 @@ def chunk_units(units: DataFrame, limits: Limits | None = None) -> DataFrame:
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, found = None, []
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if r.document_id != now:
-                    if found:
-                        out += finish(now, found)
-                    now, found = r.document_id, []
-                found.append(None if r.kind == "heading" else Unit(r.text, int(r.page_number), r.heading if isinstance(r.heading, str) else None, r.kind, bool(r.ocr)))
-            yield pd.DataFrame(out, columns=names)
+        for whole in batches:
+            for start in range(0, len(whole), UNITS):
+                out = []
+                for r in whole.iloc[start : start + UNITS].itertuples(index=False):
+                    if r.document_id != now:
+                        if found:
+                            out += finish(now, found)
+                        now, found = r.document_id, []
+                    found.append(None if r.kind == "heading" else Unit(r.text, int(r.page_number), r.heading if isinstance(r.heading, str) else None, r.kind, bool(r.ocr)))
+                yield pd.DataFrame(out, columns=names)
         if found:
             yield pd.DataFrame(finish(now, found), columns=names)
 

@@ -5,7 +5,9 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from foliary.operators import chunking
 from foliary.plans import catalog
 from tests.helpers import plain, sentence
 
@@ -109,3 +111,20 @@ def test_card_numbers_beside_other_signs(spark, tmp_path_factory):
     texts = [card, f"{card} 12", f"7 {card}", f"12-{card}", f"é{card}", f"{card}ü", f"_{card}", f"{card}x", f"{card} {card} 5500005555555559", "4111 1111 1111 1111", f"{card}1", f"{card}-1 {card}", None, "4111111111111112", f"{card}."]
     got = against_sql(spark, tmp_path_factory, "pii_card_luhn", texts)
     assert {r[0] for r in got} == {0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 8.0, 11.0, 14.0}
+
+
+def test_chunks_leave_a_task_a_few_units_at_a_time(spark, monkeypatch):
+    """Frames of a few units' chunks, not of a whole batch of 10,000; a document across two frames stays whole."""
+    pages = spark.createDataFrame([(f"d{i // 3}", i % 3, f"Page {i} has words.") for i in range(1000)], "document_id string, page_number int, text string").withColumn("ocr", F.lit(False)).coalesce(1)
+    seen = []
+    real = type(pages).mapInPandas
+
+    def caught(self, f, schema):
+        frames = [chunk for chunk in f(iter([self.toPandas()]))]
+        seen.extend(len(x) for x in frames)
+        return real(self, f, schema)
+
+    monkeypatch.setattr(type(pages), "mapInPandas", caught)
+    out = chunking.chunk_pages(pages).collect()
+    assert max(seen) <= chunking.UNITS and sum(seen) == len(out) == 334
+    assert {r.document_id: r.text for r in out}["d7"] == "Page 21 has words. Page 22 has words. Page 23 has words."
