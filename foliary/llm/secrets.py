@@ -5,13 +5,14 @@ long as the Hoeffding bound cannot tell their continuations apart (state merging
 and a blue fringe).  What is left is a small probabilistic automaton for each format, and one for
 ordinary strings.  Every run of credential characters in a text that is not far shorter than the
 shortest credential is a candidate, and so is every part of it from a begin or a separator (``=``,
-``/``, ``.`` and others) to a separator or its end; all are scored under all automata, a part as far
-as some format's automaton goes and up to four times the longest credential that the format was learnt
-from (a whole run at any length).  A candidate is reported under the likeliest format where that
-beats the ordinary strings by a margin and is about as likely, for each character, as the
-credentials it was learnt from; of parts that begin at one place the one with the greatest margin
-of each length class (up to 16, 32, 64 characters and so on), of candidates that overlap the one with
-the greatest margin.  So the work on a text is in proportion to its length.
+``/``, ``.`` and others) to a separator or its end, at any length; all are scored under all automata,
+a part as far as some format's automaton goes.  A candidate is reported under the likeliest format
+(beyond 64 characters, any) where that beats the ordinary strings by a margin and is about as likely,
+for each character, as the credentials it was learnt from; of all candidates that overlap the one with
+the greatest margin, then the longest, then the first, so one that loses to another makes room for those
+that don't touch it.  Parts of up to 64 characters are listed, but for those that a shorter one of the
+same start beats; longer parts that are in one state at one place share what follows, which is stored
+once (``Tails``), so all parts are weighed without a list of them.
 
 The three base patterns (assign, access, hex) are found exactly beside that and never dropped.  Their
 values are scored as well, and a learnt span is added inside or across them unless it is just the
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import bisect
 import hashlib
+import heapq
 import math
 import re
 from collections import defaultdict
@@ -51,10 +53,11 @@ ORDINARY = "ordinary"
 SHORTER = 0.6  # of the shortest labelled credential: the least length of a candidate
 MARGIN = 8.0
 SLACK = 1.0
-REACH = 4  # times the longest labelled credential of a format: the length of its longest part
 TOGETHER = 64  # characters up to which all formats of a part are weighed against one another
 LANES = 1 << 16
 LONG = 4096
+BLOCK = 128  # ends of parts that have one greatest value
+GRAIN = 2.0**26  # log-likelihoods are multiples of its inverse: sums are exact in any order
 ALPHA = 0.05
 FLOOR = 1e-5
 
@@ -218,15 +221,15 @@ class Automata:
                 go.append(g)
                 log.append(p)
                 end.append(math.log(max(x.end / x.count, FLOOR)))
-        self.go, self.log, self.end = np.array(go), np.array(log), np.array(end, np.float32)
+        even = lambda x: (np.round(np.array(x, np.float32) * GRAIN) / GRAIN).astype(np.float32)
+        self.go, self.log, self.end = np.array(go), even(log), even(end)
         self.order = order
         #: each automaton's tables as lists, for one long string
         self.lists = [[[*zip(g, p, strict=True)] for g, p in zip(self.go.tolist(), self.log.tolist(), strict=True)]]
-        self.reach = np.array([REACH * max(map(len, by[k])) for k in self.kinds])
         self.typical = {}
         for i, kind in enumerate(self.kinds):
             own = self.scores(by[kind])[:, i] / np.array([len(s) + 1 for s in by[kind]])
-            self.typical[kind] = float(own.min()) - SLACK * float(own.std())
+            self.typical[kind] = math.floor((float(own.min()) - SLACK * float(own.std())) * GRAIN) / GRAIN
 
     def scores(self, candidates: list[bytes]) -> np.ndarray:
         """Log-likelihood of each candidate under each automaton."""
@@ -279,23 +282,24 @@ class Automata:
             out.append((kind, margin) if fits else None)
         return out
 
-    def parts(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int, tuple[str, float]]]:
-        """(start, end, verdict) of the parts that fit, the best of each start and length class."""
-        found: list[tuple[int, int, tuple[str, float]]] = []
-        for i in range(0, len(starts) if self.kinds else 0, LANES):
-            found += self._parts(raw, starts[i : i + LANES], stops[i : i + LANES])
-        return found
+    def parts(self, raw: np.ndarray, closes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[list[tuple], "Tails"]:
+        """Parts of up to ``TOGETHER`` characters that fit, as (-margin, -size, start, end, kind), and the longer ones' tails.
 
-    def _parts(self, raw: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[tuple[int, int, tuple[str, float]]]:
-        n, found, best = len(self.kinds), [], Best(starts)
+        ``closes`` marks the ends that parts may have.  Of one start's parts those stay that no shorter one beats:
+        wherever one of the others has room, so has the one that beats it.
+        """
+        short: list[tuple] = []
+        lanes = []
+        for i in range(0, len(starts) if self.kinds else 0, LANES):
+            own, left = self._parts(raw, closes, starts[i : i + LANES], stops[i : i + LANES])
+            short += own
+            lanes.append(left)
+        return short, Tails(self, raw, closes, [np.concatenate(x) for x in zip(*lanes, strict=True)])
+
+    def _parts(self, raw: np.ndarray, closes: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[list[tuple], list[np.ndarray]]:
+        n, found = len(self.kinds), []
+        best = np.full(len(starts), MARGIN if len(self.start) > n else -math.inf)
         typical = np.array([self.typical[k] for k in self.kinds])
-        floor = MARGIN if len(self.start) > n else -math.inf
-
-        def ending(at: np.ndarray, more: np.ndarray, pos: int) -> np.ndarray:
-            ends = ~_EDGE[raw[at - 1]]
-            ends[more] &= _SEPARATOR[raw[at[more]]]
-            return np.flatnonzero(ends) if pos >= self.least else np.zeros(0, np.int64)
-
         lane, pos = np.arange(len(starts)), 0
         total, state = np.zeros((len(starts), len(self.start))), np.tile(np.array(self.start), (len(starts), 1))
         while len(lane) and pos < TOGETHER:  # all formats at once
@@ -305,64 +309,152 @@ class Automata:
             pos += 1
             live = state[:, :n].any(axis=1)
             lane, total, state = lane[live], total[live], state[live]
-            more = starts[lane] + pos < stops[lane]
-            e = ending(starts[lane] + pos, more, pos)
+            e = np.flatnonzero(closes[starts[lane] + pos]) if pos >= self.least else np.zeros(0, np.int64)
             got = total[e] + self.end[state[e]]
             kind = got[:, :n].argmax(axis=1)
             score = got[np.arange(len(e)), kind]
             margin = score - got[:, n] if len(self.start) > n else score
-            fits = (score / (pos + 1) >= typical[kind]) & (margin >= floor)
-            best.offer(lane[e[fits]], pos, kind[fits], margin[fits])
+            fits = (score >= typical[kind] * (pos + 1)) & (margin >= best[lane[e]])
+            of, kind, margin = lane[e[fits]], kind[fits], margin[fits]
+            best[of] = margin
+            found += [(-m, -pos, a, a + pos, self.kinds[k]) for a, k, m in zip(starts[of].tolist(), kind.tolist(), margin.tolist(), strict=True)]
+            more = starts[lane] + pos < stops[lane]
             lane, total, state = lane[more], total[more], state[more]
-            if pos & (pos - 1) == 0:
-                found += best.taken(self.kinds)
         row, kind = np.nonzero(state[:, :n]) if len(lane) else (np.zeros(0, np.int64),) * 2
-        own, at = total[row, kind], state[row, kind]
         plain, of = (total[row, n], state[row, n]) if len(self.start) > n else (np.zeros(len(row)), np.zeros(len(row), np.int32))
         lane = lane[row]
-        while len(lane):  # each format that goes on by itself, beside the ordinary strings
-            c = raw[starts[lane] + pos]
-            own, at = own + self.log[at, c], self.go[at, c]
-            if len(self.start) > n:
-                plain, of = plain + self.log[of, c], self.go[of, c]
-            pos += 1
-            live = (at > 0) & (pos <= self.reach[kind])
-            lane, kind, own, at, plain, of = (x[live] for x in (lane, kind, own, at, plain, of))
-            more = starts[lane] + pos < stops[lane]
-            e = ending(starts[lane] + pos, more, pos)
-            score = own[e] + self.end[at[e]]
-            margin = score - plain[e] - self.end[of[e]] if len(self.start) > n else score
-            fits = (score / (pos + 1) >= typical[kind[e]]) & (margin >= floor)
-            best.offer(lane[e[fits]], pos, kind[e[fits]], margin[fits])
-            lane, kind, own, at, plain, of = (x[more] for x in (lane, kind, own, at, plain, of))
-            if pos & (pos - 1) == 0:
-                found += best.taken(self.kinds)
-        return found + best.taken(self.kinds)
-
-
-class Best:
-    """The part of greatest margin of each start, the longest of equal ones."""
-
-    def __init__(self, starts: np.ndarray) -> None:
-        self.starts = starts
-        self.margin = np.full(len(starts), -math.inf)
-        self.size, self.kind = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-
-    def offer(self, lanes: np.ndarray, size: int, kind: np.ndarray, margin: np.ndarray) -> None:
-        order = np.argsort(margin, kind="stable")  # of one lane's formats the last one stays
-        lanes, kind, margin = lanes[order], kind[order], margin[order]
-        better = margin >= self.margin[lanes]
-        lanes = lanes[better]
-        self.margin[lanes], self.size[lanes], self.kind[lanes] = margin[better], size, kind[better]
-
-    def taken(self, kinds: list[str]) -> list[tuple[int, int, tuple[str, float]]]:
-        """(start, end, verdict) of what was offered since the last call."""
-        of = np.flatnonzero(self.margin > -math.inf)
-        out = [(a, a + n, (kinds[k], m)) for a, n, k, m in zip(self.starts[of].tolist(), self.size[of].tolist(), self.kind[of].tolist(), self.margin[of].tolist(), strict=True)]
-        self.margin[of] = -math.inf
+        return found, [starts[lane], stops[lane], kind, total[row, kind], state[row, kind], plain, of]
+
+
+class Tail:
+    """What follows a place in one state of a format and of the ordinary strings: the ends of parts, with the likelihoods up to them."""
+
+    __slots__ = ("kind", "own", "plain", "ends", "joins", "pos", "gain", "room", "gains", "rooms", "most")
+
+    def __init__(self, kind: int) -> None:
+        self.kind, self.own, self.plain, self.ends, self.joins = kind, 0.0, 0.0, [], None
+
+    def close(self, typical: float) -> None:
+        """Tables of the ends: place, margin, likelihood beyond the typical one, and the greatest of each block."""
+        pos, own, plain = np.array(self.ends).reshape(-1, 3).T
+        self.ends = []
+        self.pos, self.gain, self.room = pos.astype(np.int64), own - plain, own - typical * pos
+        cuts = np.arange(0, len(pos), BLOCK)
+        self.gains, self.rooms = (np.maximum.reduceat(x, cuts) if len(x) else x for x in (self.gain, self.room))
+        self.most = float(self.room.max(initial=-math.inf))
+
+    def best(self, since: int, limit: int, need: float) -> tuple[float, int]:
+        """(margin, place) of the best end from ``since`` to ``limit`` that leaves the room, the last of equal ones."""
+        out = (-math.inf, -1)
+        if self.most < need:
+            return out
+        i, j = int(np.searchsorted(self.pos, since)), int(np.searchsorted(self.pos, limit, "right"))
+
+        def look(a: int, b: int) -> tuple[float, int]:
+            fit = np.flatnonzero(self.room[a:b] >= need) + a
+            if not len(fit):
+                return -math.inf, -1
+            most = self.gain[fit].max()
+            return float(most), int(self.pos[fit[self.gain[fit] == most][-1]])
+
+        a, b = -(-i // BLOCK), j // BLOCK
+        if a >= b:
+            return look(i, j)
+        out = max(look(i, a * BLOCK), look(b * BLOCK, j))
+        gains = np.where(self.rooms[a:b] >= need, self.gains[a:b], -math.inf)
+        while (m := int(gains.argmax())) >= 0 and gains[m] > -math.inf and gains[m] >= out[0]:
+            out = max(out, look((a + m) * BLOCK, (a + m + 1) * BLOCK))
+            gains[m] = -math.inf
         return out
 
 
+class Tails:
+    """Parts of more than ``TOGETHER`` characters.  Those in one state at one place go on as one, so a text is read once for all."""
+
+    def __init__(self, automata: Automata, raw: np.ndarray, closes: np.ndarray, lanes: list[np.ndarray]) -> None:
+        self.automata = automata
+        self.lanes: list[tuple] = []  # start, stop, tail, first place of ends, likelihoods before the tail
+        if not lanes or not len(lanes[0]):
+            return
+        tables, end, ordinary = automata.lists[0], automata.end.tolist(), len(automata.start) > len(automata.kinds)
+        order = np.argsort(lanes[0], kind="stable")
+        entering = list(zip(*(x[order].tolist() for x in lanes), strict=True))
+        tails: list[Tail] = []
+        active: dict[tuple[int, int, int], Tail] = {}
+        i, p, stop = 0, 0, 0
+        while i < len(entering) or active:
+            if not active:
+                p = entering[i][0] + TOGETHER
+            while i < len(entering) and entering[i][0] + TOGETHER == p:
+                start, stop, kind, own, at, plain, of = entering[i]
+                tail = active.get((kind, at, of))
+                if tail is None:
+                    tail = active[kind, at, of] = Tail(kind)
+                    tails.append(tail)
+                self.lanes.append((start, stop, tail, p + 1, own - tail.own, plain - tail.plain))
+                i += 1
+            c = int(raw[p])
+            p += 1
+            going: dict[tuple[int, int, int], Tail] = {}
+            for (kind, at, of), tail in active.items():  # the oldest first
+                at, more = tables[at][c]
+                tail.own += more
+                if ordinary:
+                    of, more = tables[of][c]
+                    tail.plain += more
+                if at:
+                    first = going.setdefault((kind, at, of), tail)
+                    if first is not tail:
+                        tail.joins = (first, p, tail.own - first.own, tail.plain - first.plain)
+            if closes[p]:
+                for (_, at, of), tail in going.items():
+                    tail.ends.append((p, tail.own + end[at], tail.plain + (end[of] if ordinary else 0.0)))
+            active = going if p < stop else {}
+        for tail in tails:
+            tail.close(automata.typical[automata.kinds[tail.kind]])
+
+    def best(self, lane: int, limit: int) -> tuple | None:
+        """The lane's best part up to ``limit``: (-margin, -size, start, end, kind, lane)."""
+        start, _, tail, since, own, plain = self.lanes[lane]
+        kind = self.automata.kinds[tail.kind]
+        typical, out = self.automata.typical[kind], (-math.inf, -1)
+        while since <= limit:
+            gain, b = tail.best(since, limit, typical * (1 - start) - own)
+            out = max(out, (gain + own - plain, b))
+            if tail.joins is None:
+                break
+            tail, since, more, other = tail.joins
+            own, plain = own + more, plain + other
+        floor = MARGIN if len(self.automata.start) > len(self.automata.kinds) else -math.inf
+        return (-out[0], start - out[1], start, out[1], kind, lane) if out[1] >= 0 and out[0] >= floor else None
+
+
+def apart(short: list[tuple], tails: Tails) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the candidates that are left when each takes its place, the best first; none overlaps another."""
+    short = sorted(short)
+    long = [x for i, lane in enumerate(tails.lanes) if (x := tails.best(i, lane[1]))]
+    heapq.heapify(long)
+    begins: list[int] = []
+    ends: list[int] = []
+    out, i = [], 0
+    while i < len(short) or long:
+        if long and (i == len(short) or long[0] < short[i]):
+            _, _, a, b, kind, lane = heapq.heappop(long)
+        else:
+            (_, _, a, b, kind), lane = short[i], None
+            i += 1
+        at = bisect.bisect_right(begins, a)
+        if at and ends[at - 1] > a:
+            continue
+        if at == len(begins) or begins[at] >= b:
+            begins.insert(at, a)
+            ends.insert(at, b)
+            out.append((a, b, kind))
+        elif lane is not None and (x := tails.best(lane, begins[at])):
+            heapq.heappush(long, x)
+    return out
+
+
 _RUN = np.zeros(256, np.uint8)
 _RUN[[ord(c) for c in UPPER + LOWER + DIGITS + "+/_.=-"]] |= 2
 _RUN[[ord(c) for c in DIGITS + "abcdef"]] |= 1
@@ -430,20 +522,16 @@ def scan(texts: list[bytes], automata: Automata) -> list[list[tuple[int, int, st
         data, bits = raw.tobytes(), _RUN[raw]
         base = base_matches(data, bits)
         places = [(a, b) for a, b in (_trimmed(data, *run) for run in _runs(bits, 2, automata.least)) if b - a >= automata.least]
-        found = {(a, b): v for (a, b), v in zip(places, automata.verdicts([data[a:b] for a, b in places]), strict=True) if v}
-        if places:
-            found |= {(a, b): v for a, b, v in automata.parts(raw, *_starts(raw, places, automata.least))}
-        begins: list[int] = []
-        ends: list[int] = []
         spans = [(a, b, kind, v) for a, b, kind, v in base]
         own = {(v, b) for _, b, _, v in base}
-        for (a, b), (kind, _) in sorted(found.items(), key=lambda f: (-f[1][1], f[0][0] - f[0][1], f[0])):
-            i = bisect.bisect_left(begins, b)  # none of the taken ones overlaps another
-            if not i or ends[i - 1] <= a:
-                begins.insert(i, a)
-                ends.insert(i, b)
-                if (a, b) not in own:
-                    spans.append((a, b, kind, a))
+        if places:
+            closes = np.append(_SEPARATOR[raw], False)
+            closes[[b for _, b in places]] = True
+            closes[1:] &= ~_EDGE[raw]
+            short, tails = automata.parts(raw, closes, *_starts(raw, places, automata.least))
+            whole = automata.verdicts([data[a:b] for a, b in places])
+            short += [(-v[1], a - b, a, b, v[0]) for (a, b), v in zip(places, whole, strict=True) if v]
+            spans += [(a, b, kind, a) for a, b, kind in apart(short, tails) if (a, b) not in own]
         for (a, b, kind, _), (best, each) in zip(spans, automata.likeliest([data[v:b] for _, b, _, v in spans]), strict=True):
             d = int(np.searchsorted(at, a, "right")) - 1
             out[x + d].append((a - int(at[d]), b - int(at[d]), kind, best, each))
