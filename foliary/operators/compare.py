@@ -1,18 +1,17 @@
 """Comparison of two versions: texts, tables and metadata.
 
-Exact pairs are a join on text and occurrence.  Texts of what is left meet in a join on shared words
-that loses no similar pair; what the greedy pairing, a grouped map for each pair of versions, gets
-is the blocks' numbers and the measured pairs of texts.
+Exact pairs meet by text and occurrence.  Texts of what is left meet in blocks, each of one version with
+each of the other, where an index of words finds all similar pairs; what the greedy pairing, a grouped
+map for each pair of versions, gets is the blocks' numbers and the measured pairs of texts.
 """
 
 from __future__ import annotations
 
 import difflib
-import functools
-import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,54 +47,132 @@ def exact_pairs(base: DataFrame, target: DataFrame, text: str = "normal", order:
 
 
 PAIRS = "pair_id string, base_id string, target_id string, similarity double"
+EDGES = "pair_id string, base binary, target binary, ratio double, shared double"
 FAR = (2 - SIMILAR) / SIMILAR + 1e-4  # a text longer than the other by more than this can't be similar
-
-
-def _words(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        sets = [sorted(set(_WORD.findall(x.casefold()))) for x in f["normal"]]
-        out = f[["pair_id", "side", "mark"]].assign(chars=[len(x) for x in f["normal"]], words=sets)
-        out["size"] = [len(x) for x in sets]
-        out["need"] = [next(c for c in range(int(OVERLAP * n), n + 1) if c / n >= OVERLAP) if n else 0 for n in out["size"]]
-        yield out[["pair_id", "side", "mark", "chars", "size", "need", "words"]]
-
-
-def candidates(texts: DataFrame) -> DataFrame:
-    """(pair_id, base, target): marks of texts that may overlap and be similar; texts: pair_id, side (b or t), mark, normal.
-
-    With words in one order, the rarest first, the first word that two texts share is so far in
-    front in both that the words behind it still hold the overlap the smaller set asks for.
+BLOCK_CHARS, MOST_CHARS_HELD = 1 << 20, 64 << 20  # characters of a block of one side: where blocks are few, and at most
+MOST_BLOCKS = 12  # of a side, unless they would be larger than the most
+TOGETHER = 1 << 22  # entries of postings that are looked at together
+
+
+class Side:
+    """Word sets of a block's texts as numbers, each set with its rarest words first once they are ranked."""
+
+    def __init__(self, texts: list[str], ids: dict[str, int]) -> None:
+        self.chars = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.size = np.zeros(len(texts), np.int64)
+        parts = []
+        for i, x in enumerate(texts):
+            parts.append(np.array([ids.setdefault(w, len(ids)) for w in set(_WORD.findall(x.casefold()))], np.int32))
+            self.size[i] = len(parts[-1])
+        self.words = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.start = np.cumsum(self.size) - self.size
+        self.owner = np.repeat(np.arange(len(texts)), self.size)
+
+    def ranked(self, rank: np.ndarray) -> None:
+        self.words = rank[self.words]
+        self.words = self.words[np.lexsort((self.words, self.owner))]
+        self.behind = (self.start + self.size)[self.owner] - np.arange(len(self.words))
+        least = np.array([next(c for c in range(int(OVERLAP * n), n + 1) if c / n >= OVERLAP) if n else 1 for n in range(int(self.size.max(initial=0)) + 1)])
+        self.need = least[self.size]
+
+    def shared(self, one: np.ndarray, others: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """How many of ``one`` 's words each of the other texts (of this side) has; ``mark`` is all false before and after."""
+        mark[one] = True
+        size = self.size[others]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1]) + np.repeat(self.start[others] - ends + size, size)
+        out = np.add.reduceat(mark[self.words[at]].astype(np.int64), ends - size)
+        mark[one] = False
+        return out
+
+
+def _overlapping(few: Side, many: Side, larger: bool, mark: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(text of few, texts of many, shared words) where few's set is the smaller one (or as large, unless the other is to be ``larger``).
+
+    With words in one order, the rarest first, the first word that two texts share is so far in front in both
+    that the words behind it still hold the overlap the smaller set asks for.
+    """
+    width = int(many.chars.max(initial=0)) + 2
+    key = many.words.astype(np.int64) * width + many.chars[many.owner]
+    order = np.argsort(key, kind="stable")
+    key, owner, behind = key[order], many.owner[order], many.behind[order]
+    front = np.flatnonzero(few.behind >= few.need[few.owner])
+    own, at = few.owner[front], few.words[front].astype(np.int64) * width
+    low = np.searchsorted(key, at + np.minimum((few.chars[own] / FAR).astype(np.int64), width - 1))
+    high = np.searchsorted(key, at + np.minimum((few.chars[own] * FAR).astype(np.int64) + 1, width - 1), "right")
+    ends = np.cumsum(high - low)
+    i = 0
+    while i < len(front):
+        stop = int(np.searchsorted(ends, (ends[i - 1] if i else 0) + TOGETHER, "right"))
+        stop = int(np.searchsorted(own, own[min(max(stop, i + 1), len(own)) - 1], "right"))  # a text's words stay together
+        n = (high - low)[i:stop]
+        e = np.cumsum(n)
+        place = np.arange(e[-1]) + np.repeat(low[i:stop] - e + n, n)
+        x, y = np.repeat(own[i:stop], n), owner[place]
+        fits = (behind[place] >= few.need[x]) & ((many.size[y] > few.size[x]) if larger else (many.size[y] >= few.size[x]))
+        pairs = np.unique(x[fits] * len(many.size) + y[fits])
+        x, y = np.divmod(pairs, max(len(many.size), 1))
+        for a, b in zip(*(np.searchsorted(x, np.unique(x), w) for w in ("left", "right")), strict=True):
+            one = int(x[a])
+            both = many.shared(few.words[few.start[one] : few.start[one] + few.size[one]], y[a:b], mark)
+            enough = both >= few.need[one]
+            if enough.any():
+                yield one, y[a:b][enough], both[enough]
+        i = stop
+
+
+def similar_texts(base: list[str], target: list[str]) -> list[tuple[int, int, float, float]]:
+    """(base, target, ratio, shared words by the smaller set) of all texts that are similar enough; the lists are one task's."""
+    ids: dict[str, int] = {}
+    b, t = Side(base, ids), Side(target, ids)
+    often = np.bincount(b.words, minlength=len(ids)) + np.bincount(t.words, minlength=len(ids))
+    rank = np.zeros(len(ids), np.int32)
+    rank[np.argsort(often, kind="stable")] = np.arange(len(ids), dtype=np.int32)
+    b.ranked(rank)
+    t.ranked(rank)
+    mark = np.zeros(len(ids), bool)
+    met: dict[int, list[tuple[int, float]]] = {}
+    for x, ys, both in _overlapping(b, t, False, mark):
+        for y, n in zip(ys.tolist(), both.tolist(), strict=True):
+            met.setdefault(y, []).append((x, n / int(b.size[x])))
+    for y, xs, both in _overlapping(t, b, True, mark):
+        met.setdefault(y, []).extend((x, n / int(t.size[y])) for x, n in zip(xs.tolist(), both.tolist(), strict=True))
+    m, out = difflib.SequenceMatcher(None), []
+    for y, found in met.items():  # what is known of the second text is used again
+        m.set_seq2(target[y])
+        for x, shared in found:
+            m.set_seq1(base[x])
+            if round(m.real_quick_ratio(), 6) >= SIMILAR and round(m.quick_ratio(), 6) >= SIMILAR and (ratio := round(m.ratio(), 6)) >= SIMILAR:
+                out.append((x, y, ratio, shared))
+    return out
+
+
+def _edges(base: pd.DataFrame, target: pd.DataFrame) -> pd.DataFrame:
+    found = similar_texts(base["normal"].tolist(), target["normal"].tolist()) if len(base) and len(target) else []
+    marks, others = base["mark"].tolist(), target["mark"].tolist()
+    pair = str((base if len(base) else target)["pair_id"].iloc[0])
+    return pd.DataFrame([(pair, marks[x], others[y], ratio, shared) for x, y, ratio, shared in found], columns=["pair_id", "base", "target", "ratio", "shared"])
+
+
+def similar_edges(left: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges between the similar texts of each pair of versions.
+
+    left: pair_id, side (b or t), mark, chars of what is to be paired; texts: pair_id, side, mark, normal of all lines.
+    Both sides are cut into blocks by their characters, and each block of one meets each of the other in one task
+    that finds and measures its pairs.  So what is shuffled is a text for each block of the other side, however many
+    pairs share words.
     """
-    sets = texts.mapInPandas(_words, "pair_id string, side string, mark binary, chars int, size int, need int, words array<string>").where("size > 0")
-    entries = sets.select("pair_id", "side", "mark", "chars", "size", "need", F.explode("words").alias("word"))
-    often = entries.groupBy("pair_id", "word").agg(F.count(F.lit(1)).alias("df"), F.count_distinct("side").alias("sides"))
-    order = Window.partitionBy("pair_id", "side", "mark").orderBy("df", "word")
-    placed = entries.join(often, ["pair_id", "word"]).withColumn("behind", F.col("size") - F.row_number().over(order) + 1)
-    placed = placed.where("sides = 2").withColumn("step", F.floor(F.log("chars") / math.log(FAR)).cast("int"))
-    b, t = (placed.where(F.col("side") == side).select("pair_id", "word", *(F.col(c).alias(f"{side}_{c}") for c in ("mark", "chars", "size", "need", "behind", "step"))) for side in "bt")
-    b = b.withColumn("step", F.explode(F.array(*(F.col("b_step") + i for i in (-1, 0, 1)))))
-    met = b.join(t.withColumn("step", F.col("t_step")), ["pair_id", "word", "step"])
-    need = F.when(F.col("b_size") <= F.col("t_size"), F.col("b_need")).otherwise(F.col("t_need"))
-    near = (F.greatest("b_chars", "t_chars") <= F.least("b_chars", "t_chars") * FAR) & (F.least("b_behind", "t_behind") >= need)
-    return met.where(near).select("pair_id", F.col("b_mark").alias("base"), F.col("t_mark").alias("target")).distinct()
-
-
-def _measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    words = functools.lru_cache(4096)(lambda x: frozenset(_WORD.findall(x.casefold())))
-    m = difflib.SequenceMatcher(None)
-    for f in frames:
-        rows = []
-        for pair, base, target, x, y in zip(f["pair_id"], f["base"], f["target"], f["x"], f["y"], strict=True):
-            u, v = words(x), words(y)
-            shared = len(u & v) / min(len(u), len(v))
-            if shared < OVERLAP:
-                continue
-            if m.b != y:  # what is known of the second text is used again
-                m.set_seq2(y)
-            m.set_seq1(x)
-            if round(m.quick_ratio(), 6) >= SIMILAR and (ratio := round(m.ratio(), 6)) >= SIMILAR:
-                rows.append((pair, base, target, ratio, shared))
-        yield pd.DataFrame(rows, columns=["pair_id", "base", "target", "ratio", "shared"])
+    chars = lambda side: F.sum(F.when(F.col("side") == side, F.col("chars")))
+    few = lambda c: F.greatest(F.ceil(c / MOST_CHARS_HELD), F.least(F.lit(MOST_BLOCKS), F.ceil(c / BLOCK_CHARS)), F.lit(1)).cast("int")
+    both = left.groupBy("pair_id").agg(few(chars("b")).alias("b"), few(chars("t")).alias("t"), F.count_distinct("side").alias("sides")).where("sides = 2")
+    wanted = left.select("pair_id", "side", "mark").distinct().join(both.drop("sides"), "pair_id")
+    body = texts.groupBy("pair_id", "side", "mark").agg(F.first("normal").alias("normal")).join(wanted, ["pair_id", "side", "mark"])
+    block = lambda n: F.pmod(F.xxhash64("mark"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    b = body.where("side = 'b'").select("pair_id", block("b").alias("i"), each("t").alias("j"), "mark", "normal")
+    t = body.where("side = 't'").select("pair_id", each("b").alias("i"), block("t").alias("j"), "mark", "normal")
+    cell = ["pair_id", "i", "j"]
+    return b.groupBy(*cell).cogroup(t.toDF(*t.columns).groupBy(*cell)).applyInPandas(_edges, EDGES)
 
 
 def _greedy(blocks: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
@@ -122,15 +199,17 @@ def _greedy(blocks: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
 
 def align(base: DataFrame, target: DataFrame) -> DataFrame:
     """Aligned blocks: pair_id, base_id, target_id, similarity (1 for equal texts, null for one side only)."""
-    met = exact_pairs(base, target)
-    same = met.where("b_source_id is not null and t_source_id is not null").select(F.col("pair_id").cast("string"), F.col("b_source_id").alias("base_id"), F.col("t_source_id").alias("target_id"), F.lit(1.0).alias("similarity"))
-    shape = lambda side, other: met.where(f"{other}_source_id is null").select(F.col("pair_id").cast("string").alias("pair_id"), F.lit(side).alias("side"), F.unhex(F.left("mark", F.lit(32))).alias("mark"), F.col(f"{side}_source_id").alias("source_id"), F.col(f"{side}_sequence_number").alias("sequence_number"), F.col(f"{side}_normal").alias("normal"))
-    left = shape("b", "t").unionByName(shape("t", "b"))
-    texts = left.groupBy("pair_id", "side", "mark").agg(F.first("normal").alias("normal"))
-    body = lambda side, name, to: texts.where(F.col("side") == side).select("pair_id", F.col("mark").alias(name), F.col("normal").alias(to))
-    found = candidates(texts).join(body("b", "base", "x"), ["pair_id", "base"]).join(body("t", "target", "y"), ["pair_id", "target"])
-    edges = found.select("pair_id", "base", "target", "x", "y").mapInPandas(_measured, "pair_id string, base binary, target binary, ratio double, shared double")
-    rest = left.drop("normal").groupBy("pair_id").cogroup(edges.groupBy("pair_id")).applyInPandas(_greedy, PAIRS)
+    side = lambda df, name: df.select(F.col("pair_id").cast("string").alias("pair_id"), F.lit(name).alias("side"), F.unhex(F.left(F.sha2("normal", 256), F.lit(32))).alias("mark"), "source_id", "sequence_number", "normal")
+    lines = side(base, "b").unionByName(side(target, "t"))
+    # equal texts pair by occurrence: one shuffle of their marks serves the numbers and the pairs
+    slim = lines.select("pair_id", "side", "mark", "source_id", "sequence_number", F.length("normal").alias("chars")).repartition("pair_id", "mark")
+    slim = slim.withColumn("occurrence", F.row_number().over(Window.partitionBy("pair_id", "mark", "side").orderBy("sequence_number", "source_id")))
+    here = lambda name, c: F.max(F.when(F.col("side") == name, F.col(c)))
+    met = slim.groupBy("pair_id", "mark", "occurrence").agg(here("b", "source_id").alias("base_id"), here("t", "source_id").alias("target_id"), F.count(F.lit(1)).alias("sides"), F.max("side").alias("side"), F.max("sequence_number").alias("sequence_number"), F.max("chars").alias("chars"))
+    same = met.where("sides = 2").select("pair_id", "base_id", "target_id", F.lit(1.0).alias("similarity"))
+    left = met.where("sides = 1").select("pair_id", "side", "mark", F.coalesce("base_id", "target_id").alias("source_id"), "sequence_number", "chars")
+    edges = similar_edges(left, lines.select("pair_id", "side", "mark", "normal"))
+    rest = left.drop("chars").groupBy("pair_id").cogroup(edges.groupBy("pair_id")).applyInPandas(_greedy, PAIRS)
     return same.unionByName(rest)
 
 
